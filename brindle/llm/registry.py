@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.llm import quality_rules
+from brindle.llm import quality_rules, sharding
 
 QUERIES = {
+    "op8_sharding": sharding.op8_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
