@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.llm import language_id, quality_classifier, quality_rules, secret_scans, sharding
+from brindle.llm import language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sharding
 
 QUERIES = {
+    "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op6_language_id": language_id.op6_language_id,
     "op5_secret_scans": secret_scans.op5_secret_scans,
