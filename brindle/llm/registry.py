@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.llm import decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sharding
+from brindle.llm import decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sharding, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
