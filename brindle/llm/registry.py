@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.llm import bpe, decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sharding, toxicity
+from brindle.llm import bpe, decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sharding, token_output, toxicity
 
 QUERIES = {
+    "op1_token_output": token_output.op1_token_output,
     "op7_byte_level_bpe": bpe.op7_byte_level_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
