@@ -31,7 +31,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import documents, map_batches, short_batches
+from brindle.llm.common import documents, map_batches, short_batches, with_fields
 from brindle.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, columns: list[str], path: str = RANKS) -> DataFrame:
     """The named columns, and ``ids`` of ``text`` as little-endian unsigned 32-bit integers."""
     short_batches(docs.sparkSession)
     rows = docs.select(*columns, *([] if "text" in columns else ["text"]))
-    schema = docs.select(*columns).schema.simpleString()[7:-1] + ",n_tokens:bigint,ids:binary"
+    schema = with_fields(docs.select(*columns), "n_tokens long, ids binary")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = codec(path).encode([t or "" for t in batch.column("text").to_pylist()])
@@ -206,7 +206,7 @@ def decode(rows: DataFrame, columns: list[str], path: str = RANKS) -> DataFrame:
     """The named columns, and ``decoded``: the bytes of ``ids``. Null ids decode to nothing."""
     short_batches(rows.sparkSession)
     given = rows.select(*columns, *([] if "ids" in columns else ["ids"]))
-    schema = rows.select(*columns).schema.simpleString()[7:-1] + ",decoded:binary"
+    schema = with_fields(rows.select(*columns), "decoded binary")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = codec(path).decode([x or b"" for x in batch.column("ids").to_pylist()])

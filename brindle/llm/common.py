@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from brindle.session import checkpoint_dir, table
 
@@ -47,7 +47,12 @@ def drop_staged(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def with_fields(rows: DataFrame, fields: str) -> T.StructType:
+    """The schema of ``rows`` and further fields; names may be any."""
+    return T.StructType([*rows.schema.fields, *T.StructType.fromDDL(fields).fields] if fields else rows.schema.fields)
+
+
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """Apply ``step`` to each Arrow batch. An empty partition gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

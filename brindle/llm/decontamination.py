@@ -213,6 +213,26 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return spark.createDataFrame([], schema) if result is None else result
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds no passage of the benchmark, with all their columns.
+
+    A map for each part of the benchmark, without a join, so rows that share an id are judged alone.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    kept = docs
+    for items in _parts(benchmark):
+        items.choose(document_counts(docs, spark.sparkContext.broadcast(items)))
+        shared = spark.sparkContext.broadcast(items)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not contaminated(shared.value, t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        kept = kept.mapInArrow(keep, docs.schema)
+    return kept
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, item) of all documents and the whole benchmark that aligns."""
     return find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))

@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from brindle.llm.common import documents, drop_staged, map_batches, short_batches, staged
 
@@ -311,6 +311,21 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all its columns: a row with the class's least id.
+
+    Rows join their class by (id, digest), which no group of copies can make hot, and of rows alike in
+    both one stays.
+    """
+    found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # a class with the same id on different texts keeps the text whose digest comes first
+    first = found.groupBy("class_id").agg(F.min("node").alias("_node")).select(F.col("class_id").alias("_id"), "_node")
+    rows = docs.withColumn("_digest", node_column())
+    same = rows.join(first, (rows["_digest"] == first["_node"]) & rows["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    alike = Window.partitionBy("_digest", "doc_id").orderBy(F.lit(0))
+    return same.withColumn("_copy", F.row_number().over(alike)).where("_copy = 1").select(*docs.columns)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of all documents."""
     return classes(documents(spark, sf_dir)).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm.common import documents, drop_staged, map_batches, remainder, short_batches, staged
+from brindle.llm.common import documents, drop_staged, map_batches, remainder, short_batches, staged, with_fields
 from brindle.session import table
 
 #: Labelled rows that are fitted, and the longest text among them.
@@ -262,7 +262,7 @@ def classify(docs: DataFrame, model: Broadcast, columns: list[str]) -> DataFrame
     """The named columns and ``score``. ``text`` must be among the columns of ``docs``."""
     short_batches(docs.sparkSession)
     rows = docs.select(*columns, *([] if "text" in columns else ["text"]))
-    schema = docs.select(*columns).schema.simpleString()[7:-1] + ",score:double"
+    schema = with_fields(docs.select(*columns), "score double")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = pa.array(model.value.score(batch.column("text").to_pylist()), pa.float64())

@@ -329,7 +329,7 @@ def redact(docs: DataFrame, columns: list[str], rules: list[Rule] = RULES) -> Da
         clean = pa.array([None if t is None else cut(t, s, rules) for t, s in zip(texts, spans)], batch.schema.field(at).type)
         return batch.set_column(at, batch.schema.field(at), clean)
 
-    return map_batches(rows, step, rows.schema.simpleString()[7:-1])
+    return map_batches(rows, step, rows.schema)
 
 
 def cut(text: str, spans: list[tuple[int, int, int]], rules: list[Rule]) -> str:
