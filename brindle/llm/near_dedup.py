@@ -1,18 +1,18 @@
 """Near-duplicate detection with ProbMinHash.
 
-A text's distinct five-word shingles, weighted by their counts, are elements whose arrivals form Poisson
+A text's distinct five-word shingles, weighted by 1 + log of their counts, are elements whose arrivals form Poisson
 processes of rates equal to the weights. Each arrival falls on one of 252 registers and the earliest
 keeps it; an element stops as soon as its next arrival is later than every register. The registers of
 two texts agree with their probability Jaccard. Bands of seven registers give candidates, which are
-verified on the shingles themselves: a link needs a probability Jaccard (over counts) or a plain
+verified on the shingles themselves: a link needs a probability Jaccard (over weights) or a plain
 Jaccard (over the sets) of at least 0.8.
 
 Scale: equal texts are one node (partial minimum by digest before the shuffle), so a group of exact
-copies of any size is one row afterwards. A band bucket is never expanded into all its pairs: its
-members are first compared with the bucket's leader, which links a group of near copies in linear
-work; after components are known, members outside a bucket's largest component are compared with those
-of other components whose one-bit sketches (128 registers) are near. Pairs within a component are not
-needed for classes, and no pair that may join two components is left out. Buckets, links and components
+copies of any size is one row afterwards. A band bucket is never expanded into all its pairs: in
+two rounds its members are compared with one leader, the text that shares most with others, which links
+a family of near copies in linear work; then members outside a bucket's largest component are compared
+with those of other components. Only pairs whose sketches of four bits a register are near are verified.
+Pairs within a component are not needed for classes, and no pair that may join two is left out. Buckets, links and components
 stay in DataFrames; each step is written to the shared folder, so a lost executor repeats one step.
 
 Defined results: a null text equals the empty text; texts without a word have no shingle and are grouped
@@ -36,9 +36,13 @@ SIMILAR = 0.8
 #: Bands, registers in a band. At a Jaccard of 0.8 a pair is missed with a chance of 2 in 10,000.
 BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
-#: Registers with a bit in the sketch, and the most bits that may differ: at 0.8 the mean is 13, the
-#: deviation 3.4, so more than 30 has a chance of about 1 in a million.
-SKETCH, MOST_APART = 128, 30
+#: Rounds in which a bucket's members are compared with one leader before the rest are compared.
+LEADER_TURNS = 2
+#: Longs of the sketch, which has four bits of every register, and the most registers that may differ in
+#: it: at 0.8 the mean is 47.3 and the deviation 6.2, so a pair at the very bound is missed with a chance
+#: of 2 in 10,000, as by the bands.
+LONGS, MOST_APART = 16, 69
+BITS = [f"bits{k}" for k in range(LONGS)]
 
 # Multipliers of the polynomial and of the finaliser (splitmix64).
 _BASE = 0x9E3779B97F4A7C15
@@ -115,6 +119,11 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[at], code[at], np.diff(np.append(at, len(code)))
 
 
+def weights(counts: np.ndarray) -> np.ndarray:
+    """The weight of a shingle that occurs so often: a repeated line counts more, but not in proportion."""
+    return 1 + np.log(counts)
+
+
 def signatures(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """The element that holds each register, for ``n`` texts. Texts without elements hold 0."""
     best = np.full(n * REGISTERS, np.inf)
@@ -147,9 +156,10 @@ def bands(held: np.ndarray) -> np.ndarray:
 
 
 def sketches(held: np.ndarray) -> np.ndarray:
-    """Two longs of one bit from each of the first registers."""
-    bit = ((mix(held[:, :SKETCH]) >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bit, axis=1).view(np.int64)
+    """Longs with four bits from each register."""
+    part = np.zeros((len(held), 16 * LONGS), dtype=np.uint8)
+    part[:, :REGISTERS] = (mix(held) >> np.uint64(17)) & np.uint64(15)
+    return (part[:, ::2] << 4 | part[:, 1::2]).copy().view(np.int64)
 
 
 def _chunks(texts: list[bytes]):
@@ -184,20 +194,21 @@ def signed(docs: DataFrame) -> DataFrame:
         sizes, keys, bits = [], [], []
         for a, b in _chunks(texts):
             owner, code, weight = shingles(texts[a:b])
-            held = signatures(owner, code, weight, b - a)
+            held = signatures(owner, code, weights(weight), b - a)
             size = np.bincount(owner, minlength=b - a)
             sizes += size.tolist()
             keys += [k if s else [] for k, s in zip(bands(held).tolist(), size)]
             bits += sketches(held).tolist()
         arrays = [batch.column("doc_id"), pa.array([digest(t) for t in texts], pa.binary()), pa.array(sizes, pa.int32())]
-        arrays += [pa.array([b[k] for b in bits], pa.int64()) for k in (0, 1)] + [pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", "bits0", "bits1", "keys"])
+        arrays += [pa.array([b[k] for b in bits], pa.int64()) for k in range(LONGS)] + [pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", *BITS, "keys"])
 
-    return map_batches(docs.select("doc_id", "text"), step, "doc_id long, node binary, size int, bits0 long, bits1 long, keys array<long>")
+    schema = f"doc_id long, node binary, size int, {', '.join(f'{b} long' for b in BITS)}, keys array<long>"
+    return map_batches(docs.select("doc_id", "text"), step, schema)
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """Probability Jaccard over the counts, and Jaccard over the sets; hashes ascend."""
+    """Probability Jaccard over the weights, and Jaccard over the sets; hashes ascend."""
     if not len(a) or not len(b):
         return 0.0, 0.0
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -206,8 +217,9 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     plain = common / (len(a) + len(b) - common)
     # sum over common d of 1 / sum over all d' of max(A(d')/A(d), B(d')/B(d)); the inner sum needs only
     # the order of the ratios B/A, so prefix sums answer it
-    x, y = wa.astype(float), np.where(same, wb[at], 0).astype(float)
-    only_b = float(wb.sum()) - float(y.sum())
+    wa, wb = weights(wa), weights(wb)
+    x, y = wa, np.where(same, wb[at], 0.0)
+    only_b = max(0.0, float(wb.sum() - y.sum()))
     ratio = y / x
     order = np.argsort(ratio, kind="stable")
     ratio, x, y = ratio[order], x[order], y[order]
@@ -271,38 +283,80 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def _labelled(inside: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with the component that their node is in so far."""
+    if labels is None:
+        return inside.withColumn("label", F.col("node"))
+    return inside.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the bucket's largest one."""
+    groups = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("label", F.struct("n", "label")).alias("largest"))
+    return placed.join(staged(largest.where("groups > 1").drop("groups"), "dedup-largest"), "key")
+
+
+def _near(a: str, b: str):
+    """Whether two sketches are near enough for a similarity that counts: few registers may differ."""
+    differ = []
+    for x in BITS:
+        pairs = f"({x}_{a} ^ {x}_{b})"
+        any_ = f"({pairs} | shiftrightunsigned({pairs}, 1) | shiftrightunsigned({pairs}, 2) | shiftrightunsigned({pairs}, 3))"
+        differ.append(F.expr(f"bit_count({any_} & {0x1111111111111111}L)"))
+    return sum(differ) <= MOST_APART
+
+
+_SIDE = ("node", "label", *BITS)
+
+
+def _side(x: str) -> list:
+    return [F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in _SIDE]
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All links that join classes, for nodes (node, least, size, bits0, bits1, keys)."""
+    """All links that join classes, for nodes (node, least, size, keys) and their sketches."""
     spark = docs.sparkSession
-    members = nodes.select("node", "least", "bits0", "bits1", F.explode("keys").alias("key"))
-    shared = staged(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n"), "dedup-buckets")
-    inside = staged(members.join(shared, "key"), "dedup-members")
-    wanted = inside.select("node", "least").distinct()
-    contents = staged(contents_of(docs, wanted), "dedup-contents")
-    first = inside.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(verified(first, contents), "dedup-links")
-
-    labels = components(links)
-    placed = inside.select("key", "node", "bits0", "bits1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("groups > 1").drop("groups")
-    open_ = staged(placed.join(largest, "key"), "dedup-open")
-    side = lambda x: [F.col("key"), F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("bits0").alias(f"bits0_{x}"), F.col("bits1").alias(f"bits1_{x}")]
-    few, all_ = open_.where("label != largest").select(*side("a")), open_.select(*side("b"))
-    apart = sum(F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in ("bits0", "bits1"))
-    crossing = few.join(all_, (few["key"] == all_["key"]) & (F.col("label_a") != F.col("label_b")) & (apart <= MOST_APART))
-    more = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = staged(links.unionByName(verified(more.join(known, ["a", "b"], "left_anti"), contents)), "dedup-links")
-    for df in (shared, inside, contents, links, open_):
+    members = nodes.select("node", "least", *BITS, F.explode("keys").alias("key"))
+    shared = staged(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dedup-buckets")
+    met = staged(members.join(shared, "key"), "dedup-met")
+    # a text in the middle of a family shares more and larger buckets than those around it
+    mass = met.groupBy("node").agg(F.sum("n").alias("mass"))
+    inside = staged(met.drop("n").join(mass, "node"), "dedup-members")
+    contents = staged(contents_of(docs, met.select("node", "least").distinct()), "dedup-contents")
+    links = labels = None
+    for turn in range(LEADER_TURNS + 1):
+        placed = staged(_open(_labelled(inside, labels)), "dedup-open")
+        if turn < LEADER_TURNS:
+            # one leader a bucket, at first any member, later one outside the largest component
+            of = placed if turn == 0 else placed.where("label != largest")
+            first = of.groupBy("key").agg(F.max(F.struct("mass", *_SIDE)).alias("l"))
+            left = staged(first.select("key", *[F.col(f"l.{c}").alias(c) for c in _SIDE]), "dedup-leaders")
+        else:
+            left = placed.where("label != largest").select("key", *_SIDE)
+        crossing = left.select("key", *_side("a")).join(placed.select("key", *_side("b")), "key").where((F.col("label_a") != F.col("label_b")) & _near("a", "b"))
+        pairs = _ordered(crossing)
+        if links is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")  # noqa: F821
+        pairs = staged(pairs, "dedup-pairs")
+        found = verified(pairs, contents)
+        links = staged(found if links is None else links.unionByName(found), "dedup-links")
+        judged = pairs if turn == 0 else judged.unionByName(pairs)  # noqa: F821
+        if turn < LEADER_TURNS:
+            labels = components(links)
+    for df in (shared, met, inside, contents):
         drop_staged(spark, df)
-    return found
+    return links
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node and class_id of every row; the class is named by its least id."""
     rows = staged(signed(docs), "dedup-signed")
-    each = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("bits0").alias("bits0"), F.any_value("bits1").alias("bits1"), F.any_value("keys").alias("keys"))
+    each = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), *[F.any_value(c).alias(c) for c in (*BITS, "keys")])
     nodes = staged(each, "dedup-nodes")
     labels = components(linked(docs, nodes))
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
