@@ -69,7 +69,7 @@ class TermCounter:
     def __call__(self, text: str | None) -> Counter:
         found: Counter = Counter()
         seen = self.seen
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         for w, n in Counter(tokens(text)).items():
             mine = seen.get(w)
@@ -194,34 +194,34 @@ def word_counts(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
 
 
 def presence(sample: DataFrame) -> DataFrame:
-    """(w, n): the rows of the sample that hold each term."""
+    """(w, n, ones): the rows of the sample that hold each term, and those with label 1."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                found.update({t for w in set(tokens(text)) for t in terms(w)})
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["w", "n"])
-
-    return sample.select("text").mapInArrow(distinct, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(examples: list[tuple[int, dict[str, int], int]]) -> list[str]:
-    """The words whose presence depends on the label, by chi-square."""
-    ones = sum(y for _, _, y in examples)
-    n = len(examples)
-    here, toxic = Counter(), Counter()
-    for _, counts, y in examples:
-        here.update(counts.keys())
-        if y:
-            toxic.update(counts.keys())
-    found = []
-    for w, df in here.items():
-        a, b, c, d = toxic[w], df - toxic[w], ones - toxic[w], n - df - ones + toxic[w]
-        chi2 = n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
-        if chi2 >= LEAST_CHI2:
-            found.append((-chi2, w))
-    return [w for _, w in sorted(found)[:VOCABULARY]]
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                here, ones = Counter(), Counter()
+                for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist()):
+                    found = {t for w in set(tokens(text)) for t in terms(w)}
+                    here.update(found)
+                    if y:
+                        ones.update(found)
+                arrays = [pa.array(list(here), pa.string()), pa.array(list(here.values()), pa.int64()), pa.array([ones[w] for w in here], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["w", "n", "ones"])
+
+    rows = sample.select("text", "y").mapInArrow(distinct, "w string, n long, ones long")
+    return rows.groupBy("w").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+
+
+def vocabulary(sample: DataFrame) -> list[str]:
+    """The terms whose presence depends on the label, by chi-square; ties by the term."""
+    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
+    a, df = F.col("ones").cast("double"), F.col("n").cast("double")
+    b, c = df - a, total.ones - a
+    d = total.n - df - c
+    chi2 = total.n * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
+    chosen = presence(sample).where(F.col("n") >= LEAST_EXAMPLES).select("w", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+    return [r.w for r in chosen.orderBy(F.desc("chi2"), "w").limit(VOCABULARY).collect()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn) -> Model:
@@ -234,22 +234,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn) -> Model:
     )
     rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_SAMPLE)
     sample = staged(rows.join(F.broadcast(chosen), "doc_id").limit(2 * SAMPLE_ROWS), "toxicity-sample")
-    words = {r.w for r in presence(sample).where(F.col("n") >= LEAST_EXAMPLES).select("w").toLocalIterator()}
-    shared = spark.sparkContext.broadcast(words)
+    words = vocabulary(sample)
+    shared = spark.sparkContext.broadcast(set(words))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = list(map(TermCounter(shared.value), batch.column("text").to_pylist()))
         kind = pa.map_(pa.string(), pa.int32())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([list(c.items()) for c in found], kind)], ["doc_id", "y", "counts"])
 
-    examples = [(r.doc_id, r.counts, r.y) for r in map_batches(sample, count, "doc_id long, y int, counts map<string,int>").toLocalIterator()]
+    examples = [(r.doc_id, r.counts, r.y) for r in map_batches(sample, count, "doc_id long, y int, counts map<string,int>").collect()]
     drop_staged(spark, sample)
     examples.sort(key=lambda x: (x[0], x[2]))
-    chosen_words = vocabulary(examples)
-    kept = set(chosen_words)
-    examples = [(i, {w: n for w, n in counts.items() if w in kept}, y) for i, counts, y in examples]
-    counts, n = word_counts(docs, chosen_words)
-    return Model(chosen_words, np.log((1 + n) / (1 + counts)) + 1, examples)
+    counts, n = word_counts(docs, words)
+    return Model(words, np.log((1 + n) / (1 + counts)) + 1, examples)
 
 
 def score(docs: DataFrame, model: Broadcast) -> DataFrame:
