@@ -14,7 +14,7 @@ from collections.abc import Callable
 import regex
 
 #: Entries of a cache; longer pieces are not kept.
-ENTRIES, LONGEST_KEPT = 300_000, 64
+ENTRIES, LONGEST_KEPT = 700_000, 64
 
 _ADJACENT = re.compile(r"\s\s")
 
