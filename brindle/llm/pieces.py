@@ -34,35 +34,42 @@ class PieceEncoder:
             self.pieces.clear()
         if len(self.chunks) > ENTRIES:
             self.chunks.clear()
-        cut = [None if _ADJACENT.search(t) else t.split(" ") for t in texts]
+        get = self.chunks.get
+        rows: list[list] = []  # of each text: its first part's pieces, and the ids of the chunks that follow
+        gaps: list[tuple[list, list[str]]] = []  # rows with chunks that are not known, and their chunks
         fresh: dict[str, list[str]] = {}  # a chunk after a space -> its pieces
-        whole: dict[int, list[str]] = {}  # a text or its first chunk -> its pieces
-        chunks = self.chunks
-        for k, parts in enumerate(cut):
-            if parts is None:
-                whole[k] = self.split(texts[k])
-                continue
-            whole[k] = self.split(parts[0])
-            for part in parts[1:]:
-                if part not in chunks and part not in fresh:
-                    fresh[part] = self.split(" " + part)
-        known = dict(self._ids({p for found in (*fresh.values(), *whole.values()) for p in found}))
-        new = {part: b"".join([known[p] for p in found]) for part, found in fresh.items()}
-        out = []
-        for k, parts in enumerate(cut):
-            ids = [known[p] for p in whole[k]]
-            if parts is not None:
-                ids += [chunks[p] if p in chunks else new[p] for p in parts[1:]]
-            out.append(b"".join(ids))
-        chunks.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_KEPT)
-        return out
+        for text in texts:
+            first, *parts = [text] if _ADJACENT.search(text) else text.split(" ")
+            row = [self.split(first), *map(get, parts)]
+            rows.append(row)
+            if None in row:
+                gaps.append((row, parts))
+                for part, ids in zip(parts, row[1:]):
+                    if ids is None:
+                        fresh[part] = []
+        self._split_chunks(fresh)
+        known = self._ids({p for pieces in (*fresh.values(), *(row[0] for row in rows)) for p in pieces})
+        new = {part: b"".join([known[p] for p in pieces]) for part, pieces in fresh.items()}
+        for row, parts in gaps:
+            row[1:] = [new[part] if ids is None else ids for part, ids in zip(parts, row[1:])]
+        for row in rows:
+            row[0] = b"".join([known[p] for p in row[0]])
+        self.chunks.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_KEPT)
+        return [b"".join(row) for row in rows]
 
-    def _ids(self, wanted: set[str]):
-        missing = [p for p in wanted if p not in self.pieces]
-        for p in wanted:
-            if p in self.pieces:
-                yield p, self.pieces[p]
-        for p, ids in zip(missing, self.encode(missing) if missing else ()):
-            if len(p) <= LONGEST_KEPT:
-                self.pieces[p] = ids
-            yield p, ids
+    def _split_chunks(self, fresh: dict[str, list[str]]) -> None:
+        """The pieces of each chunk, all split at once: a piece with a space in front begins the next chunk."""
+        at = iter(fresh.values())
+        pieces: list[str] = []
+        # an empty chunk would put two spaces side by side; there is none, since no white spaces are adjacent
+        for piece in self.split("".join(f" {part}" for part in fresh)):
+            if piece[0] == " ":
+                pieces = next(at)
+            pieces.append(piece)
+
+    def _ids(self, wanted: set[str]) -> dict[str, bytes]:
+        found = {p: ids for p in wanted if (ids := self.pieces.get(p)) is not None}
+        missing = [p for p in wanted if p not in found]
+        new = dict(zip(missing, self.encode(missing))) if missing else {}
+        self.pieces.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_KEPT)
+        return found | new
