@@ -20,7 +20,7 @@ def token_symbols(bodies: DataFrame) -> DataFrame:
     order = Window.orderBy("token")
     numbered = words.withColumn("n", F.row_number().over(order))
     point = F.when(F.col("n") < 0xD700, F.col("n") + 255).otherwise(F.col("n") + 255 + 0x2000)
-    letter = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32BE")
+    letter = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
     coded = bodies.select("id", F.posexplode("tokens").alias("pos", "token")).join(numbered.select("token", letter.alias("letter")), "token")
     joined = coded.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("symbols"))
     return bodies.join(joined, "id")
