@@ -31,7 +31,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import documents, map_batches, short_batches, with_fields
+from brindle.llm.common import documents, kept, map_batches, short_batches, with_fields
 from brindle.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -179,13 +179,8 @@ class Codec:
         self.db.unregister("token_rows")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return kept(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, columns: list[str], path: str = RANKS) -> DataFrame:
@@ -199,7 +194,7 @@ def encode(docs: DataFrame, columns: list[str], path: str = RANKS) -> DataFrame:
         arrays = [*(batch.column(c) for c in columns), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, [*columns, "n_tokens", "ids"])
 
-    return map_batches(rows, step, schema)
+    return map_batches(rows, step, schema, keeps=True)
 
 
 def decode(rows: DataFrame, columns: list[str], path: str = RANKS) -> DataFrame:
@@ -212,7 +207,7 @@ def decode(rows: DataFrame, columns: list[str], path: str = RANKS) -> DataFrame:
         found = codec(path).decode([x or b"" for x in batch.column("ids").to_pylist()])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.binary())], [*columns, "decoded"])
 
-    return map_batches(given, step, schema)
+    return map_batches(given, step, schema, keeps=True)
 
 
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,4 +224,4 @@ def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         digests = [pa.array([hashlib.sha256(x).hexdigest() for x in rows]) for rows in (ids, decoded)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(documents(spark, sf_dir).select("doc_id", "text"), step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(documents(spark, sf_dir).select("doc_id", "text"), step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -71,10 +72,34 @@ def with_fields(rows: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*rows.schema.fields, *T.StructType.fromDDL(fields).fields] if fields else rows.schema.fields)
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """Apply ``step`` to each Arrow batch. An empty partition gives no rows."""
+#: What a worker keeps between tasks: one thing at a time, by its name.
+_kept: dict[tuple, object] = {}
+
+
+def kept(name: tuple, make: Callable[[], object]) -> object:
+    """A worker's own copy of something costly, made once. Workers outlive tasks and stages, so what
+    another step has left there is let go first."""
+    if name not in _kept:
+        let_go()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Free what a worker keeps."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, keeps: bool = False) -> DataFrame:
+    """Apply ``step`` to each Arrow batch. An empty partition gives no rows. ``keeps``: the step uses
+    ``kept``; other steps begin with an empty worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         for batch in batches:
             if batch.num_rows:
                 yield step(batch)

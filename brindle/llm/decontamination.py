@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm.common import documents, short_batches
+from brindle.llm.common import documents, let_go, short_batches
 from brindle.session import table
 
 NGRAM = 3
@@ -176,6 +176,7 @@ def document_counts(docs: DataFrame, items) -> np.ndarray:
     """Of each distinct n-gram: the documents that hold it. A partition sends its non-zero counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         mine = items.value
         total = np.zeros(len(mine.distinct), dtype=np.int64)
         for batch in batches:
@@ -202,6 +203,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            let_go()
             for batch in batches:
                 found = [(i, *x) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in contaminated(shared.value, text)]
                 columns = zip(*found) if found else [()] * 5
@@ -226,6 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            let_go()
             for batch in batches:
                 yield batch.filter(pa.array([not contaminated(shared.value, t) for t in batch.column("text").to_pylist()], pa.bool_()))
 

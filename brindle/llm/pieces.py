@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import regex
 
-#: Entries of a cache; longer pieces are not kept.
-ENTRIES, LONGEST_KEPT = 700_000, 64
+#: Entries of the caches (about 100 MB together); longer ones are not kept.
+CHUNKS, PIECES, LONGEST_KEPT = 500_000, 300_000, 64
 
 _ADJACENT = re.compile(r"\s\s")
 
@@ -30,9 +30,9 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.pieces) > ENTRIES:
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
-        if len(self.chunks) > ENTRIES:
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
         get = self.chunks.get
         rows: list[list] = []  # of each text: its first part's pieces, and the ids of the chunks that follow

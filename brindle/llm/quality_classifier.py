@@ -28,7 +28,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm.common import documents, drop_staged, map_batches, remainder, short_batches, staged, with_fields
+from brindle.llm.common import documents, drop_staged, let_go, map_batches, remainder, short_batches, staged, with_fields
 from brindle.session import table
 
 #: Labelled rows that are fitted, and the longest text among them.
@@ -74,7 +74,7 @@ class Vocabulary:
 
     def ids(self, text: str) -> list[int]:
         seen = self.seen
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         out = []
         for w in text.split():
@@ -113,6 +113,7 @@ def word_vectors(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     width = -(-vocabulary.size // BLOCKS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         words = shared.value
         place, sign = words.index_vectors()
         total = np.zeros((words.size, DIMS))

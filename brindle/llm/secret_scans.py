@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import documents, map_batches, short_batches
+from brindle.llm.common import documents, kept, map_batches, short_batches
 
 try:
     from re import _constants as ops, _parser as parser
@@ -290,14 +290,8 @@ def joined(spans: list[tuple[int, int, int]], rules: list[Rule]) -> str:
     return ",".join(f"{rules[k].kind}:{s}:{e}" for s, k, e in spans)
 
 
-_scanners: dict[int, Scanner] = {}
-
-
 def scanner(rules: list[Rule]) -> Scanner:
-    key = hash(tuple(rules))
-    if key not in _scanners:
-        _scanners[key] = Scanner(rules)
-    return _scanners[key]
+    return kept(("scanner", tuple(rules)), lambda: Scanner(rules))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -311,7 +305,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())]))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
 
-    return map_batches(docs.select("doc_id", "text"), step, "doc_id long, found array<struct<kind:string,start:long,end:long,secret:string>>")
+    return map_batches(docs.select("doc_id", "text"), step, "doc_id long, found array<struct<kind:string,start:long,end:long,secret:string>>", keeps=True)
 
 
 def redact(docs: DataFrame, columns: list[str], rules: list[Rule] = RULES) -> DataFrame:
@@ -329,7 +323,7 @@ def redact(docs: DataFrame, columns: list[str], rules: list[Rule] = RULES) -> Da
         clean = pa.array([None if t is None else cut(t, s, rules) for t, s in zip(texts, spans)], batch.schema.field(at).type)
         return batch.set_column(at, batch.schema.field(at), clean)
 
-    return map_batches(rows, step, rows.schema)
+    return map_batches(rows, step, rows.schema, keeps=True)
 
 
 def cut(text: str, spans: list[tuple[int, int, int]], rules: list[Rule]) -> str:
@@ -355,4 +349,4 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return map_batches(docs, step, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_batches(docs, step, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", keeps=True)

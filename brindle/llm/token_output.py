@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm.common import documents, drop_staged, short_batches, staged
+from brindle.llm.common import documents, drop_staged, kept, let_go, short_batches, staged
 from brindle.llm.pieces import PieceEncoder
 from brindle.session import checkpoint_dir
 
@@ -183,13 +183,8 @@ class Encoder:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def _ids(docs: DataFrame, path: str, kind: str) -> DataFrame:
@@ -215,6 +210,7 @@ def count_ids(rows: DataFrame, size: int, kind: str) -> np.ndarray:
     """How often each id occurs; a partition sends at most one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind)

@@ -59,7 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "lang", "source", "text")
-    return map_batches(rows, step, "doc_id long, lang string, source string, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return map_batches(rows, step, "doc_id long, lang string, source string, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", keeps=True)
 
 
 STAGES = [
