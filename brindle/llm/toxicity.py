@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Labelled examples, a bounded sample, are vectors over the terms that their labels depend on: tf is
+Labelled examples, a bounded sample, are vectors over the terms that speak for label 1: tf is
 1 + log of the count, idf comes from the documents of the whole corpus that hold the term. A term is a
 word, or the beginning of words in 4, 6 or 8 letters, which also catches forms that no example has. A block-max
 inverted index answers a query exactly: examples lie in blocks of 64, each word's postings keep their
@@ -37,6 +37,8 @@ SAMPLE_ROWS = 8000
 LONGEST_SAMPLE = 100_000
 #: Words of the vocabulary: at most, in at least so many examples, and the least chi-square with the label.
 VOCABULARY, LEAST_EXAMPLES, LEAST_CHI2 = 2048, 5, 15.0
+#: How much oftener label 1 must be among the examples with a term than among all.
+LEAST_LIFT = 3.0
 #: Neighbours that vote, and the weight of the base rate beside them.
 NEIGHBOURS, PRIOR = 15, 0.25
 BLOCK = 64
@@ -81,39 +83,45 @@ class TermCounter:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by word and block, with the greatest weight of each."""
+    """Postings of unit vectors by word and block, with the greatest weight of each.
+
+    The postings of a word in a block are a row of 64 weights; rows of a block lie together, and
+    ``rows`` maps a word to its row there.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], n_words: int):
         self.n_blocks = -(-len(vectors) // BLOCK)
         self.ceilings = np.zeros((n_words, max(1, self.n_blocks)))
-        gathered: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for row, vector in enumerate(vectors):
-            for word, weight in vector.items():
-                gathered.setdefault((word, row // BLOCK), []).append((row % BLOCK, weight))
-        self.postings = {}
-        for (word, block), found in gathered.items():
-            rows, weights = zip(*found)
-            self.postings[word, block] = np.array(rows), np.array(weights)
-            self.ceilings[word, block] = max(weights)
+        self.rows = np.zeros((max(1, self.n_blocks), n_words), dtype=np.int32)  # 0 is a row of zeros
+        self.weights: list[np.ndarray] = []
+        for block in range(self.n_blocks):
+            part = vectors[block * BLOCK : (block + 1) * BLOCK]
+            words = sorted({w for v in part for w in v})
+            self.rows[block, words] = np.arange(1, len(words) + 1)
+            held = np.zeros((len(words) + 1, BLOCK))
+            for k, v in enumerate(part):
+                for w, weight in v.items():
+                    held[self.rows[block, w], k] = weight
+            self.ceilings[words, block] = held[1:].max(axis=1)
+            self.weights.append(held)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the greatest positive cosine, exactly; equal ones by their place."""
-        words = list(query)
-        bounds = np.array([query[w] for w in words]) @ self.ceilings[words]
-        top: list[tuple[float, int]] = []
+        words, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        bounds = q @ self.ceilings[words]
+        scores, places = np.empty(0), np.empty(0, dtype=np.int64)
         for block in np.argsort(-bounds, kind="stable").tolist():
-            bound = bounds[block]
-            if bound <= 0 or (len(top) == k and bound < -top[-1][0] - 1e-9):
+            floor = scores[-1] - 1e-9 if len(scores) == k else 0.0
+            if bounds[block] <= 0 or bounds[block] < floor:
                 break
-            scores = np.zeros(BLOCK)
-            for w in words:
-                if (found := self.postings.get((w, block))) is not None:
-                    scores[found[0]] += query[w] * found[1]
-            floor = -top[-1][0] - 1e-9 if len(top) == k else 0.0
-            some = np.flatnonzero(scores > floor)
-            top += [(-round(float(scores[i]), 9), block * BLOCK + i) for i in some.tolist() if block * BLOCK + i != without]
-            top = sorted(top)[:k]
-        return [(-s, row) for s, row in top]
+            found = np.round(q @ self.weights[block][self.rows[block, words]], 9)
+            some = np.flatnonzero(found > floor)
+            some = some[some + block * BLOCK != without]
+            if len(some):
+                scores, places = np.concatenate([scores, found[some]]), np.concatenate([places, some + block * BLOCK])
+                best = np.lexsort((places, -scores))[:k]
+                scores, places = scores[best], places[best]
+        return list(zip(scores.tolist(), places.tolist()))
 
 
 class Model:
@@ -214,13 +222,13 @@ def presence(sample: DataFrame) -> DataFrame:
 
 
 def vocabulary(sample: DataFrame) -> list[str]:
-    """The terms whose presence depends on the label, by chi-square; ties by the term."""
+    """The terms whose presence speaks for label 1, by chi-square; ties by the term."""
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
     a, df = F.col("ones").cast("double"), F.col("n").cast("double")
     b, c = df - a, total.ones - a
     d = total.n - df - c
     chi2 = total.n * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    chosen = presence(sample).where(F.col("n") >= LEAST_EXAMPLES).select("w", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+    chosen = presence(sample).where((F.col("n") >= LEAST_EXAMPLES) & (a * total.n >= LEAST_LIFT * df * total.ones)).select("w", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
     return [r.w for r in chosen.orderBy(F.desc("chi2"), "w").limit(VOCABULARY).collect()]
 
 
