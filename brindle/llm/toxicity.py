@@ -33,7 +33,7 @@ from brindle.llm.common import documents, drop_staged, map_batches, remainder, s
 from brindle.session import table
 
 #: Labelled rows that are fitted, and the longest text among them.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 20_000
 LONGEST_SAMPLE = 100_000
 #: Words of the vocabulary: at most, in at least so many examples, and the least chi-square with the label.
 VOCABULARY, LEAST_EXAMPLES, LEAST_CHI2 = 2048, 5, 15.0
