@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
+def local_session(cpus: str = "*", memory: str = "8g", partitions: int = 8, more: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.config(map=more or {})
+        .master(f"local[{cpus}]")
         .appName("brindle")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -39,3 +43,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared)
     return shared
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a context: they import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_brindle_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp()) / "brindle.zip"  # the driver's copy, which Spark sends to the executors
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._brindle_shipped = True
