@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-import brindle
-from brindle.session import checkpoint_dir, table
+from brindle.session import checkpoint_dir, ship, table
 
 #: Rows of an Arrow batch that goes to Python. Texts can be long, so batches are short.
 BATCH_ROWS = 1024
@@ -25,20 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, once a context: they import it wherever they run."""
-    context = spark.sparkContext
-    if getattr(context, "_brindle_shipped", False):
-        return
-    root = Path(brindle.__file__).parent
-    target = Path(tempfile.mkdtemp()) / "brindle.zip"  # the driver's copy, which Spark sends to the executors
-    with zipfile.ZipFile(target, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(target))
-    context._brindle_shipped = True
-
-
 def short_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, whatever the length of the texts."""
     ship(spark)
