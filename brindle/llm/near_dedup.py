@@ -8,9 +8,9 @@ verified on the shingles themselves: a link needs a probability Jaccard (over we
 Jaccard (over the sets) of at least 0.8.
 
 Scale: equal texts are one node (partial minimum by digest before the shuffle), so a group of exact
-copies of any size is one row afterwards. A band bucket is never expanded into all its pairs: in
-two rounds its members are compared with one leader, the text that shares most with others, which links
-a family of near copies in linear work; then members outside a bucket's largest component are compared
+copies of any size is one row afterwards. A band bucket is never expanded into all its pairs: its
+members are compared with one leader, the text that shares most with others, which links a family of
+near copies in linear work; then members outside a bucket's largest component are compared
 with those of other components. Only pairs whose sketches of four bits a register are near are verified.
 Pairs within a component are not needed for classes, and no pair that may join two is left out. Buckets, links and components
 stay in DataFrames; each step is written to the shared folder, so a lost executor repeats one step.
@@ -37,7 +37,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 #: Rounds in which a bucket's members are compared with one leader before the rest are compared.
-LEADER_TURNS = 2
+LEADER_TURNS = 1
 #: Longs of the sketch, which has four bits of every register, and the most registers that may differ in
 #: it: at 0.8 the mean is 47.3 and the deviation 6.2, so a pair at the very bound is missed with a chance
 #: of 2 in 10,000, as by the bands.
@@ -332,7 +332,7 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     for turn in range(LEADER_TURNS + 1):
         placed = staged(_open(_labelled(inside, labels)), "dedup-open")
         if turn < LEADER_TURNS:
-            # one leader a bucket, at first any member, later one outside the largest component
+            # one leader a bucket, at first any member, in later rounds one outside the largest component
             of = placed if turn == 0 else placed.where("label != largest")
             first = of.groupBy("key").agg(F.max(F.struct("mass", *_SIDE)).alias("l"))
             left = staged(first.select("key", *[F.col(f"l.{c}").alias(c) for c in _SIDE]), "dedup-leaders")
