@@ -321,13 +321,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """All links that join classes, for nodes (node, least, size, keys) and their sketches."""
     spark = docs.sparkSession
-    members = nodes.select("node", "least", *BITS, F.explode("keys").alias("key"))
+    # only keys and nodes are shuffled by bucket; sketches follow for the few members of shared buckets
+    members = nodes.select("node", F.explode("keys").alias("key"))
     shared = staged(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dedup-buckets")
     met = staged(members.join(shared, "key"), "dedup-met")
     # a text in the middle of a family shares more and larger buckets than those around it
     mass = met.groupBy("node").agg(F.sum("n").alias("mass"))
-    inside = staged(met.drop("n").join(mass, "node"), "dedup-members")
-    contents = staged(contents_of(docs, met.select("node", "least").distinct()), "dedup-contents")
+    candidates = staged(nodes.select("node", "least", *BITS).join(mass, "node"), "dedup-candidates")
+    inside = staged(met.drop("n").join(candidates.drop("least"), "node"), "dedup-members")
+    contents = staged(contents_of(docs, candidates), "dedup-contents")
     links = labels = None
     for turn in range(LEADER_TURNS + 1):
         placed = staged(_open(_labelled(inside, labels)), "dedup-open")
@@ -348,7 +350,7 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         judged = pairs if turn == 0 else judged.unionByName(pairs)  # noqa: F821
         if turn < LEADER_TURNS:
             labels = components(links)
-    for df in (shared, met, inside, contents):
+    for df in (shared, met, candidates, inside, contents):
         drop_staged(spark, df)
     return links
 
