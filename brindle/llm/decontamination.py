@@ -1,18 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A test item is a row of words (lower-cased, letters and digits). Its seeds are the rarer part of its
-three-word n-grams, by the number of documents that hold them: counts cover all documents. Seeds join
-the documents' n-grams; hits of one item that lie on near diagonals form a passage; the passage, with
-a margin, is aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1), and its score over
-the best possible tells exact, edited and paraphrased copies from chance.
+A test item is a row of words (lower-cased, letters and digits). Its seeds are all its three-word
+n-grams. Seeds join the documents' n-grams; hits of one item that lie on near diagonals form a passage;
+the passage, with a margin, is aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1),
+and its score over the best possible tells exact, edited and paraphrased copies from chance.
 
-Rarity is relative to the item: the rarer half of its n-grams always counts, so a passage that thousands
-of documents share is still found. Nothing caps hits, passages or documents.
+Rarity plays no part: an edited copy raises the counts of the n-grams it keeps, so the rarest would be
+those it lost. Nothing caps hits, passages or documents.
 
 Scale: the benchmark's seeds go to the workers if there are at most ``BROADCAST_SEEDS`` of them, whose
 arrays have a fixed size each; a larger benchmark is split into parts of that many, one pass for each,
-and the parts' results are united. The documents are never shuffled: both passes are maps, and what they
-emit is one count a seed and partition, and one row a contaminated (document, item).
+and the parts' results are united. The documents are never shuffled: a pass is a map that emits one row a
+contaminated (document, item).
 
 Defined results: null and empty texts and items hold nothing. An item with fewer than three words has one
 n-gram, all its words. Ids of items that repeat are reported once for each of their texts. Repeated rows
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import documents, let_go, short_batches
 from brindle.session import table
@@ -34,8 +33,6 @@ from brindle.session import table
 NGRAM = 3
 #: Seeds that are sent to the workers at once (about 24 bytes each).
 BROADCAST_SEEDS = 1_000_000
-#: The part of an item's n-grams, the rarest, that are seeds; at least this many.
-RARER, LEAST_SEEDS = 0.5, 8
 #: Hits of one passage: at least this many, unless the item has fewer.
 LEAST_HITS = 2
 #: Words that a diagonal may drift within a passage, for edits.
@@ -66,6 +63,7 @@ class Items:
         grams = [(key, item, at) for item, w in enumerate(self.words) for at, key in enumerate(self.keys(w).tolist())]
         self.grams = np.array(sorted(grams) or np.empty((0, 3)), dtype=np.int64).reshape(-1, 3)
         self.distinct = np.unique(self.grams[:, 0])
+        self.choose()
 
     def keys(self, codes: np.ndarray) -> np.ndarray:
         """The n-gram key at each place. The base is small enough for 63 bits up to 2 million words."""
@@ -93,18 +91,10 @@ class Items:
         hit[hit] = self.distinct[at[hit]] == keys[hit]
         return places[hit], at[hit]
 
-    def choose(self, counts: np.ndarray) -> None:
-        """Keep as seeds each item's rarer n-grams, given the documents that hold each distinct one."""
-        of = np.searchsorted(self.distinct, self.grams[:, 0])
-        item = self.grams[:, 1]
-        sizes = np.bincount(item, minlength=len(self.words))
-        order = np.lexsort((self.grams[:, 2], counts[of], item))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keep = rank < np.maximum(LEAST_SEEDS, np.ceil(RARER * sizes))[item]
-        order = np.argsort(of[keep], kind="stable")
-        self.seed_of, self.seeds = of[keep][order], self.grams[keep][order]
-        self.span = np.searchsorted(self.seed_of, np.arange(len(self.distinct) + 1))
+    def choose(self, counts: np.ndarray | None = None) -> None:
+        """Every n-gram is a seed, however many documents hold it (``counts``)."""
+        self.seeds = self.grams  # by key, so those of one distinct n-gram lie together
+        self.span = np.searchsorted(self.seeds[:, 0], np.append(self.distinct, np.iinfo(np.int64).max))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -172,26 +162,6 @@ def _parts(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(rows)
 
 
-def document_counts(docs: DataFrame, items) -> np.ndarray:
-    """Of each distinct n-gram: the documents that hold it. A partition sends its non-zero counts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        mine = items.value
-        total = np.zeros(len(mine.distinct), dtype=np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total[np.unique(mine.found(mine.encode(text))[1])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    sums = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(items.value.distinct), dtype=np.int64)
-    for r in sums.collect():
-        counts[r.gram] = r.n
-    return counts
-
-
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, start and end (in words) of the contaminated documents."""
     spark = docs.sparkSession
@@ -199,7 +169,6 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     result = None
     for items in _parts(benchmark):
-        items.choose(document_counts(docs, spark.sparkContext.broadcast(items)))
         shared = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -224,7 +193,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short_batches(spark)
     kept = docs
     for items in _parts(benchmark):
-        items.choose(document_counts(docs, spark.sparkContext.broadcast(items)))
         shared = spark.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -232,6 +232,27 @@ def test_edited_passages_are_found(spark):
     assert hits >= 0.95 * len(rows)
 
 
+def test_edited_copies_in_documents_are_found(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(29))) for i in range(40)]
+    rows = [(i + 1000, f"some words {t} more words") for i, t in items[:10]]  # exact copies beside edited ones
+    for i, t in items:
+        words = t.split()
+        for k in rng.sample(range(29), 6):
+            words[k] = "zzz"
+        rows += [(i, " ".join(["words before", *words, "and after"]))] * (30 if i % 4 == 0 else 1)
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    parts = decontamination.Items(items)
+    expected = set()
+    for d, text in rows:
+        score, _ = decontamination.align(parts.words[d % 1000], parts.encode(text))
+        if score / (2 * 29) >= decontamination.CONTAMINATED:
+            expected.add((d, d % 1000))
+    assert len(expected) >= 45
+    assert {(r.doc_id, r.item_id) for r in decontamination.find(docs, benchmark).collect()} == expected
+    assert {r.doc_id for r in decontamination.clean(docs, benchmark).collect()} == {d for d, _ in rows} - {d for d, _ in expected}
+
+
 # --- op9 --------------------------------------------------------------------------------------------
 
 
