@@ -3,15 +3,16 @@
 A text's distinct five-word shingles, weighted by 1 + log of their counts, are elements whose arrivals form Poisson
 processes of rates equal to the weights. Each arrival falls on one of 252 registers and the earliest
 keeps it; an element stops as soon as its next arrival is later than every register. The registers of
-two texts agree with their probability Jaccard. Bands of seven registers give candidates, which are
-verified on the shingles themselves: a link needs a probability Jaccard (over weights) or a plain
-Jaccard (over the sets) of at least 0.8.
+two texts agree with their probability Jaccard; those drawn with weights of 1 agree with the plain
+Jaccard. Bands of seven registers of either kind give candidates, which are verified on the shingles
+themselves: a link needs a probability Jaccard (over weights) or a plain Jaccard (over the sets) of at
+least 0.8. A text without a repeated shingle has one signature for both.
 
 Scale: equal texts are one node (partial minimum by digest before the shuffle), so a group of exact
 copies of any size is one row afterwards. A band bucket is never expanded into all its pairs: its
 members are compared with one leader, the text that shares most with others, which links a family of
 near copies in linear work; then members outside a bucket's largest component are compared
-with those of other components. Only pairs whose sketches of four bits a register are near are verified.
+with those of other components. Only pairs whose sketches of four bits a register are near, by either measure, are verified.
 Pairs within a component are not needed for classes, and no pair that may join two is left out. Buckets, links and components
 stay in DataFrames; each step is written to the shared folder, so a lost executor repeats one step.
 
@@ -43,6 +44,9 @@ LEADER_TURNS = 1
 #: of 2 in 10,000, as by the bands.
 LONGS, MOST_APART = 16, 69
 BITS = [f"bits{k}" for k in range(LONGS)]
+#: The sketch with weights of 1; null where it is the same.
+PLAIN = [f"plain{k}" for k in range(LONGS)]
+SKETCHES = (*BITS, *PLAIN)
 
 # Multipliers of the polynomial and of the finaliser (splitmix64).
 _BASE = 0x9E3779B97F4A7C15
@@ -185,25 +189,38 @@ def node_column(text: str = "text"):
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
+def unweighted(owner: np.ndarray, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with repeated shingles, and their signatures with weights of 1."""
+    texts = np.unique(owner[count > 1])
+    mine = np.isin(owner, texts)
+    return texts, signatures(np.searchsorted(texts, owner[mine]), code[mine], np.ones(int(mine.sum())), len(texts))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, the digest of the text, distinct shingles, sketch and band keys of each row."""
+    """doc_id, the digest of the text, distinct shingles, sketches and band keys of each row."""
     short_batches(docs.sparkSession)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = _raw(batch.column("text"))
-        sizes, keys, bits = [], [], []
+        sizes, keys, bits, plain = [], [], [], []
         for a, b in _chunks(texts):
-            owner, code, weight = shingles(texts[a:b])
-            held = signatures(owner, code, weights(weight), b - a)
+            owner, code, count = shingles(texts[a:b])
+            held = signatures(owner, code, weights(count), b - a)
             size = np.bincount(owner, minlength=b - a)
             sizes += size.tolist()
-            keys += [k if s else [] for k, s in zip(bands(held).tolist(), size)]
+            of = [k if s else [] for k, s in zip(bands(held).tolist(), size)]
             bits += sketches(held).tolist()
+            other: list = [[None] * LONGS] * (b - a)
+            repeating, held = unweighted(owner, code, count)
+            for k, more, sketch in zip(repeating.tolist(), bands(held).tolist(), sketches(held).tolist()):
+                of[k], other[k] = list(dict.fromkeys(of[k] + more)), sketch
+            keys += of
+            plain += other
         arrays = [batch.column("doc_id"), pa.array([digest(t) for t in texts], pa.binary()), pa.array(sizes, pa.int32())]
-        arrays += [pa.array([b[k] for b in bits], pa.int64()) for k in range(LONGS)] + [pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", *BITS, "keys"])
+        arrays += [pa.array([b[k] for b in x], pa.int64()) for x in (bits, plain) for k in range(LONGS)] + [pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", *SKETCHES, "keys"])
 
-    schema = f"doc_id long, node binary, size int, {', '.join(f'{b} long' for b in BITS)}, keys array<long>"
+    schema = f"doc_id long, node binary, size int, {', '.join(f'{b} long' for b in SKETCHES)}, keys array<long>"
     return map_batches(docs.select("doc_id", "text"), step, schema)
 
 
@@ -298,16 +315,19 @@ def _open(placed: DataFrame) -> DataFrame:
 
 
 def _near(a: str, b: str):
-    """Whether two sketches are near enough for a similarity that counts: few registers may differ."""
-    differ = []
-    for x in BITS:
-        pairs = f"({x}_{a} ^ {x}_{b})"
-        any_ = f"({pairs} | shiftrightunsigned({pairs}, 1) | shiftrightunsigned({pairs}, 2) | shiftrightunsigned({pairs}, 3))"
-        differ.append(F.expr(f"bit_count({any_} & {0x1111111111111111}L)"))
-    return sum(differ) <= MOST_APART
+    """Whether two sketches, weighted or plain, are near enough for a similarity that counts: few registers may differ."""
+    apart = []
+    for one in (lambda k, x: f"bits{k}_{x}", lambda k, x: f"coalesce(plain{k}_{x}, bits{k}_{x})"):
+        differ = []
+        for k in range(LONGS):
+            pairs = f"({one(k, a)} ^ {one(k, b)})"
+            any_ = f"({pairs} | shiftrightunsigned({pairs}, 1) | shiftrightunsigned({pairs}, 2) | shiftrightunsigned({pairs}, 3))"
+            differ.append(F.expr(f"bit_count({any_} & {0x1111111111111111}L)"))
+        apart.append(sum(differ))
+    return (apart[0] <= MOST_APART) | (apart[1] <= MOST_APART)
 
 
-_SIDE = ("node", "label", *BITS)
+_SIDE = ("node", "label", *SKETCHES)
 
 
 def _side(x: str) -> list:
@@ -327,7 +347,7 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     met = staged(members.join(shared, "key"), "dedup-met")
     # a text in the middle of a family shares more and larger buckets than those around it
     mass = met.groupBy("node").agg(F.sum("n").alias("mass"))
-    candidates = staged(nodes.select("node", "least", *BITS).join(mass, "node"), "dedup-candidates")
+    candidates = staged(nodes.select("node", "least", *SKETCHES).join(mass, "node"), "dedup-candidates")
     inside = staged(met.drop("n").join(candidates.drop("least"), "node"), "dedup-members")
     contents = staged(contents_of(docs, candidates), "dedup-contents")
     links = labels = None
@@ -358,7 +378,7 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node and class_id of every row; the class is named by its least id."""
     rows = staged(signed(docs), "dedup-signed")
-    each = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), *[F.any_value(c).alias(c) for c in (*BITS, "keys")])
+    each = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), *[F.any_value(c).alias(c) for c in (*SKETCHES, "keys")])
     nodes = staged(each, "dedup-nodes")
     labels = components(linked(docs, nodes))
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -305,6 +305,18 @@ def test_registers_estimate_probability_jaccard():
     assert abs((held[0] == held[1]).mean() - exact) < 0.1
 
 
+def test_repeated_lines_do_not_hide_near_copies(spark):
+    rng, rows = random.Random(9), []
+    for k, (n, line) in enumerate([(50, 10)] * 20 + [(100, 20)] * 20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + w[-line:] * 9))]
+        codes, counts = zip(*(near_dedup.shingles([t.encode()])[1:] for _, t in rows[-2:]))
+        weighted, plain = near_dedup.similarity(codes[0], counts[0], codes[1], counts[1])
+        assert weighted < 0.8 < plain
+    found = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {d: d - d % 2 for d, _ in rows}
+
+
 # --- op7, op1 ---------------------------------------------------------------------------------------
 
 
