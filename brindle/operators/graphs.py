@@ -9,25 +9,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brindle.functions.text import glob_regex
 
 
-def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(child, ancestor, depth): every ancestor at its least depth; cycles end where they meet themselves.
 
     Each round doubles the length of known paths, so a chain of n links takes log n joins; a shuffle of
-    the known pairs is all that a round costs.
+    the known pairs is all that a round costs. The rounds end when one adds no pair.
     """
     known = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("child IS NOT NULL AND ancestor IS NOT NULL AND child <> ancestor").distinct()
-    reach = 1
-    while reach < most_depth:
+    while True:
         further = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.child")).select(
             F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth")
         )
         grown = known.unionByName(further).where("child <> ancestor").groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
         grown = grown.checkpoint()
-        reach *= 2
         if grown.count() == known.count():
             return grown
         known = grown
-    return known
 
 
 def edge_counts(edges: DataFrame, source: str, target: str, allowed: Column, example: str) -> DataFrame:

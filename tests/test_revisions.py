@@ -58,6 +58,12 @@ def test_closure_ends_on_cycles(spark, tmp_path):
     assert found == [("a", "b", 1), ("a", "c", 2), ("b", "a", 2), ("b", "c", 1), ("c", "a", 1), ("c", "b", 2)]
 
 
+def test_closure_of_a_long_chain_is_whole(spark, tmp_path):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(150)], "c int, p int")
+    found = sorted(map(tuple, graphs.closure(edges, "c", "p").collect()))
+    assert found == [(a, b, a - b) for a in range(151) for b in range(a)]
+
+
 def test_token_symbols_give_token_distances(spark):
     rows = [(1, ["if", "x", "return", "y"]), (2, ["if", "x", "throw", "y"]), (3, ["while", "z"])]
     bodies = structure.token_symbols(spark.createDataFrame(rows, "id long, tokens array<string>")).withColumns({"n_tokens": F.size("tokens").cast("long"), "hash": F.sha2("symbols", 256)})
