@@ -9,8 +9,9 @@ A parse is a walk over a transition table, and all documents of a batch, cut int
 characters, walk in lockstep for all languages: one gather per character and language. A phrase ends
 where its segment ends, which adds the same count for every language.
 
-The sample is bounded: about ``SAMPLE_DOCS`` documents a language, taken by a hash of the id against
-the language's count, up to ``SAMPLE_CHARS`` characters. Only that sample reaches the driver, and the
+The sample is bounded: about ``SAMPLE_DOCS`` distinct texts a language, taken by their hash against
+the language's count of them, long ones too. Each gives a slice, and the slices share ``SAMPLE_CHARS``
+characters; ``Model.documents`` has their number. Only that sample reaches the driver, and the
 tables go to the workers as arrays of at most four edges a character. Scoring is one pass over the
 text without a shuffle, so no key or source can skew.
 
@@ -32,10 +33,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.llm.common import documents, map_batches, remainder, short_batches
 
-#: Bounds of the sample of a language: documents, characters of all, characters of one document.
+#: Bounds of the sample of a language: documents, and characters of all.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 20_000
-LONGEST_SAMPLE = 20_000
 #: Characters of a segment of the parse.
 SEGMENT = 1024
 #: Letters that have a code of their own; code 0 is any other letter, code 1 a separator.
@@ -110,6 +110,7 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
+        self.documents = {lang: len(samples[lang]) for lang in self.langs}
         self.alphabet = Alphabet([t for lang in self.langs for t in samples[lang]])
         self.weights, self.edges, self.roots, states = [], [], [], 0
         for lang in self.langs:
@@ -182,16 +183,31 @@ class Model:
         return out
 
 
+def slices(texts: list[tuple[int, str]]) -> list[str]:
+    """A slice of every (hash, text), of one length but for shorter texts; the hash says where it begins."""
+    room, length = SAMPLE_CHARS - len(texts) + 1, 0  # a space between any two
+    for k, size in enumerate(sorted(len(t) for _, t in texts)):
+        length = min(size, room // (len(texts) - k))
+        if size > length:
+            break
+        room -= size
+    starts = [at % (max(0, len(t) - length) + 1) for at, t in texts]
+    return [t[start : start + length] for start, (_, t) in zip(starts, texts)]
+
+
 def learn(rows: DataFrame) -> Model:
     """Fit on rows (doc_id, text, lang); the sample's bounds are those above."""
-    known = rows.select("doc_id", "text", "lang").where("lang IS NOT NULL AND length(text) > 0").where(F.length("text") <= LONGEST_SAMPLE)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    known = rows.select("text", "lang").where("lang IS NOT NULL AND length(text) > 0").withColumn("hash", F.xxhash64("text"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))
+    place = F.pmod("hash", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    at = F.xxhash64("text", F.lit(1))
+    start = F.pmod(at, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
     some = known.join(F.broadcast(counts), "lang").where(place * F.col("n") < SAMPLE_DOCS)
-    samples: dict[str, list[str]] = {}
-    for lang, text in sorted((r.lang, r.text) for r in some.select("lang", "text").toLocalIterator()):
-        samples.setdefault(lang, []).append(text)
-    return Model(samples)
+    some = some.select("lang", "hash", at.alias("at"), F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    samples: dict[str, list[tuple[int, str]]] = {}
+    for lang, _, at, text in sorted(map(tuple, some.toLocalIterator())):
+        samples.setdefault(lang, []).append((at, text))
+    return Model({lang: slices(texts) for lang, texts in samples.items()})
 
 
 def identify(docs: DataFrame, model: Broadcast) -> DataFrame:

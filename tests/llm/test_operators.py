@@ -168,6 +168,19 @@ def test_language_accuracy(spark, corpus):
     assert sum(r.lang_pred == truth[r.doc_id] for r in rows) >= 0.98 * len(rows)
 
 
+def test_every_sampled_document_gives_a_slice(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(120)]
+    texts = [(k, f"{w} " * 400, "aa") for k, w in enumerate(words)]
+    texts += [(1000 + k, "aaa copied " * 300, "aa") for k in range(60)]  # a third of the language, first in the alphabet
+    texts += [(2000, "longer " * 9000, "bb")]  # all of a language is long
+    model = language_id.learn(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert model.documents == {"aa": 121, "bb": 1}
+    parses = model.phrases([model.alphabet.encode(f"{w} {w} {w}") for w in words])
+    assert parses[:, 0].max() == 1
+    assert model.predict(["longer longer longer"])[0][0] == "bb"
+
+
 @pytest.mark.parametrize("name, label, least", [("op3_quality_classifier", "quality", 0.95), ("op2_toxicity", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
