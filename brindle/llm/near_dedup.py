@@ -266,7 +266,8 @@ def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 def contents_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The shingles of the wanted nodes (node, least): each read from one row, the one with the least id."""
     rows = docs.select(F.col("doc_id").alias("least"), node_column().alias("node"), "text")
-    chosen = rows.join(wanted.select("node", "least"), ["node", "least"]).select("node", "text")
+    asked = wanted.select(F.col("node").alias("asked"), F.col("least").alias("from"))
+    chosen = rows.join(asked, (F.col("node") == F.col("asked")) & F.col("least").eqNullSafe(F.col("from"))).select("node", "text")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = _raw(batch.column("text"))

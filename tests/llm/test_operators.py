@@ -318,6 +318,12 @@ def test_registers_estimate_probability_jaccard():
     assert abs((held[0] == held[1]).mean() - exact) < 0.1
 
 
+def test_contents_of_null_ids_are_found(spark):
+    docs = spark.createDataFrame([(None, "one two three four five six"), (None, "one two three four five six"), (7, "seven eight nine ten")], "doc_id long, text string")
+    wanted = docs.groupBy(near_dedup.node_column().alias("node")).agg(F.min("doc_id").alias("least"))
+    assert near_dedup.contents_of(docs, wanted).count() == 2
+
+
 def test_repeated_lines_do_not_hide_near_copies(spark):
     rng, rows = random.Random(9), []
     for k, (n, line) in enumerate([(50, 10)] * 20 + [(100, 20)] * 20):
