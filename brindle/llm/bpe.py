@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding in DuckDB, by recursive queries inside each partition.
 
 Encoding: the pattern splits a text into words, and the distinct words of a batch become rows (word,
-position, id), one for each byte. A recursive query joins neighbouring rows with the merge table and
-contracts each word's leftmost pair of least rank, until no pair of a word can merge; a word that has
-settled leaves the working set. The merge table has every way to write a token as two tokens, which is
+position, id), one for each byte. A recursive query joins rows and their neighbours with the merge table,
+takes each word's leftmost pair of least rank and contracts it, until no pair of a word can merge; a word
+that has settled leaves the working set. The merge table has every way to write a token as two tokens, which is
 what "the pair's bytes have a rank" means. A word that is itself a token gets its id directly, as the
 library does.
 
 Decoding: ids become rows (document, position, id), join the vocabulary, and an ordered aggregation
 puts the bytes of a document together.
 
-A word contracts one pair a round, so its rows grow with the square of its length; words of more than
-``LONGEST_RECURSIVE`` bytes are contracted with a heap instead, with the same result.
+A word contracts one pair a round, so the rows of all its rounds grow with the square of its length. One
+query takes words up to ``QUERY_ROWS`` such rows, which bounds its memory whatever the words are; words
+of more than ``LONGEST_RECURSIVE`` bytes are contracted with a heap instead, with the same result.
 
 Each worker has its own in-memory database with one thread and a bounded memory; nothing is shuffled or
 written, so a lost executor repeats its batches alone. Defined results: a null or empty text has no ids
@@ -36,26 +37,26 @@ from brindle.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONGEST_RECURSIVE = 128
-#: Bytes of the words of one recursive query, and tokens of one decoding query.
-QUERY_BYTES, QUERY_TOKENS = 300_000, 500_000
+#: Rows of all rounds of one recursive query (48 bytes each at most), and tokens of one decoding query.
+QUERY_ROWS, QUERY_TOKENS = 2_000_000, 500_000
 MEMORY = "250MB"
 
 ENCODE = """
-WITH RECURSIVE run(round, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM start_rows
+WITH RECURSIVE run(round, word, pos, id, next_id) AS (
+  SELECT 0, word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) FROM start_rows
   UNION ALL
-  SELECT round + 1, word, pos, CASE WHEN pair = best THEN merged ELSE id END
+  SELECT round, word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos)
   FROM (
-    SELECT *, min(pair) OVER (PARTITION BY word) AS best, lag(pair) OVER (PARTITION BY word ORDER BY pos) AS pair_before
-    FROM (
-      SELECT r.round, r.word, r.pos, r.id, m.merged, (m.merged::BIGINT << 32) | r.pos AS pair
-      FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id FROM run) r
-      LEFT JOIN merges m ON m.left_id = r.id AND m.right_id = r.next_id
-    )
+    SELECT r.round + 1 AS round, r.word, r.pos - (r.pos > b.pair & 4294967295)::INTEGER AS pos,
+           CASE WHEN r.pos = b.pair & 4294967295 THEN (b.pair >> 32)::INTEGER ELSE r.id END AS id
+    FROM run r JOIN (
+      SELECT q.word, min((m.merged::BIGINT << 32) | q.pos) AS pair
+      FROM run q JOIN merges m ON m.left_id = q.id AND m.right_id = q.next_id GROUP BY q.word
+    ) b USING (word)
+    WHERE r.pos <> (b.pair & 4294967295) + 1
   )
-  WHERE best IS NOT NULL AND pair_before IS DISTINCT FROM best
 )
-SELECT word, id FROM run QUALIFY round = max(round) OVER (PARTITION BY word) ORDER BY word, pos
+SELECT word, id FROM run JOIN (SELECT word, max(round) AS round FROM run GROUP BY word) USING (word, round) ORDER BY word, pos
 """
 
 DECODE = """
@@ -98,11 +99,12 @@ class Codec:
             elif len(b) > LONGEST_RECURSIVE:
                 out[k] = self.contract(b)
             else:
-                waiting.append(k)
-                size += len(b)
-                if size >= QUERY_BYTES:
+                rows = len(b) * (len(b) + 1) // 2
+                if waiting and size + rows > QUERY_ROWS:
                     self._recurse(raw, waiting, out)
                     waiting, size = [], 0
+                waiting.append(k)
+                size += rows
         if waiting:
             self._recurse(raw, waiting, out)
         return out

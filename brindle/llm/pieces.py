@@ -1,22 +1,19 @@
-"""Encoding of whole texts piece by piece: each distinct piece of a worker is encoded once.
+"""Encoding of whole texts piece by piece: what a worker remembers is encoded once.
 
 A byte-level tokenizer first splits a text by a pattern and then merges each match on its own, so the
-ids of a text are those of its pieces in a row. Where no two white spaces are adjacent, a space always
-begins a piece, and the text can be cut at its spaces before the pattern is applied; other texts are
-split by the pattern as a whole. Caches of chunks and pieces are bounded and emptied when full.
+ids of a text are those of its pieces in a row. A worker remembers pieces in two generations of bounded
+size: when the young one is full it becomes the old one and the one before is forgotten; a piece found in
+the old one becomes young again. Callers pass texts, an empty string for a null.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import regex
 
-#: Entries of the caches (about 100 MB together); longer ones are not kept.
-CHUNKS, PIECES, LONGEST_KEPT = 500_000, 300_000, 64
-
-_ADJACENT = re.compile(r"\s\s")
+#: Pieces of a generation (about 50 MB); longer ones are not remembered.
+PIECES, LONGEST_KEPT = 250_000, 64
 
 
 class PieceEncoder:
@@ -25,51 +22,21 @@ class PieceEncoder:
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]]):
         self.split = regex.compile(pattern).findall
         self.encode = encode
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        get = self.chunks.get
-        rows: list[list] = []  # of each text: its first part's pieces, and the ids of the chunks that follow
-        gaps: list[tuple[list, list[str]]] = []  # rows with chunks that are not known, and their chunks
-        fresh: dict[str, list[str]] = {}  # a chunk after a space -> its pieces
-        for text in texts:
-            first, *parts = [text] if _ADJACENT.search(text) else text.split(" ")
-            row = [self.split(first), *map(get, parts)]
-            rows.append(row)
-            if None in row:
-                gaps.append((row, parts))
-                for part, ids in zip(parts, row[1:]):
-                    if ids is None:
-                        fresh[part] = []
-        self._split_chunks(fresh)
-        known = self._ids({p for pieces in (*fresh.values(), *(row[0] for row in rows)) for p in pieces})
-        new = {part: b"".join([known[p] for p in pieces]) for part, pieces in fresh.items()}
-        for row, parts in gaps:
-            row[1:] = [new[part] if ids is None else ids for part, ids in zip(parts, row[1:])]
-        for row in rows:
-            row[0] = b"".join([known[p] for p in row[0]])
-        self.chunks.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_KEPT)
-        return [b"".join(row) for row in rows]
-
-    def _split_chunks(self, fresh: dict[str, list[str]]) -> None:
-        """The pieces of each chunk, all split at once: a piece with a space in front begins the next chunk."""
-        at = iter(fresh.values())
-        pieces: list[str] = []
-        # an empty chunk would put two spaces side by side; there is none, since no white spaces are adjacent
-        for piece in self.split("".join(f" {part}" for part in fresh)):
-            if piece[0] == " ":
-                pieces = next(at)
-            pieces.append(piece)
-
-    def _ids(self, wanted: set[str]) -> dict[str, bytes]:
-        found = {p: ids for p in wanted if (ids := self.pieces.get(p)) is not None}
-        missing = [p for p in wanted if p not in found]
-        new = dict(zip(missing, self.encode(missing))) if missing else {}
-        self.pieces.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_KEPT)
-        return found | new
+        if len(self.young) > PIECES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        rows = [self.split(text) for text in texts]
+        missing = [piece for piece in set().union(*rows) if piece not in young]
+        new = [piece for piece in missing if piece not in old]
+        young.update((piece, old[piece]) for piece in missing if piece in old)
+        young.update(zip(new, self.encode(new)) if new else ())
+        out = [b"".join(map(young.__getitem__, row)) for row in rows]
+        for piece in new:
+            if len(piece) > LONGEST_KEPT:
+                young.pop(piece)
+        return out
