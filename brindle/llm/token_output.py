@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,7 +34,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.llm.common import documents, drop_staged, kept, let_go, short_batches, staged
-from brindle.llm.pieces import PieceEncoder
 from brindle.session import checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,10 @@ SCALE_BITS = 20
 #: Least state of a lane between steps.
 LOW = 1 << 31
 MAGIC = b"RANS0001"
+#: Chunks of a generation that a worker remembers (about 100 MB): when the young one is full it becomes the
+#: old one and the one before is forgotten; chunks found in the old one become young again. Longer ones are
+#: not remembered. Chunks that the library encodes together.
+CHUNKS, LONGEST_KEPT, TOGETHER = 500_000, 64, 4096
 _HEAD = struct.Struct("<8sQIIIIII")  # magic, ids, lanes, checkpoints, words, documents, crc of words, crc of ids
 
 
@@ -167,20 +171,53 @@ def decode_block(block: bytes, table: Table, first: int = 0, upto: int | None =
 
 
 class Encoder:
-    """The tokenizer of a vocabulary file, piece by piece."""
+    """The tokenizer of a vocabulary file, with a memory of chunks.
+
+    The library splits a text by a pattern and merges each match on its own. Where no two white spaces are
+    adjacent, a space always begins a match, so a text can be cut at its spaces, and chunks that are not
+    remembered are encoded together, each behind a space: the tokens that begin with a space part them
+    again. Texts with adjacent white spaces, or with the string of an added token, which the library takes
+    out before it splits a text, are encoded by it as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
-        self.encode = PieceEncoder(public_tokenizers.PATTERN, self._pieces)
+        added = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.whole = re.compile("|".join([r"\s\s", *map(re.escape, added.values())])).search
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]  # as the vocabulary writes it
+        self.spaced = np.zeros(self.size, dtype=bool)
+        self.spaced[[k for t, k in self.tokenizer.get_vocab().items() if t[0] == space and k not in added]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the library gives them for the whole text."""
+        if len(self.young) > CHUNKS:
+            self.young, self.old = {}, self.young
+        rows = [None if self.whole(text) else text.split(" ") for text in texts]
+        wanted = set().union(*(row[1:] for row in rows if row))
+        missing = [x for x in wanted if x not in self.young]
+        self.young.update((x, self.old[x]) for x in missing if x in self.old)
+        new = [x for x in missing if x not in self.old]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            ids = self._library(["".join([f" {x}" for x in part])])[0]
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            self.young.update((x, raw[i:j]) for x, i, j in zip(part, cuts, [*cuts[1:], len(raw)], strict=True))
+        others = [row[0] if row else text for row, text in zip(rows, texts)]
+        get = self.young.__getitem__
+        out = [head.tobytes() + b"".join(map(get, row[1:])) if row else head.tobytes() for row, head in zip(rows, self._library(others))]
+        for x in new:
+            if len(x) > LONGEST_KEPT:
+                self.young.pop(x)
+        return out
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoder(path: str) -> Encoder:
