@@ -5,9 +5,10 @@ greedily against each automaton into phrases, every phrase being the longest mat
 starts; the language whose parse needs the fewest phrases, times log2 of its sample's length for each
 character (the Ziv-Merhav estimate of the cross entropy), wins.
 
-A parse is a walk over a transition table, and all documents of a batch, cut into segments of 1024
-characters, walk in lockstep for all languages: one gather per character and language. A phrase ends
-where its segment ends, which adds the same count for every language.
+A parse is a walk over transitions, and all documents of a batch walk in lockstep for all languages: one
+gather per character and language. The commonest letters of the samples have a dense table, all others
+sorted edges that are searched, so any script can be learned. The longest documents of a batch, when few
+of them are left, finish their walk one by one.
 
 The sample is bounded: about ``SAMPLE_DOCS`` distinct texts a language, taken by their hash against
 the language's count of them, long ones too. Each gives a slice, and the slices share ``SAMPLE_CHARS``
@@ -16,8 +17,9 @@ tables go to the workers as arrays of at most four edges a character. Scoring is
 text without a shuffle, so no key or source can skew.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Without any labelled
-row every text is ``und`` with score 0. Ties go to the language first in the alphabet. Characters that
-no sample has are phrases of their own. Repeated rows give repeated rows; an empty table gives no rows;
+row every text is ``und`` with score 0. Ties go to the language first in the alphabet. A
+character that the language's sample lacks counts as two phrases, so that a foreign script costs more than
+known letters in an unknown order. Repeated rows give repeated rows; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -36,11 +38,11 @@ from brindle.llm.common import documents, map_batches, remainder, short_batches
 #: Bounds of the sample of a language: documents, and characters of all.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 20_000
-#: Characters of a segment of the parse.
-SEGMENT = 1024
-#: Letters that have a code of their own; code 0 is any other letter, code 1 a separator.
-LETTERS = 126
+#: Letters with a column in the dense table. Code 0 is a letter that no sample has, code 1 a separator.
+DENSE = 126
 OTHER, SEPARATOR = 0, 1
+#: Documents that walk in lockstep at least.
+TOGETHER = 8
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -51,22 +53,16 @@ class Alphabet:
     def __init__(self, texts: list[str]):
         points, counts = np.unique(np.concatenate([_points(t) for t in texts] or [np.empty(0, np.uint32)]), return_counts=True)
         letters = [(-n, p) for p, n in zip(points.tolist(), counts.tolist()) if chr(p).isalpha()]
-        self.points = [p for _, p in sorted(letters)[:LETTERS]]
+        self.points = [p for _, p in sorted(letters)]
         self.size = len(self.points) + 2
         self.table = None
 
     def encode(self, text: str) -> np.ndarray:
         """The codes of a text; runs of separators count as one."""
         if self.table is None:
-            self.table = np.array([OTHER if chr(p).isalpha() else SEPARATOR for p in range(0x10000)], dtype=np.uint8)
-            for k, p in enumerate(self.points):
-                if p < 0x10000:
-                    self.table[p] = k + 2
-            self.rest = {p: k + 2 for k, p in enumerate(self.points) if p >= 0x10000}
-        points = _points(text)
-        codes = self.table[np.minimum(points, 0xFFFF)]
-        for i in np.flatnonzero(points >= 0x10000):
-            codes[i] = self.rest.get(int(points[i]), OTHER if chr(points[i]).isalpha() else SEPARATOR)
+            self.table = np.array([OTHER if chr(p).isalpha() else SEPARATOR for p in range(0x110000)], dtype=np.int32)
+            self.table[self.points] = np.arange(2, self.size)
+        codes = self.table[_points(text)]
         gap = codes == SEPARATOR
         return codes[~(gap & np.r_[False, gap[:-1]])] if len(codes) else codes
 
@@ -115,59 +111,102 @@ class Model:
         self.weights, self.edges, self.roots, states = [], [], [], 0
         for lang in self.langs:
             codes = self.alphabet.encode(" ".join(samples[lang])[:SAMPLE_CHARS])
-            steps = suffix_automaton(codes[codes != OTHER].tolist())
+            steps = suffix_automaton(codes.tolist())
             self.weights.append(math.log2(max(2, len(codes))))
             self.roots.append(states)
             found = [(states + s, c, states + to) for s, step in enumerate(steps) for c, to in step.items()]
             self.edges.append(np.array(found or np.empty((0, 3)), dtype=np.int32).reshape(-1, 3))
             states += len(steps) + 1  # the last has no edges: after a character that the sample lacks
         self.states = states
-        self.table = None
+        self.width = min(self.alphabet.size, DENSE + 2)
+        edges = np.concatenate(self.edges) if self.edges else np.empty((0, 3), np.int32)
+        rare = edges[edges[:, 1] >= self.width].astype(np.int64)
+        rare = rare[np.lexsort((rare[:, 1], rare[:, 0]))]
+        self.rare_keys, self.rare_to = rare[:, 0] * self.alphabet.size + rare[:, 1], rare[:, 2]
+        self.dead = np.array([*self.roots[1:], self.states], dtype=np.int64) - 1
+        self.table = self.rare = None
 
     def walk_table(self) -> np.ndarray:
-        """Entry (state, code) is twice the next state's row, plus 1 where a phrase ends before the code."""
+        """Entry (state, code) is four times the next state's row, plus the phrases that end before the code."""
         if self.table is None:
-            width = self.alphabet.size
+            width = self.width
             table = np.empty((self.states, width), dtype=np.int64)
-            for k, root in enumerate(self.roots):
-                upto = self.roots[k + 1] if k + 1 < len(self.roots) else self.states
-                fresh = np.full(width, upto - 1, dtype=np.int64)
-                edges = self.edges[k]
+            for root, dead, edges in zip(self.roots, self.dead, self.edges):
+                edges = edges[edges[:, 1] < width]
+                fresh = np.full(width, dead * width * 4 + 2, dtype=np.int64)
                 mine = edges[edges[:, 0] == root]
-                fresh[mine[:, 1]] = mine[:, 2]
-                table[root:upto] = fresh * width * 2 + 1
-                table[edges[:, 0], edges[:, 1]] = edges[:, 2].astype(np.int64) * width * 2
-            kind = np.int32 if 2 * self.states * width < 2**31 else np.int64
+                fresh[mine[:, 1]] = mine[:, 2].astype(np.int64) * width * 4 + 1
+                table[root : dead + 1] = fresh
+                table[edges[:, 0], edges[:, 1]] = edges[:, 2].astype(np.int64) * width * 4
+            kind = np.int32 if 4 * self.states * width < 2**31 else np.int64
             self.table = table.astype(kind).ravel()
         return self.table
 
+    def _rare(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and the phrases that ended, for codes without a column; a row for each language."""
+        size = self.alphabet.size
+
+        def look(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keys = states * size + codes
+            at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+            return self.rare_to[at], self.rare_keys[at] == keys
+
+        to, known = look(states)
+        fresh, begins = look(np.repeat(np.array(self.roots, dtype=np.int64)[:, None], len(codes), axis=1))
+        return np.where(known, to, np.where(begins, fresh, self.dead[:, None])), np.where(known, 0, np.where(begins, 1, 2))
+
+    def _alone(self, codes: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """Phrases that end in the rest of one document, by language."""
+        table, width, size, ended = memoryview(self.walk_table()), self.width, self.alphabet.size, []
+        listed = codes.tolist()
+        if self.rare is None and codes.max(initial=0) >= width:
+            self.rare = dict(zip(self.rare_keys.tolist(), self.rare_to.tolist()))
+        for root, dead, state in zip(self.roots, self.dead.tolist(), states.tolist()):
+            row, n = state * width, 0
+            for c in listed:
+                if c < width:
+                    step = table[row + c]
+                    n += step & 3
+                    row = step >> 2
+                elif (to := self.rare.get(row // width * size + c)) is not None:
+                    row = to * width
+                else:
+                    to = self.rare.get(root * size + c)
+                    n += 1 if to is not None else 2
+                    row = (dead if to is None else to) * width
+            ended.append(n)
+        return np.array(ended, dtype=np.int64)
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each encoded text (rows) for each language (columns)."""
-        table, width, n_langs = self.walk_table(), self.alphabet.size, len(self.langs)
+        table, width, n_langs = self.walk_table(), self.width, len(self.langs)
         counts = np.zeros((len(texts), n_langs), dtype=np.int64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        flat = np.concatenate(texts) if len(texts) else np.empty(0, np.uint8)
-        pieces = -(-sizes // SEGMENT)
-        if not pieces.sum():
+        if not sizes.sum():
             return counts
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * SEGMENT
-        length = np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
-        order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        active = np.searchsorted(-length, -np.arange(length[0]), side="left")  # segments longer than t
-        before = np.array([*self.roots[1:], self.states], dtype=table.dtype) - 1  # the first character begins a phrase
-        state = np.repeat(before[:, None] * width, len(owner), axis=1)
-        ended = np.zeros((n_langs, len(owner)), dtype=np.int32)
-        for t in range(int(length[0])):
+        flat = np.concatenate(texts)
+        order = np.argsort(-sizes, kind="stable")
+        start, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        steps = int(length[TOGETHER - 1]) if len(length) >= TOGETHER else 0
+        active = np.searchsorted(-length, -np.arange(steps), side="left")  # texts longer than t
+        # the first character begins a phrase
+        state = np.repeat((self.dead * width).astype(table.dtype)[:, None], len(order), axis=1)
+        ended = np.zeros((n_langs, len(order)), dtype=np.int64)
+        some_rare = len(self.rare_keys) and bool((flat >= width).any())
+        for t in range(steps):
             n = int(active[t])
             code = flat[start[:n] + t]
-            to = table[state[:, :n] + code]
-            ended[:, :n] += to & 1
-            state[:, :n] = to >> 1
-        for k in range(n_langs):
-            counts[:, k] = np.bincount(owner, weights=ended[k], minlength=len(texts)).astype(np.int64)
+            rare = np.flatnonzero(code >= width) if some_rare else ()
+            to = table[state[:, :n] + (np.minimum(code, width - 1) if len(rare) else code)]
+            ends, to = to & 3, to >> 2
+            if len(rare):
+                states, over = self._rare(state[:, rare].astype(np.int64) // width, code[rare].astype(np.int64))
+                to[:, rare], ends[:, rare] = states * width, over
+            ended[:, :n] += ends
+            state[:, :n] = to
+        for k in np.flatnonzero(length > steps).tolist():
+            ended[:, k] += self._alone(flat[start[k] + steps : start[k] + length[k]], state[:, k].astype(np.int64) // width)
+        counts[order] = ended.T
         return counts
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
