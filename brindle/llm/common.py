@@ -49,6 +49,36 @@ def drop_staged(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has; case does not count."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Column], most: int, name: str) -> DataFrame:
+    """doc_id, text and y of at most about ``most`` labelled rows, staged; a null text is empty.
+
+    Ids with their label are taken by their hash, and repeated ones once. Where ids repeat among the
+    documents and bring more rows than asked for, rows are taken by the hash of id, text and label, so that
+    neither step gathers rows in one task and both give the same rows on every run.
+    """
+    known = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").where(may_learn(F.col("doc_id"))).distinct()
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = staged(rows, name)
+    n = found.count()
+    if n <= most:
+        return found
+    fewer = staged(found.where(F.pmod(F.xxhash64("doc_id", "text", "y"), F.lit(1 << 40)) < F.lit((1 << 40) * most // n)), name)
+    drop_staged(docs.sparkSession, found)
+    return fewer
+
+
 def with_fields(rows: DataFrame, fields: str) -> T.StructType:
     """The schema of ``rows`` and further fields; names may be any."""
     return T.StructType([*rows.schema.fields, *T.StructType.fromDDL(fields).fields] if fields else rows.schema.fields)

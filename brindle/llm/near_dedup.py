@@ -9,12 +9,15 @@ themselves: a link needs a probability Jaccard (over weights) or a plain Jaccard
 least 0.8. A text without a repeated shingle has one signature for both.
 
 Scale: equal texts are one node (partial minimum by digest before the shuffle), so a group of exact
-copies of any size is one row afterwards. A band bucket is never expanded into all its pairs: its
+copies of any size is one row afterwards. The text itself is never shuffled: only texts that share a
+bucket are read again, found by a bitmap of their ids, and give their shingles and a sketch of 1024
+registers in two bits each, weighted and plain. A band bucket is never expanded into all its pairs: its
 members are compared with one leader, the text that shares most with others, which links a family of
-near copies in linear work; then members outside a bucket's largest component are compared
-with those of other components. Only pairs whose sketches of four bits a register are near, by either measure, are verified.
-Pairs within a component are not needed for classes, and no pair that may join two is left out. Buckets, links and components
-stay in DataFrames; each step is written to the shared folder, so a lost executor repeats one step.
+near copies in linear work; then members outside a bucket's largest component are held against those of
+other components, sketch by sketch, and only pairs whose sketches are near go on to the shingles. Pairs
+within a component are not needed for classes, and no pair that may join two is left out. Buckets, links
+and components stay in DataFrames; each step is written to the shared folder, so a lost executor repeats
+one step.
 
 Defined results: a null text equals the empty text; texts without a word have no shingle and are grouped
 by equality alone; texts of one to four words have one shingle, the whole text. The class of a document
@@ -30,24 +33,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from brindle.llm.common import documents, drop_staged, map_batches, short_batches, staged
+from brindle.llm.common import documents, drop_staged, map_batches, short_batches, staged, unused
 
 SHINGLE = 5
 SIMILAR = 0.8
 #: Bands, registers in a band. At a Jaccard of 0.8 a pair is missed with a chance of 2 in 10,000.
 BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
-#: Rounds in which a bucket's members are compared with one leader before the rest are compared.
-LEADER_TURNS = 1
-#: Longs of the sketch, which has four bits of every register, and the most registers that may differ in
-#: it: at 0.8 the mean is 47.3 and the deviation 6.2, so a pair at the very bound is missed with a chance
-#: of 2 in 10,000, as by the bands.
-LONGS, MOST_APART = 16, 69
+#: Registers of the sketch, the longs that hold two bits of each, and the most registers that may differ:
+#: at 0.8 the mean is 153.6 and the deviation 11.4, so a pair at the very bound is missed with a chance of
+#: 2 in 10,000, as by the bands; of pairs at 0.72 one in 20 passes.
+SKETCHED, LONGS, MOST_APART = 1024, 32, 195
 BITS = [f"bits{k}" for k in range(LONGS)]
 #: The sketch with weights of 1; null where it is the same.
 PLAIN = [f"plain{k}" for k in range(LONGS)]
 SKETCHES = (*BITS, *PLAIN)
 
+#: Draws at once of all elements of a chunk, and places of the bitmap of ids (8 MB when all are in use).
+DRAWS, PLACES = 1 << 15, 1 << 26
+
 # Multipliers of the polynomial and of the finaliser (splitmix64).
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -128,26 +132,33 @@ def weights(counts: np.ndarray) -> np.ndarray:
     return 1 + np.log(counts)
 
 
-def signatures(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """The element that holds each register, for ``n`` texts. Texts without elements hold 0."""
-    best = np.full(n * REGISTERS, np.inf)
-    held = np.zeros(n * REGISTERS, dtype=np.uint64)
+def signatures(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
+    """The element that holds each register, for ``n`` texts. Texts without elements hold 0.
+
+    Few elements draw many arrivals in a turn; how many does not change the result.
+    """
+    best = np.full(n * registers, np.inf)
+    held = np.zeros(n * registers, dtype=np.uint64)
     latest = np.full(n, np.inf)
-    time, rate, turn = np.zeros(len(code)), 1.0 / weight, 0
+    time, rate, done = np.zeros(len(code)), 1.0 / weight, 0
     while len(code):
-        turn += 1
-        draw = mix(code + np.uint64((turn * _BASE) & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(((draw >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52) * rate
-        early = time < latest[owner]
-        if not early.all():
-            owner, code, rate, time, draw = owner[early], code[early], rate[early], time[early], draw[early]
-        slot = owner * REGISTERS + (mix(draw) % np.uint64(REGISTERS)).astype(np.int64)
-        np.minimum.at(best, slot, time)
-        won = best[slot] == time
-        held[slot[won]] = code[won]
+        many = max(1, min(256, DRAWS // len(code)))
+        turns = np.arange(done + 1, done + 1 + many, dtype=np.uint64) * np.uint64(_BASE)
+        done += many
+        draw = mix(code[:, None] + turns[None, :])
+        times = time[:, None] - np.cumsum(np.log(((draw >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52), axis=1) * rate[:, None]
+        early = times < latest[owner][:, None]
+        element = np.nonzero(early)[0]
+        slot = owner[element] * registers + (mix(draw[early]) % np.uint64(registers)).astype(np.int64)
+        at = times[early]
+        np.minimum.at(best, slot, at)
+        won = best[slot] == at
+        held[slot[won]] = code[element[won]]
         live = np.unique(owner)
-        latest[live] = best.reshape(n, REGISTERS)[live].max(axis=1)
-    return held.reshape(n, REGISTERS)
+        latest[live] = best.reshape(n, registers)[live].max(axis=1)
+        still = times[:, -1] < latest[owner]
+        owner, code, rate, time = owner[still], code[still], rate[still], times[still, -1]
+    return held.reshape(n, registers)
 
 
 def bands(held: np.ndarray) -> np.ndarray:
@@ -159,11 +170,11 @@ def bands(held: np.ndarray) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def sketches(held: np.ndarray) -> np.ndarray:
-    """Longs with four bits from each register."""
-    part = np.zeros((len(held), 16 * LONGS), dtype=np.uint8)
-    part[:, :REGISTERS] = (mix(held) >> np.uint64(17)) & np.uint64(15)
-    return (part[:, ::2] << 4 | part[:, 1::2]).copy().view(np.int64)
+def sketches(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Longs with two bits from each of the sketch's own registers."""
+    part = (mix(signatures(owner, code, weight, n, SKETCHED)) >> np.uint64(17)).astype(np.uint8) & 3
+    packed = part[:, ::4] | part[:, 1::4] << 2 | part[:, 2::4] << 4 | part[:, 3::4] << 6
+    return packed.copy().view(np.int64)
 
 
 def _chunks(texts: list[bytes]):
@@ -189,39 +200,32 @@ def node_column(text: str = "text"):
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
-def unweighted(owner: np.ndarray, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with repeated shingles, and their signatures with weights of 1."""
+def repeating(owner: np.ndarray, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with repeated shingles, and the elements (numbered by these texts) of all of them."""
     texts = np.unique(owner[count > 1])
     mine = np.isin(owner, texts)
-    return texts, signatures(np.searchsorted(texts, owner[mine]), code[mine], np.ones(int(mine.sum())), len(texts))
+    return texts, np.searchsorted(texts, owner[mine]), code[mine]
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, the digest of the text, distinct shingles, sketches and band keys of each row."""
+    """doc_id, the digest of the text and its band keys, of each row."""
     short_batches(docs.sparkSession)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = _raw(batch.column("text"))
-        sizes, keys, bits, plain = [], [], [], []
+        keys: list[list[int]] = []
         for a, b in _chunks(texts):
             owner, code, count = shingles(texts[a:b])
-            held = signatures(owner, code, weights(count), b - a)
-            size = np.bincount(owner, minlength=b - a)
-            sizes += size.tolist()
-            of = [k if s else [] for k, s in zip(bands(held).tolist(), size)]
-            bits += sketches(held).tolist()
-            other: list = [[None] * LONGS] * (b - a)
-            repeating, held = unweighted(owner, code, count)
-            for k, more, sketch in zip(repeating.tolist(), bands(held).tolist(), sketches(held).tolist()):
-                of[k], other[k] = list(dict.fromkeys(of[k] + more)), sketch
+            some = np.bincount(owner, minlength=b - a) > 0
+            of = [k if any_ else [] for k, any_ in zip(bands(signatures(owner, code, weights(count), b - a)).tolist(), some)]
+            again, its, codes = repeating(owner, code, count)
+            for k, more in zip(again.tolist(), bands(signatures(its, codes, np.ones(len(codes)), len(again))).tolist()):
+                of[k] = list(dict.fromkeys(of[k] + more))
             keys += of
-            plain += other
-        arrays = [batch.column("doc_id"), pa.array([digest(t) for t in texts], pa.binary()), pa.array(sizes, pa.int32())]
-        arrays += [pa.array([b[k] for b in x], pa.int64()) for x in (bits, plain) for k in range(LONGS)] + [pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "size", *SKETCHES, "keys"])
+        arrays = [batch.column("doc_id"), pa.array([digest(t) for t in texts], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "keys"])
 
-    schema = f"doc_id long, node binary, size int, {', '.join(f'{b} long' for b in SKETCHES)}, keys array<long>"
-    return map_batches(docs.select("doc_id", "text"), step, schema)
+    return map_batches(docs.select("doc_id", "text"), step, "doc_id long, node binary, keys array<long>")
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
@@ -250,7 +254,11 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
     pick = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in batch.column(name).to_pylist()]
-    found = [similarity(*row) for row in zip(pick("codes_a", np.uint64), pick("counts_a", np.int32), pick("codes_b", np.uint64), pick("counts_b", np.int32))]
+    sides = []
+    for x in "ab":
+        codes = pick(f"codes_{x}", np.uint64)
+        sides += [codes, [n if len(n) else np.ones(len(c), np.int32) for c, n in zip(codes, pick(f"counts_{x}", np.int32))]]
+    found = [similarity(*row) for row in zip(*sides)]
     arrays = [batch.column("a"), batch.column("b"), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))]
     return pa.RecordBatch.from_arrays(arrays, ["a", "b", "probability_jaccard", "jaccard"])
 
@@ -263,23 +271,51 @@ def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return judged.where((F.col("probability_jaccard") >= SIMILAR) | (F.col("jaccard") >= SIMILAR))
 
 
+def _slot(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(PLACES))
+
+
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """One bit for each place that an id of ``wanted`` (least) falls on: of a fixed size, however many there are."""
+    bits = wanted.select(_slot("least").alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(PLACES // 64, dtype=np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
 def contents_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The shingles of the wanted nodes (node, least): each read from one row, the one with the least id."""
-    rows = docs.select(F.col("doc_id").alias("least"), node_column().alias("node"), "text")
-    asked = wanted.select(F.col("node").alias("asked"), F.col("least").alias("from"))
-    chosen = rows.join(asked, (F.col("node") == F.col("asked")) & F.col("least").eqNullSafe(F.col("from"))).select("node", "text")
+    """The shingles and sketches of the wanted nodes (node, least): each read from one row, the one with the least id.
+
+    ``counts`` is empty where every shingle occurs once; the plain sketch is null there.
+    """
+    short_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        slot = batch.column("slot").to_numpy()
+        batch = batch.filter(pa.array((shared.value[slot >> 6] >> (slot & 63)) & 1 == 1))
         texts = _raw(batch.column("text"))
-        codes, counts = [], []
+        codes, counts, bits, plain = [], [], [], []
         for a, b in _chunks(texts):
             owner, code, count = shingles(texts[a:b])
-            cuts = np.searchsorted(owner, np.arange(b - a + 1))
+            cuts = np.searchsorted(owner, np.arange(b - a + 1)).tolist()
             codes += [code[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
-            counts += [count[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(codes, pa.binary()), pa.array(counts, pa.binary())], ["node", "codes", "counts"])
-
-    return map_batches(chosen, step, "node binary, codes binary, counts binary").dropDuplicates(["node"])
+            counts += [count[i:j].astype(np.int32).tobytes() if (count[i:j] > 1).any() else b"" for i, j in zip(cuts[:-1], cuts[1:])]
+            bits += sketches(owner, code, weights(count), b - a).tolist()
+            again, its, other = repeating(owner, code, count)
+            rows: list = [[None] * LONGS] * (b - a)
+            for k, sketch in zip(again.tolist(), sketches(its, other, np.ones(len(other)), len(again)).tolist()):
+                rows[k] = sketch
+            plain += rows
+        arrays = [batch.column("doc_id"), pa.array([digest(t) for t in texts], pa.binary()), pa.array(codes, pa.binary()), pa.array(counts, pa.binary())]
+        arrays += [pa.array([b[k] for b in x], pa.int64()) for x in (bits, plain) for k in range(LONGS)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "codes", "counts", *SKETCHES])
+
+    schema = f"doc_id long, node binary, codes binary, counts binary, {', '.join(f'{b} long' for b in SKETCHES)}"
+    found = map_batches(docs.select("doc_id", "text", _slot("doc_id").alias("slot")), step, schema)
+    asked = wanted.select("node", F.col("least").alias("from"))
+    return found.join(asked, "node").where(F.col("doc_id").eqNullSafe(F.col("from"))).drop("doc_id", "from").dropDuplicates(["node"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,6 +334,7 @@ def components(links: DataFrame) -> DataFrame:
         drop_staged(labels.sparkSession, labels)
         labels = new
         if labels.where("changed").isEmpty():
+            drop_staged(labels.sparkSession, edges)
             return labels.select("node", "label")
 
 
@@ -322,69 +359,70 @@ def _near(a: str, b: str):
         differ = []
         for k in range(LONGS):
             pairs = f"({one(k, a)} ^ {one(k, b)})"
-            any_ = f"({pairs} | shiftrightunsigned({pairs}, 1) | shiftrightunsigned({pairs}, 2) | shiftrightunsigned({pairs}, 3))"
-            differ.append(F.expr(f"bit_count({any_} & {0x1111111111111111}L)"))
+            differ.append(F.expr(f"bit_count(({pairs} | shiftrightunsigned({pairs}, 1)) & {0x5555555555555555}L)"))
         apart.append(sum(differ))
     return (apart[0] <= MOST_APART) | (apart[1] <= MOST_APART)
 
 
-_SIDE = ("node", "label", *SKETCHES)
-
-
-def _side(x: str) -> list:
-    return [F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in _SIDE]
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _sketched(sketch: DataFrame, x: str) -> DataFrame:
+    return sketch.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in SKETCHES])
+
+
 def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All links that join classes, for nodes (node, least, size, keys) and their sketches."""
+    """All links that join classes, for nodes (node, least, keys)."""
     spark = docs.sparkSession
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        held.append(staged(df, f"dedup-{name}"))
+        return held[-1]
+
     # only keys and nodes are shuffled by bucket; sketches follow for the few members of shared buckets
     members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = staged(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dedup-buckets")
-    met = staged(members.join(shared, "key"), "dedup-met")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = keep(members.join(keep(shared, "buckets"), "key"), "met")
     # a text in the middle of a family shares more and larger buckets than those around it
     mass = met.groupBy("node").agg(F.sum("n").alias("mass"))
-    candidates = staged(nodes.select("node", "least", *SKETCHES).join(mass, "node"), "dedup-candidates")
-    inside = staged(met.drop("n").join(candidates.drop("least"), "node"), "dedup-members")
-    contents = staged(contents_of(docs, candidates), "dedup-contents")
-    links = labels = None
-    for turn in range(LEADER_TURNS + 1):
-        placed = staged(_open(_labelled(inside, labels)), "dedup-open")
-        if turn < LEADER_TURNS:
-            # one leader a bucket, at first any member, in later rounds one outside the largest component
-            of = placed if turn == 0 else placed.where("label != largest")
-            first = of.groupBy("key").agg(F.max(F.struct("mass", *_SIDE)).alias("l"))
-            left = staged(first.select("key", *[F.col(f"l.{c}").alias(c) for c in _SIDE]), "dedup-leaders")
-        else:
-            left = placed.where("label != largest").select("key", *_SIDE)
-        crossing = left.select("key", *_side("a")).join(placed.select("key", *_side("b")), "key").where((F.col("label_a") != F.col("label_b")) & _near("a", "b"))
-        pairs = _ordered(crossing)
-        if links is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")  # noqa: F821
-        pairs = staged(pairs, "dedup-pairs")
-        found = verified(pairs, contents)
-        links = staged(found if links is None else links.unionByName(found), "dedup-links")
-        judged = pairs if turn == 0 else judged.unionByName(pairs)  # noqa: F821
-        if turn < LEADER_TURNS:
-            labels = components(links)
-    for df in (shared, met, candidates, inside, contents):
+    candidates = keep(nodes.select("node", "least").join(mass, "node"), "candidates")
+    inside = keep(met.select("key", "node").join(candidates.select("node", "mass"), "node"), "members")
+    contents = keep(contents_of(docs, candidates), "contents")
+    sketch = contents.select("node", *SKETCHES)
+
+    # every member meets its bucket's leader
+    leaders = inside.groupBy("key").agg(F.max(F.struct("mass", "node")).alias("l")).select("key", F.col("l.node").alias("a"))
+    meeting = _ordered(inside.select("key", F.col("node").alias("b")).join(leaders, "key").where("a != b"))
+    both = meeting.join(_sketched(sketch, "b"), "b").join(_sketched(sketch, "a"), "a")
+    judged = keep(both.where(_near("a", "b")).select("a", "b"), "pairs")
+    first = keep(verified(judged, contents), "links")
+    labels = components(first)
+
+    # where a bucket still holds several components, those outside the largest meet the others
+    opened = keep(_open(_labelled(inside.select("key", "node"), labels)).join(sketch, "node"), "open")
+    side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCHES])
+    crossing = side(opened.where("label != largest"), "a").join(side(opened, "b"), "key").where((F.col("label_a") != F.col("label_b")) & _near("a", "b"))
+    others = keep(_ordered(crossing).join(judged, ["a", "b"], "left_anti"), "pairs")
+    links = staged(first.unionByName(verified(others, contents)), "dedup-links")
+    for df in (*held, labels):
         drop_staged(spark, df)
     return links
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node and class_id of every row; the class is named by its least id."""
+    spark = docs.sparkSession
     rows = staged(signed(docs), "dedup-signed")
-    each = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), *[F.any_value(c).alias(c) for c in (*SKETCHES, "keys")])
-    nodes = staged(each, "dedup-nodes")
-    labels = components(linked(docs, nodes))
+    nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")), "dedup-nodes")
+    links = linked(docs, nodes)
+    labels = components(links)
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     class_ids = named.groupBy("label").agg(F.min("least").alias("class_id"))
     by_node = staged(named.join(class_ids, "label").select("node", "class_id"), "dedup-classes")
+    for df in (nodes, links, labels):
+        drop_staged(spark, df)
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id")
 
 
@@ -392,15 +430,15 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns: a row with the class's least id.
 
     Rows join their class by (id, digest), which no group of copies can make hot, and of rows alike in
-    both one stays.
+    both one stays. A class with the same id on different texts keeps the text whose digest comes first.
     """
+    id_, digest_, copy_, node_ = unused(docs, "class", "digest", "copy", "node")
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # a class with the same id on different texts keeps the text whose digest comes first
-    first = found.groupBy("class_id").agg(F.min("node").alias("_node")).select(F.col("class_id").alias("_id"), "_node")
-    rows = docs.withColumn("_digest", node_column())
-    same = rows.join(first, (rows["_digest"] == first["_node"]) & rows["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    alike = Window.partitionBy("_digest", "doc_id").orderBy(F.lit(0))
-    return same.withColumn("_copy", F.row_number().over(alike)).where("_copy = 1").select(*docs.columns)
+    first = found.groupBy("class_id").agg(F.min("node").alias(node_)).withColumnRenamed("class_id", id_)
+    rows = docs.withColumn(digest_, node_column())
+    same = rows.join(first, (F.col(digest_) == F.col(node_)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    alike = Window.partitionBy(digest_, "doc_id").orderBy(F.lit(0))
+    return same.withColumn(copy_, F.row_number().over(alike)).where(F.col(copy_) == 1).drop(digest_, copy_)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
