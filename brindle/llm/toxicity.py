@@ -1,21 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Labelled examples, a bounded sample, are vectors over the terms that speak for label 1: tf is
-1 + log of the count, idf comes from the documents of the whole corpus that hold the term. A term is a
-word, or the beginning of words in 4, 6 or 8 letters, which also catches forms that no example has. A block-max
-inverted index answers a query exactly: examples lie in blocks of 64, each word's postings keep their
-greatest weight in each block, and blocks are scored in the order of their upper bounds until the bound
-falls below the k-th best cosine. Neighbours vote with their cosine as weight, and isotonic regression
-of leave-one-out votes turns the vote into a probability. The neighbours are the evidence.
-
-Bounds of what is fitted on the driver: ``SAMPLE_ROWS`` labelled rows, of which only word counts are
-collected, and ``VOCABULARY`` words. Corpus counts cover every document. Scoring is one pass without a
+Labelled examples, a bounded sample, are vectors over a vocabulary of terms: tf is 1 + log of the count,
+idf comes from the documents of the whole corpus that hold the term. A term is a word, or the beginning of
+words in 4, 6 or 8 letters, which also catches forms that no example has. The vocabulary has the
+``VOCABULARY`` terms of the sample that are most dependent on the label, whichever label they speak for.
+A block-max inverted index answers a query exactly: examples lie in blocks, each term's postings keep
+their greatest weight in each block, and blocks are scored in the order of their upper bounds until the
+bound falls below the k-th best cosine. Neighbours vote with their cosine as weight, and isotonic
+regression of leave-one-out votes turns the vote into a probability. The neighbours are the evidence.
+
+Bounds of what is fitted on the driver: ``SAMPLE_ROWS`` labelled rows, of which only term counts are
+collected, and ``VOCABULARY`` terms. Corpus counts cover every document. Scoring is one pass without a
 shuffle.
 
-Defined results: a text without a word of the vocabulary, empty and null texts included, gets the rate
+Defined results: a text without a term of the vocabulary, empty and null texts included, gets the rate
 of such texts among the examples. Without any labelled row every score is 0. Equal cosines go to the
-example first in the sample. Rows labelled twice count twice. Repeated rows give repeated rows; an empty
-table gives no rows; other columns are ignored. Texts are read whole.
+example that comes first in the index, which has those of one heaviest term together and then the least
+id. A row labelled twice alike counts once, one with both labels once for each. Repeated rows give
+repeated rows; an empty table gives no rows; other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,19 +31,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm.common import documents, drop_staged, map_batches, remainder, short_batches, staged
+from brindle.llm.common import documents, drop_staged, labelled_sample, map_batches, remainder, short_batches
 from brindle.session import table
 
-#: Labelled rows that are fitted, and the longest text among them.
-SAMPLE_ROWS = 20_000
-LONGEST_SAMPLE = 100_000
-#: Words of the vocabulary: at most, in at least so many examples, and the least chi-square with the label.
-VOCABULARY, LEAST_EXAMPLES, LEAST_CHI2 = 2048, 5, 15.0
-#: How much oftener label 1 must be among the examples with a term than among all.
-LEAST_LIFT = 3.0
+#: Labelled rows that are fitted.
+SAMPLE_ROWS = 6_000
+#: Terms of the vocabulary at most, in at least so many examples.
+VOCABULARY, LEAST_EXAMPLES = 4096, 3
 #: Neighbours that vote, and the weight of the base rate beside them.
 NEIGHBOURS, PRIOR = 15, 0.25
-BLOCK = 64
+BLOCK = 128
 THRESHOLD = 0.7
 #: Neighbours given as evidence.
 EVIDENCE = 3
@@ -85,12 +84,12 @@ class TermCounter:
 class BlockMaxIndex:
     """Postings of unit vectors by word and block, with the greatest weight of each.
 
-    The postings of a word in a block are a row of 64 weights; rows of a block lie together, and
-    ``rows`` maps a word to its row there.
+    The postings of a word in a block are a row of ``BLOCK`` weights; rows of a block lie together, and
+    ``rows`` maps a word to its row there. ``scored`` counts the blocks that queries have scored.
     """
 
     def __init__(self, vectors: list[dict[int, float]], n_words: int):
-        self.n_blocks = -(-len(vectors) // BLOCK)
+        self.n_blocks, self.scored = -(-len(vectors) // BLOCK), 0
         self.ceilings = np.zeros((n_words, max(1, self.n_blocks)))
         self.rows = np.zeros((max(1, self.n_blocks), n_words), dtype=np.int32)  # 0 is a row of zeros
         self.weights: list[np.ndarray] = []
@@ -114,6 +113,7 @@ class BlockMaxIndex:
             floor = scores[-1] - 1e-9 if len(scores) == k else 0.0
             if bounds[block] <= 0 or bounds[block] < floor:
                 break
+            self.scored += 1
             found = np.round(q @ self.weights[block][self.rows[block, words]], 9)
             some = np.flatnonzero(found > floor)
             some = some[some + block * BLOCK != without]
@@ -222,13 +222,13 @@ def presence(sample: DataFrame) -> DataFrame:
 
 
 def vocabulary(sample: DataFrame) -> list[str]:
-    """The terms whose presence speaks for label 1, by chi-square; ties by the term."""
+    """The terms whose presence depends most on the label, by chi-square; ties by the term."""
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
     a, df = F.col("ones").cast("double"), F.col("n").cast("double")
     b, c = df - a, total.ones - a
     d = total.n - df - c
     chi2 = total.n * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    chosen = presence(sample).where((F.col("n") >= LEAST_EXAMPLES) & (a * total.n >= LEAST_LIFT * df * total.ones)).select("w", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+    chosen = presence(sample).where(F.col("n") >= LEAST_EXAMPLES).select("w", chi2.alias("chi2"))
     return [r.w for r in chosen.orderBy(F.desc("chi2"), "w").limit(VOCABULARY).collect()]
 
 
@@ -236,12 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn) -> Model:
     """Fit on rows (doc_id, ``label``) whose id passes ``may_learn``; corpus counts on all documents."""
     spark = docs.sparkSession
     short_batches(spark)
-    chosen = (
-        labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-        .where(may_learn(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE_ROWS)
-    )
-    rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_SAMPLE)
-    sample = staged(rows.join(F.broadcast(chosen), "doc_id").limit(2 * SAMPLE_ROWS), "toxicity-sample")
+    sample = labelled_sample(docs, labels.select("doc_id", F.col(label).cast("int").alias("y")), may_learn, SAMPLE_ROWS, "toxicity-sample")
     words = vocabulary(sample)
     shared = spark.sparkContext.broadcast(set(words))
 
