@@ -142,23 +142,43 @@ def test_redaction(spark):
 # --- op6, op3, op2 ----------------------------------------------------------------------------------
 
 
-def test_parse_equals_brute_force():
-    samples = {"a": ["hello world this is it"], "b": ["bonjour le monde"]}
+def plain_parse(codes: list[int], text: list[int]) -> int:
+    """Phrases of a greedy parse by search in the text itself."""
+    inside = {tuple(text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
+    i = n = 0
+    while i < len(codes):
+        k = 0
+        while i + k < len(codes) and tuple(codes[i : i + k + 1]) in inside:
+            k += 1
+        i, n = i + max(1, k), n + (1 if k else 2)
+    return n
+
+
+@pytest.mark.parametrize("dense", [126, 5])
+def test_parse_equals_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(language_id, "DENSE", dense)
+    samples = {"a": ["hello world this is it"], "b": ["bonjour le monde"], "c": ["привет мир"]}
     model = language_id.Model(samples)
     rng = random.Random(2)
-    for _ in range(50):
-        codes = model.alphabet.encode("".join(rng.choice(["hel", "the ", "mon", "zz", "jour"]) for _ in range(rng.randint(1, 600))))
-        expected = []
-        for lang in model.langs:
-            text = bytes(c for c in model.alphabet.encode(samples[lang][0]).tolist() if c)
-            i = n = 0
-            while i < len(codes):
-                k = 0
-                while i + k < len(codes) and (i + k) // language_id.SEGMENT == i // language_id.SEGMENT and bytes(codes[i : i + k + 1].tolist()) in text:
-                    k += 1
-                i, n = i + max(1, k), n + 1
-            expected.append(n)
-        assert model.phrases([codes]).tolist() == [expected]
+    pieces = ["hel", "the ", "mon", "zz", "jour", "приве", "ми", "字"]
+    texts = [model.alphabet.encode("".join(rng.choice(pieces) for _ in range(rng.choice([1, 5, 50, 900])))) for _ in range(40)]
+    expected = [[plain_parse(t.tolist(), model.alphabet.encode(samples[lang][0]).tolist()) for lang in model.langs] for t in texts]
+    assert model.phrases(texts).tolist() == expected
+    assert [model.phrases([t]).tolist()[0] for t in texts] == expected
+
+
+def test_scripts_of_many_letters():
+    """Two languages of 2,000 letters each, none in common, and two that share an alphabet of 60."""
+    rng = random.Random(3)
+    scripts = {"x": range(0x4E00, 0x4E00 + 2000), "y": range(0x4E00 + 2000, 0x4E00 + 4000)}
+    write = lambda points, n: "".join(chr(rng.choice(points)) for _ in range(n))
+    words = {lang: ["".join(rng.choices("абвгдежзиклмнопрстуфхцчшщыэюя", k=4)) for _ in range(60)] for lang in ("ru", "bg")}
+    samples = {lang: [write(points, 80) for _ in range(200)] for lang, points in scripts.items()}
+    samples |= {lang: [" ".join(rng.choices(its, k=15)) for _ in range(200)] for lang, its in words.items()}
+    model = language_id.Model(samples)
+    texts = [(lang, write(points, 60)) for lang, points in scripts.items() for _ in range(50)]
+    texts += [(lang, " ".join(rng.choices(its, k=12))) for lang, its in words.items() for _ in range(50)]
+    assert [x[0] for x in model.predict([t for _, t in texts])] == [lang for lang, _ in texts]
 
 
 def test_language_accuracy(spark, corpus):
