@@ -37,7 +37,7 @@ def stripped(name: Column, suffixes: list[str]) -> Column:
 
 def code_lines(source: Column) -> Column:
     """Lines that are neither blank nor only a comment."""
-    return F.size(F.filter(F.split(source, "\n", -1), lambda x: ~F.trim(x).rlike(r"^$|^(//|#|\*|/\*)"))).cast("long")
+    return F.size(F.filter(F.split(source, "\n", -1), lambda x: ~x.rlike(r"^[ \t\r\f\x0B\x00]*($|//|#|\*|/\*)"))).cast("long")
 
 
 def excluded(path: Column, patterns: list[str]) -> Column:

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brindle.functions.findings import choose, occurrence_key, tier
+from brindle.functions.findings import choose, occurrence_key, severity_rank, tier
 from brindle.operators.risk import canonical
 
 # Severities in the vocabularies of the formats.
@@ -27,10 +27,9 @@ def with_keys(findings: DataFrame) -> DataFrame:
 
 
 def _ordered(findings: DataFrame, value: Column) -> Column:
-    """All values as one array in canonical order."""
-    ranks = [F.row_number().over(Window.orderBy(*canonical())).alias("place")]
-    rows = findings.select(*ranks, value.alias("v"))
-    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("rows"))
+    """All values as one array in canonical order: the report is one value, and its order is its rows' own."""
+    order = F.struct(severity_rank(F.col("severity")).alias("_s"), "path", "line", "rule", "fingerprint", "key")
+    return findings.select(order.alias("o"), value.alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v")), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)), lambda x: x["v"]).alias("rows"))
 
 
 def json_rows(findings: DataFrame) -> Column:
@@ -70,8 +69,8 @@ _PROPERTY = [*_DATA, (":", "%3A"), (",", "%2C")]
 def to_annotations(findings: DataFrame) -> DataFrame:
     """Workflow commands, one a finding, in canonical order."""
     text = F.concat(
-        F.lit("::"), choose(F.col("severity"), ANNOTATION_LEVELS), F.lit(" file="), _escaped(F.col("path"), _PROPERTY), F.lit(",line="), F.col("line").cast("string"),
-        F.coalesce(F.concat(F.lit(",endLine="), F.col("end_line").cast("string")), F.lit("")), F.lit(",title="), _escaped(F.concat_ws(" ", "rule", "name"), _PROPERTY), F.lit("::"), _escaped(F.col("message"), _DATA),
+        F.lit("::"), choose(F.col("severity"), ANNOTATION_LEVELS), F.lit(" file="), _escaped(F.coalesce("path", F.lit("")), _PROPERTY), F.lit(",line="), F.coalesce(F.col("line").cast("string"), F.lit("1")),
+        F.coalesce(F.concat(F.lit(",endLine="), F.col("end_line").cast("string")), F.lit("")), F.lit(",title="), _escaped(F.concat_ws(" ", "rule", "name"), _PROPERTY), F.lit("::"), _escaped(F.coalesce("message", F.lit("")), _DATA),
     )
     return findings.orderBy(*canonical()).select(text.alias("value"))
 

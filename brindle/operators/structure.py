@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from brindle.operators.ranks import numbered
+
 
 def equal_groups(bodies: DataFrame, by: str, least: int = 2) -> DataFrame:
-    """(by, members, first): groups of bodies with equal structure; members are counted, not listed."""
-    return bodies.groupBy(by).agg(F.count("*").alias("members"), F.min("id").alias("first")).where(F.col("members") >= least)
+    """(by, members, first): groups of bodies with equal structure; members are counted, not listed.
+    Bodies without a structure are in none."""
+    return bodies.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("members"), F.min("id").alias("first")).where(F.col("members") >= least)
 
 
 def token_symbols(bodies: DataFrame) -> DataFrame:
@@ -17,11 +20,10 @@ def token_symbols(bodies: DataFrame) -> DataFrame:
     that avoid surrogates; the dictionary is joined, never collected, and limited to 1.1 million tokens.
     """
     words = bodies.select(F.explode("tokens").alias("token")).distinct()
-    order = Window.orderBy("token")
-    numbered = words.withColumn("n", F.row_number().over(order))
+    found = numbered(words, ["token"], "n")
     point = F.when(F.col("n") < 0xD700, F.col("n") + 255).otherwise(F.col("n") + 255 + 0x2000)
     letter = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    coded = bodies.select("id", F.posexplode("tokens").alias("pos", "token")).join(numbered.select("token", letter.alias("letter")), "token")
+    coded = bodies.select("id", F.posexplode("tokens").alias("pos", "token")).join(found.select("token", letter.alias("letter")), "token")
     joined = coded.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("symbols"))
     return bodies.join(joined, "id")
 
@@ -29,35 +31,43 @@ def token_symbols(bodies: DataFrame) -> DataFrame:
 def drift_pairs(bodies: DataFrame, budget: int = 28, ratio: float = 0.08, most: int | None = 5000) -> tuple[DataFrame, DataFrame]:
     """Pairs of bodies (id, symbols, n_tokens, hash) that differ by few edits, and whether the search was cut.
 
-    Bodies meet in cells of ``budget`` lengths, then pass the exact length gate and the histogram gate:
-    half the L1 distance of the token counts bounds the edit distance from below. Only survivors are
-    compared, in the order of (length, id); ``most`` bounds the comparisons, as part of the feature, and
-    the second frame tells whether any were left out. None compares them all.
+    Of equal bodies the one with the least id stands for all. A pair may differ by ``budget`` edits and by
+    ``ratio`` of its shorter body. An edit touches two neighbourhoods, so two bodies within k edits share
+    one of the 2k + 1 rarest neighbourhoods (pairs of neighbouring symbols) of each, or have no more than
+    2k both; bodies meet by these, which keeps what all bodies have in common out of the join. Then they
+    pass the exact length gate and the gate of neighbourhoods not shared, and only survivors are compared,
+    in the order of (length, id). ``most`` bounds the comparisons, as part of the feature, and the second
+    frame tells whether any were left out. None compares them all.
     """
-    cell = F.floor(F.col("n_tokens") / budget)
-    side = lambda x, c: bodies.select(*[F.col(k).alias(f"{k}_{x}") for k in ("id", "symbols", "n_tokens", "hash")], c.alias("cell"))
-    pairs = side("a", cell).join(side("b", F.explode(F.array(cell - 1, cell, cell + 1))), "cell")
-    gated = pairs.where((F.struct("n_tokens_a", "id_a") < F.struct("n_tokens_b", "id_b")) & (F.col("n_tokens_b") - F.col("n_tokens_a") <= budget) & (F.col("hash_a") != F.col("hash_b")))
-    survivors = gated.where(histogram_gap(F.col("symbols_a"), F.col("symbols_b")) <= budget).drop("cell")
+    held = bodies.where("symbols IS NOT NULL AND hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct("id", "symbols", "n_tokens")).alias("b")).select("hash", "b.*")
+    edits = F.least(F.lit(budget), F.floor(F.col("n_tokens") * ratio + 1e-9)).cast("int")
+    near = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("symbols") - 1)), lambda k: F.substring("symbols", k, 2)))
+    held = held.withColumn("edits", edits).where("edits >= 1").withColumn("near", near)
+    each = held.select("id", "edits", F.explode("near").alias("gram"))
+    counts = each.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = each.join(counts, "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("n", "gram"))).where("place <= 2 * edits + 1")
+    few = held.where(F.size("near") <= 2 * F.col("edits"))  # these meet by their lengths
+    left = rare.select("id", "gram").unionByName(few.select("id", F.concat(F.lit("\0"), F.col("n_tokens").cast("string")).alias("gram")))
+    lengths = F.explode(F.sequence(F.col("n_tokens") - F.col("edits"), F.col("n_tokens") + F.col("edits")))
+    right = rare.select("id", "gram").unionByName(few.select("id", lengths.alias("n")).select("id", F.concat(F.lit("\0"), F.col("n").cast("string")).alias("gram")))
+    met = left.select(F.col("id").alias("x"), "gram").join(right.select(F.col("id").alias("y"), "gram"), "gram").where("x <> y")
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    side = lambda x: held.select(*[F.col(k).alias(f"{k}_{x}") for k in ("id", "symbols", "n_tokens", "edits", "near")])
+    both = met.join(side("a"), F.col("x") == F.col("id_a")).join(side("b"), F.col("y") == F.col("id_b")).drop("x", "y")
+    swap = F.struct("n_tokens_b", "id_b") < F.struct("n_tokens_a", "id_a")
+    turned = both.select(*[F.when(swap, F.col(f"{k}_{p}")).otherwise(F.col(f"{k}_{q}")).alias(f"{k}_{q}") for k in ("id", "symbols", "n_tokens", "edits", "near") for p, q in (("b", "a"), ("a", "b"))])
+    apart = F.greatest(F.size(F.array_except("near_a", "near_b")), F.size(F.array_except("near_b", "near_a")))
+    survivors = turned.where((F.col("n_tokens_b") - F.col("n_tokens_a") <= F.col("edits_a")) & (apart <= 2 * F.col("edits_a")))
     cut = survivors.limit(0).select(F.lit(False).alias("truncated"))
     if most is not None:
-        first = survivors.orderBy("n_tokens_a", "id_a", "n_tokens_b", "id_b").limit(most + 1)
-        cut = first.groupBy().agg((F.count("*") > most).alias("truncated"))
-        survivors = survivors.orderBy("n_tokens_a", "id_a", "n_tokens_b", "id_b").limit(most)
+        order = ["n_tokens_a", "id_a", "n_tokens_b", "id_b"]
+        cut = survivors.select(*order).limit(most + 1).groupBy().agg((F.count("*") > most).alias("truncated"))
+        survivors = survivors.orderBy(*order).limit(most)
     judged = survivors.withColumn("distance", F.levenshtein("symbols_a", "symbols_b", budget))
-    share = F.col("distance") / F.greatest(F.lit(1), F.least("n_tokens_a", "n_tokens_b"))
+    share = F.col("distance") / F.greatest(F.lit(1), F.col("n_tokens_a"))
     return judged.withColumn("ratio", share).where((F.col("distance") >= 1) & (F.col("ratio") <= ratio)).select("id_a", "id_b", "distance", "ratio"), cut
 
 
-def histogram_gap(a, b):
-    """Half the L1 distance of two strings' letter counts, rounded up."""
-    letters = lambda x: F.array_sort(F.filter(F.split(x, ""), lambda t: t != ""))
-    both = F.array_union(letters(a), letters(b))
-    count = lambda x, t: F.length(x) - F.length(F.replace(x, t, F.lit("")))
-    total = F.aggregate(both, F.lit(0), lambda s, t: s + F.abs(count(a, t) - count(b, t)))
-    return F.ceil(total / 2)
-
-
 def masked_minority(bodies: DataFrame, group: str, id_: str, values: str) -> DataFrame:
     """Odd values: in a group of three or more bodies with equally many values, a place with exactly two
     values of which one occurs once. Groups whose bodies differ in length give nothing."""

@@ -72,7 +72,7 @@ DUP_SQL = "SELECT sha256(text) AS hash, count(*)::BIGINT AS members, min(doc_id)
 
 
 def drift_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names that drift from each other, letter by letter; every pair within the budget is compared."""
+    """Supplier names that drift from each other, letter by letter; every pair within the budget is compared."""
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("symbols"))
     bodies = names.select("id", "symbols", F.length("symbols").cast("long").alias("n_tokens"), F.sha2("symbols", 256).alias("hash"))
     return structure.drift_pairs(bodies, budget=2, ratio=0.1, most=None)[0].select("id_a", "id_b", "distance")
@@ -112,7 +112,7 @@ def placeholder_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLACEHOLDER_SQL = r"""
 SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(TODO|FIXME|lorem|license|licensed)\b'))::INT AS hits,
-       len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x, ' '), '^$|^(//|#|\*|/\*)')))::BIGINT AS code_lines
+       len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t\r\f\x0B\x00]*($|//|#|\*|/\*)')))::BIGINT AS code_lines
 FROM documents WHERE regexp_matches(text, '(?i)\b(TODO|FIXME|lorem|license|licensed)\b')
 """
 

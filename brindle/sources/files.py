@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brindle.functions.text import code_lines, excluded, normal_path
+from brindle.operators.places import containing
+from brindle.operators.ranks import numbered
 
 BASELINE_ENTRY = "id string, rule string, file string, fingerprint string, count long, message string"
 BASELINE = f"schema long, tool string, generated_at string, score long, total long, entries array<struct<{', '.join(f.replace(' ', ':') for f in BASELINE_ENTRY.split(', '))}>>"
@@ -50,17 +52,30 @@ def name_status(raw: DataFrame) -> DataFrame:
     return found.select(F.posexplode("rows").alias("position", "r")).select("position", "r.status", "r.previous_path", "r.path")
 
 
+def _headed(lines: DataFrame, header: Column) -> DataFrame:
+    """Lines (n, line) with ``head``: the header line at or before each, by its position.
+
+    Headers are few against lines, and each stands for the lines up to the next one: an equi join on
+    blocks of line numbers that a header's stretch touches, so no task holds all lines.
+    """
+    width = 4096
+    heads = numbered(lines.where(header).select(F.col("n").alias("from"), F.col("line").alias("head")), ["from"], "k")
+    until = heads.select((F.col("k") - 1).alias("k"), (F.col("from") - 1).alias("upto"))
+    last = lines.agg(F.max("n").alias("end"))
+    spans = heads.join(until, "k", "left").crossJoin(F.broadcast(last)).withColumn("upto", F.coalesce("upto", "end"))
+    return containing(lines.withColumn("_all", F.lit(0)), spans.select("head", "from", "upto", F.lit(0).alias("_all")), "_all", "n", "from", "upto", width).drop("_all")
+
+
 def diff_hunks(lines: DataFrame) -> DataFrame:
     """(n, line) of a unified diff without context -> (path, hunks): the new side's ranges of each file.
 
     A header belongs to the last file line before it; deleted files have none.
     """
-    named = F.regexp_extract("line", r'^\+\+\+ "?(?:b/)?(.*?)"?\t?$', 1)
-    header = F.col("line").startswith("+++ ")
-    path = F.last(F.when(header, named), ignorenulls=True).over(Window.orderBy("n"))
-    hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+    hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"  # fixed by the format
+    wanted = lines.where(F.col("line").startswith("+++ ") | F.col("line").rlike(hunk))
+    path = F.regexp_extract("head", r'^\+\+\+ "?(?:b/)?(.*?)"?\t?$', 1)
     n = F.regexp_extract("line", hunk, 2)
-    rows = lines.withColumn("path", path).where(F.col("line").rlike(hunk) & (F.col("path") != "/dev/null"))
+    rows = _headed(wanted, F.col("line").startswith("+++ ")).withColumn("path", path).where(F.col("line").rlike(hunk) & (F.col("path") != "/dev/null"))
     one = F.struct(F.regexp_extract("line", hunk, 1).cast("int").alias("start"), F.when(n == "", 1).otherwise(n.cast("int")).alias("n"))
     return rows.groupBy("path").agg(F.sort_array(F.collect_list(one)).alias("hunks"))
 
@@ -106,10 +121,19 @@ def baseline_of(findings: DataFrame) -> DataFrame:
 
 def counted_baseline(lines: DataFrame) -> DataFrame:
     """(n, line) of an indented baseline of another analyser (message, count, path) -> (path, count)."""
-    key, value = F.regexp_extract("line", r"^\s*(\w+):", 1), F.regexp_extract("line", r":\s*['\"]?(.*?)['\"]?\s*$", 1)
-    rows = lines.select("n", key.alias("key"), value.alias("value"))
-    count = F.last(F.when(F.col("key") == "count", F.col("value").cast("long")), ignorenulls=True).over(Window.orderBy("n"))
-    return rows.withColumn("count", count).where("key = 'path'").groupBy(F.col("value").alias("path")).agg(F.sum("count").alias("count"))
+    counted = F.col("line").rlike(r"^\s*count:")
+    found = _headed(lines.where(counted | F.col("line").rlike(r"^\s*path:")), counted)
+    value = lambda c: F.regexp_extract(c, r":\s*['\"]?(.*?)['\"]?\s*$", 1)
+    rows = found.where("n > from").select(value("line").alias("path"), F.expr("try_cast(regexp_extract(head, ':\\\\s*([0-9]+)', 1) as long)").alias("count"))
+    return rows.groupBy("path").agg(F.sum("count").alias("count"))
+
+
+def suppressed_issues(spark: SparkSession, file: str) -> DataFrame:
+    """(path, count) of an XML baseline with a file element for each path and a code element for each issue."""
+    rows = spark.read.format("text").option("wholetext", "true").load(file)
+    files = rows.select(F.explode(F.expr(r"regexp_extract_all(value, '(?s)<file\\s[^>]*>.*?</file>', 0)")).alias("part"))
+    n = F.size(F.expr(r"regexp_extract_all(part, '<code[\\s/>]', 0)")).cast("long")
+    return files.select(F.regexp_extract("part", r'<file\s[^>]*src="([^"]*)"', 1).alias("path"), n.alias("count")).where("path <> ''").groupBy("path").agg(F.sum("count").alias("count"))
 
 
 FINDINGS = "rule string, name string, category string, severity string, confidence int, path string, line long, end_line long, message string, fingerprint string"
