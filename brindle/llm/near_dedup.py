@@ -412,7 +412,7 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node and class_id of every row; the class is named by its least id."""
+    """doc_id, node, label and class_id of every row: label is the least digest of the class, class_id its least id."""
     spark = docs.sparkSession
     rows = staged(signed(docs), "dedup-signed")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")), "dedup-nodes")
@@ -420,21 +420,22 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(links)
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     class_ids = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    by_node = staged(named.join(class_ids, "label").select("node", "class_id"), "dedup-classes")
+    by_node = staged(named.join(class_ids, "label").select("node", "label", "class_id"), "dedup-classes")
     for df in (nodes, links, labels):
         drop_staged(spark, df)
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id")
+    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "label", "class_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns: a row with the class's least id.
 
     Rows join their class by (id, digest), which no group of copies can make hot, and of rows alike in
-    both one stays. A class with the same id on different texts keeps the text whose digest comes first.
+    both one stays. A class with that id on different texts keeps the text whose digest comes first; a class
+    of null ids alone keeps a row with a null id.
     """
     id_, digest_, copy_, node_ = unused(docs, "class", "digest", "copy", "node")
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    first = found.groupBy("class_id").agg(F.min("node").alias(node_)).withColumnRenamed("class_id", id_)
+    first = found.groupBy("label").agg(F.min("node").alias(node_), F.any_value("class_id").alias(id_)).drop("label")
     rows = docs.withColumn(digest_, node_column())
     same = rows.join(first, (F.col(digest_) == F.col(node_)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
     alike = Window.partitionBy(digest_, "doc_id").orderBy(F.lit(0))

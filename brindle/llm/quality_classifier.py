@@ -2,51 +2,54 @@
 
 Every word of the vocabulary has a sparse ternary index vector made from its hash. Its context vector
 is the sum of the index vectors of the words within two places of it, over *all* documents; the worker
-sums a partition, and sums of partitions are added by blocks of words, so what is shuffled is bounded
-by partitions x vocabulary. A document is pooled to the mean and the deviation of its word vectors and
+sums a partition, and sums of partitions are added in two levels by blocks of words, so what is shuffled
+is bounded by partitions x vocabulary and no task adds more than a share of the partitions. A document is pooled to the mean and the deviation of its word vectors and
 the mean change between neighbours. A network with one hidden layer, in numpy, is trained on a bounded
 sample of labelled rows, and a temperature fitted on a part held back calibrates its probabilities.
 
 Bounds of what is fitted on the driver: ``SAMPLE_ROWS`` labelled rows, of which only pooled vectors
-are collected; ``VOCABULARY`` words and ``SHAPES`` word shapes. Words outside the vocabulary count
-under their shape. Scoring is one pass without a shuffle.
+are collected; the ``VOCABULARY`` commonest words of these rows, and the ``SHAPES`` commonest shapes of
+their other words. Words outside the vocabulary count under their shape. Scoring is one pass without a
+shuffle.
 
 Defined results: null and empty texts pool to zeros and get the network's score for that. Without any
-labelled row every score is 0.5. Rows labelled twice count twice. Repeated rows give repeated rows; an
+labelled row every score is 0.5. A row labelled twice alike counts once, one with both labels once for
+each. Words equally common are taken in their own order. Repeated rows give repeated rows; an
 empty table gives no rows; other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm.common import documents, drop_staged, let_go, map_batches, remainder, short_batches, staged, with_fields
+from brindle.llm.common import documents, drop_staged, labelled_sample, let_go, map_batches, remainder, short_batches, with_fields
 from brindle.session import table
 
-#: Labelled rows that are fitted, and the longest text among them.
+#: Labelled rows that are fitted.
 SAMPLE_ROWS = 6000
-LONGEST_SAMPLE = 100_000
 #: Words with vectors of their own; shapes for the others; dimensions; places that count as context.
 VOCABULARY = 3584
 SHAPES = 511
 DIMS = 32
 NEAR = 2
-#: Non-zero entries of an index vector.
+#: Non-zero entries of an index vector, in different dimensions.
 ENTRIES = 2
 #: Hidden units, passes over the sample, and the part that is held back for the temperature.
 HIDDEN, EPOCHS, HELD_BACK = 32, 40, 0.2
 #: Words whose vectors are gathered at once.
 CHUNK = 100_000
-#: Blocks of words in which partitions' sums are added.
-BLOCKS = 32
+#: Blocks of words in which partitions' sums are added, and partitions added at first.
+BLOCKS, ADDED = 32, 256
 THRESHOLD = 0.3
 
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
@@ -89,7 +92,10 @@ class Vocabulary:
         """Places and signs of the non-zero entries, by id."""
         names = ["", *self.words, *(f"\0{s}" for s in self.shapes)]
         hashes = np.array([[xxhash.xxh64_intdigest(w, seed=k) for k in range(ENTRIES)] for w in names], dtype=np.uint64)
-        return (hashes % DIMS).astype(np.int64), np.where(hashes >> np.uint64(63), 1.0, -1.0)
+        # each entry is placed by its hash among the dimensions that follow the one before: none twice
+        share = DIMS // ENTRIES
+        place = (hashes[:, :1] % DIMS + np.arange(ENTRIES, dtype=np.uint64) * np.uint64(share) + hashes % np.uint64(share) * (np.arange(ENTRIES) > 0)) % DIMS
+        return place.astype(np.int64), np.where(hashes >> np.uint64(63), 1.0, -1.0)
 
 
 def contexts(ids: np.ndarray, place: np.ndarray, sign: np.ndarray, size: int) -> np.ndarray:
@@ -128,15 +134,17 @@ def word_vectors(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             if len(flat) > 2:
                 total += contexts(np.array(flat), place, sign, words.size)
         if total.any():
-            parts = [total[k * width : (k + 1) * width].astype(np.int32).tobytes() for k in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "sums"])
+            parts = [total[k * width : (k + 1) * width].astype(np.int64).tobytes() for k in range(BLOCKS)]
+            group = [TaskContext.get().partitionId() // ADDED] * BLOCKS
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(group, pa.int32()), pa.array(parts, pa.binary())], ["block", "part", "sums"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in rows["sums"])
-        return pd.DataFrame({"block": [key[0]], "sums": [total.tobytes()]})
+        total = sum(np.frombuffer(b, dtype=np.int64) for b in rows["sums"])
+        return pd.DataFrame({"block": [key[0]], "part": [key[-1]], "sums": [total.tobytes()]})
 
-    partial = docs.select("text").mapInArrow(gather, "block int, sums binary")
-    blocks = {r.block: r.sums for r in partial.groupBy("block").applyInPandas(add, "block int, sums binary").collect()}
+    fields = "block int, part int, sums binary"
+    partial = docs.select("text").mapInArrow(gather, fields).groupBy("block", "part").applyInPandas(add, fields)
+    blocks = {r.block: r.sums for r in partial.groupBy("block").applyInPandas(add, fields).collect()}
     parts = [np.frombuffer(blocks[k], dtype=np.int64) for k in sorted(blocks)]
     sums = np.concatenate(parts).reshape(-1, DIMS).astype(np.float64) if parts else np.zeros((vocabulary.size, DIMS))
     sums -= sums.mean(axis=0)
@@ -225,25 +233,25 @@ class Model:
         return self.network.predict(pool(texts, self.vocabulary, self.vectors))
 
 
+def commonest(sample: DataFrame, things: Callable[[str], list[str]], most: int, least: int) -> list[str]:
+    """What the texts of the sample have most often, in all at least ``least`` times; ties in the things' own order."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Counter(chain.from_iterable(map(things, batch.column("text").to_pylist())))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["w", "n"])
+
+    counts = map_batches(sample.select("text"), count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r.w for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn) -> Model:
     """Fit on rows (doc_id, ``label``) whose id passes ``may_learn``; vectors on all documents."""
     spark = docs.sparkSession
     short_batches(spark)
-    chosen = (
-        labels.select("doc_id", F.col(label).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-        .where(may_learn(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE_ROWS)
-    )
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= LONGEST_SAMPLE)
-    sample = staged(rows.join(F.broadcast(chosen), "doc_id").limit(2 * SAMPLE_ROWS), "quality-sample")
-    words = [r.w for r in sample.select(F.explode(F.split("text", r"\s+")).alias("w")).where("w != ''").groupBy("w").count().where("count > 2").orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()]
+    sample = labelled_sample(docs, labels.select("doc_id", F.col(label).cast("double").alias("y")), may_learn, SAMPLE_ROWS, "quality-sample")
+    words = commonest(sample, lambda text: text.split(), VOCABULARY, 3)
     known = set(words)
-    tally: dict[str, int] = {}
-    rare = sample.select(F.explode(F.split("text", r"\s+")).alias("w")).where(F.length("w").between(1, 64)).groupBy("w").count().orderBy(F.xxhash64("w")).limit(50_000)
-    for r in rare.collect():
-        if r.w not in known:
-            s = shape(r.w)
-            tally[s] = tally.get(s, 0) + r["count"]
-    vocabulary = Vocabulary(words, sorted(tally, key=lambda s: (-tally[s], s))[:SHAPES])
+    vocabulary = Vocabulary(words, commonest(sample, lambda text: [shape(w) for w in text.split() if w not in known], SHAPES, 1))
     vectors = word_vectors(docs, vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary, vectors))
 
@@ -259,15 +267,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, may_learn) -> Model:
     return Model(vocabulary, vectors, Network(x, np.array([r.y for r in found])))
 
 
-def classify(docs: DataFrame, model: Broadcast, columns: list[str]) -> DataFrame:
-    """The named columns and ``score``. ``text`` must be among the columns of ``docs``."""
+def classify(docs: DataFrame, model: Broadcast, columns: list[str], name: str = "score") -> DataFrame:
+    """The named columns and the score as ``name``. ``text`` must be among the columns of ``docs``."""
     short_batches(docs.sparkSession)
     rows = docs.select(*columns, *([] if "text" in columns else ["text"]))
-    schema = with_fields(docs.select(*columns), "score double")
+    schema = with_fields(docs.select(*columns), f"`{name}` double")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = pa.array(model.value.score(batch.column("text").to_pylist()), pa.float64())
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), score], [*columns, "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), score], [*columns, name])
 
     return map_batches(rows, step, schema)
 
