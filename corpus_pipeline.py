@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet in the shared
 folder and read again as the next stage's documents, so a lost executor repeats work of one stage only.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, also further ones, whatever their names are.
+
+Defined results: a null text counts as empty: the classifier gives it the score of no words, near-dedup
+keeps one empty document, it holds no passage and no secret, and it has no ids. Long texts are read whole.
+Of a class of near copies, repeated rows included, one row with its least id stays; a class of null ids
+alone keeps a row with a null id. Rows alike in id and text count as equal. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.llm import bpe, decontamination, near_dedup, quality_classifier, secret_scans
-from brindle.llm.common import documents, drop_staged, map_batches, remainder, short_batches, staged
+from brindle.llm.common import documents, drop_staged, map_batches, remainder, short_batches, staged, unused
 from brindle.session import table
 
 #: SQL can express neither the trained network nor the sketches; tests compare with brute force.
@@ -25,8 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"), "quality", lambda i: remainder(i, 5) != 0)
     shared = spark.sparkContext.broadcast(model)
-    scored = quality_classifier.classify(docs.withColumnRenamed("score", "_given_score"), shared, [c if c != "score" else "_given_score" for c in docs.columns])
-    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).drop("score").withColumnRenamed("_given_score", "score")
+    (score,) = unused(docs, "score")
+    scored = quality_classifier.classify(docs, shared, docs.columns, score)
+    return scored.where(F.col(score) >= quality_classifier.THRESHOLD).drop(score)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
