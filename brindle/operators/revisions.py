@@ -78,3 +78,50 @@ def weakened(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
         .when((F.col("assertions") < F.col("old_n")) & (F.col("looped") <= F.col("old_looped")), "fewer assertions")
     )
     return both.withColumn("kind", kind).where("kind IS NOT NULL").select(*key, "kind", "old_n", "assertions")
+
+
+def base_findings(current: DataFrame, previous: DataFrame, changed: DataFrame) -> DataFrame:
+    """The findings of the base: those of today outside the changed files, and the earlier ones inside them."""
+    paths = changed.select("path").distinct()
+    return current.join(paths, "path", "left_anti").unionByName(previous.join(paths, "path", "left_semi"))
+
+
+def base_lines(current: DataFrame, previous: DataFrame, changed: DataFrame) -> DataFrame:
+    """(lines) of the base: today's, less those of changed files, and the lines these had."""
+    return base_findings(current, previous, changed).agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
+
+
+def base_tree(files: DataFrame, changes: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(path, source) of the base: unchanged files, and the old contents of changed ones.
+
+    A renamed file stands under its earlier path, an added one is not there, a deleted one is.
+    """
+    kept = files.join(changes.select("path").distinct(), "path", "left_anti").select("path", "source")
+    was = changes.where("status <> 'A'").select(F.coalesce("previous_path", "path").alias("path")).distinct()
+    return kept.unionByName(blobs.join(was, "path", "left_semi").select("path", "source"))
+
+
+def with_evidence(compared: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence beside compared findings: always new, and never part of a score."""
+    scored = compared.withColumn("scored", F.col("state") != "resolved")
+    return scored.unionByName(evidence.withColumns({"state": F.lit("new"), "scored": F.lit(False)}))
+
+
+def edited_migrations(changes: DataFrame, migrations: str = "database/migrations/") -> DataFrame:
+    """Findings: migrations of the base that were changed, or moved (less certain)."""
+    before = F.coalesce("previous_path", "path")
+    moved = F.col("status") == "R"
+    rows = changes.where(F.col("status").isin("M", "R") & (before.startswith(migrations) | before.contains(f"/{migrations}")))
+    return rows.select(F.lit("SL214").alias("rule"), F.lit("high").alias("severity"), F.when(moved, 80).otherwise(85).alias("confidence"), "path")
+
+
+def misplaced_classes(classes: DataFrame, before: DataFrame, covered: DataFrame) -> DataFrame:
+    """Findings: classes (fqn, path, role) that are new, lie in a covered path and play no role."""
+    new = classes.where("role IS NULL").join(before.select("fqn").distinct(), "fqn", "left_anti").join(covered.select("path").distinct(), "path", "left_semi")
+    return new.select(F.lit("SL307").alias("rule"), F.lit("low").alias("severity"), F.lit(75).alias("confidence"), "path", "fqn")
+
+
+def grown_baselines(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Findings: paths of which a baseline (path, count) hides more than it did, a new baseline included."""
+    rise = grown(now, before, "path", "count")
+    return rise.select(F.lit("SL502").alias("rule"), F.lit("medium").alias("severity"), F.lit(85).alias("confidence"), "path", "growth")

@@ -1,6 +1,6 @@
 """Queries by name, with their SQL oracles."""
 
-from brindle.plans import queries as q
+from brindle.plans import queries as q, report_queries
 
 QUERIES = {
     "score_by_source": q.score_by_source,
@@ -63,3 +63,6 @@ ORACLES = {
     "growth": q.GROWTH_SQL,
     "tiers_by_rule": q.TIERS_SQL,
 }
+
+QUERIES |= {name: query for name, (query, _) in report_queries.QUERIES.items()}
+ORACLES |= {name: sql for name, (_, sql) in report_queries.QUERIES.items()}
