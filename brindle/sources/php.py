@@ -1,8 +1,8 @@
 """Facts from PHP source: tokens and units, by a lexer that runs over batches of files.
 
 The lexer knows comments, strings, heredocs, attributes and inline HTML, and follows braces, so that each
-token carries the class and the function or method that owns it and how deep control structures nest
-there. It is not a parser: facts that need types or expression trees are not derived here. A file that
+token carries the class and the function or method that owns it, how deep control structures nest there,
+and how many of them are loops. It is not a parser: facts that need types or expression trees are not derived here. A file that
 ends inside a comment, string or block is reported with ``parse_error`` and still gives its tokens.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from brindle.session import ship
 
-TOKENS = "path string, n int, kind string, text string, line int, class_name string, unit string, unit_line int, nest int"
+TOKENS = "path string, n int, kind string, text string, line int, class_name string, unit string, unit_line int, nest int, loop int"
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+)
@@ -32,19 +32,20 @@ _TOKEN = re.compile(
 )
 # Words that open a control structure, and those that name a class-like declaration.
 CONTROL = {"if", "elseif", "else", "for", "foreach", "while", "do", "switch", "match", "try", "catch", "finally"}
+LOOPS = {"for", "foreach", "while", "do"}
 CLASS_LIKE = {"class", "interface", "trait", "enum"}
 
 
 def lex(source: str) -> tuple[list[tuple], str | None]:
-    """(kind, text, line, class, unit, unit_line, nest) of each token that is not space, and an error."""
+    """(kind, text, line, class, unit, unit_line, nest, loop) of each token that is not space, and an error."""
     start = re.search(r"<\?(?:php\b|=)", source)
     if not start:
         return [], None
     out: list[tuple] = []
     at, line = start.end(), source.count("\n", 0, start.end()) + 1
-    blocks: list[tuple] = []  # (kind, class, unit, unit_line, nest) to restore
+    blocks: list[tuple] = []  # (kind, class, unit, unit_line, nest, loop) to restore
     class_name = unit = None
-    unit_line, nest = 0, 0
+    unit_line, nest, loop = 0, 0, 0
     waiting: tuple | None = None  # what the next opening brace begins
     parens, last = 0, ""
     error = None
@@ -66,7 +67,7 @@ def lex(source: str) -> tuple[list[tuple], str | None]:
         if kind == "comment":
             if text.startswith("/*") and not text.endswith("*/"):
                 error = f"comment from line {here} does not end"
-            out.append((kind, text, here, class_name, unit, unit_line, nest))
+            out.append((kind, text, here, class_name, unit, unit_line, nest, loop))
             continue
         word = text.lower() if kind == "name" and last not in ("->", "?->", "::") else ""
         if waiting and waiting[0] in ("class?", "function?") and kind == "name":
@@ -78,32 +79,32 @@ def lex(source: str) -> tuple[list[tuple], str | None]:
         elif word in ("function", "fn") and last != "use":
             waiting = ("function?", None, here) if word == "function" else waiting
         elif word in CONTROL and not (waiting and waiting[0] == "class"):
-            waiting = ("control", None, here)
+            waiting = ("control", word, here)
         elif text == "(" and waiting and waiting[0] == "function?":
             waiting = ("closure", None, here)
-        row_unit = (class_name, unit, unit_line, nest)
+        row_unit = (class_name, unit, unit_line, nest, loop)
         if text == "{":
             begins = waiting or ("block", None, here)
-            blocks.append((begins[0], class_name, unit, unit_line, nest))
+            blocks.append((begins[0], class_name, unit, unit_line, nest, loop))
             waiting = None
             if begins[0] == "class":
-                class_name, unit, unit_line, nest = begins[1], None, 0, 0
+                class_name, unit, unit_line, nest, loop = begins[1], None, 0, 0, 0
             elif begins[0] == "function":
-                unit, unit_line, nest = begins[1], begins[2], 0
+                unit, unit_line, nest, loop = begins[1], begins[2], 0, 0
             elif begins[0] == "closure":
-                nest = 0
+                nest = loop = 0
             elif begins[0] == "control":
-                nest += 1
-            row_unit = (class_name, unit, unit_line, nest)
+                nest, loop = nest + 1, loop + (begins[1] in LOOPS)
+            row_unit = (class_name, unit, unit_line, nest, loop)
         elif text == "}" and blocks:
-            _, class_name, unit, unit_line, nest = blocks.pop()
+            _, class_name, unit, unit_line, nest, loop = blocks.pop()
         elif text in "([":
             parens += 1
         elif text in ")]" and parens:
             parens -= 1
         elif text == ";" and not parens:
             if waiting and waiting[0] == "function":  # an abstract method has no body
-                row_unit = (class_name, waiting[1], waiting[2], 0)
+                row_unit = (class_name, waiting[1], waiting[2], 0, 0)
             waiting = None
         out.append((kind, text, here, *row_unit))
         last = text
@@ -119,9 +120,9 @@ def tokens(files: DataFrame) -> DataFrame:
                 found, _ = lex(source or "")
                 if found:
                     columns = list(zip(*found))
-                    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+                    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
                     arrays = [pa.array([path] * len(found)), pa.array(range(len(found)), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["path", "n", "kind", "text", "line", "class_name", "unit", "unit_line", "nest"])
+                    yield pa.RecordBatch.from_arrays(arrays, ["path", "n", "kind", "text", "line", "class_name", "unit", "unit_line", "nest", "loop"])
 
     ship(files.sparkSession)
     return files.select("path", "source").mapInArrow(run, TOKENS)

@@ -44,3 +44,34 @@ def test_units_and_detectors(spark):
     assert (measured["store"].nesting, measured["free"].complexity, measured["free"].statements) == (5, 2, 1)
     assert [(r.rule, r.fingerprint, r.confidence) for r in php.deep_nesting(php.units(rows)).collect()] == [("SL103", "Order::store", 78)]
     assert [r.line for r in php.unexplained_suppressions(rows).collect()] == [20]
+
+
+GUARDED = '''<?php
+class Quiet extends Base
+{
+    public function __construct(private Clock $clock, protected int $n) {}
+    public function __call($name, $args) { return $this->{$name}(...$args); }
+    private function reached() { return $this->clock; }
+    #[Hook] private function marked() { return 1; }
+    public function a($x) { try { $this->run(); } catch (E $e) { $this->failed = true; } return $x ?: 1; }
+    public function b(?int $x, ?string $y): ?int { foreach ([1] as $k) { $r = DB::find($k); } return $x ? 1 : 2; }
+    public function c() { /* TODO later */ return new static; }
+}
+'''
+
+
+def test_guards_stay_silent(spark):
+    from brindle.operators import detectors
+
+    files = spark.createDataFrame([("q.php", GUARDED), ("n.php", None), ("t.txt", "no code")], "path string, source string")
+    assert detectors.detect(php.tokens(files)).collect() == []
+
+
+def test_god_methods_and_classes(spark):
+    from brindle.operators import detectors
+
+    body = "\n".join(f"if ($a > {k}) {{ $this->step{k}($a); }}" for k in range(20)) + "\n" * 80
+    source = "<?php class Big { " + "".join(f"public function m{k}($a) {{ {body if k < 5 else ''} $x = 1; }}\n" for k in range(22)) + "}"
+    found = detectors.detect(php.tokens(spark.createDataFrame([("b.php", source)], "path string, source string"))).collect()
+    assert {r.fingerprint for r in found if r.rule == "SL101"} == {f"Big::m{k}" for k in range(5)}
+    assert [(r.fingerprint, r.confidence) for r in found if r.rule == "SL102"] == [("Big", 82)]
