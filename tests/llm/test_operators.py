@@ -30,7 +30,7 @@ def corpus(spark):
 def awkward(spark, tmp_path_factory):
     """A folder of tables with odd rows, extra columns of clashing names, and hardly any labels."""
     folder = tmp_path_factory.mktemp("awkward")
-    extra = ["score", "words", "ids", "node", "key", "label", "size", "rank", "part"]
+    extra = ["Score", "_score", "_given_score", "words", "ids", "node", "key", "label", "size", "rank", "part", "_digest", "digest", "_copy", "copy", "class", "from", "slot", "y"]
     docs = spark.createDataFrame(AWKWARD, DOCS).withColumns({c: F.lit("x") for c in extra}).withColumn("n_chars", F.length("text").cast("long"))
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(2, 1, 0), (4, None, None), (6, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -65,7 +65,51 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, empty).count() == 0
-    assert corpus_pipeline.run(spark, awkward).count() <= len(AWKWARD)
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, awkward)
+        assert out.columns == docs.columns, name
+    kept = near_dedup.representatives(docs).collect()
+    assert {r["_digest"] for r in kept} == {"x"} and {r["copy"] for r in kept} == {"x"}
+    texts = [r.text or "" for r in kept]
+    assert len(texts) == len(set(texts)) == len({t or "" for _, t, _, _ in AWKWARD})
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, awkward).collect()}
+    assert ids <= {r.doc_id for r in kept} - {6}  # the passage of the benchmark is gone
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[4] + " more"), (7, texts[4])]
+    kept = near_dedup.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", texts[0]), ("None", texts[1]), ("5", texts[2]), ("5", texts[3]), ("6", texts[4] + " more")])
+
+
+def test_pipeline_stages_equal_brute_force(spark, corpus):
+    """Each stage on all its predecessor kept, against a plain version of what it decides."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+
+    quality, dedup, clean, secrets, tokens = (stage for _, stage in corpus_pipeline.STAGES)
+    pick = lambda df: {r.doc_id: r.text for r in df.collect()}
+    first = pick(quality(spark, corpus, SF))
+    model = quality_classifier.learn(corpus, spark.read.parquet(f"{SF}/labels.parquet"), "quality", lambda i: near_dedup.F.crc32(i.cast("string")) % 5 != 0)
+    scores = {r.doc_id: float(model.score([r.text])[0]) for r in corpus.collect()}
+    assert set(first) == {d for d, s in scores.items() if s >= quality_classifier.THRESHOLD} and len(first) > 100
+    docs = corpus.where(F.col("doc_id").isin(list(first)))
+    second = pick(dedup(spark, docs, SF))
+    assert set(second) == set(plain_classes(first).values())
+    benchmark = [" ".join(decontamination.tokens(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    third = pick(clean(spark, docs.where(F.col("doc_id").isin(list(second))), SF))
+    assert set(third) == {d for d, t in second.items() if not any(f" {item} " in f" {' '.join(decontamination.tokens(t))} " for item in benchmark)}
+    fourth = pick(secrets(spark, docs.where(F.col("doc_id").isin(list(third))), SF))
+    changed = {d for d in third if third[d] != fourth[d]}
+    assert set(fourth) == set(third) and changed == {r.doc_id for r in secret_scans.scan(corpus).collect() if r.found and r.doc_id in third}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.RANKS), special_tokens={})
+    for r in tokens(spark, docs.where(F.col("doc_id").isin(list(third))), SF).collect():
+        assert r.ids == library.encode_ordinary(third[r.doc_id])
 
 
 # --- op10, op8 --------------------------------------------------------------------------------------
@@ -223,6 +267,36 @@ def test_nearest_equals_brute_force():
         assert index.nearest(q, 7) == [(-s, k) for s, k in scores[:7] if s < 0]
 
 
+def test_toxicity_equals_brute_force(spark, corpus):
+    """Scores and evidence of the query against cosines over all examples, each computed on its own."""
+    docs, labels = corpus, spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn(docs, labels, "toxic", lambda i: F.crc32(i.cast("string")) % 3 != 1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    bags = {d: Counter(t for w in toxicity.tokens(texts[d]) for t in toxicity.terms(w) if t in model.words) for d in texts}
+    holding = Counter(t for bag in bags.values() for t in bag)
+
+    def vector(bag):
+        v = {t: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + holding[t])) + 1) for t, n in bag.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    examples = {d: vector(bags[d]) for d in known if d in texts and bags[d]}
+    assert set(model.ids) == set(examples) and len(model.words) > 500
+    rows = toxicity.op2_toxicity(spark, SF).collect()
+    assert sum(bool(r.evidence) for r in rows) >= 0.6 * len(rows)
+    for r in rows:
+        q = vector(bags[r.doc_id]) if bags[r.doc_id] else {}
+        cosines = sorted((-round(sum(x * v.get(t, 0.0) for t, x in q.items()), 6) for v in examples.values()))
+        assert [round(e.similarity, 6) for e in r.evidence] == pytest.approx([-c for c in cosines[:3] if c < 0], abs=2e-6)
+    shuffled = toxicity.BlockMaxIndex([{k % 40: 1.0} for k in range(4000)], 40)
+    shuffled.nearest({3: 1.0}, 5)
+    assert shuffled.scored <= shuffled.n_blocks
+    sorted_index = toxicity.BlockMaxIndex([{k // 100: 1.0} for k in range(4000)], 40)
+    sorted_index.nearest({3: 1.0}, 5)
+    assert sorted_index.scored == 2 < sorted_index.n_blocks  # the bounds of all other blocks are too low
+
+
 def test_network_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5)).astype(np.float32)
@@ -265,6 +339,17 @@ def test_edited_passages_are_found(spark):
     assert hits >= 0.95 * len(rows)
 
 
+def test_three_tenths_of_the_words_may_be_edited(spark):
+    rows = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    items, rng, hits = decontamination.Items(rows), random.Random(6), 0
+    for i, text in rows:
+        words = decontamination.tokens(text)
+        for k in rng.sample(range(len(words)), round(0.3 * len(words))):
+            words[k] = "zzz"
+        hits += any(f[0] == i for f in decontamination.contaminated(items, " ".join(["other words before it", *words, "and after"])))
+    assert hits >= 0.9 * len(rows)
+
+
 def test_edited_copies_in_documents_are_found(spark):
     rng = random.Random(8)
     items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(29))) for i in range(40)]
@@ -289,8 +374,8 @@ def test_edited_copies_in_documents_are_found(spark):
 # --- op9 --------------------------------------------------------------------------------------------
 
 
-def test_classes_equal_brute_force(spark, corpus):
-    texts = {r.doc_id: r.text for r in corpus.collect()}
+def plain_classes(texts: dict) -> dict:
+    """The least id of each text's class, by comparing all pairs."""
 
     def weights(text):
         w = text.split()
@@ -320,9 +405,33 @@ def test_classes_equal_brute_force(spark, corpus):
             if alike:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
+    return {d: find(d) for d in texts}
+
+
+def test_classes_equal_brute_force(spark, corpus):
+    expected = plain_classes({r.doc_id: r.text for r in corpus.collect()})
     rows = near_dedup.op9_minhash_near_dedup(spark, SF).collect()
-    assert {r.doc_id: r.class_id for r in rows} == {d: find(d) for d in texts}
-    assert near_dedup.representatives(corpus).count() == len({find(d) for d in texts})
+    assert {r.doc_id: r.class_id for r in rows} == expected
+    assert near_dedup.representatives(corpus).count() == len(set(expected.values()))
+
+
+def test_near_copies_at_the_bound_are_found(spark):
+    """200 pairs of a similarity just over 0.8, and as many just under it."""
+    rng, rows, linked = random.Random(21), [], set()
+    for k in range(400):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        other = list(w)
+        # 200 shingles; each replaced word, far from the others, changes five of them
+        for at in range(6, 6 + 10 * (4 if k < 200 else 5), 10):
+            other[at] = f"x{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        codes = [near_dedup.shingles([t.encode()])[1] for _, t in rows[-2:]]
+        share = len(np.intersect1d(*codes)) / len(np.union1d(*codes))
+        assert (share >= 0.8) == (k < 200) and 0.75 < share < 0.83
+        linked |= {2 * k} if share >= 0.8 else set()
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[d + 1] == d for d in linked) >= 0.99 * len(linked)
+    assert all(found[d] == d for d in found if d // 2 >= 200)
 
 
 def test_registers_estimate_probability_jaccard():
@@ -370,6 +479,9 @@ def test_bpe_equals_the_library_and_decodes(spark, corpus):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     mine = bpe.codec(bpe.RANKS)
+    rng = random.Random(11)
+    long_words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=rng.randint(100, 130))) for _ in range(5000)]
+    assert np.frombuffer(mine.encode([" ".join(long_words)])[0], "<u4").tolist() == library.encode_ordinary(" ".join(long_words))
     odd = [t or "" for _, t, _, _ in AWKWARD] + ["a\n \nb", " lead", "trail ", "ab" * 400, "\n\n\n\t x", "".join(random.Random(7).choice("etaoin") for _ in range(2000))]
     for text, ids in zip(odd, mine.encode(odd)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
@@ -395,10 +507,18 @@ def test_token_files_equal_the_library(spark, corpus):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_output.VOCABULARY)
-    tokenizer.encode_special_tokens = True
     texts = {r.doc_id: r.text for r in corpus.collect()}
     start = 0
     for r in sorted(token_output.op1_token_output(spark, SF).collect(), key=lambda r: r.doc_id):
         ids = [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    mine = token_output.Encoder(token_output.VOCABULARY)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext", " a  b\n\n c\r\n d\t", "  x\xa0y  ", "'s 're it's", "", "   ", "\n", "a ", "b  ", "c \n", " ", "x y z ", "a\nb c\n d", "日本 ² Ⅷ 🙂🙂 don't Ġ Ġx", "w" * 200 + " x"]
+    odd += [t or "" for _, t, _, _ in AWKWARD]
+    for _ in range(2):  # unknown, then remembered
+        got = [np.frombuffer(x, "<u4").tolist() for x in mine.encode(odd)]
+        assert got == [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
