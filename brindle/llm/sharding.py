@@ -1,12 +1,16 @@
 """Sharding by Hilbert-curve order.
 
-Several metadata dimensions are quantised to a grid, each row gets the index of its cell along a
-Hilbert curve, the rows are sorted by that index, and the sorted run is cut into shards of equal
-counts (law ``rows``). Rows near in all dimensions lie in one shard, so the minima and maxima of a
-shard prune reads on any of the dimensions.
-
-Native: column expressions, one range exchange of narrow rows (no text), and a broadcast of one row
-per partition. The exchange sorts by (index, size, crc, id), so a hot source, which is a third of one
+Four metadata dimensions (language, source, size, id) are quantised to a grid by quantiles, so that each
+cell of a dimension holds about as many rows, names in the order of their first letters; each row gets the index of
+its cell along a Hilbert curve, the rows are sorted by that index, and the sorted run is cut into shards
+of equal counts (law ``rows``). Rows near in all dimensions lie in one shard, so the minima and maxima of
+a shard prune reads on any of the dimensions. Rows with equal texts take the place of one of them (the
+least language, source and id of the group), so a group is one stretch of the run and only the cuts
+between shards, at most one less than there are shards, can part one.
+
+Native: column expressions, a partial aggregation and a join of narrow rows by (size, crc), whose hot
+groups Spark splits, one range exchange of narrow rows (no text), and a broadcast of one row per
+partition. The exchange sorts by (index, size, crc, id), so a hot source, which is a third of one
 dimension, is still split by the others and by the id; only rows equal in every column shown can meet.
 The ranked rows are written to the shared folder, which fixes the partition boundaries: a lost
 executor cannot change a rank afterwards.
@@ -73,14 +77,15 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return _let(_let(_let(turned, gray), mend), interleave)
 
 
-def cell(name: Column) -> Column:
-    """A name's place in a dimension: equal names share it; null has place 0."""
-    return F.coalesce(F.crc32(name) % (1 << BITS), F.lit(0))
+def letters(name: Column) -> Column:
+    """A number that orders names by their first six bytes; null counts as the empty name."""
+    first = F.hex(F.substring(F.encode(F.coalesce(name, F.lit("")), "UTF-8"), 1, 6))
+    return F.conv(F.rpad(first, 12, "0"), 16, 10).cast("long")
 
 
-def magnitude(size: Column) -> Column:
-    """A size's place in a dimension: two steps for each power of two."""
-    return F.least(F.floor(2 * F.log2(size + 1)).cast("int"), F.lit((1 << BITS) - 1))
+def cell(value: Column, bounds: list) -> Column:
+    """How many of a dimension's quantiles lie below the value: its cell, 0 for a null."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.coalesce(b < value, F.lit(False)))) if bounds else F.lit(0)
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -91,13 +96,14 @@ def described(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + HEADER).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    dims = [
-        cell(F.col("lang")),
-        cell(F.col("source")),
-        magnitude(F.col("size")),
-        F.shiftright(F.col("text_crc32"), 32 - BITS),
-    ]
-    return rows.withColumn("curve", hilbert_index(dims, BITS))
+    rows = staged(rows, "described")  # narrow: the text is read once
+    values = [letters(F.col("lang")), letters(F.col("source")), F.col("size"), F.col("doc_id")]
+    shares = [k / (1 << BITS) for k in range(1, 1 << BITS)]
+    quantiles = rows.agg(*[F.percentile_approx(v, shares).alias(f"q{k}") for k, v in enumerate(values)]).first()
+    firsts = rows.groupBy("size", "text_crc32").agg(*[F.min(c).alias(c) for c in ("lang", "source", "doc_id")])
+    dims = [cell(v, list(bounds or [])) for v, bounds in zip(values, quantiles)]
+    placed = firsts.select("size", "text_crc32", hilbert_index(dims, BITS).alias("curve"))
+    return rows.join(placed, ["size", "text_crc32"]).select(*rows.columns, "curve")
 
 
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -139,6 +139,26 @@ def test_hilbert_curve_steps_by_one(spark):
     assert all(sum(abs(x[k] - y[k]) for k in range(3)) == 1 for x, y in zip(rows, rows[1:]))
 
 
+def test_groups_of_equal_texts_are_parted_by_cuts_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.shards(docs).join(docs.select("doc_id", F.sha2("text", 256).alias("text")), "doc_id").collect()
+    groups, of = {}, {}
+    for r in rows:
+        groups.setdefault(r.text, set()).add(r.shard)
+        of.setdefault(r.text, []).append(r.doc_id)
+    assert sum(len(ids) > 1 for ids in of.values()) > 50
+    assert sum(len(found) > 1 for found in groups.values()) < sharding.SHARDS
+
+
+def test_shards_prune_reads(spark):
+    """Of the documents that are no copies, reads on a stretch of ids, a source or small sizes touch few shards."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    once = docs.join(docs.groupBy("text").count().where("count = 1"), "text", "left_semi")
+    rows = sharding.shards(once).groupBy("shard").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("size").alias("c"), F.collect_set("lang").alias("langs"), F.min("source").alias("e"), F.max("source").alias("f")).collect()
+    touched = [sum(r.a <= 8900 and r.b >= 8800 for r in rows), sum(r.c < 120 for r in rows), sum("de" in r.langs for r in rows), sum(r.e <= "src15" <= r.f for r in rows)]
+    assert max(touched) < sharding.SHARDS and sum(touched) <= 0.65 * 4 * sharding.SHARDS, touched
+
+
 def test_shards_are_even_and_gapless(spark, corpus, tmp_path):
     rows = sharding.op8_sharding(spark, SF).collect()
     texts = {r.doc_id: r.text for r in corpus.collect()}
