@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brindle.functions.findings import choose, occurrence_key, severity_rank, tier
-from brindle.operators.risk import canonical
+from brindle.operators.reports import review_order
+from brindle.operators.risk import by_risk, canonical, places
 
 # Severities in the vocabularies of the formats.
 SARIF_LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
@@ -97,3 +98,72 @@ def to_graph(edges: DataFrame, source: str, target: str, style: str = "mermaid")
     else:
         line = F.concat(F.lit("  "), source, F.when(forbidden, " -.->|").otherwise(" -->|"), F.col("n").cast("string"), F.lit("| "), target)
     return edges.orderBy(source, target).select(line.alias("value"))
+
+
+def to_console(findings: DataFrame, top: int | None = None) -> DataFrame:
+    """Lines for a terminal: where, how grave and how certain, what; all of them or the riskiest."""
+    line = F.format_string("%s:%d  [%s %d%%] %s %s", F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(1)), "severity", "confidence", "rule", F.coalesce("message", F.lit("")))
+    order = by_risk() if "risk" in findings.columns else canonical()
+    rows = findings.orderBy(*order)
+    return (rows if top is None else rows.limit(top)).select(line.alias("value"))
+
+
+def to_triage(findings: DataFrame, top: int = 20) -> DataFrame:
+    """(path, rule, n_findings, risk, value): the riskiest places, one line each."""
+    found = places(findings).orderBy(F.desc("risk"), "path", "rule").limit(top)
+    return found.withColumn("value", F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit("  "), F.col("rule"), F.when(F.col("n_findings") > 1, F.concat(F.lit(" x"), F.col("n_findings").cast("string"))).otherwise("")))
+
+
+def to_diff(compared: DataFrame) -> DataFrame:
+    """Lines of a comparison: what is new, then what is resolved; what was there before is only counted."""
+    mark = F.when(F.col("state") == "new", "+").when(F.col("state") == "resolved", "-").otherwise(" ")
+    rows = compared.where("state <> 'existing'").withColumn("_o", F.when(F.col("state") == "new", 0).otherwise(1))
+    line = F.concat(mark, F.lit(" "), F.coalesce("path", F.lit("")), F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("1")), F.lit(" "), F.col("rule"), F.lit(" "), F.coalesce("message", F.lit("")))
+    return rows.orderBy("_o", *canonical()).select(line.alias("value"))
+
+
+def diff_counts(compared: DataFrame) -> DataFrame:
+    """One row: how many are new, existing and resolved."""
+    n = lambda s: F.sum(F.when(F.col("state") == s, 1).otherwise(0)).alias(s)
+    return compared.agg(*[F.coalesce(n(s), F.lit(0)).alias(s) for s in ("new", "existing", "resolved")])
+
+
+def diff_document(compared: DataFrame) -> DataFrame:
+    """One row: a comparison as JSON, its counts and its new and resolved findings."""
+    part = lambda s: _ordered(with_keys(compared.where(F.col("state") == s)), json_rows(compared)).withColumnRenamed("rows", s)
+    counts = diff_counts(compared).select(F.struct("new", "existing", "resolved").alias("counts"))
+    return counts.crossJoin(part("new")).crossJoin(part("resolved")).select(F.to_json(F.struct(F.lit(1).alias("schema"), "counts", "new", "resolved")).alias("document"))  # one row each
+
+
+def diff_annotations(compared: DataFrame) -> DataFrame:
+    """Workflow commands for what is new."""
+    return to_annotations(compared.where("state = 'new'"))
+
+
+def to_review(compared: DataFrame, top: int = 20) -> DataFrame:
+    """A reviewer's table: the riskiest new findings, those in changed lines marked."""
+    here = F.when(F.col("in_hunk"), " (changed here)").otherwise("") if "in_hunk" in compared.columns else F.lit("")
+    row = F.concat(F.lit("| "), F.round("risk", 1).cast("string"), F.lit(" | `"), F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit("` | "), F.col("rule"), here, F.lit(" |"))
+    return review_order(compared).limit(top).select(row.alias("value"))
+
+
+def to_feedback(compared: DataFrame, edited: DataFrame) -> DataFrame:
+    """What an editing agent is told after it changed files: new findings in these files."""
+    mine = compared.where("state = 'new'").join(edited.select("path").distinct(), "path", "left_semi")
+    return to_console(mine)
+
+
+def to_fixer(findings: DataFrame, fixable: list[str]) -> DataFrame:
+    """One row: the rules that a fixer knows and the files that it should open, both sorted."""
+    rows = findings.where(F.col("rule").isin(fixable))
+    return rows.agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.array_sort(F.collect_set("path")).alias("paths"))
+
+
+def graph_document(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """One row: role edges as JSON."""
+    one = F.struct(F.col(source).alias("from"), F.col(target).alias("to"), "n", "n_forbidden")
+    return edges.agg(F.array_sort(F.collect_list(one)).alias("edges")).select(F.to_json(F.struct("edges")).alias("document"))
+
+
+#: Formats by name: each takes findings and gives rows with ``value`` or one ``document``.
+FORMATS = {"console": to_console, "github": to_annotations, "gitlab": to_code_quality, "markdown": to_markdown, "sarif": to_sarif}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from difflib import get_close_matches
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -143,3 +144,60 @@ def findings_from(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Findings held in memory."""
     names = [field.split()[0] for field in FINDINGS.split(", ")]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], FINDINGS)
+
+
+def covers(path: Column, roots: list[str], exclude: list[str]) -> Column:
+    """Whether a path lies below one of the roots (all paths, if there are none) and is not excluded."""
+    inside = reduce(lambda a, b: a | b, [(path == r.rstrip("/")) | path.startswith(f"{r.rstrip('/')}/") for r in roots], F.lit(not roots))
+    return inside & ~excluded(path, exclude)
+
+
+def write_baseline(findings: DataFrame, path: str, score: int, generated_at: str) -> None:
+    """Write the baseline of findings as one document, entries in their order."""
+    entry = F.struct("path", "rule", "id", "fingerprint", "count", "message")
+    rows = baseline_of(findings).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+    named = F.transform("e", lambda x: F.struct(x["id"].alias("id"), x["rule"].alias("rule"), x["path"].alias("file"), x["fingerprint"].alias("fingerprint"), x["count"].alias("count"), x["message"].alias("message")))
+    document = F.struct(F.lit(1).cast("long").alias("schema"), F.lit("brindle").alias("tool"), F.lit(generated_at).alias("generated_at"), F.lit(score).cast("long").alias("score"), "total", named.alias("entries"))
+    rows.select(F.to_json(document).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+# Where coverage reports usually lie.
+COVERAGE_FILES = ["coverage.xml", "clover.xml", "build/logs/clover.xml", "build/coverage.xml", "cobertura.xml"]
+
+
+def find_coverage(spark: SparkSession, root: str, asked: str | None = None, configured: str | None = None) -> DataFrame | None:
+    """(path, ratio) from the asked report, the configured one, or the first usual one; its content tells
+    its format. Nothing where there is none; an asked report that is not there raises."""
+    def there(file: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{file}")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    if asked and not there(asked):
+        raise FileNotFoundError(asked)
+    for file in filter(None, [asked, configured, *COVERAGE_FILES]):
+        if there(file):
+            head = spark.read.text(f"{root}/{file}").limit(20).agg(F.concat_ws("\n", F.collect_list("value")).alias("h")).first().h
+            return (cobertura if "line-rate" in head else clover)(spark, f"{root}/{file}", root)
+    return None
+
+
+def composer(spark: SparkSession, file: str) -> tuple[DataFrame, DataFrame]:
+    """(namespace, folder) of the autoload roots and (package) of what is required, from a composer file."""
+    kind = "map<string,string>"
+    schema = f"autoload struct<`psr-4`:{kind}>, `autoload-dev` struct<`psr-4`:{kind}>, require {kind}, `require-dev` {kind}"
+    doc = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(file)
+    either = lambda a, b: F.map_concat(F.coalesce(a, F.create_map().cast(kind)), F.map_filter(F.coalesce(b, F.create_map().cast(kind)), lambda k, _: ~F.map_contains_key(F.coalesce(a, F.create_map().cast(kind)), k)))
+    roots = doc.select(F.explode(either(F.col("autoload.psr-4"), F.col("autoload-dev.psr-4"))).alias("namespace", "folder"))
+    packages = doc.select(F.explode(F.map_keys(either(F.col("require"), F.col("require-dev")))).alias("package"))
+    return roots, packages
+
+
+def checked_config(given: dict, known: dict[str, type | tuple]) -> dict:
+    """The given settings; a wrong type or an unknown name raises, with the nearest known name."""
+    for name, value in given.items():
+        if name not in known:
+            near = get_close_matches(name, known, 1)
+            raise ValueError(f"unknown setting {name}" + (f", did you mean {near[0]}?" if near else ""))
+        if not isinstance(value, known[name]):
+            raise TypeError(f"setting {name} has the wrong type")
+    return given

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.session import checkpoint_dir
 
@@ -17,6 +17,32 @@ from brindle.session import checkpoint_dir
 EAGER_POLLS, FIRST_DELAY, CEILING, COST_FACTOR = 4, 0.25, 2.0, 10.0
 
 
+def listing(spark: SparkSession, root: str, suffix: str = ".php") -> DataFrame:
+    """(path, stamp) of the files below a root: one poll. Only names, times and sizes are read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
+    return raw.select("path", F.concat_ws(":", F.unix_millis("modificationTime").cast("string"), F.col("length").cast("string")).alias("stamp"))
+
+
+class Facts:
+    """Facts of files by path and stamp: a new listing parses what it does not know and forgets what is gone."""
+
+    def __init__(self, parse: Callable[[DataFrame], DataFrame]):
+        self.parse, self.stamps, self.rows = parse, None, None
+
+    def sync(self, now: DataFrame) -> DataFrame:
+        """The facts (path, ...) of all files of a listing (path, stamp); only changed files are parsed."""
+        checkpoint_dir(now.sparkSession)
+        now = now.select("path", "stamp").checkpoint()
+        if self.stamps is None:
+            self.rows = self.parse(now).checkpoint()
+        else:
+            same = now.join(self.stamps, ["path", "stamp"], "left_semi")
+            kept = self.rows.join(same.select("path"), "path", "left_semi")
+            self.rows = kept.unionByName(self.parse(now.join(same, ["path", "stamp"], "left_anti"))).checkpoint()
+        self.stamps = now
+        return self.rows
+
+
 def changes(before: DataFrame, now: DataFrame) -> DataFrame:
     """Paths that appeared, vanished, or have another stamp."""
     old, new = before.select("path", F.col("stamp").alias("_old")), now.select("path", F.col("stamp").alias("_new"))

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions.findings import identity
@@ -71,3 +72,66 @@ def test_baseline_round_trip(spark, tmp_path):
 def test_counted_baseline(spark):
     text = ["parameters:", "  ignoreErrors:", "    -", "      message: '#x#'", "      count: 2", "      path: a.php", "    -", "      count: 3", "      path: a.php"]
     assert [tuple(r) for r in files.counted_baseline(spark.createDataFrame(list(enumerate(text)), "n long, line string")).collect()] == [("a.php", 5)]
+
+
+def compared(spark):
+    rows = files.findings_from(spark, [
+        {"rule": "R1", "name": "one", "category": "performance", "severity": "high", "confidence": 90, "path": "a.php", "line": 3, "message": "m1", "fingerprint": "x"},
+        {"rule": "R2", "name": "two", "category": "other", "severity": "low", "confidence": 50, "path": "b.php", "line": 1, "message": None, "fingerprint": "y"},
+        {"rule": "R2", "name": "two", "category": "other", "severity": "low", "confidence": 60, "path": None, "line": None, "message": "m3", "fingerprint": "z"},
+    ])
+    state = F.when(F.col("fingerprint") == "x", "new").when(F.col("fingerprint") == "y", "existing").otherwise("resolved")
+    return rows.withColumns({"state": state, "identity": F.col("fingerprint"), "risk": F.col("confidence").cast("double"), "in_hunk": F.lit(True)})
+
+
+def test_diff_and_reading_formats(spark):
+
+
+    rows = compared(spark)
+    assert [r.value for r in sinks.to_diff(rows).collect()] == ["+ a.php:3 R1 m1", "- :1 R2 m3"]
+    assert sinks.diff_counts(rows).first().asDict() == {"new": 1, "existing": 1, "resolved": 1}
+    document = json.loads(sinks.diff_document(rows).first().document)
+    assert (document["counts"]["new"], [f["rule"] for f in document["new"]], [f["fingerprint"] for f in document["resolved"]]) == (1, ["R1"], ["z"])
+    assert [r.value for r in sinks.to_review(rows).collect()] == ["| 90.0 | `a.php:3` | R1 (changed here) |"]
+    assert sinks.diff_annotations(rows).count() == 1 and all(r.value for r in sinks.to_annotations(rows).collect())
+    edited = spark.createDataFrame([("a.php",)], "path string")
+    assert [r.value for r in sinks.to_feedback(rows, edited).collect()] == ["a.php:3  [high 90%] R1 m1"]
+    assert sinks.to_fixer(rows, ["R2"]).first().asDict() == {"rules": ["R2"], "paths": ["b.php"]}
+    assert [r.value for r in sinks.to_triage(rows.where("path IS NOT NULL"), 1).collect()] == ["a.php:3  R1"]
+    assert {name: f(rows).count() > 0 for name, f in sinks.FORMATS.items()} == dict.fromkeys(sinks.FORMATS, True)
+
+
+def test_baselines_coverage_and_settings(spark, tmp_path):
+    files.write_baseline(compared(spark).where("path IS NOT NULL"), str(tmp_path / "base"), 90, "2024-01-01T00:00:00Z")
+    assert [(r.id, r.path, r["count"]) for r in files.read_baseline(spark, str(tmp_path / "base")).collect()] == [("x", "a.php", 1), ("y", "b.php", 1)]
+    assert files.find_coverage(spark, str(tmp_path)) is None
+    (tmp_path / "coverage.xml").write_text('<?xml version="1.0"?>\n<coverage line-rate="0.5">\n<class filename="a.php" line-rate="0.25"></class>\n</coverage>')
+    assert [tuple(r) for r in files.find_coverage(spark, str(tmp_path)).collect()] == [("a.php", 0.25)]
+    with pytest.raises(FileNotFoundError):
+        files.find_coverage(spark, str(tmp_path), "none.xml")
+    (tmp_path / "composer.json").write_text('{"autoload": {"psr-4": {"App\\\\": "app/"}}, "require": {"php": "^8", "x/y": "1"}, "require-dev": {"x/y": "2", "z/z": "1"}}')
+    roots, packages = files.composer(spark, str(tmp_path / "composer.json"))
+    assert [tuple(r) for r in roots.collect()] == [("App\\", "app/")] and sorted(r.package for r in packages.collect()) == ["php", "x/y", "z/z"]
+    (tmp_path / "psalm.xml").write_text('<files>\n <file src="a.php">\n  <X><code>1</code><code>2</code></X>\n </file>\n <file src="b.php"><Y><code><![CDATA[z]]></code></Y></file>\n</files>')
+    assert sorted(tuple(r) for r in files.suppressed_issues(spark, str(tmp_path / "psalm.xml")).collect()) == [("a.php", 2), ("b.php", 1)]
+    row = spark.createDataFrame([("app/x.php",), ("app",), ("apple/x.php",), ("app/vendor/y.php",)], "path string")
+    assert [r.path for r in row.where(files.covers(F.col("path"), ["app/"], ["vendor"])).collect()] == ["app/x.php", "app"]
+    assert files.checked_config({"top": 3}, {"top": int}) == {"top": 3}
+    with pytest.raises(ValueError, match="did you mean top"):
+        files.checked_config({"tpo": 3}, {"top": int})
+
+
+def test_facts_are_kept_by_stamp(spark):
+    from brindle.streaming.watch import Facts, listing  # noqa: F401
+
+    parsed = []
+
+    def parse(rows):
+        parsed.append(sorted(r.path for r in rows.collect()))
+        return rows.select("path", F.concat("path", F.lit("!"), "stamp").alias("fact"))
+
+    facts = Facts(parse)
+    table = lambda *rows: spark.createDataFrame(list(rows), "path string, stamp string")
+    facts.sync(table(("a", "1"), ("b", "1"), ("c", "1")))
+    rows = facts.sync(table(("a", "1"), ("b", "2"), ("d", "1"))).collect()
+    assert parsed == [["a", "b", "c"], ["b", "d"]] and sorted(r.fact for r in rows) == ["a!1", "b!2", "d!1"]
