@@ -40,7 +40,7 @@ SAMPLE_ROWS = 6_000
 VOCABULARY, LEAST_EXAMPLES = 4096, 3
 #: Neighbours that vote, and the weight of the base rate beside them.
 NEIGHBOURS, PRIOR = 15, 0.25
-BLOCK = 128
+BLOCK = 512
 THRESHOLD = 0.7
 #: Neighbours given as evidence.
 EVIDENCE = 3
@@ -85,7 +85,7 @@ class BlockMaxIndex:
     """Postings of unit vectors by word and block, with the greatest weight of each.
 
     The postings of a word in a block are a row of ``BLOCK`` weights; rows of a block lie together, and
-    ``rows`` maps a word to its row there. ``scored`` counts the blocks that queries have scored.
+    ``rows`` maps a word to its row there; weights are kept in single precision. ``scored`` counts the blocks that queries have scored.
     """
 
     def __init__(self, vectors: list[dict[int, float]], n_words: int):
@@ -97,7 +97,7 @@ class BlockMaxIndex:
             part = vectors[block * BLOCK : (block + 1) * BLOCK]
             words = sorted({w for v in part for w in v})
             self.rows[block, words] = np.arange(1, len(words) + 1)
-            held = np.zeros((len(words) + 1, BLOCK))
+            held = np.zeros((len(words) + 1, BLOCK), dtype=np.float32)
             for k, v in enumerate(part):
                 for w, weight in v.items():
                     held[self.rows[block, w], k] = weight
@@ -114,7 +114,7 @@ class BlockMaxIndex:
             if bounds[block] <= 0 or bounds[block] < floor:
                 break
             self.scored += 1
-            found = np.round(q @ self.weights[block][self.rows[block, words]], 9)
+            found = np.round(q @ self.weights[block][self.rows[block, words]].astype(float), 9)
             some = np.flatnonzero(found > floor)
             some = some[some + block * BLOCK != without]
             if len(some):

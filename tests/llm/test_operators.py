@@ -280,7 +280,7 @@ def test_nearest_equals_brute_force():
     for _ in range(300):
         v = {rng.randrange(20): rng.random() for _ in range(rng.randint(1, 5))}
         norm = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({k: x / norm for k, x in v.items()})
+        vectors.append({k: float(np.float32(x / norm)) for k, x in v.items()})
     index = toxicity.BlockMaxIndex(vectors, 20)
     for q in vectors[:60]:
         scores = sorted((-round(sum(q[w] * v.get(w, 0.0) for w in q), 9), k) for k, v in enumerate(vectors))
@@ -312,9 +312,9 @@ def test_toxicity_equals_brute_force(spark, corpus):
     shuffled = toxicity.BlockMaxIndex([{k % 40: 1.0} for k in range(4000)], 40)
     shuffled.nearest({3: 1.0}, 5)
     assert shuffled.scored <= shuffled.n_blocks
-    sorted_index = toxicity.BlockMaxIndex([{k // 100: 1.0} for k in range(4000)], 40)
-    sorted_index.nearest({3: 1.0}, 5)
-    assert sorted_index.scored == 2 < sorted_index.n_blocks  # the bounds of all other blocks are too low
+    in_order = toxicity.BlockMaxIndex([{k // 600: 1.0} for k in range(6000)], 40)
+    in_order.nearest({3: 1.0}, 5)
+    assert in_order.scored <= 2 < in_order.n_blocks  # the bounds of all other blocks are too low
 
 
 def test_network_is_calibrated():
