@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_secret_scans": secret_scans.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }

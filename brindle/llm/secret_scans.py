@@ -350,3 +350,34 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return map_batches(docs, step, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", keeps=True)
+
+
+def _either_case(pattern: str) -> str:
+    """The expression with its letters outside classes in either ASCII case."""
+    parts = re.split(r"(\[[^\]]*\]|\\x20)", pattern)
+    return "".join(p if p.startswith(("[", "\\")) else re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", p) for p in parts)
+
+
+def _spans_sql(k: int, rule: Rule) -> str:
+    """Spans of one rule: a match begins after the parts between matches and the matches before it."""
+    run = rule.group == 0 and rule.least and _RUN.fullmatch(rule.pattern)
+    pattern = _long_run(rule).pattern if run else _either_case(rule.pattern) if rule.flags & re.IGNORECASE else rule.pattern
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT r, {k} AS k, '{rule.kind}' AS kind, a, a + length(m) AS e FROM (
+    SELECT r, m, sum(length(p)) OVER (PARTITION BY r ORDER BY i) + coalesce(sum(length(m)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+    FROM (SELECT r, unnest(x) AS m, unnest(p[1:len(x)]) AS p, unnest(range(len(x))) AS i
+          FROM (SELECT r, regexp_extract_all(t, '{quoted}') AS x, string_split_regex(t, '{quoted}') AS p FROM d)))
+  WHERE length(regexp_extract(m, '{quoted}', {rule.group})) >= {rule.least}"""
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_spans_sql(k, rule) for k, rule in enumerate(RULES))}),
+g AS (SELECT r, string_agg(kind || ':' || a::BIGINT::VARCHAR || ':' || e::BIGINT::VARCHAR, ',' ORDER BY a, k) AS spans,
+             string_agg(kind || ':' || a::BIGINT::VARCHAR || ':' || e::BIGINT::VARCHAR, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base,
+             count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2 FROM s GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""

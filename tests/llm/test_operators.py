@@ -186,6 +186,10 @@ def test_spans_equal_a_plain_scan(spark, corpus):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
 
 
+def test_secret_scans_equal_sql(spark):
+    same(secret_scans.op5_secret_scans(spark, SF), secret_scans.ORACLE)
+
+
 def test_trigram_queries_never_miss():
     rng = random.Random(1)
     samples = ["ghp_" + "a" * 36, "xoxb-0123456789", "AIza" + "b" * 35, "sk_live_" + "c" * 16, "Api_Key='abcdef'", "-----BEGIN RSA PRIVATE KEY-----", "eyJabcdefgh.eyJabcdefgh.abcdefgh", "Bearer " + "t" * 20, "AKIA" + "Z" * 20]
