@@ -13,7 +13,8 @@ from brindle.sources import php
 
 # Names and categories of the rules.
 RULES = {
-    "SL101": ("God Method", "complexity"), "SL102": ("God Class", "complexity"), "SL103": ("Excessive Nesting", "complexity"), "SL105": ("Dead Private Method", "dead-code"),
+    "SL101": ("God Method", "complexity"), "SL102": ("God Class", "complexity"), "SL103": ("Excessive Nesting", "complexity"),
+    "SL104": ("Duplicate Logic", "duplication"), "SL111": ("Copy-Paste Drift", "duplication"), "SL105": ("Dead Private Method", "dead-code"),
     "SL106": ("Unused Constructor Dependency", "dead-code"), "SL107": ("Swallowed Exception", "error-handling"), "SL112": ("Placeholder Implementation", "dead-code"),
     "SL113": ("Long Parameter List", "complexity"), "SL114": ("Nested Ternary", "readability"), "SL204": ("Query Inside Loop", "performance"), "SL206": ("Controller Dependencies", "dependencies"),
     "SL207": ("Service Dependencies", "dependencies"), "SL210": ("Suspicious Model::all()", "performance"), "SL211": ("Missing Route Action", "laravel"), "SL213": ("Destructive GET Route", "laravel"),

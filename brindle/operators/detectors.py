@@ -11,7 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brindle.operators.graphs import vote
+from brindle.functions.text import matches_glob
+from brindle.operators.architecture import family_sizes
+from brindle.operators.graphs import crosses_boundary, vote
+from brindle.operators.structure import drift_pairs, token_symbols
 
 # Vocabularies that the detectors look names up in.
 BROAD_TYPES = ["Throwable", "Exception", "Error", "RuntimeException"]
@@ -313,12 +316,90 @@ def single_implementations(t: DataFrame) -> DataFrame:
     return _finding(rows, "SL303", "low", 63, F.concat("name", F.lit(" has one implementation")), F.col("name"))
 
 
+def bodies(t: DataFrame, ignored: tuple[str, ...] = ("__construct", "__invoke", "up", "down", "definition"), least: int = 8) -> DataFrame:
+    """(id, path, line, class_name, unit, statements, tokens, masked, hash, n_tokens): bodies of methods of
+    enough statements. Variables, literals and classes of static calls are masked; their values are kept apart."""
+    masks = F.when(F.col("kind") == "variable", "V").when(F.col("kind").isin("string", "heredoc", "number"), "L").when((F.col("kind") == "name") & (F.col("a1") == "::"), "C")
+    value = F.when(masks == "V", F.concat(F.lit("var:"), "text")).when(masks == "L", F.concat(F.lit("lit:"), "text")).when(masks == "C", F.concat(F.lit("class:"), "text"))
+    rows = t.where(F.col("unit").isNotNull() & F.col("class_name").isNotNull() & ~F.col("unit").isin(list(ignored)))
+    one = F.struct("n", F.coalesce(masks, "text").alias("token"), value.alias("value"))
+    found = rows.groupBy("path", "class_name", "unit", "unit_line").agg(F.array_sort(F.collect_list(one)).alias("b"), F.sum(F.when(F.col("text") == ";", 1).otherwise(0)).alias("statements"))
+    tokens = F.transform("b", lambda x: x["token"])
+    return found.where(F.col("statements") >= least).select(
+        F.concat_ws(":", "path", "class_name", "unit", "unit_line").alias("id"), "path", F.col("unit_line").alias("line"), "class_name", "unit", "statements", tokens.alias("tokens"),
+        F.filter(F.transform("b", lambda x: x["value"]), lambda v: v.isNotNull()).alias("masked"), F.sha2(F.concat_ws("\x1f", tokens), 256).alias("hash"), F.size("b").alias("n_tokens"),
+    )
+
+
+def duplicate_bodies(found: DataFrame, least: int = 8) -> DataFrame:
+    """Methods whose body has the structure of another one's: the group is counted, its members are not paired."""
+    groups = found.groupBy("hash").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"), F.min("id").alias("first")).where("n > 1")
+    signals = [F.col("statements") >= 2 * least, F.col("paths") > 1, F.col("n") > 2]
+    _, confidence = vote(signals, 0, 70, 7, 90)
+    return _finding(found.join(groups, "hash"), "SL104", "medium", confidence, F.concat(F.lit("has the structure of "), (F.col("n") - 1).cast("string"), F.lit(" other bodies, first "), "first"), _owner())
+
+
+def drifted_bodies(found: DataFrame, budget: int = 28, ratio: float = 0.08, most: int = 5000) -> DataFrame:
+    """Bodies that differ from another by few tokens; each pair is reported at its shorter body."""
+    coded = token_symbols(found.select("id", "tokens", "hash", F.col("n_tokens").cast("long").alias("n_tokens")))
+    pairs, cut = drift_pairs(coded, budget, ratio, most)
+    sizes = family_sizes(pairs, "id_a", "id_b")
+    place = lambda x: found.select(F.col("id").alias(f"id_{x}"), F.col("path").alias(f"path_{x}"))
+    rows = pairs.join(found.withColumnRenamed("id", "id_a"), "id_a").join(place("b"), "id_b").join(sizes.withColumnRenamed("member", "id_a"), "id_a").join(F.broadcast(cut), F.lit(True), "left")
+    _, confidence = vote([F.col("ratio") <= 0.02, F.col("family") >= 3, F.col("path") != F.col("path_b")], 0, 60, 8, 88)
+    said = F.format_string("differs from %s by %d of %d tokens%s", "id_b", "distance", "n_tokens", F.when(F.coalesce("truncated", F.lit(False)), " (not all bodies were compared)").otherwise(""))
+    return _finding(rows, "SL111", "high", confidence, said, F.concat_ws("~", _owner(), "id_b"))
+
+
+def references(t: DataFrame) -> DataFrame:
+    """(path, source, target, line): qualified names that a file imports or writes out, by its first class."""
+    space = t.where((F.lower("text") == "namespace") & (F.col("kind") == "name")).groupBy("path").agg(F.first("a1").alias("space"))
+    own = class_facts(t).groupBy("path").agg(F.min(F.struct("line", "class_name")).alias("c")).join(space, "path", "left").select("path", F.concat_ws("\\", "space", "c.class_name").alias("source"))
+    named = t.where((F.col("kind") == "name") & F.col("text").contains("\\") & (F.lower("b1") != "namespace")).select("path", "line", F.regexp_replace("text", r"^\\", "").alias("target"))
+    return named.join(own, "path").groupBy("path", "source", "target").agg(F.min("line").alias("line")).where("source <> target")
+
+
+def layer_violations(refs: DataFrame, forbidden: list[tuple[str, str]]) -> DataFrame:
+    """References from a layer to one that it may not use; both are patterns of names."""
+    broken = reduce(lambda a, b: a | b, [matches_glob(F.col("source"), s) & matches_glob(F.col("target"), o) for s, o in forbidden], F.lit(False))
+    return _finding(refs.where(broken), "SL304", "medium", 90, F.concat("source", F.lit(" uses "), "target"), F.concat_ws("->", "source", "target"))
+
+
+def boundary_violations(refs: DataFrame, module: str, public: list[str], shared: list[str]) -> DataFrame:
+    """References into another module's internals."""
+    free = reduce(lambda a, b: a | b, [matches_glob(F.col("target"), g) for g in public], F.lit(False))
+    rows = refs.where(crosses_boundary(F.col("source"), F.col("target"), module, free, shared))
+    return _finding(rows, "SL306", "medium", 90, F.concat("source", F.lit(" reaches into "), "target"), F.concat_ws("->", "source", "target"))
+
+
+def forbidden_capabilities(t: DataFrame, roles: list[tuple[str, list[str]]]) -> DataFrame:
+    """What a class does and its kind may not, once for each method and capability: (name pattern, capabilities)."""
+    made = calls(t).where("class_name IS NOT NULL")
+    can = reduce(lambda c, p: (F.when if c is None else c.when)(p[1], p[0]), [(name, test()) for name, test in CAPABILITIES.items()], None)
+    rows = made.withColumn("can", can).where("can IS NOT NULL")
+    forbidden = reduce(lambda a, b: a | b, [matches_glob(F.col("class_name"), g) & F.col("can").isin(list(no)) for g, no in roles], F.lit(False))
+    first = rows.where(forbidden).groupBy("path", "class_name", "unit", "can").agg(F.min("line").alias("line"))
+    return _finding(first, "SL305", "medium", 85, F.concat("class_name", F.lit(" may not: "), "can"), F.concat_ws(":", _owner(), "can"))
+
+
+# What calls tell about a class, by name.
+CAPABILITIES = {
+    "http": lambda: (F.col("on") == "Http") & (F.col("how") == "static") | F.col("name").isin("curl_init", "curl_exec"),
+    "mail": lambda: (F.col("on") == "Mail") & (F.col("how") == "static"),
+    "log": lambda: (F.col("on") == "Log") & (F.col("how") == "static") | (F.col("name") == "logger"),
+    "cache": lambda: (F.col("on") == "Cache") & (F.col("how") == "static"),
+    "files": lambda: (F.col("on") == "Storage") & (F.col("how") == "static") | F.col("name").isin("file_put_contents", "fopen", "unlink"),
+    "database": lambda: (F.col("on") == "DB") & (F.col("how") == "static"),
+}
+
+
 def detect(tokens: DataFrame) -> DataFrame:
     """The findings of all detectors of this module."""
     t = context(tokens)
     units = measured(tokens, t)
-    found = routes(t)
+    found, bodies_ = routes(t), bodies(t)
     parts = [
+        duplicate_bodies(bodies_), drifted_bodies(bodies_),
         god_methods(units), god_classes(units, t), dead_private_methods(t), unused_dependencies(t), swallowed_exceptions(t), placeholders(tokens, t),
         long_parameter_lists(t), nested_ternaries(t), queries_in_loops(t), many_dependencies(t), many_dependencies(t, "Service", 7, "SL207"), whole_tables(t),
         missing_actions(found, t), destructive_gets(found), irreversible_migrations(t), models_in_migrations(t), unconstrained_keys(t), single_implementations(t),

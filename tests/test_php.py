@@ -75,3 +75,26 @@ def test_god_methods_and_classes(spark):
     found = detectors.detect(php.tokens(spark.createDataFrame([("b.php", source)], "path string, source string"))).collect()
     assert {r.fingerprint for r in found if r.rule == "SL101"} == {f"Big::m{k}" for k in range(5)}
     assert [(r.fingerprint, r.confidence) for r in found if r.rule == "SL102"] == [("Big", 82)]
+
+
+def test_duplicates_drift_and_layers(spark):
+    from brindle.operators import detectors
+
+    step = lambda k, v: f"$x{k} = ${v}->run({k}, 'a{k}'); if ($x{k}) {{ $y = Order::find($x{k}); }} "
+    body = lambda v, n=30: "".join(step(k, v) for k in range(n)) + "return $y;"
+    drifted = body("m").replace("$x3 = $m->run(3, 'a3');", "$x3 = $m->run(3, 'a3', true);")
+    files = [
+        ("a.php", f"<?php namespace App\\Domain\\Shop; use App\\Http\\Kernel; use App\\Domain\\User\\Internal\\Key; class A {{ function one($m) {{ {body('m')} }} function two($q) {{ {body('q')} }} function few($m) {{ return 1; }} }}"),
+        ("b.php", f"<?php namespace App\\Domain\\User; class B {{ function three($m) {{ {drifted} }} function send() {{ Http::get('x'); Http::get('y'); Log::info('z'); }} }}"),
+    ]
+    t = detectors.context(php.tokens(spark.createDataFrame(files, "path string, source string")))
+    found = detectors.bodies(t)
+    assert sorted(r.fingerprint for r in detectors.duplicate_bodies(found).collect()) == ["A::one", "A::two"]
+    assert {r.confidence for r in detectors.duplicate_bodies(found).collect()} == {77}
+    pairs = detectors.drifted_bodies(found).collect()
+    assert [(r.rule, r.path, r.confidence) for r in pairs] == [("SL111", "a.php", 76)] and "by 2 of" in pairs[0].message
+    refs = detectors.references(t)
+    assert [r.fingerprint for r in detectors.layer_violations(refs, [("App\\Domain\\*", "App\\Http\\*")]).collect()] == ["App\\Domain\\Shop\\A->App\\Http\\Kernel"]
+    crossing = detectors.boundary_violations(refs, r"^App\\Domain\\(\w+)\\", ["App\\Domain\\*\\Api\\*"], ["Shared"]).collect()
+    assert [r.fingerprint for r in crossing] == ["App\\Domain\\Shop\\A->App\\Domain\\User\\Internal\\Key"]
+    assert [(r.fingerprint) for r in detectors.forbidden_capabilities(t, [("B", ["http", "mail"])]).collect()] == ["B::send:http"]
