@@ -16,15 +16,17 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     the known pairs is all that a round costs. The rounds end when one adds no pair.
     """
     known = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).where("child IS NOT NULL AND ancestor IS NOT NULL AND child <> ancestor").distinct()
+    size = known.count()
     while True:
         further = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.child")).select(
             F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth")
         )
         grown = known.unionByName(further).where("child <> ancestor").groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
         grown = grown.checkpoint()
-        if grown.count() == known.count():
+        n = grown.count()
+        if n == size:
             return grown
-        known = grown
+        known, size = grown, n
 
 
 def edge_counts(edges: DataFrame, source: str, target: str, allowed: Column, example: str) -> DataFrame:

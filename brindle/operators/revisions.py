@@ -9,14 +9,23 @@ def partition(current: DataFrame, previous: DataFrame, key: str, order: list[str
     """Rows of both states with ``state``: new, existing (current rows) or resolved (previous rows).
 
     The k-th occurrence of an identity is existing if the other state has k of them. Counts come from a
-    partial aggregation; ordinals are numbered within an identity.
+    partial aggregation and decide most identities as a whole; only those that occur in both states, and
+    more often in the one that is looked at, have their rows numbered.
     """
+    now = _beyond(current, previous, key, order).select(*current.columns, F.when(F.col("_beyond"), "new").otherwise("existing").alias("state"))
+    gone = _beyond(previous, current, key, order).where("_beyond").select(*previous.columns, F.lit("resolved").alias("state"))
+    return now.unionByName(gone)
+
+
+def _beyond(rows: DataFrame, other: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows with ``_beyond``: whether the other state has fewer of the identity than the row's ordinal."""
     count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
-    place = lambda df: df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    now = place(current).join(count(previous, "_n"), key, "left")
-    now = now.withColumn("state", F.when(F.col("_k") <= F.coalesce("_n", F.lit(0)), "existing").otherwise("new"))
-    gone = place(previous).join(count(current, "_n"), key, "left").where(F.col("_k") > F.coalesce("_n", F.lit(0)))
-    return now.drop("_k", "_n").unionByName(gone.drop("_k", "_n").withColumn("state", F.lit("resolved")))
+    both = count(rows, "_own").join(count(other, "_other"), key, "left")
+    known = rows.join(both, key, "left")
+    torn = F.coalesce(F.col("_other") < F.col("_own"), F.lit(False))
+    whole = known.where(~torn).withColumn("_beyond", F.col("_other").isNull())
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return whole.unionByName(known.where(torn).withColumn("_beyond", place > F.col("_other")))
 
 
 def match_baseline(findings: DataFrame, baseline: DataFrame, present: DataFrame | None, order: list[str]) -> tuple[DataFrame, DataFrame]:
