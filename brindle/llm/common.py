@@ -22,7 +22,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, whatever the length of the texts."""
+    """Bound what a Python worker holds at once, whatever the length of the texts. Plans are lazy, so the session
+    keeps these bounds."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
