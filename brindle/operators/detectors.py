@@ -15,6 +15,7 @@ from brindle.functions.text import matches_glob
 from brindle.operators.architecture import family_sizes
 from brindle.operators.graphs import crosses_boundary, vote
 from brindle.operators.structure import drift_pairs, token_symbols
+from brindle.session import checkpoint_dir
 
 # Vocabularies that the detectors look names up in.
 BROAD_TYPES = ["Throwable", "Exception", "Error", "RuntimeException"]
@@ -394,8 +395,10 @@ CAPABILITIES = {
 
 
 def detect(tokens: DataFrame) -> DataFrame:
-    """The findings of all detectors of this module."""
-    t = context(tokens)
+    """The findings of all detectors of this module. What they share is computed once, in the shared folder."""
+    checkpoint_dir(tokens.sparkSession)
+    tokens = tokens.checkpoint()
+    t = context(tokens).checkpoint()
     units = measured(tokens, t)
     found, bodies_ = routes(t), bodies(t)
     parts = [

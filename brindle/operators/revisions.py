@@ -89,6 +89,13 @@ def weakened(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     return both.withColumn("kind", kind).where("kind IS NOT NULL").select(*key, "kind", "old_n", "assertions")
 
 
+def weakened_tests(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """Findings: tests that a revision skips, thins out or deletes; a deletion may be a move and is less certain."""
+    gone = F.col("kind") == "deleted"
+    sure = F.when(gone, 60).when(F.col("kind") == "skipped", 90).otherwise(85)
+    return weakened(before, after, key).select(F.lit("SL503").alias("rule"), F.when(gone, "medium").otherwise("high").alias("severity"), sure.alias("confidence"), *key, "kind")
+
+
 def base_findings(current: DataFrame, previous: DataFrame, changed: DataFrame) -> DataFrame:
     """The findings of the base: those of today outside the changed files, and the earlier ones inside them."""
     paths = changed.select("path").distinct()

@@ -363,15 +363,24 @@ SELECT o_custkey, least(96, 58 + n * 9)::INT AS confidence FROM c WHERE n >= 2
 """
 
 
-def test_weakened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two revisions of tests: events of a user and type in the first and second half of the month."""
+def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type", half.alias("old")).agg(
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type", half.alias("old")).agg(
         F.count("*").alias("assertions"), (F.max("value") > 99).alias("skipped"), F.sum(F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)).alias("looped")
     )
+
+
+def test_weakened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two revisions of tests: events of a user and type in the first and second half of the month."""
+    rows = _tests(spark, sf_dir)
     return revisions.weakened(rows.where("old"), rows.where("NOT old"), ["user_id", "event_type"])
 
 
+def weakened_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tests(spark, sf_dir)
+    return revisions.weakened_tests(rows.where("old"), rows.where("NOT old"), ["user_id", "event_type"])
+
+
 WEAKENED_SQL = """
 WITH r AS (SELECT user_id, event_type, ts < TIMESTAMP '2024-01-16' AS old, count(*)::BIGINT AS n, max(value) > 99 AS skipped, sum((event_id % 5 = 0)::INT)::BIGINT AS looped FROM events GROUP BY ALL),
 j AS (SELECT user_id, event_type, a.n AS old_n, b.n AS assertions,
@@ -381,6 +390,12 @@ SELECT user_id, event_type, kind, old_n, assertions FROM j WHERE kind IS NOT NUL
 """
 
 
+WEAKENED_FINDINGS_SQL = f"""
+SELECT 'SL503' AS rule, CASE kind WHEN 'deleted' THEN 'medium' ELSE 'high' END AS severity, CASE kind WHEN 'deleted' THEN 60 WHEN 'skipped' THEN 90 ELSE 85 END::INT AS confidence, user_id, event_type, kind
+FROM ({WEAKENED_SQL})
+"""
+
+
 def repeated_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views after an equal view by the user with no purchase between the two."""
     events = table(spark, sf_dir, "events").select("user_id", F.lit("s").alias("subject"), "event_id", "event_type")

@@ -27,6 +27,7 @@ QUERIES = {
     "innermost_span": q.innermost_span,
     "vote_signals": q.vote_signals,
     "test_weakened": q.test_weakened,
+    "weakened_findings": q.weakened_findings,
     "repeated_guards": q.repeated_guards,
     "line_runs": q.line_runs,
     "growth": q.growth,
@@ -58,6 +59,7 @@ ORACLES = {
     "innermost_span": q.INNER_SQL,
     "vote_signals": q.VOTE_SQL,
     "test_weakened": q.WEAKENED_SQL,
+    "weakened_findings": q.WEAKENED_FINDINGS_SQL,
     "repeated_guards": q.GUARD_SQL,
     "line_runs": q.RUNS_SQL,
     "growth": q.GROWTH_SQL,
