@@ -21,11 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def short_batches(spark: SparkSession) -> None:
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what a Python worker holds at once, whatever the length of the texts. Plans are lazy, so the session
     keeps these bounds."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

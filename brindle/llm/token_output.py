@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,6 +52,10 @@ MAGIC = b"RANS0001"
 #: old one and the one before is forgotten; chunks found in the old one become young again. Longer ones are
 #: not remembered. Chunks that the library encodes together.
 CHUNKS, LONGEST_KEPT, TOGETHER = 500_000, 64, 4096
+#: Texts that are encoded together, unless their bytes end the batch before.
+ENCODED_ROWS = 8192
+# White space by Unicode, and the separators that only some engines count.
+_SPACES = "\t\n\x0b\x0c\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _HEAD = struct.Struct("<8sQIIIIII")  # magic, ids, lanes, checkpoints, words, documents, crc of words, crc of ids
 
 
@@ -187,7 +192,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         added = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.whole = re.compile("|".join([r"\s\s", *map(re.escape, added.values())])).search
+        self.whole = "|".join([f"[{_SPACES}]{{2}}", *map(re.escape, added.values())])
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]  # as the vocabulary writes it
         self.spaced = np.zeros(self.size, dtype=bool)
         self.spaced[[k for t, k in self.tokenizer.get_vocab().items() if t[0] == space and k not in added]] = True
@@ -196,24 +201,55 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the library gives them for the whole text."""
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends[:-1]], ends)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has; a null counts as empty.
+
+        The batch's chunks are numbered, each number's ids looked up once, and all ids gathered at once.
+        """
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.whole)
+        parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        offsets, coded = parts.offsets.to_numpy().astype(np.int64), parts.values.dictionary_encode()
+        firsts, index = offsets[:-1], coded.indices.to_numpy().astype(np.int64)
+        behind = np.ones(len(index), dtype=bool)  # a space stands before the chunk
+        behind[firsts] = False
+        used = np.zeros(len(coded.dictionary), dtype=bool)
+        used[index[behind]] = True
+        ids = self._chunks(coded.dictionary.filter(pa.array(used)).to_pylist())
+        heads = pc.if_else(whole, texts, parts.values.take(pa.array(firsts))).to_pylist()
+        index = (np.cumsum(used) - 1)[index]
+        index[firsts] = len(ids) + np.arange(len(firsts))
+        ids += [x.tobytes() for x in self._library(heads)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[index]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[index] - (ends - each), each) + np.arange(int(ends[-1]))
+        return np.frombuffer(b"".join(ids), dtype="<u4")[at], np.diff(ends[offsets[1:] - 1], prepend=0)
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, each behind a space."""
         if len(self.young) > CHUNKS:
             self.young, self.old = {}, self.young
-        rows = [None if self.whole(text) else text.split(" ") for text in texts]
-        wanted = set().union(*(row[1:] for row in rows if row))
-        missing = [x for x in wanted if x not in self.young]
-        self.young.update((x, self.old[x]) for x in missing if x in self.old)
-        new = [x for x in missing if x not in self.old]
+        young, old = self.young, self.old
+        missing = [x for x in chunks if x not in young]
+        young.update((x, old[x]) for x in missing if x in old)
+        new = [x for x in missing if x not in old]
         for at in range(0, len(new), TOGETHER):
             part = new[at : at + TOGETHER]
             ids = self._library(["".join([f" {x}" for x in part])])[0]
             raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
-            self.young.update((x, raw[i:j]) for x, i, j in zip(part, cuts, [*cuts[1:], len(raw)], strict=True))
-        others = [row[0] if row else text for row, text in zip(rows, texts)]
-        get = self.young.__getitem__
-        out = [head.tobytes() + b"".join(map(get, row[1:])) if row else head.tobytes() for row, head in zip(rows, self._library(others))]
+            young.update((x, raw[i:j]) for x, i, j in zip(part, cuts, [*cuts[1:], len(raw)], strict=True))
+        out = list(map(young.__getitem__, chunks))
         for x in new:
             if len(x) > LONGEST_KEPT:
-                self.young.pop(x)
+                young.pop(x)
         return out
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -230,12 +266,16 @@ def _ids(docs: DataFrame, path: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = [np.append(np.frombuffer(x, dtype="<u4"), END).astype(kind) for x in encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])]
-            sizes = np.array([len(x) for x in rows], dtype=np.int64)
-            starts = before + np.cumsum(sizes) - sizes
+            ids, sizes = encoder(path).encode_column(batch.column("text"))
+            raw = np.insert(ids, np.cumsum(sizes), END).astype(kind)
+            sizes = sizes + 1
+            ends = np.cumsum(sizes)
+            starts = before + ends - sizes
             before += int(sizes.sum())
-            arrays = [pa.array(np.full(len(rows), part), pa.int32()), pa.array(starts, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x.tobytes() for x in rows], pa.binary())], ["part", "before", "doc_id", "n", "ids"])
+            cuts = np.concatenate([[0], ends * raw.dtype.itemsize]).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+            arrays = [pa.array(np.full(len(sizes), part), pa.int32()), pa.array(starts, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), binary]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "before", "doc_id", "n", "ids"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["doc_id", "tie", "text"]
@@ -270,10 +310,11 @@ def release_shuffles(spark: SparkSession) -> None:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
     """Write the ids of all documents: ``path``/blocks and ``path``/table."""
     spark = docs.sparkSession
-    short_batches(spark)
     size = encoder(vocabulary).size
     kind = "<u2" if size <= 1 << 16 else "<u4"
+    short_batches(spark, ENCODED_ROWS)  # chunks that texts share are looked up once a batch
     rows = staged(_ids(docs, vocabulary, kind), "token-ids")
+    short_batches(spark)
     release_shuffles(spark)
     table = Table(scaled(count_ids(rows, size, kind)))
     totals = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect())
