@@ -14,6 +14,8 @@ LAYERS = [
     "Decorator", "Proxy", "Impl", "Implementation", "Abstract", "Base", "Builder", "Resolver", "Mapper", "Transformer",
 ]
 FAMILY = 3
+# Packages that settle a preset.
+MODULES_PACKAGE, ACTIONS_PACKAGE = "nwidart/laravel-modules", "lorisleiva/laravel-actions"
 
 
 def implementors(inherits: DataFrame, child: str, parent: str) -> DataFrame:
@@ -55,10 +57,10 @@ def preset(segments: DataFrame, suffixes: DataFrame, modules: int, packages: lis
     wide = segments.agg(*[n(s) for s in ("Ports", "Adapters", "Domain", "Application", "Infrastructure", "Actions", "Repositories")])
     named = suffixes.agg(F.coalesce(F.sum(F.when(F.col("suffix") == "Repository", F.col("n"))), F.lit(0)).alias("named"))
     choice = (
-        F.when(F.lit(modules >= 2 or "nwidart/laravel-modules" in packages), "modular")
+        F.when(F.lit(modules >= 2 or MODULES_PACKAGE in packages), "modular")
         .when((F.col("Ports") > 0) | ((F.col("Adapters") > 0) & (F.col("Domain") > 0)), "hexagonal")
         .when((F.col("Domain") > 0) & (F.col("Application") + F.col("Infrastructure") > 0), "ddd")
-        .when(F.lit("lorisleiva/laravel-actions" in packages) | (F.col("Actions") >= FAMILY), "laravel-actions")
+        .when(F.lit(ACTIONS_PACKAGE in packages) | (F.col("Actions") >= FAMILY), "laravel-actions")
         .when((F.col("Repositories") >= 2) | (F.col("named") >= FAMILY), "service-repository")
         .otherwise("laravel")
     )
