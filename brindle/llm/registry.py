@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.llm import bpe, decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sharding, token_output, toxicity
+from brindle.llm import (
+    bpe, decontamination, language_id, merkle_manifest, near_dedup, quality_classifier, quality_rules, secret_scans, sharding, source_divergence, source_mixing,
+    token_output, toxicity,
+)
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -15,9 +18,15 @@ QUERIES = {
     "op5_secret_scans": secret_scans.op5_secret_scans,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_source_mixing": source_mixing.op12_source_mixing,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 
 ORACLES = {
     "op5_secret_scans": secret_scans.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_merkle_manifest": merkle_manifest.ORACLE,
+    "op12_source_mixing": source_mixing.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
