@@ -175,14 +175,15 @@ def described(docs: DataFrame, members: Column, seed: str = SEED) -> DataFrame:
 
 def taken(sized: DataFrame, plan: Plan, repeats: int = REPEATS) -> DataFrame:
     """``sized`` with ``taken``, the words that the mix takes, and ``takes``: the sources they count for, by round."""
+    patterns = F.broadcast(plan.patterns)  # at most MOST_PATTERNS rows, and so is what is left of each
     order = placed(sized, ["pattern", "turn", "doc_id", "size"], "mix")
     mine = Window.partitionBy("part", "pattern").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rows = order.join(before(order, ["pattern"], F.sum("size")).select("part", "pattern", "before"), ["part", "pattern"])
-    rows = rows.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(mine), F.lit(0))).join(plan.patterns.select("pattern", "rest"), "pattern")
+    rows = rows.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(mine), F.lit(0))).join(patterns.select("pattern", "rest"), "pattern")
     rows = staged(rows.withColumn("extra", F.col("ahead") + F.col("size") <= F.col("rest")).drop("before"), "mix-ahead")
     # what is left of each pattern, and the documents that may fill it: a few of each size class
     left = rows.groupBy("pattern").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("left"))
-    spare = rows.where(~F.col("extra") & (F.col("size") > 0)).join(left, "pattern").where("size <= left")
+    spare = rows.where(~F.col("extra") & (F.col("size") > 0)).join(F.broadcast(left), "pattern").where("size <= left")
     grade = F.floor(F.log2("size"))
     first = Window.partitionBy("pattern", "grade").orderBy("turn", "doc_id", "size", "part", "place")
     few = spare.withColumn("grade", grade).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= FILLERS)
@@ -193,7 +194,7 @@ def taken(sized: DataFrame, plan: Plan, repeats: int = REPEATS) -> DataFrame:
         F.struct((s["left"] - f["size"]).alias("left"), F.array_append(s["chosen"], F.struct(f["part"].alias("part"), f["place"].alias("place"))).alias("chosen")),
     ).otherwise(s))
     chosen = few.groupBy("pattern").agg(F.max("left").alias("left"), by_size.alias("fillers")).select(F.inline(walked["chosen"])).withColumn("filler", F.lit(1))
-    held = rows.join(chosen, ["part", "place"], "left").join(plan.patterns.drop("rest"), "pattern")
+    held = rows.join(chosen, ["part", "place"], "left").join(patterns.drop("rest"), "pattern")
     turns = (F.col("rounds") + F.when(F.col("extra") & (F.col("size") > 0), 1).otherwise(0) + F.coalesce("filler", F.lit(0))).cast("int")
     held = held.withColumn("_n", F.when(F.col("size") > 0, turns).otherwise(0))
     # the words of a round lie in the pattern's flow where the document lies in the order
