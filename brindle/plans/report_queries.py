@@ -321,10 +321,18 @@ def placement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands as roles: their types' first words are strong, the last ones weak; parts ask with all words."""
     part = table(spark, sf_dir, "part").withColumn("w", F.split("p_type", " "))
     roles = part.groupBy(F.col("p_brand").alias("role")).agg(F.array_distinct(F.collect_set(F.element_at("w", 1))).alias("strong"), F.collect_set(F.element_at("w", -1)).alias("weak"))
-    roles = roles.withColumn("strong", F.filter("strong", lambda x: F.crc32(F.concat(x, F.col("role"))) % 2 == 0))
     return architecture.placements(part.select(F.col("p_partkey").alias("id"), F.col("w").alias("words")), roles)
 
 
+#: Words of a question meet words of a role; every pair of part and brand that shares none is left out.
+PLACEMENT_SQL = """
+WITH p AS (SELECT p_partkey AS id, p_brand, string_split(p_type, ' ') AS w FROM part),
+s AS (SELECT DISTINCT p_brand AS role, w[1] AS word FROM p), k AS (SELECT DISTINCT p_brand AS role, w[-1] AS word FROM p),
+a AS (SELECT DISTINCT id, unnest(w) AS word FROM p)
+SELECT id, role, sum(points)::BIGINT AS score FROM a JOIN (SELECT role, word, 3 AS points FROM s UNION ALL (SELECT role, word, 1 FROM k ANTI JOIN s USING (role, word))) USING (word) GROUP BY ALL
+"""
+
+
 def roles_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as declarations: the first role that a tree of conditions gives, and the others."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey"), F.concat(F.lit("App\\"), F.replace("p_type", F.lit(" "), F.lit("\\"))).alias("fqn"), F.col("p_brand").alias("path"), F.split("p_name", " ").alias("uses"), F.lower(F.substring_index("p_type", " ", 1)).alias("kind"))
@@ -375,6 +383,6 @@ QUERIES = {
     "base_composition": (base_composition, BASE_SQL), "base_size": (base_size, SIZE_SQL), "base_files": (base_files, BASE_FILES_SQL), "evidence_appended": (evidence_appended, EVIDENCE_SQL),
     "migrations_edited": (migrations_edited, MIGRATIONS_SQL), "classes_misplaced": (classes_misplaced, MISPLACED_SQL), "baselines_grown": (baselines_grown, BASELINES_SQL),
     "implementor_counts": (implementor_counts, IMPLEMENTORS_SQL), "family_sizes": (family_sizes, FAMILY_SQL), "dominant_types": (dominant_types, DOMINANT_SQL),
-    "layer_stacks": (layer_stacks, STACKS_SQL), "preset_choice": (preset_choice, PRESET_SQL), "roles_matched": (roles_matched, MATCHED_SQL),
+    "layer_stacks": (layer_stacks, STACKS_SQL), "preset_choice": (preset_choice, PRESET_SQL), "placement_scores": (placement_scores, PLACEMENT_SQL), "roles_matched": (roles_matched, MATCHED_SQL),
     "first_mentions": (first_mentions, MENTIONS_SQL), "nearest_scope": (nearest_scope, SCOPE_SQL),
 }
