@@ -7,7 +7,7 @@ line, message and fingerprint. Tokens carry no types, so names decide where a ty
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,15 +19,34 @@ from brindle.session import checkpoint_dir
 
 # Vocabularies that the detectors look names up in.
 BROAD_TYPES = ["Throwable", "Exception", "Error", "RuntimeException"]
-QUERIES = [
-    "get", "first", "firstOrFail", "find", "findOrFail", "findMany", "sole", "value", "count", "exists", "doesntExist", "sum", "avg",
-    "min", "max", "pluck", "paginate", "where", "whereIn", "whereNull", "whereHas", "query", "all", "create", "update", "insert", "delete",
+# Calls that end a query, that build one, and that write.
+TERMINALS = [
+    "get", "first", "firstOrFail", "find", "findOrFail", "findMany", "sole", "value", "count", "exists", "doesntExist", "sum", "avg", "average", "min", "max",
+    "pluck", "paginate", "simplePaginate", "cursorPaginate", "cursor", "chunk", "firstWhere", "firstOr", "toBase",
+]
+BUILDERS = [
+    "where", "whereIn", "whereNotIn", "whereNull", "whereNotNull", "whereHas", "whereDoesntHave", "orWhere", "query", "newQuery", "select", "join", "leftJoin",
+    "orderBy", "groupBy", "having", "limit", "take", "skip", "offset", "with", "withCount", "withSum", "has",
+]
+WRITES = [
+    "save", "saveOrFail", "create", "createMany", "forceCreate", "update", "updateOrCreate", "firstOrCreate", "firstOrNew", "insert", "insertGetId", "insertOrIgnore",
+    "upsert", "delete", "forceDelete", "destroy", "restore", "truncate", "increment", "decrement", "attach", "detach", "sync", "associate", "push",
+]
+QUERIES = [*TERMINALS, *BUILDERS, *WRITES]
+# Names that are no models.
+NO_MODELS = [
+    "App", "Artisan", "Auth", "Blade", "Broadcast", "Bus", "Cache", "Concurrency", "Config", "Context", "Cookie", "Crypt", "Date", "DB", "Event", "Exceptions", "File", "Gate",
+    "Hash", "Http", "Lang", "Log", "Mail", "Notification", "Number", "Password", "Process", "Queue", "RateLimiter", "Redirect", "Redis", "Request", "Response", "Route",
+    "Schedule", "Schema", "Session", "Storage", "Str", "URL", "Validator", "View", "Vite", "Arr", "Collection", "Pipeline", "Facade", "self", "static", "parent", "Carbon", "Blueprint",
 ]
-NO_MODELS = ["self", "static", "parent", "DB", "Schema", "Route", "Log", "Cache", "Config", "Str", "Arr", "Carbon", "Http", "Mail", "Auth", "Storage", "Session", "Event", "Queue", "Bus", "Date", "Blueprint"]
 MUTATING_ACTIONS = ["store", "update", "destroy", "delete", "remove"]
 MUTATING_WORDS = ["delete", "destroy", "remove", "purge", "erase"]
-UNWRITTEN = r"(?i)^\W*(this )?(method |function |feature )?(is )?(not (yet )?implemented|unimplemented)|^\W*(todo|fixme|tbd|implement me)\b|\b(is )?not (yet )?implemented( yet)?\s*[.!]*\W*$"
-ELIDED = r"(?i)^(\.{2,}|…)\s*(existing|rest|remaining|other|previous|same|unchanged)\b|^(\.{2,}\s*)?(the )?(rest|remainder) of (the |your |this )?(code|implementation|method|logic)\b|^(\.{2,}\s*)?(add|insert|put|write|place) (your |the )?(own )?(logic|code|implementation) here\b"
+# Words of remarks that stand for code that is not there.
+KEPT, LEFT = ["existing", "rest", "remaining", "other", "previous", "same", "unchanged"], ["rest", "remainder"]
+DEMANDS, PLACED = ["add", "insert", "put", "write", "place"], ["logic", "code", "implementation"]
+HELD, GOING = [*PLACED, "method", "function", "body"], PLACED
+PENDING = ["todo", "fixme", "tbd"]
+LONGEST_REMARK = 8
 NO_CALLS = ["if", "elseif", "while", "for", "foreach", "switch", "match", "catch", "array", "list", "isset", "unset", "empty", "function", "fn", "return", "echo", "print", "and", "or", "declare", "use"]
 
 
@@ -61,9 +80,25 @@ def _owner(unit: str = "unit") -> Column:
     return F.concat_ws("::", "class_name", unit)
 
 
+def fact(make):
+    """Facts that several detectors ask of the same tokens: within ``detect`` they are written once."""
+
+    @wraps(make)
+    def get(t: DataFrame) -> DataFrame:
+        made = getattr(t, "_facts", None)
+        if made is None:
+            return make(t)
+        if make.__name__ not in made:
+            made[make.__name__] = make(t).checkpoint()
+        return made[make.__name__]
+
+    return get
+
+
 # --- facts ------------------------------------------------------------------------------------------
 
 
+@fact
 def functions(t: DataFrame) -> DataFrame:
     """Named functions and methods: where they begin, their visibility, and the depths outside them."""
     words = [F.lower(f"b{k}") for k in (1, 2, 3)]
@@ -73,26 +108,40 @@ def functions(t: DataFrame) -> DataFrame:
     return named.select("path", F.col("n").alias("from"), "line", "class_name", F.col("a1").alias("name"), visibility.alias("visibility"), seen("]").alias("attributed"), "paren", "brace")
 
 
+def _closed(t: DataFrame, heads: DataFrame, close: str, depth: str) -> DataFrame:
+    """Heads (path, from, ``depth``, ...) with ``end``: the first closing bracket at the head's own depth. Heads may
+    nest, since both sides meet by (path, depth)."""
+    begins = heads.select("path", F.col("from").alias("n"), F.col(depth).alias("_level"), F.struct(*heads.columns).alias("_head"))
+    ends = t.where((F.col("text") == close) & (F.col("kind") == "operator")).select("path", "n", (F.col(depth) - 1).alias("_level"), F.lit(None).cast(begins.schema["_head"].dataType).alias("_head"))
+    later = Window.partitionBy("path", "_level").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    found = begins.unionByName(ends).withColumn("end", F.min(F.when(F.col("_head").isNull(), F.col("n"))).over(later))
+    return found.where("_head IS NOT NULL AND end IS NOT NULL").select("_head.*", "end")
+
+
 def _within(t: DataFrame, heads: DataFrame, close: str, depth: str) -> DataFrame:
-    """Tokens after a head (path, from, ``depth``) up to where its bracket closes: each token belongs to the
-    last head before it, so that nothing but a file is sorted."""
+    """Tokens between a head and where its bracket closes, for heads whose bracket holds no other: each token looks
+    at the last head before it, so that nothing but a file is sorted."""
     window = Window.partitionBy("path").orderBy("n")
-    own = heads.select("path", F.col("from").alias("n"), F.struct(F.col("from"), F.col(depth).alias("depth")).alias("_h"))
-    rows = t.join(own, ["path", "n"], "left").withColumn("_head", F.last("_h", ignorenulls=True).over(window)).drop("_h").where("_head IS NOT NULL AND n > _head.from")
-    ends = rows.where((F.col("text") == close) & (F.col("kind") == "operator") & (F.col(depth) == F.col("_head.depth") + 1)).groupBy("path", F.col("_head.from").alias("from")).agg(F.min("n").alias("_end"))
-    return rows.withColumn("from", F.col("_head.from")).withColumn("base", F.col("_head.depth")).join(ends, ["path", "from"]).where("n < _end").drop("_head", "_end")
+    own = _closed(t, heads, close, depth).select("path", F.col("from").alias("n"), F.struct(F.col("from"), F.col(depth).alias("depth"), "end").alias("_h"))
+    rows = t.join(own, ["path", "n"], "left").withColumn("_head", F.last("_h", ignorenulls=True).over(window)).where("n > _head.from AND n < _head.end")
+    return rows.withColumn("from", F.col("_head.from")).withColumn("base", F.col("_head.depth")).drop("_head", "_h")
 
 
 def parameters(t: DataFrame, heads: DataFrame) -> DataFrame:
-    """(path, from, name, type, promoted): the parameters of functions."""
-    rows = _within(t, heads, ")", "paren").where((F.col("kind") == "variable") & (F.col("paren") == F.col("base") + 1) & ~F.col("b1").isin("=", "."))
-    spread = F.col("b1").isin("...", "&")
-    kind = F.when(spread, F.col("b2")).otherwise(F.col("b1"))
-    words = F.array(*[F.lower(f"b{k}") for k in (1, 2, 3)])
-    promoted = F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("private", "protected", "public", "readonly")]))
-    return rows.select("path", "from", F.substring("text", 2, 200).alias("name"), F.when(kind.rlike(r"^\\?[A-Za-z_]"), kind).alias("type"), promoted.alias("promoted"))
-
-
+    """(path, from, name, type, promoted, visibility): the parameters of functions; a parameter is what lies between
+    two commas of the list."""
+    rows = _within(t, heads, ")", "paren")
+    comma = (F.col("text") == ",") & (F.col("kind") == "operator") & (F.col("paren") == F.col("base") + 1)
+    rows = rows.withColumn("_p", F.sum(comma.cast("int")).over(Window.partitionBy("path", "from").orderBy("n")))
+    word = lambda w: F.max(((F.lower("text") == w) & (F.col("kind") == "name")).cast("int")) == 1
+    shown = F.when(word("private"), "private").when(word("protected"), "protected").when(word("public") | word("readonly"), "public")
+    marks = rows.groupBy("path", "from", "_p").agg(shown.alias("visibility"))
+    named = rows.where((F.col("kind") == "variable") & (F.col("paren") == F.col("base") + 1) & ~F.col("b1").isin("=", ".")).join(marks, ["path", "from", "_p"])
+    kind = F.when(F.col("b1").isin("...", "&"), F.col("b2")).otherwise(F.col("b1"))
+    return named.select("path", "from", F.substring("text", 2, 200).alias("name"), F.when(kind.rlike(r"^\\?[A-Za-z_]"), kind).alias("type"), F.col("visibility").isNotNull().alias("promoted"), "visibility")
+
+
+@fact
 def calls(t: DataFrame) -> DataFrame:
     """Calls of functions, methods and static methods: the name, how it is called, and on what."""
     how = F.when(F.col("b1").isin("->", "?->"), "method").when(F.col("b1") == "::", "static").when(F.lower("b1") == "new", "new").otherwise("function")
@@ -100,6 +149,7 @@ def calls(t: DataFrame) -> DataFrame:
     return some.select("path", "n", "line", "class_name", "unit", "unit_line", "loop", "b1", "b3", "a1", "a2", "a3", F.col("text").alias("name"), how.alias("how"), F.when(how != "function", F.col("b2")).alias("on"))
 
 
+@fact
 def class_facts(t: DataFrame) -> DataFrame:
     """Class-like declarations with their kind, parent and interfaces' number."""
     kind = F.lower("text")
@@ -107,6 +157,16 @@ def class_facts(t: DataFrame) -> DataFrame:
     return heads.select("path", F.col("line"), kind.alias("class_kind"), F.col("a1").alias("class_name"), F.when(F.lower("a2") == "extends", F.col("a3")).alias("parent"))
 
 
+@fact
+def trait_uses(t: DataFrame) -> DataFrame:
+    """(path, class_name, trait): the traits that classes use, by short name."""
+    here = Window.partitionBy("path", "class_name").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    own = t.where("class_name IS NOT NULL AND unit IS NULL")
+    mark = F.when((F.lower("text") == "use") & (F.col("kind") == "name"), True).when(F.col("text").isin(";", "{", "}"), False)
+    rows = own.withColumn("_u", F.last(mark, ignorenulls=True).over(here)).where((F.col("kind") == "name") & F.col("_u") & (F.lower("text") != "use"))
+    return rows.select("path", "class_name", F.substring_index("text", "\\", -1).alias("trait")).distinct()
+
+
 # --- detectors --------------------------------------------------------------------------------------
 
 
@@ -159,36 +219,87 @@ def dead_private_methods(t: DataFrame) -> DataFrame:
 
 
 def unused_dependencies(t: DataFrame) -> DataFrame:
-    """Promoted constructor parameters of an object type that the class never reads."""
+    """Promoted constructor parameters of an object type that neither the class nor a trait of it reads: private ones,
+    and protected ones of a class that no other extends. Of classes with an unknown trait nothing is said."""
     heads = functions(t).where("name = '__construct' AND class_name IS NOT NULL")
-    wanted = parameters(t, heads).where(F.col("promoted") & F.col("type").rlike("^\\\\?[A-Z]")).join(heads.select("path", "from", "class_name", "line"), ["path", "from"])
-    reads = t.where(F.col("b1").isin("->", "?->") & (F.col("b2") == "$this") & (F.col("kind") == "name")).select("path", "class_name", F.col("text").alias("name"))
-    return _finding(wanted.join(reads.distinct(), ["path", "class_name", "name"], "left_anti"), "SL106", "medium", 88, F.format_string("%s never reads its dependency $%s", "class_name", "name"), _owner("name"))
+    wanted = parameters(t, heads).where(F.col("type").rlike("^\\\\?[A-Z]")).join(heads.select("path", "from", "class_name", "line"), ["path", "from"])
+    extended = class_facts(t).select(F.substring_index("parent", "\\", -1).alias("class_name")).where("class_name IS NOT NULL").distinct()
+    open_ = wanted.where("visibility = 'protected'").join(extended, "class_name", "left_anti").unionByName(wanted.where("visibility = 'private'").select("class_name", *[c for c in wanted.columns if c != "class_name"]))
+    uses, traits = trait_uses(t), class_facts(t).where("class_kind = 'trait'").select(F.col("class_name").alias("trait")).distinct()
+    unknown = uses.join(traits, "trait", "left_anti").select("path", "class_name").distinct()
+    reads = t.where(F.col("b1").isin("->", "?->") & (F.col("b2") == "$this") & (F.col("kind") == "name")).select("path", "class_name", F.col("text").alias("name")).distinct()
+    lent = uses.join(reads.select(F.col("class_name").alias("trait"), "name"), "trait").select("path", "class_name", "name")
+    rows = open_.join(unknown, ["path", "class_name"], "left_anti").join(reads.unionByName(lent).distinct(), ["path", "class_name", "name"], "left_anti")
+    return _finding(rows, "SL106", "medium", 88, F.format_string("%s never reads its dependency $%s", "class_name", "name"), _owner("name"))
 
 
 def swallowed_exceptions(t: DataFrame) -> DataFrame:
-    """Catch blocks that neither throw, print, call nor record anything."""
-    heads = t.where((F.lower("text") == "catch") & (F.col("a1") == "(") & (F.col("kind") == "name")).select("path", F.col("n").alias("from"), "line", "class_name", "unit", "brace", F.substring_index("a2", "\\", -1).alias("type"))
-    body = _within(t, heads, "}", "brace").where(F.col("brace") > F.col("base"))
+    """Catch blocks that neither throw, print, call nor record anything, whatever other blocks they hold."""
     acts = F.lower("text").isin("throw", "echo", "print") & (F.col("kind") == "name") | ((F.col("kind") == "name") & (F.col("a1") == "(") & ~F.lower("text").isin(NO_CALLS)) | ((F.col("kind") == "name") & F.col("b1").isin("->", "::") & (F.col("a1") == "="))
-    seen = body.groupBy("path", "from").agg(F.max(acts.cast("int")).alias("acts"), F.count("*").alias("size"))
-    rows = heads.join(seen, ["path", "from"], "left").where("coalesce(acts, 0) = 0")
-    broad, empty = F.col("type").isin(BROAD_TYPES), F.coalesce("size", F.lit(0)) == 0
+    # what a block holds is the difference of running counts at its ends
+    sofar = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = t.withColumns({"_acts": F.sum(acts.cast("int")).over(sofar), "_k": F.row_number().over(Window.partitionBy("path").orderBy("n"))})
+    heads = rows.where((F.lower("text") == "catch") & (F.col("a1") == "(") & (F.col("kind") == "name")).select("path", F.col("n").alias("from"), "line", "class_name", "unit", "brace", F.substring_index("a2", "\\", -1).alias("type"))
+    begin = _closed(rows.withColumn("text", F.when((F.col("text") == "{") & (F.col("kind") == "operator"), "begin").otherwise(F.col("text"))).withColumn("brace", F.when(F.col("text") == "begin", F.col("brace") + 1).otherwise(F.col("brace"))), heads, "begin", "brace").withColumnRenamed("end", "begin")
+    both = _closed(rows, begin, "}", "brace")
+    at = lambda c: rows.select("path", F.col("n").alias(c), F.col("_acts").alias(f"{c}_acts"), F.col("_k").alias(f"{c}_k"))
+    held = both.join(at("begin"), ["path", "begin"]).join(at("end"), ["path", "end"]).where("end_acts = begin_acts").withColumn("size", F.col("end_k") - F.col("begin_k") - 1)
+    broad, empty = F.col("type").isin(BROAD_TYPES), F.col("size") == 0
     sure = F.when(empty, F.when(broad, 96).otherwise(92)).otherwise(F.when(broad, 84).otherwise(66))
     key = F.concat_ws(":", _owner(), "type")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("path", key).orderBy("from")))
-    return _finding(rows, "SL107", "high", sure, F.concat(F.lit("catches "), "type", F.when(empty, " and does nothing at all").otherwise(" without recording the failure")), F.when(F.col("_k") == 1, key).otherwise(F.concat_ws("#", key, "_k")))
+    found = held.withColumn("_k", F.row_number().over(Window.partitionBy("path", key).orderBy("from")))
+    message = F.concat("type", F.when(empty, " is caught by an empty block").otherwise(" is caught and nobody learns of it"))
+    return _finding(found, "SL107", "high", sure, message, F.when(F.col("_k") == 1, key).otherwise(F.concat_ws("#", key, "_k")))
+
+
+def remark(text: Column) -> Column:
+    """The words of a remark in small letters, without signs and without words that only point."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(words, lambda w: ~w.isin("the", "your", "this", "own", "is", "just", "a"))
+
+
+def _word(words: Column, k: int) -> Column:
+    return F.coalesce(F.get(words, F.lit(k) if k >= 0 else F.size(words) + k), F.lit(""))
+
+
+def elided(text: Column) -> Column:
+    """Whether a comment stands where code was left out: dots around words or before one for what is kept, "rest of
+    the code", "add your logic here", "implementation goes here". Longer comments speak about code."""
+    w = remark(text)
+    dotted = text.rlike(r"^(\.{2,}|\u2026)")
+    framed = text.rlike(r"^\.{2,}\s*\S.*\.{2,}$")
+    kept = dotted & _word(w, 0).isin(KEPT)
+    left = _word(w, 0).isin(LEFT) & (_word(w, 1) == "of") & _word(w, 2).isin(HELD)
+    noun = F.when(_word(w, 1) == "business", _word(w, 2)).otherwise(_word(w, 1))
+    asked = _word(w, 0).isin(DEMANDS) & F.when(_word(w, 1) == "business", (noun == "logic") & (_word(w, 3) == "here")).otherwise(noun.isin(PLACED) & (_word(w, 2) == "here"))
+    goes = _word(w, 0).isin(GOING) & (_word(w, 1) == "goes") & (_word(w, 2) == "here")
+    plain = text.rlike(r"^\p{L}") | text.rlike(r"^\.{2,}")
+    return (F.size(F.split(text, r"\s+")) <= LONGEST_REMARK) & (framed | kept | (plain & (left | asked | goes)))
+
+
+def unwritten(text: Column) -> Column:
+    """Whether a message says that a body is yet to be written: it begins with a mark for what is pending, ends with
+    "not implemented", or is nothing but that or a stub. A message that goes on to say who declined is none."""
+    w = remark(text)
+    core = F.filter(w, lambda x: ~x.isin("yet"))
+    ends = (_word(core, -1) == "implemented") & (_word(core, -2) == "not")
+    bare = F.filter(core, lambda x: ~x.isin("method", "function", "feature", "implementation"))
+    only = (F.size(bare) == 1) & _word(bare, 0).isin("unimplemented", "stub")
+    early = lambda *words: reduce(lambda a, b: a & b, [_word(w, k) == x for k, x in enumerate(words)])
+    begins = _word(w, 0).isin(PENDING) | early("not", "implemented", "yet") | early("not", "yet", "implemented") | early("to", "be", "implemented") | (F.lower(text).rlike(r"^\s*implement me\b"))
+    return begins | ends | only
 
 
 def placeholders(tokens: DataFrame, t: DataFrame) -> DataFrame:
     """Comments that stand for code, and bodies that only throw that they are not written."""
     text = F.trim(F.regexp_replace("text", r"^(//+|#+|/\*+)|\*+/$", ""))
-    elided = _finding(tokens.where((F.col("kind") == "comment") & text.rlike(ELIDED) & (F.size(F.split(text, r"\s+")) <= 8)), "SL112", "high", 92, text, F.concat_ws(":", _owner(), F.lit("elided")))
+    gaps = _finding(tokens.where((F.col("kind") == "comment") & elided(text)), "SL112", "high", 92, text, F.concat_ws(":", _owner(), F.lit("elided")))
     size = t.where("unit IS NOT NULL").groupBy("path", "class_name", "unit", "unit_line").agg(F.sum(F.when(F.col("text") == ";", 1).otherwise(0)).alias("statements"))
-    thrown = t.where((F.col("kind") == "string") & F.col("text").rlike(UNWRITTEN) & (F.col("b1") == "(") & (F.lower("b3") == "new")).select("path", "class_name", "unit", "unit_line", "line", "text")
+    message = F.regexp_replace("text", "^['\"]|['\"]$", "")
+    thrown = t.where((F.col("kind") == "string") & (F.col("b1") == "(") & (F.lower("b3") == "new") & unwritten(message)).select("path", "class_name", "unit", "unit_line", "line", "text")
     same = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("path", "class_name", "unit", "unit_line")])
     only = thrown.alias("x").join(size.where("statements = 1").alias("y"), same).select("x.*")
-    return elided.unionByName(_finding(only, "SL112", "high", 90, F.col("text"), F.concat_ws(":", _owner(), F.lit("unwritten"))))
+    return gaps.unionByName(_finding(only, "SL112", "high", 90, F.col("text"), F.concat_ws(":", _owner(), F.lit("unwritten"))))
 
 
 def long_parameter_lists(t: DataFrame, most: int = 7) -> DataFrame:
@@ -199,13 +310,30 @@ def long_parameter_lists(t: DataFrame, most: int = 7) -> DataFrame:
 
 
 def nested_ternaries(t: DataFrame) -> DataFrame:
-    """Statements in which a ternary stands within another: a second one before the first has ended."""
-    value = F.col("b1").rlike(r"^[\w$'\"\)\]]|^\?->") & ~F.col("b1").isin("return", "fn", "function", "static", "private", "protected", "public", "readonly")
-    marks = t.withColumn("_s", F.sum(F.when(F.col("text").isin(";", "{", "}", ",") & (F.col("kind") == "operator"), 1).otherwise(0)).over(Window.partitionBy("path").orderBy("n")))
-    some = marks.where((F.col("text") == "?") & (F.col("kind") == "operator") & value & (F.col("a1") != ":"))
-    rows = some.groupBy("path", "class_name", "unit", "_s").agg(F.count("*").alias("n"), F.min("line").alias("line")).where("n >= 2")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("path", "class_name", "unit").orderBy("line", "_s")))
-    return _finding(rows, "SL114", F.when(F.col("n") >= 3, "medium").otherwise("low"), F.when(F.col("n") >= 3, 95).otherwise(90), F.format_string("%d ternaries in one expression", "n"), F.concat_ws("#", _owner(), "_k"))
+    """Ternaries whose condition or branch is itself one: a second mark in the same part of the same brackets, or
+    brackets that hold a ternary and stand for a whole branch or condition. Ternaries side by side, in arguments or in
+    other expressions, are none; neither are chains of fallbacks."""
+    value = F.col("b1").rlike(r"^[\w$'\"\)\]]|^\?->") & ~F.lower("b1").isin("return", "fn", "function", "static", "private", "protected", "public", "readonly")
+    sign = F.col("kind") == "operator"
+    rows = t.withColumn("_s", F.sum(F.when(F.col("text").isin(";", "{", "}") & sign, 1).otherwise(0)).over(Window.partitionBy("path").orderBy("n")))
+    opens, closes = sign & F.col("text").isin("(", "["), sign & F.col("text").isin(")", "]")
+    asks = (F.col("text") == "?") & sign & value & (F.col("a1") != ":")
+    parts = sign & F.col("text").isin(",", "=>", ";", "{", "}")
+    some = rows.where(opens | closes | asks | parts).withColumns({"_level": F.when(opens, F.col("paren") + 1).otherwise(F.col("paren")), "_asks": asks, "_part": (opens | parts).cast("int")})
+    level = Window.partitionBy("path", "_level").orderBy("n")
+    around = {
+        "_seg": F.sum("_part").over(level.rowsBetween(Window.unboundedPreceding, 0)),
+        "_open": F.last(F.when(opens, F.struct(F.col("text").alias("t"), F.col("b1").alias("b"))), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, 0)),
+        "_next": F.first(F.when(closes, F.col("a1")), ignorenulls=True).over(level.rowsBetween(0, Window.unboundedFollowing)),
+    }
+    marks = some.withColumns(around).where("_asks")
+    branch = F.col("_open.b").isin("?", ":") & F.col("_next").isin(":", ")", ";", ",", "]")
+    condition = (F.col("_next") == "?") & (F.col("_open.b").isin("=", "(", "[", ",", "=>", "?", ":", "{", ";") | F.lower("_open.b").isin("return", "echo", "print"))
+    wrapped = (F.col("paren") > 0) & (F.col("_open.t") == "(") & (branch | condition)
+    each = marks.groupBy("path", "class_name", "unit", "_s", "_level", "_seg").agg((F.count("*") - 1).alias("_same"), F.sum(wrapped.cast("int")).alias("_wrapped"), F.min("line").alias("line"))
+    found = each.groupBy("path", "class_name", "unit", "_s").agg((F.sum(F.col("_same") + F.col("_wrapped")) + 1).alias("n"), F.min("line").alias("line")).where("n >= 2")
+    found = found.withColumn("_k", F.row_number().over(Window.partitionBy("path", "class_name", "unit").orderBy("line", "_s")))
+    return _finding(found, "SL114", F.when(F.col("n") >= 3, "medium").otherwise("low"), F.when(F.col("n") >= 3, 95).otherwise(90), F.format_string("%d ternaries in one expression", "n"), F.concat_ws("#", _owner(), "_k"))
 
 
 def _static(t: DataFrame) -> DataFrame:
@@ -260,18 +388,24 @@ def destructive_gets(found: DataFrame) -> DataFrame:
 
 
 def missing_actions(found: DataFrame, t: DataFrame) -> DataFrame:
-    """Routes to a method that neither the controller nor its known ancestors have; of controllers with an
-    unknown ancestor nothing is said."""
+    """Routes to a method that neither the controller nor its known ancestors and traits have; of controllers with an
+    unknown ancestor or trait, with one that takes any call, or of a name that is not unique, nothing is said."""
     from brindle.operators.graphs import closure
 
-    facts = class_facts(t).where("class_kind = 'class'").select("class_name", F.substring_index("parent", "\\", -1).alias("parent")).distinct()
-    up = closure(facts.where("parent IS NOT NULL"), "class_name", "parent").select("child", "ancestor")
-    chain = facts.select(F.col("class_name").alias("child"), F.col("class_name").alias("ancestor")).unionByName(up)
-    foreign = chain.join(facts.select(F.col("class_name").alias("ancestor")), "ancestor", "left_anti").select(F.col("child").alias("controller"))
+    named = class_facts(t).where("class_kind IN ('class', 'trait')").select("path", "class_name", "class_kind", F.substring_index("parent", "\\", -1).alias("parent"))
+    facts = named.select("class_name", "parent").distinct()
+    # of names that several declarations share, nothing is known
+    shared = named.groupBy("class_name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class_name").alias("ancestor"))
+    over = facts.where("parent IS NOT NULL").select("class_name", "parent").unionByName(trait_uses(t).select("class_name", F.col("trait").alias("parent"))).distinct()
+    up = closure(over, "class_name", "parent").select("child", "ancestor")
+    chain = facts.select(F.col("class_name").alias("child"), F.col("class_name").alias("ancestor")).unionByName(up).distinct()
     own = functions(t).select(F.col("class_name").alias("ancestor"), F.lower("name").alias("key"))
+    foreign = chain.join(facts.select(F.col("class_name").alias("ancestor")).distinct(), "ancestor", "left_anti")
+    unclear = chain.join(shared.unionByName(own.where("key = '__call'").select("ancestor")).distinct(), "ancestor", "left_semi")
+    silent = foreign.unionByName(unclear).select(F.col("child").alias("controller")).distinct()
     has = chain.join(own, "ancestor").select(F.col("child").alias("controller"), "key").distinct()
     asked = found.where("controller IS NOT NULL AND method IS NOT NULL").withColumn("key", F.lower("method"))
-    known = asked.join(facts.select(F.col("class_name").alias("controller")), "controller", "left_semi").join(foreign, "controller", "left_anti")
+    known = asked.join(named.where("class_kind = 'class'").select(F.col("class_name").alias("controller")).distinct(), "controller", "left_semi").join(silent, "controller", "left_anti")
     return _finding(known.join(has, ["controller", "key"], "left_anti"), "SL211", "high", 92, F.format_string("%s has no method %s", "controller", "method"), F.concat_ws("::", "controller", "method"))
 
 
@@ -399,7 +533,8 @@ def detect(tokens: DataFrame) -> DataFrame:
     checkpoint_dir(tokens.sparkSession)
     tokens = tokens.checkpoint()
     t = context(tokens).checkpoint()
-    units = measured(tokens, t)
+    t._facts = {}
+    units = measured(tokens, t).checkpoint()
     found, bodies_ = routes(t), bodies(t)
     parts = [
         duplicate_bodies(bodies_), drifted_bodies(bodies_),
