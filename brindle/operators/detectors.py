@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from brindle.functions.text import matches_glob
 from brindle.operators.architecture import family_sizes
 from brindle.operators.graphs import crosses_boundary, vote
-from brindle.operators.structure import drift_pairs, token_symbols
+from brindle.operators.structure import drift_pairs
 from brindle.session import checkpoint_dir
 
 # Vocabularies that the detectors look names up in.
@@ -476,8 +476,7 @@ def duplicate_bodies(found: DataFrame, least: int = 8) -> DataFrame:
 
 def drifted_bodies(found: DataFrame, budget: int = 28, ratio: float = 0.08, most: int = 5000) -> DataFrame:
     """Bodies that differ from another by few tokens; each pair is reported at its shorter body."""
-    coded = token_symbols(found.select("id", "tokens", "hash", F.col("n_tokens").cast("long").alias("n_tokens")))
-    pairs, cut = drift_pairs(coded, budget, ratio, most)
+    pairs, cut = drift_pairs(found.select("id", "tokens", "hash"), budget, ratio, most)
     sizes = family_sizes(pairs, "id_a", "id_b")
     place = lambda x: found.select(F.col("id").alias(f"id_{x}"), F.col("path").alias(f"path_{x}"))
     rows = pairs.join(found.withColumnRenamed("id", "id_a"), "id_a").join(place("b"), "id_b").join(sizes.withColumnRenamed("member", "id_a"), "id_a").join(F.broadcast(cut), F.lit(True), "left")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from brindle.operators.ranks import numbered
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def equal_groups(bodies: DataFrame, by: str, least: int = 2) -> DataFrame:
@@ -13,49 +11,48 @@ def equal_groups(bodies: DataFrame, by: str, least: int = 2) -> DataFrame:
     return bodies.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("members"), F.min("id").alias("first")).where(F.col("members") >= least)
 
 
-def token_symbols(bodies: DataFrame) -> DataFrame:
-    """Bodies (id, tokens) with ``symbols``: one code point for each token, the same token the same point.
+def letters(tokens: Column, known: Column) -> Column:
+    """A string with one code point a token: its place among the known tokens, past the surrogates."""
+    place = lambda t: F.array_position(known, t)
+    point = lambda n: F.when(n < 0xD700, n + 255).otherwise(n + 255 + 0x2000)
+    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(point(place(t))), 8, "0")), "UTF-32")), "")
 
-    Then the engine's own bounded edit distance works on tokens. Tokens are numbered by first letterings
-    that avoid surrogates; the dictionary is joined, never collected, and limited to 1.1 million tokens.
-    """
-    words = bodies.select(F.explode("tokens").alias("token")).distinct()
-    found = numbered(words, ["token"], "n")
-    point = F.when(F.col("n") < 0xD700, F.col("n") + 255).otherwise(F.col("n") + 255 + 0x2000)
-    letter = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    coded = bodies.select("id", F.posexplode("tokens").alias("pos", "token")).join(found.select("token", letter.alias("letter")), "token")
-    joined = coded.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("symbols"))
-    return bodies.join(joined, "id")
+
+def token_distance(a: Column, b: Column, bound: int) -> Column:
+    """Edits between two arrays of tokens, -1 beyond the bound. The two alone share a lettering, so it holds for any
+    number of different tokens in the table, and the engine's own bounded distance compares them."""
+    known = F.array_distinct(F.concat(a, b))
+    return F.element_at(F.transform(F.array(known), lambda k: F.levenshtein(letters(a, k), letters(b, k), bound)), 1)
 
 
 def drift_pairs(bodies: DataFrame, budget: int = 28, ratio: float = 0.08, most: int | None = 5000) -> tuple[DataFrame, DataFrame]:
-    """Pairs of bodies (id, symbols, n_tokens, hash) that differ by few edits, and whether the search was cut.
+    """Pairs of bodies (id, tokens, hash) that differ by few edits, and whether the search was cut.
 
     Of equal bodies the one with the least id stands for all. A pair may differ by ``budget`` edits and by
     ``ratio`` of its shorter body. An edit touches two neighbourhoods, so two bodies within k edits share
-    one of the 2k + 1 rarest neighbourhoods (pairs of neighbouring symbols) of each, or have no more than
+    one of the 2k + 1 rarest neighbourhoods (hashes of neighbouring tokens; two alike by chance only meet more) of each, or have no more than
     2k both; bodies meet by these, which keeps what all bodies have in common out of the join. Then they
     pass the exact length gate and the gate of neighbourhoods not shared, and only survivors are compared,
     in the order of (length, id). ``most`` bounds the comparisons, as part of the feature, and the second
     frame tells whether any were left out. None compares them all.
     """
-    held = bodies.where("symbols IS NOT NULL AND hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct("id", "symbols", "n_tokens")).alias("b")).select("hash", "b.*")
+    held = bodies.where("tokens IS NOT NULL AND hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct("id", "tokens")).alias("b")).select("hash", "b.*", F.size("b.tokens").cast("long").alias("n_tokens"))
     edits = F.least(F.lit(budget), F.floor(F.col("n_tokens") * ratio + 1e-9)).cast("int")
-    near = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("symbols") - 1)), lambda k: F.substring("symbols", k, 2)))
+    near = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("tokens") - 2)), lambda k: F.xxhash64(F.get("tokens", k), F.get("tokens", k + 1))))
     held = held.withColumn("edits", edits).where("edits >= 1").withColumn("near", near)
     each = held.select("id", "edits", F.explode("near").alias("gram"))
     counts = each.groupBy("gram").agg(F.count("*").alias("n"))
     rare = each.join(counts, "gram").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("n", "gram"))).where("place <= 2 * edits + 1")
     few = held.where(F.size("near") <= 2 * F.col("edits"))  # these meet by their lengths
-    left = rare.select("id", "gram").unionByName(few.select("id", F.concat(F.lit("\0"), F.col("n_tokens").cast("string")).alias("gram")))
+    left = rare.select("id", "gram", F.lit(False).alias("by_length")).unionByName(few.select("id", F.col("n_tokens").alias("gram"), F.lit(True).alias("by_length")))
     lengths = F.explode(F.sequence(F.col("n_tokens") - F.col("edits"), F.col("n_tokens") + F.col("edits")))
-    right = rare.select("id", "gram").unionByName(few.select("id", lengths.alias("n")).select("id", F.concat(F.lit("\0"), F.col("n").cast("string")).alias("gram")))
-    met = left.select(F.col("id").alias("x"), "gram").join(right.select(F.col("id").alias("y"), "gram"), "gram").where("x <> y")
+    right = rare.select("id", "gram", F.lit(False).alias("by_length")).unionByName(few.select("id", lengths.alias("gram"), F.lit(True).alias("by_length")))
+    met = left.withColumnRenamed("id", "x").join(right.withColumnRenamed("id", "y"), ["gram", "by_length"]).where("x <> y")
     met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    side = lambda x: held.select(*[F.col(k).alias(f"{k}_{x}") for k in ("id", "symbols", "n_tokens", "edits", "near")])
+    side = lambda x: held.select(*[F.col(k).alias(f"{k}_{x}") for k in ("id", "tokens", "n_tokens", "edits", "near")])
     both = met.join(side("a"), F.col("x") == F.col("id_a")).join(side("b"), F.col("y") == F.col("id_b")).drop("x", "y")
     swap = F.struct("n_tokens_b", "id_b") < F.struct("n_tokens_a", "id_a")
-    turned = both.select(*[F.when(swap, F.col(f"{k}_{p}")).otherwise(F.col(f"{k}_{q}")).alias(f"{k}_{q}") for k in ("id", "symbols", "n_tokens", "edits", "near") for p, q in (("b", "a"), ("a", "b"))])
+    turned = both.select(*[F.when(swap, F.col(f"{k}_{p}")).otherwise(F.col(f"{k}_{q}")).alias(f"{k}_{q}") for k in ("id", "tokens", "n_tokens", "edits", "near") for p, q in (("b", "a"), ("a", "b"))])
     apart = F.greatest(F.size(F.array_except("near_a", "near_b")), F.size(F.array_except("near_b", "near_a")))
     survivors = turned.where((F.col("n_tokens_b") - F.col("n_tokens_a") <= F.col("edits_a")) & (apart <= 2 * F.col("edits_a")))
     cut = survivors.limit(0).select(F.lit(False).alias("truncated"))
@@ -63,7 +60,7 @@ def drift_pairs(bodies: DataFrame, budget: int = 28, ratio: float = 0.08, most:
         order = ["n_tokens_a", "id_a", "n_tokens_b", "id_b"]
         cut = survivors.select(*order).limit(most + 1).groupBy().agg((F.count("*") > most).alias("truncated"))
         survivors = survivors.orderBy(*order).limit(most)
-    judged = survivors.withColumn("distance", F.levenshtein("symbols_a", "symbols_b", budget))
+    judged = survivors.withColumn("distance", token_distance(F.col("tokens_a"), F.col("tokens_b"), budget))
     share = F.col("distance") / F.greatest(F.lit(1), F.col("n_tokens_a"))
     return judged.withColumn("ratio", share).where((F.col("distance") >= 1) & (F.col("ratio") <= ratio)).select("id_a", "id_b", "distance", "ratio"), cut
 

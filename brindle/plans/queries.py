@@ -73,8 +73,8 @@ DUP_SQL = "SELECT sha256(text) AS hash, count(*)::BIGINT AS members, min(doc_id)
 
 def drift_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier names that drift from each other, letter by letter; every pair within the budget is compared."""
-    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("symbols"))
-    bodies = names.select("id", "symbols", F.length("symbols").cast("long").alias("n_tokens"), F.sha2("symbols", 256).alias("hash"))
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("name"))
+    bodies = names.select("id", F.split("name", "").alias("tokens"), F.sha2("name", 256).alias("hash"))
     return structure.drift_pairs(bodies, budget=2, ratio=0.1, most=None)[0].select("id_a", "id_b", "distance")
 
 
@@ -87,16 +87,19 @@ SELECT x AS id_a, y AS id_b, d::INT AS distance FROM p WHERE d BETWEEN 1 AND 2 A
 
 
 def masked_minority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd values: customers of a nation whose segment, sign of balance or size stands alone."""
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("id"), F.count("*").alias("n"), F.max("c_acctbal").alias("top"))
-    values = F.array((F.col("n") % 2).cast("string"), (F.col("top") > 9900).cast("string"), (F.col("id") % 3 == 0).cast("string"))
-    return structure.masked_minority(rows.select(F.col("c_nationkey").alias("family"), "id", values.alias("values")), "family", "id", "values")
+    """Odd lines: documents that begin with the same line and have as many are a family; a line of which one member
+    alone has its own version, where all others agree."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    family = F.concat_ws(":", F.size("lines").cast("string"), F.sha2(F.get("lines", F.lit(0)), 256))
+    values = F.transform("lines", lambda x: F.sha2(x, 256))  # lines may be long
+    return structure.masked_minority(docs.select(family.alias("family"), F.col("doc_id").alias("id"), values.alias("values")), "family", "id", "values")
 
 
 MASKED_SQL = """
-WITH b AS (SELECT c_nationkey AS family, min(c_custkey) AS id, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY c_nationkey, c_mktsegment),
-v AS (SELECT family, id, unnest([0, 1, 2]) AS place, unnest([(n % 2)::VARCHAR, (top > 9900)::VARCHAR, (id % 3 = 0)::VARCHAR]) AS value FROM b),
-k AS (SELECT family FROM b GROUP BY family HAVING count(*) >= 3),
+WITH b AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+f AS (SELECT id, len(l)::VARCHAR || ':' || sha256(l[1]) AS family, l FROM b),
+v AS (SELECT family, id, unnest(range(len(l))) AS place, sha256(unnest(l)) AS value FROM f),
+k AS (SELECT family FROM f GROUP BY family HAVING count(*) >= 3),
 c AS (SELECT family, place, value, count(*) AS n, min(id) AS id FROM v JOIN k USING (family) GROUP BY ALL),
 g AS (SELECT family, place FROM c GROUP BY ALL HAVING count(*) = 2 AND min(n) = 1 AND max(n) > 1)
 SELECT family, place::INT AS place, few.id, few.value AS minority, many.value AS majority

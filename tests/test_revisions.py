@@ -64,16 +64,42 @@ def test_closure_of_a_long_chain_is_whole(spark, tmp_path):
     assert found == [(a, b, a - b) for a in range(151) for b in range(a)]
 
 
-def test_token_symbols_give_token_distances(spark):
-    rows = [(1, ["if", "x", "return", "y"]), (2, ["if", "x", "throw", "y"]), (3, ["while", "z"])]
-    bodies = structure.token_symbols(spark.createDataFrame(rows, "id long, tokens array<string>")).withColumns({"n_tokens": F.size("tokens").cast("long"), "hash": F.sha2("symbols", 256)})
-    pairs, cut = structure.drift_pairs(bodies, 2, 0.5, 10)
-    assert [tuple(r)[:3] for r in pairs.collect()] == [(1, 2, 1)]
-    assert not cut.first().truncated
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_drift_pairs_equal_brute_force_over_tokens(spark):
+    rng = random.Random(2)
+    bases = [[f"t{rng.randrange(10**9)}" if rng.random() < 0.5 else rng.choice("xyz") for _ in range(rng.randrange(8, 60))] for _ in range(12)]
+    bodies = []
+    for base in bases:
+        for _ in range(6):
+            body = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                at = rng.randrange(len(body))
+                body[at : at + rng.randrange(0, 2)] = [f"new{rng.randrange(1000)}"] * rng.randrange(0, 2)
+            bodies.append((len(bodies), body))
+    rows = spark.createDataFrame(bodies, "id long, tokens array<string>").withColumn("hash", F.sha2(F.array_join("tokens", " "), 256))
+    pairs, cut = structure.drift_pairs(rows, 4, 0.1, None)
+    first = {}
+    for i, body in bodies:
+        first.setdefault(tuple(body), i)
+    want = set()
+    for a, x in first.items():
+        for b, y in first.items():
+            if (len(a), x) < (len(b), y) and 1 <= (d := plain_distance(a, b)) <= 4 and d / len(a) <= 0.1:
+                want.add((x, y, d))
+    assert {tuple(r)[:3] for r in pairs.collect()} == want and len(want) > 10
+    assert not cut.first()
 
 
 def test_drift_reports_truncation(spark):
-    bodies = spark.createDataFrame([(k, "a" * 30 + chr(98 + k)) for k in range(5)], "id long, symbols string").withColumns({"n_tokens": F.length("symbols").cast("long"), "hash": F.sha2("symbols", 256)})
+    bodies = spark.createDataFrame([(k, ["a"] * 30 + [f"w{k}"]) for k in range(5)], "id long, tokens array<string>").withColumn("hash", F.sha2(F.array_join("tokens", " "), 256))
     pairs, cut = structure.drift_pairs(bodies, 4, 0.2, 3)
     assert pairs.count() == 3 and cut.first().truncated
 
