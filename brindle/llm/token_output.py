@@ -341,11 +341,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
             yield _block(held, mine, kind)
 
     fields = "start long, n_ids long, n_docs int, doc_ids array<long>, sizes array<long>, block binary"
-    rows.mapInArrow(run, fields).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks = staged(rows.mapInArrow(run, fields), "token-blocks", "none")
+    drop_staged(spark, rows)
+    # blocks come in the order of the splits they were read in; files in the order of their names hold ascending ids
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.repartitionByRange(parts, "start").sortWithinPartitions("start").write.option("compression", "none").parquet(f"{path}/blocks")
+    drop_staged(spark, blocks)
+    release_shuffles(spark)
     seen = np.flatnonzero(table.frequencies)
     frequencies = pa.table({"id": pa.array(seen, pa.int32()), "frequency": pa.array(table.frequencies[seen].astype(np.int64)), "size": pa.array(np.full(len(seen), size), pa.int32())})
     spark.createDataFrame(frequencies.to_pandas(), "id int, frequency long, size int").coalesce(1).write.parquet(f"{path}/table")
-    drop_staged(spark, rows)
 
 
 def _block(held: list[tuple[int, int, bytes]], table: Table, kind: str) -> pa.RecordBatch:

@@ -548,3 +548,20 @@ def test_encoder_equals_the_library_on_odd_texts():
     for _ in range(2):  # unknown, then remembered
         got = [np.frombuffer(x, "<u4").tolist() for x in mine.encode(odd)]
         assert got == [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_token_files_in_the_order_of_their_names(spark, tmp_path):
+    """Concatenated files are the ordered table's ids without a gap, however unlike the partitions are in size."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([1, 5, 4000] if k > 150 else [1, 5])))) for k in rng.sample(range(300), 300)], "doc_id long, text string").repartition(9)
+    token_output.write_tokens(docs, str(tmp_path / "t"))
+    upto, ids = 0, []
+    for file in sorted((tmp_path / "t/blocks").glob("*.parquet")):
+        for row in pq.read_table(file).to_pylist():
+            assert row["start"] == upto and sum(row["sizes"]) == row["n_ids"]
+            upto += row["n_ids"]
+            ids += row["doc_ids"]
+    assert ids == sorted(ids) == list(range(300))
+    assert upto == token_output.read_tokens(spark, str(tmp_path / "t")).agg(F.sum("n_tokens")).first()[0]
