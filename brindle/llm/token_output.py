@@ -14,7 +14,8 @@ map over the block rows. Nothing but the frequency table and the totals reaches
 
 Defined results: a null or empty text has the end id alone. Null ids come first; rows that share an id
 are ordered by a hash of their text and the text. Repeated rows are written each. An empty table gives
-no rows. Other columns are ignored. A document longer than a block makes a block of its own.
+no rows. Other columns are ignored. A document longer than a block
+joins the block that it is found in.
 """
 
 from __future__ import annotations
@@ -328,37 +329,37 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
         mine, offsets = shared.value
         held: list[tuple[int, int, bytes]] = []  # start, document, ids
         size = 0
-        upto = None  # where the last document ends
+        upto, stretch = None, ""  # where the last document ends, and the name of what has no gap
         for batch in batches:
             for part, before, doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "before", "doc_id", "n", "ids"))):
                 start = offsets[part] + before
                 if held and (size >= BLOCK or start != upto):
-                    yield _block(held, mine, kind)
+                    yield _block(held, mine, kind, stretch)
                     held, size = [], 0
+                if start != upto:
+                    stretch = f"{start:018}"
                 held.append((start, doc, ids))
                 size, upto = size + n, start + n
         if held:
-            yield _block(held, mine, kind)
+            yield _block(held, mine, kind, stretch)
 
-    fields = "start long, n_ids long, n_docs int, doc_ids array<long>, sizes array<long>, block binary"
-    blocks = staged(rows.mapInArrow(run, fields), "token-blocks", "none")
-    drop_staged(spark, rows)
-    # blocks come in the order of the splits they were read in; files in the order of their names hold ascending ids
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.repartitionByRange(parts, "start").sortWithinPartitions("start").write.option("compression", "none").parquet(f"{path}/blocks")
-    drop_staged(spark, blocks)
-    release_shuffles(spark)
+    fields = "stretch string, start long, n_ids long, n_docs int, doc_ids array<long>, sizes array<long>, block binary"
+    # splits are read in an order of Spark's choice, so each stretch of blocks without a gap gets a folder that its start
+    # names: files in the order of their paths hold ascending ids
+    blocks = rows.mapInArrow(run, fields).sortWithinPartitions("stretch", "start")
+    blocks.write.option("compression", "none").partitionBy("stretch").parquet(f"{path}/blocks")
     seen = np.flatnonzero(table.frequencies)
     frequencies = pa.table({"id": pa.array(seen, pa.int32()), "frequency": pa.array(table.frequencies[seen].astype(np.int64)), "size": pa.array(np.full(len(seen), size), pa.int32())})
     spark.createDataFrame(frequencies.to_pandas(), "id int, frequency long, size int").coalesce(1).write.parquet(f"{path}/table")
+    drop_staged(spark, rows)
 
 
-def _block(held: list[tuple[int, int, bytes]], table: Table, kind: str) -> pa.RecordBatch:
+def _block(held: list[tuple[int, int, bytes]], table: Table, kind: str, stretch: str) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(x for _, _, x in held), dtype=kind).astype(np.int64)
     width = np.dtype(kind).itemsize
-    values = [[held[0][0]], [len(ids)], [len(held)], [[d for _, d, _ in held]], [[len(x) // width for _, _, x in held]], [encode_block(ids, len(held), table)]]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["start", "n_ids", "n_docs", "doc_ids", "sizes", "block"])
+    values = [[stretch], [held[0][0]], [len(ids)], [len(held)], [[d for _, d, _ in held]], [[len(x) // width for _, _, x in held]], [encode_block(ids, len(held), table)]]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["stretch", "start", "n_ids", "n_docs", "doc_ids", "sizes", "block"])
 
 
 def read_table(spark: SparkSession, path: str) -> Table:

@@ -558,8 +558,8 @@ def test_token_files_in_the_order_of_their_names(spark, tmp_path):
     docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([1, 5, 4000] if k > 150 else [1, 5])))) for k in rng.sample(range(300), 300)], "doc_id long, text string").repartition(9)
     token_output.write_tokens(docs, str(tmp_path / "t"))
     upto, ids = 0, []
-    for file in sorted((tmp_path / "t/blocks").glob("*.parquet")):
-        for row in pq.read_table(file).to_pylist():
+    for file in sorted((tmp_path / "t/blocks").rglob("*.parquet"), key=str):
+        for row in pq.ParquetFile(file).read().to_pylist():
             assert row["start"] == upto and sum(row["sizes"]) == row["n_ids"]
             upto += row["n_ids"]
             ids += row["doc_ids"]
