@@ -14,8 +14,7 @@ map over the block rows. Nothing but the frequency table and the totals reaches
 
 Defined results: a null or empty text has the end id alone. Null ids come first; rows that share an id
 are ordered by a hash of their text and the text. Repeated rows are written each. An empty table gives
-no rows. Other columns are ignored. A document longer than a block
-joins the block that it is found in.
+no rows. Other columns are ignored. A document longer than a block joins the block that it is found in.
 """
 
 from __future__ import annotations
@@ -387,7 +386,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 arrays = [pa.array(docs, pa.int64()), pa.array(start + ends - np.array(sizes), pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([zlib.crc32(x) for x in rows], pa.int64())], ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    blocks = spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "sizes", "block")
+    blocks = spark.read.schema("start long, doc_ids array<long>, sizes array<long>, block binary").parquet(f"{path}/blocks")
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
