@@ -6,18 +6,23 @@ of their own, lists and paragraphs for loops, the first child of a list for what
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from brindle.operators import chains, trees
 from brindle.operators.analysis import IMPLIED
-from brindle.session import table
+from brindle.session import checkpoint_dir, table
 
 SCOPES, LOOPS, BARRIERS = ["article", "nav", "footer", "head"], ["ul", "article", "body"], ["nav", "div", "footer"]
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The elements of all pages."""
-    return trees.nodes(trees.balanced(trees.tags(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id"), "page_id")
+    """The elements of all pages, written to the shared folder: a query reads them several times."""
+    found = trees.nodes(trees.balanced(trees.tags(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id"), "page_id")
+    path = f"{checkpoint_dir(spark)}/page-nodes-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 #: Independent of the windows: a begin's end is the first place where begins and ends are even, first by tag, then
