@@ -61,15 +61,15 @@ def with_parents(rows: DataFrame, key: str) -> DataFrame:
     return found.select(key, "pre", "last", "level", slot, "parent", *[c for c in rows.columns if c not in (key, "pre", "last", "level")])
 
 
-def ancestors(rows: DataFrame, key: str, top: Column | None = None) -> DataFrame:
+def ancestors(rows: DataFrame, key: str, top: Column | None = None, asks: Column | None = None) -> DataFrame:
     """(key, pre, ancestor, up): the ancestors of every node from level ``top`` down, the closest at 1; nothing above
-    that level is made.
+    that level is made, nor for nodes that do not ask.
 
     An ancestor is the latest node begun at its level, so a node asks each level above it once.
     """
     top = F.lit(1) if top is None else top
     levels = F.when(top < F.col("level"), F.sequence(top.cast("long"), F.col("level").cast("long") - 1))
-    asked = rows.select(key, "pre", F.explode(levels).alias("_level"), F.col("level").alias("_of"), F.lit(1).alias("_asks"))
+    asked = (rows if asks is None else rows.where(asks)).select(key, "pre", F.explode(levels).alias("_level"), F.col("level").alias("_of"), F.lit(1).alias("_asks"))
     there = rows.select(key, "pre", F.col("level").alias("_level"), F.lit(None).cast("long").alias("_of"), F.lit(0).alias("_asks"))
     before = Window.partitionBy(key, "_level").orderBy("pre", "_asks").rowsBetween(Window.unboundedPreceding, 0)
     found = there.unionByName(asked).withColumn("ancestor", F.last(F.when(F.col("_asks") == 0, F.col("pre")), ignorenulls=True).over(before))

@@ -99,7 +99,8 @@ def subtree_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("is_table", (F.col("tag") == "ul") & (F.col("_odd") == 1) & (F.col("elements") > 1))
     rows = trees.subtree_sums(rows, "page_id", {"table_rows": F.when(F.col("is_table"), (F.col("elements") - 1) / 2).otherwise(0).cast("long")})
     block = ~F.col("tag").isin("a", "b", "br", "p")
-    depths = trees.deepest(nodes, "page_id", trees.own(nodes, "page_id", F.lit(False)), block).select("page_id", F.col("ancestor").alias("pre"), "depth", F.col("node").alias("deepest"))
+    itself = nodes.where(block).select("page_id", "pre", F.col("pre").alias("ancestor"), F.lit(0).cast("long").alias("up"))
+    depths = trees.deepest(nodes, "page_id", itself.unionByName(trees.ancestors(nodes, "page_id", asks=block)), block).select("page_id", F.col("ancestor").alias("pre"), "depth", F.col("node").alias("deepest"))
     kept = rows.where("last > pre").join(depths, ["page_id", "pre"], "left")
     return kept.select("page_id", F.col("pre").alias("element"), "tag", "elements", "links", "is_table", "table_rows", F.coalesce("depth", F.lit(0)).alias("depth"), "deepest")
 
