@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -357,7 +358,6 @@ def test_exact_passages_and_no_others(spark, corpus):
 def test_edited_passages_are_found(spark):
     rows = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items, rng, hits = decontamination.Items(rows), random.Random(5), 0
-    items.choose(np.zeros(len(items.distinct), dtype=int))
     for i, text in rows:
         words = [w for w in text.split() if rng.random() > 0.05]
         words = [w if rng.random() > 0.1 else "zzz" for w in words]
@@ -376,6 +376,50 @@ def test_three_tenths_of_the_words_may_be_edited(spark):
     assert hits >= 0.9 * len(rows)
 
 
+def _templates(rng, n, opening, rest):
+    first = " ".join(f"t{i}" for i in range(opening))
+    return first, [(i, f"{first} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rest))) for i in range(n)]
+
+
+def test_a_template_points_to_no_item_however_often_it_occurs():
+    rng = random.Random(4)
+    opening, rows = _templates(rng, 2000, 8, 21)
+    items = decontamination.Items(rows)
+    copies = " ".join([opening] * 2500)  # 20,000 words
+    assert not list(decontamination.passages(items, items.encode(copies))) and not decontamination.contaminated(items, copies)
+    among = [f[0] for f in decontamination.contaminated(items, f"{copies} {rows[7][1]} {copies} {rows[1999][1]}")]
+    assert among == [7, 1999]
+    hits = 0
+    for i, text in rows[:400]:
+        words = text.split()
+        for k in rng.sample(range(29), 9):
+            words[k] = "zzz"
+        hits += any(f[0] == i for f in decontamination.contaminated(items, " ".join(["before", *words, "after"])))
+    assert hits >= 0.9 * 400
+
+
+def test_items_that_are_mostly_template_keep_their_seeds_in_bounded_memory():
+    opening, rows = _templates(random.Random(4), 500, 24, 5)
+    items = decontamination.Items(rows)
+    assert (np.diff(items.item_span) >= decontamination.LEAST_SEEDS).all()
+    copies = " ".join([opening] * 40)
+    tracemalloc.start()
+    found = {f[0] for f in decontamination.contaminated(items, f"{copies} {rows[3][1]}")}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == set(range(500))  # each holds the opening, four fifths of it
+    assert peak < 150 * 2**20, peak
+
+
+def test_hits_in_chunks_are_those_of_one(monkeypatch):
+    opening, rows = _templates(random.Random(9), 60, 20, 9)
+    items = decontamination.Items(rows)
+    codes = items.encode(" ".join([opening, "x y", *(t for _, t in rows[:5]), opening]))
+    whole = list(decontamination.passages(items, codes))
+    monkeypatch.setattr(decontamination, "CHUNK", 7)
+    assert whole and whole == list(decontamination.passages(items, codes))
+
+
 def test_edited_copies_in_documents_are_found(spark):
     rng = random.Random(8)
     items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(29))) for i in range(40)]
