@@ -1,6 +1,6 @@
 """Queries by name, with their SQL oracles."""
 
-from brindle.plans import php_queries, queries as q, report_queries, tree_queries
+from brindle.plans import php_queries, queries as q, report_queries, rule_queries, tree_queries
 
 QUERIES = {
     "score_by_source": q.score_by_source,
@@ -66,7 +66,7 @@ ORACLES = {
     "tiers_by_rule": q.TIERS_SQL,
 }
 
-for more in (report_queries.QUERIES, tree_queries.QUERIES):
+for more in (report_queries.QUERIES, tree_queries.QUERIES, rule_queries.QUERIES):
     QUERIES |= {name: query for name, (query, _) in more.items()}
     ORACLES |= {name: sql for name, (_, sql) in more.items()}
 QUERIES["php_findings"], ORACLES["php_findings"] = php_queries.php_findings, php_queries.PHP_SQL
