@@ -4,9 +4,9 @@ Labelled examples, a bounded sample, are vectors over a vocabulary of terms: tf
 idf comes from the documents of the whole corpus that hold the term. A term is a word, or the beginning of
 words in 4, 6 or 8 letters, which also catches forms that no example has. The vocabulary has the
 ``VOCABULARY`` terms of the sample that are most dependent on the label, whichever label they speak for.
-A block-max inverted index answers a query exactly: examples lie in blocks, each term's postings keep
-their greatest weight in each block, and blocks are scored in the order of their upper bounds until the
-bound falls below the k-th best cosine. Neighbours vote with their cosine as weight, and isotonic
+A block-max inverted index answers a query exactly: like examples lie in one block, each term's postings
+keep their greatest weight in each block, and blocks are scored in the order of their upper bounds until
+the bound falls below the k-th best cosine. Neighbours vote with their cosine as weight, and isotonic
 regression of leave-one-out votes turns the vote into a probability. The neighbours are the evidence.
 
 Bounds of what is fitted on the driver: ``SAMPLE_ROWS`` labelled rows, of which only term counts are
@@ -15,8 +15,7 @@ shuffle.
 
 Defined results: a text without a term of the vocabulary, empty and null texts included, gets the rate
 of such texts among the examples. Without any labelled row every score is 0. Equal cosines go to the
-example that comes first in the index, which has those of one heaviest term together and then the least
-id. A row labelled twice alike counts once, one with both labels once for each. Repeated rows give
+example with the least id. A row labelled twice alike counts once, one with both labels once for each. Repeated rows give
 repeated rows; an empty table gives no rows; other columns are ignored. Texts are read whole.
 """
 
@@ -40,7 +39,8 @@ SAMPLE_ROWS = 6_000
 VOCABULARY, LEAST_EXAMPLES = 4096, 3
 #: Neighbours that vote, and the weight of the base rate beside them.
 NEIGHBOURS, PRIOR = 15, 0.25
-BLOCK = 512
+#: Examples in a block of the index, and blocks that a query scores first.
+BLOCK, FIRST = 32, 2
 THRESHOLD = 0.7
 #: Neighbours given as evidence.
 EVIDENCE = 3
@@ -81,47 +81,83 @@ class TermCounter:
         return found
 
 
+def alike(vectors: list[dict[int, float]], n_words: int) -> np.ndarray:
+    """The numbers of vectors in an order that brings like ones together, in runs of ``BLOCK``.
+
+    A set is halved along the direction in which its vectors differ most, and its halves likewise.
+    """
+    rows = np.zeros((len(vectors), n_words), dtype=np.float32)
+    for k, v in enumerate(vectors):
+        rows[k, list(v)] = list(v.values())
+    left, found = [np.arange(len(vectors))], []
+    while left:
+        part = left.pop()
+        if len(part) <= BLOCK:
+            found.append(part)
+            continue
+        apart = rows[part] - rows[part].mean(axis=0)
+        along = apart[np.argmax((apart**2).sum(axis=1))]
+        for _ in range(8):  # power iteration
+            along = apart.T @ (apart @ along)
+            along /= max(float(np.linalg.norm(along)), 1e-12)
+        half = -(-len(part) // (2 * BLOCK)) * BLOCK
+        by = np.argsort(apart @ along, kind="stable")
+        left += [part[by[half:]], part[by[:half]]]
+    return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+
+
 class BlockMaxIndex:
     """Postings of unit vectors by word and block, with the greatest weight of each.
 
-    The postings of a word in a block are a row of ``BLOCK`` weights; rows of a block lie together, and
-    ``rows`` maps a word to its row there; weights are kept in single precision. ``scored`` counts the blocks that queries have scored.
+    Like vectors share a block of ``BLOCK``, so that a query's bounds differ between blocks. The postings of
+    a word are in the order of the blocks; ``spans`` gives where those of a word in a block begin. Blocks are
+    scored in waves by their bounds: the first is the ``FIRST`` best ones, each later one has four times as many, of
+    those that the k-th best cosine so far, or of equal ones the least number in the block, leaves open. Weights are kept in single precision. ``scored`` counts
+    the blocks that queries have scored.
     """
 
     def __init__(self, vectors: list[dict[int, float]], n_words: int):
         self.n_blocks, self.scored = -(-len(vectors) // BLOCK), 0
+        self.order = alike(vectors, n_words)
+        self.least = np.minimum.reduceat(self.order, np.arange(0, len(vectors), BLOCK)) if vectors else np.zeros(1, np.int64)
+        held = [(w, place, weight) for place, k in enumerate(self.order.tolist()) for w, weight in vectors[k].items()]
+        word, place = (np.array([x[k] for x in held], dtype=np.int64) for k in (0, 1))
+        weight = np.array([x[2] for x in held], dtype=np.float32)
+        by = np.lexsort((place, word))
+        self.places, self.weights = place[by].astype(np.int32), weight[by]
+        cell = (word * self.n_blocks + place // BLOCK)[by]
+        self.spans = np.searchsorted(cell, np.arange(n_words * self.n_blocks + 1)).astype(np.int32)
         self.ceilings = np.zeros((n_words, max(1, self.n_blocks)))
-        self.rows = np.zeros((max(1, self.n_blocks), n_words), dtype=np.int32)  # 0 is a row of zeros
-        self.weights: list[np.ndarray] = []
-        for block in range(self.n_blocks):
-            part = vectors[block * BLOCK : (block + 1) * BLOCK]
-            words = sorted({w for v in part for w in v})
-            self.rows[block, words] = np.arange(1, len(words) + 1)
-            held = np.zeros((len(words) + 1, BLOCK), dtype=np.float32)
-            for k, v in enumerate(part):
-                for w, weight in v.items():
-                    held[self.rows[block, w], k] = weight
-            self.ceilings[words, block] = held[1:].max(axis=1)
-            self.weights.append(held)
+        np.maximum.at(self.ceilings.reshape(-1), cell, self.weights)
+
+    def _cosines(self, words: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all places, of which those in the blocks are whole."""
+        cells = (words[:, None] * self.n_blocks + blocks[None, :]).reshape(-1)
+        start, n = self.spans[cells].astype(np.int64), (self.spans[cells + 1] - self.spans[cells]).astype(np.int64)
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.bincount(self.places[at], self.weights[at] * np.repeat(np.repeat(q, len(blocks)), n), len(self.order))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the greatest positive cosine, exactly; equal ones by their place."""
+        """The k examples of the greatest positive cosine, exactly; equal ones by their number."""
         words, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
-        bounds = q @ self.ceilings[words]
-        scores, places = np.empty(0), np.empty(0, dtype=np.int64)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            floor = scores[-1] - 1e-9 if len(scores) == k else 0.0
-            if bounds[block] <= 0 or bounds[block] < floor:
-                break
-            self.scored += 1
-            found = np.round(q @ self.weights[block][self.rows[block, words]].astype(float), 9)
-            some = np.flatnonzero(found > floor)
-            some = some[some + block * BLOCK != without]
-            if len(some):
-                scores, places = np.concatenate([scores, found[some]]), np.concatenate([places, some + block * BLOCK])
-                best = np.lexsort((places, -scores))[:k]
-                scores, places = scores[best], places[best]
-        return list(zip(scores.tolist(), places.tolist()))
+        # rounded as cosines are; the margin is for the order of the sums
+        bounds = np.round(q @ self.ceilings[words] + 1e-12, 9)
+        scores, numbers = np.empty(0), np.empty(0, dtype=np.int64)
+        blocks, wave = np.lexsort((self.least, -bounds)), FIRST
+        blocks = blocks[bounds[blocks] > 0]
+        while len(blocks):
+            self.scored += len(blocks[:wave])
+            found = np.round(self._cosines(words, q, blocks[:wave]), 9)
+            some = np.flatnonzero(found > 0)
+            fresh = self.order[some]
+            some, fresh = some[fresh != without], fresh[fresh != without]
+            scores, numbers = np.concatenate([scores, found[some]]), np.concatenate([numbers, fresh])
+            best = np.lexsort((numbers, -scores))[:k]
+            scores, numbers = scores[best], numbers[best]
+            blocks, wave = blocks[wave:], 4 * wave
+            if len(scores) == k:
+                blocks = blocks[(bounds[blocks] > scores[-1]) | ((bounds[blocks] == scores[-1]) & (self.least[blocks] < numbers[-1]))]
+        return list(zip(scores.tolist(), numbers.tolist()))
 
 
 class Model:
@@ -132,8 +168,7 @@ class Model:
         self.counter = None
         vectors = [(i, self.vector(counts), y) for i, counts, y in examples]
         blank = [y for _, v, y in vectors if not v]
-        # like examples near each other make the bounds of the blocks tight
-        held = sorted((x for x in vectors if x[1]), key=lambda x: (max(x[1], key=lambda w: (x[1][w], w)), x[0]))
+        held = [x for x in vectors if x[1]]
         self.ids, self.labels = [i for i, _, _ in held], [y for _, _, y in held]
         self.base = sum(y for _, _, y in vectors) / max(1, len(vectors))
         self.blank = (sum(blank) + self.base) / (len(blank) + 1)

@@ -332,6 +332,25 @@ def test_network_is_calibrated():
     assert abs(net.predict(x) - p).mean() < 0.08
 
 
+def test_under_half_the_blocks_are_scored(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn(docs, labels, "toxic", lambda i: F.crc32(i.cast("string")) % 3 != 1)
+    index, counter = model.index, toxicity.TermCounter(model.words)
+    # the examples in full, to hold the answers against
+    full = np.zeros((len(model.ids), len(model.words)))
+    word = np.repeat(np.arange(len(model.words)), np.diff(index.spans[:: index.n_blocks]))
+    full[index.order[index.places], word] = index.weights
+    queries = [v for r in docs.where("doc_id % 10 = 0").select("text").collect() if (v := model.vector(counter(r.text)))]
+    index.scored = 0
+    for v in queries:
+        cosines = np.round(full[:, list(v)] @ np.array(list(v.values())), 8)
+        expected = -np.sort(-cosines[cosines > 0])[: toxicity.NEIGHBOURS]
+        assert np.allclose([s for s, _ in index.nearest(v, toxicity.NEIGHBOURS)], expected, atol=2e-8)
+    assert len(queries) > 900 and index.n_blocks > 70
+    assert index.scored < 0.5 * index.n_blocks * len(queries)
+
+
 # --- op4 --------------------------------------------------------------------------------------------
 
 
