@@ -40,7 +40,7 @@ VOCABULARY, LEAST_EXAMPLES = 4096, 3
 #: Neighbours that vote, and the weight of the base rate beside them.
 NEIGHBOURS, PRIOR = 15, 0.25
 #: Examples in a block of the index, and blocks that a query scores first.
-BLOCK, FIRST = 32, 2
+BLOCK, FIRST = 64, 2
 THRESHOLD = 0.7
 #: Neighbours given as evidence.
 EVIDENCE = 3
@@ -124,18 +124,20 @@ class BlockMaxIndex:
         word, place = (np.array([x[k] for x in held], dtype=np.int64) for k in (0, 1))
         weight = np.array([x[2] for x in held], dtype=np.float32)
         by = np.lexsort((place, word))
-        self.places, self.weights = place[by].astype(np.int32), weight[by]
+        self.places, self.weights = place[by], weight[by]
         cell = (word * self.n_blocks + place // BLOCK)[by]
-        self.spans = np.searchsorted(cell, np.arange(n_words * self.n_blocks + 1)).astype(np.int32)
+        self.spans = np.searchsorted(cell, np.arange(n_words * self.n_blocks + 1))
         self.ceilings = np.zeros((n_words, max(1, self.n_blocks)))
         np.maximum.at(self.ceilings.reshape(-1), cell, self.weights)
 
     def _cosines(self, words: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Cosines of all places, of which those in the blocks are whole."""
         cells = (words[:, None] * self.n_blocks + blocks[None, :]).reshape(-1)
-        start, n = self.spans[cells].astype(np.int64), (self.spans[cells + 1] - self.spans[cells]).astype(np.int64)
+        start, end = self.spans[cells], self.spans[cells + 1]
+        some = np.flatnonzero(end > start)
+        start, n = start[some], end[some] - start[some]
         at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return np.bincount(self.places[at], self.weights[at] * np.repeat(np.repeat(q, len(blocks)), n), len(self.order))
+        return np.bincount(self.places[at], self.weights[at] * np.repeat(q[some // len(blocks)], n), len(self.order))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the greatest positive cosine, exactly; equal ones by their number."""
@@ -147,11 +149,12 @@ class BlockMaxIndex:
         blocks = blocks[bounds[blocks] > 0]
         while len(blocks):
             self.scored += len(blocks[:wave])
-            found = np.round(self._cosines(words, q, blocks[:wave]), 9)
-            some = np.flatnonzero(found > 0)
+            found = self._cosines(words, q, blocks[:wave])
+            some = np.flatnonzero(found > (scores[-1] - 1e-8 if len(scores) == k else 0.0))
+            found = np.round(found[some], 9)
             fresh = self.order[some]
-            some, fresh = some[fresh != without], fresh[fresh != without]
-            scores, numbers = np.concatenate([scores, found[some]]), np.concatenate([numbers, fresh])
+            other = (fresh != without) & (found > 0)
+            scores, numbers = np.concatenate([scores, found[other]]), np.concatenate([numbers, fresh[other]])
             best = np.lexsort((numbers, -scores))[:k]
             scores, numbers = scores[best], numbers[best]
             blocks, wave = blocks[wave:], 4 * wave
