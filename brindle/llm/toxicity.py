@@ -40,7 +40,9 @@ VOCABULARY, LEAST_EXAMPLES = 4096, 3
 #: Neighbours that vote, and the weight of the base rate beside them.
 NEIGHBOURS, PRIOR = 15, 0.25
 #: Examples in a block of the index, and blocks that a query scores first.
-BLOCK, FIRST = 64, 2
+BLOCK, FIRST = 64, 4
+#: A term that more than one in so many examples hold is kept as a row a block instead of postings.
+COMMON = 8
 THRESHOLD = 0.7
 #: Neighbours given as evidence.
 EVIDENCE = 3
@@ -110,8 +112,9 @@ class BlockMaxIndex:
     """Postings of unit vectors by word and block, with the greatest weight of each.
 
     Like vectors share a block of ``BLOCK``, so that a query's bounds differ between blocks. The postings of
-    a word are in the order of the blocks; ``spans`` gives where those of a word in a block begin. Blocks are
-    scored in waves by their bounds: the first is the ``FIRST`` best ones, each later one has four times as many, of
+    a word are in the order of the blocks; ``spans`` gives where those of a word in a block begin. Words of more than
+    one in ``COMMON`` examples, few but with nearly all of the postings that queries meet, have rows in ``common`` instead,
+    which take at most that many times their postings' room and are multiplied as they lie. Blocks are scored in waves by their bounds: the first is the ``FIRST`` best ones, each later one has four times as many, of
     those that the k-th best cosine so far, or of equal ones the least number in the block, leaves open. Weights are kept in single precision. ``scored`` counts
     the blocks that queries have scored.
     """
@@ -123,33 +126,48 @@ class BlockMaxIndex:
         held = [(w, place, weight) for place, k in enumerate(self.order.tolist()) for w, weight in vectors[k].items()]
         word, place = (np.array([x[k] for x in held], dtype=np.int64) for k in (0, 1))
         weight = np.array([x[2] for x in held], dtype=np.float32)
+        self.ceilings = np.zeros((n_words, max(1, self.n_blocks)))
+        np.maximum.at(self.ceilings, (word, place // BLOCK), weight)
+        held_by = np.bincount(word, minlength=n_words)
+        often = np.flatnonzero(held_by * COMMON > len(vectors))
+        self.row = np.full(n_words, -1, dtype=np.int64)
+        self.row[often] = np.arange(len(often))
+        self.common = np.zeros((self.n_blocks, BLOCK, len(often)))
+        row = self.row[word]
+        self.common[place[row >= 0] // BLOCK, place[row >= 0] % BLOCK, row[row >= 0]] = weight[row >= 0]
         by = np.lexsort((place, word))
+        by = by[row[by] < 0]
         self.places, self.weights = place[by], weight[by]
         cell = (word * self.n_blocks + place // BLOCK)[by]
         self.spans = np.searchsorted(cell, np.arange(n_words * self.n_blocks + 1))
-        self.ceilings = np.zeros((n_words, max(1, self.n_blocks)))
-        np.maximum.at(self.ceilings.reshape(-1), cell, self.weights)
 
-    def _cosines(self, words: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of all places, of which those in the blocks are whole."""
+    def _cosines(self, words: np.ndarray, q: np.ndarray, often: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all places, of which those in the blocks are whole: ``words`` have postings, ``often`` is over the rows."""
         cells = (words[:, None] * self.n_blocks + blocks[None, :]).reshape(-1)
         start, end = self.spans[cells], self.spans[cells + 1]
         some = np.flatnonzero(end > start)
         start, n = start[some], end[some] - start[some]
         at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return np.bincount(self.places[at], self.weights[at] * np.repeat(q[some // len(blocks)], n), len(self.order))
+        found = np.bincount(self.places[at], self.weights[at] * np.repeat(q[some // len(blocks)], n), self.n_blocks * BLOCK)
+        of_common = np.zeros((self.n_blocks, BLOCK))
+        for b in blocks.tolist():
+            np.dot(self.common[b], often, out=of_common[b])
+        return (found + of_common.reshape(-1))[: len(self.order)]
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the greatest positive cosine, exactly; equal ones by their number."""
         words, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
         # rounded as cosines are; the margin is for the order of the sums
         bounds = np.round(q @ self.ceilings[words] + 1e-12, 9)
+        row, often = self.row[words], np.zeros(self.common.shape[2])
+        often[row[row >= 0]] = q[row >= 0]
+        words, q = words[row < 0], q[row < 0]
         scores, numbers = np.empty(0), np.empty(0, dtype=np.int64)
         blocks, wave = np.lexsort((self.least, -bounds)), FIRST
         blocks = blocks[bounds[blocks] > 0]
         while len(blocks):
             self.scored += len(blocks[:wave])
-            found = self._cosines(words, q, blocks[:wave])
+            found = self._cosines(words, q, often, blocks[:wave])
             some = np.flatnonzero(found > (scores[-1] - 1e-8 if len(scores) == k else 0.0))
             found = np.round(found[some], 9)
             fresh = self.order[some]

@@ -321,7 +321,7 @@ def test_toxicity_equals_brute_force(spark, corpus):
     assert shuffled.scored <= shuffled.n_blocks
     in_order = toxicity.BlockMaxIndex([{k // 600: 1.0} for k in range(6000)], 40)
     in_order.nearest({3: 1.0}, 5)
-    assert in_order.scored <= 2 < in_order.n_blocks  # the bounds of all other blocks are too low
+    assert in_order.scored <= toxicity.FIRST < in_order.n_blocks  # the bounds of all other blocks are too low
 
 
 def test_network_is_calibrated():
@@ -341,6 +341,9 @@ def test_under_half_the_blocks_are_scored(spark):
     full = np.zeros((len(model.ids), len(model.words)))
     word = np.repeat(np.arange(len(model.words)), np.diff(index.spans[:: index.n_blocks]))
     full[index.order[index.places], word] = index.weights
+    often = np.flatnonzero(index.row >= 0)
+    full[np.ix_(index.order, often)] = index.common.reshape(-1, len(often))[: len(index.order)]
+    assert 0 < len(often) < len(model.words) / 10  # few words have rows
     queries = [v for r in docs.where("doc_id % 10 = 0").select("text").collect() if (v := model.vector(counter(r.text)))]
     index.scored = 0
     for v in queries:
