@@ -19,8 +19,13 @@ RULES = {
     "SL113": ("Long Parameter List", "complexity"), "SL114": ("Nested Ternary", "readability"), "SL204": ("Query Inside Loop", "performance"), "SL206": ("Controller Dependencies", "dependencies"),
     "SL207": ("Service Dependencies", "dependencies"), "SL210": ("Suspicious Model::all()", "performance"), "SL211": ("Missing Route Action", "laravel"), "SL213": ("Destructive GET Route", "laravel"),
     "SL215": ("Irreversible Migration", "laravel"), "SL216": ("Model In Migration", "laravel"), "SL217": ("Unconstrained Foreign Key", "laravel"), "SL303": ("Single-Use Abstraction", "architecture"),
+    "SL304": ("Layer Violation", "architecture"), "SL305": ("Forbidden Capability", "architecture"), "SL306": ("Boundary Violation", "architecture"),
     "SL501": ("Unexplained Suppression", "suppression"),
 }
+#: Rules about a framework's code.
+OF_FRAMEWORK = {rule: "laravel" for rule in RULES if rule.startswith("SL2")}
+#: Rules that enforce a declared policy.
+OF_POLICY = ("SL304", "SL305", "SL306")
 FIELDS = ["rule", "severity", "confidence", "path", "line", "message", "fingerprint"]
 #: Exit codes: nothing grave, findings at or above the threshold, an error.
 OK, FOUND, FAILED = 0, 1, 2
@@ -29,13 +34,25 @@ OK, FOUND, FAILED = 0, 1, 2
 class Engine:
     """Findings over files (path, source, kind, code_lines).
 
-    ``custom`` adds rules: each takes the tokens and gives rows with ``FIELDS``. Facts are cut from their
-    lineage once and shared by all rules.
+    ``custom`` adds rules: each takes the tokens and gives rows with ``FIELDS``. ``frameworks`` are those that the
+    project uses; rules of others are skipped (None: not known, all rules run). ``disabled`` rules are off, as are
+    those of policies that are not declared. Facts are cut from their lineage once and shared by all rules.
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, custom: list[Callable[[DataFrame], DataFrame]] = ()):
+    def __init__(
+        self, spark: SparkSession, files: DataFrame, custom: list[Callable[[DataFrame], DataFrame]] = (),
+        frameworks: list[str] | None = None, disabled: list[str] = (), policies: detectors.Policies = detectors.Policies(),
+    ):
         checkpoint_dir(spark)
-        self.files, self.custom, self._tokens, self._found = files, list(custom), None, None
+        self.spark, self.files, self.custom, self._tokens, self._found = spark, files, list(custom), None, None
+        self.frameworks = sorted(set(OF_FRAMEWORK.values())) if frameworks is None else list(frameworks)
+        self.disabled, self.policies = [r.upper() for r in disabled], policies
+
+    def plan(self) -> DataFrame:
+        """(rule, state): which rules run, which are off, and which are skipped for want of their framework."""
+        undeclared = [r for r in OF_POLICY if r not in self.policies.declared()]
+        rules = self.spark.createDataFrame([(r, OF_FRAMEWORK.get(r), r in undeclared) for r in RULES], "rule string, framework string, needs_roles boolean")
+        return analysis.planned(rules, self.frameworks, False, self.disabled)
 
     def tokens(self) -> DataFrame:
         if self._tokens is None:
@@ -46,10 +63,11 @@ class Engine:
         """What all rules find, with name, category, the file's kind, an identity and a last line."""
         if self._found is None:
             tokens = self.tokens()
-            suppressed, nested = php.unexplained_suppressions(tokens), php.deep_nesting(php.units(tokens))
-            rows = detectors.detect(tokens)
-            for more in (suppressed, nested, *(rule(tokens) for rule in self.custom)):
+            without = frozenset(r.rule for r in self.plan().where("state <> 'run'").collect())  # one row a rule
+            rows = detectors.detect(tokens, without, self.policies)
+            for more in (php.unexplained_suppressions(tokens), php.deep_nesting(php.units(tokens)), *(rule(tokens) for rule in self.custom)):
                 rows = rows.unionByName(more.select(*FIELDS))
+            rows = rows.where(~F.col("rule").isin(sorted(without)))
             named = rows.join(self.files.select("path", "kind"), "path").withColumns({
                 "name": choose(F.col("rule"), {r: n for r, (n, _) in RULES.items()}, ""), "category": choose(F.col("rule"), {r: c for r, (_, c) in RULES.items()}, "complexity"),
                 "identity": identity(F.col("rule"), F.col("path"), F.coalesce("fingerprint", F.lit(""))), "end_line": F.col("line"),
@@ -74,9 +92,9 @@ class Engine:
         """New, existing and resolved findings compared with another state of the files."""
         return revisions.partition(self.findings(), base.findings(), "identity", ["line", "rule", "fingerprint"])
 
-    def without(self, baseline: DataFrame) -> DataFrame:
+    def without(self, baseline: DataFrame, findings: DataFrame | None = None) -> DataFrame:
         """Findings that a baseline does not accept; entries of files that are gone cover moved ones."""
-        matched, _ = revisions.match_baseline(self.findings(), baseline, self.files.select("path"), ["path", "line"])
+        matched, _ = revisions.match_baseline(self.findings() if findings is None else findings, baseline, self.files.select("path"), ["path", "line"])
         return matched.where("NOT accepted").drop("accepted")
 
     def health(self, top: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ line, message and fingerprint. Tokens carry no types, so names decide where a ty
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -527,18 +528,51 @@ CAPABILITIES = {
 }
 
 
-def detect(tokens: DataFrame) -> DataFrame:
-    """The findings of all detectors of this module. What they share is computed once, in the shared folder."""
+@dataclass(frozen=True)
+class Policies:
+    """What a project allows itself. A policy that is not declared has nothing to check.
+
+    ``layers``: pairs of name patterns, of which the first may not use the second. ``module``: a pattern whose
+    first group names a class's module; others may use what ``public`` matches, and modules ``shared`` are open.
+    ``capabilities``: name patterns of classes with the capabilities that they may not have.
+    """
+
+    layers: tuple[tuple[str, str], ...] = ()
+    module: str | None = None
+    public: tuple[str, ...] = ()
+    shared: tuple[str, ...] = ()
+    capabilities: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+    def declared(self) -> list[str]:
+        """The rules that have a policy to enforce."""
+        return [rule for rule, policy in (("SL304", self.layers), ("SL305", self.capabilities), ("SL306", self.module)) if policy]
+
+
+FOUND = "rule string, severity string, confidence int, path string, line long, message string, fingerprint string"
+
+
+def detect(tokens: DataFrame, without: frozenset[str] = frozenset(), policies: Policies = Policies()) -> DataFrame:
+    """The findings of all detectors of this module but those of the rules ``without``, which are not planned at all.
+    What detectors share is computed once, in the shared folder."""
     checkpoint_dir(tokens.sparkSession)
     tokens = tokens.checkpoint()
     t = context(tokens).checkpoint()
     t._facts = {}
     units = measured(tokens, t).checkpoint()
-    found, bodies_ = routes(t), bodies(t)
-    parts = [
-        duplicate_bodies(bodies_), drifted_bodies(bodies_),
-        god_methods(units), god_classes(units, t), dead_private_methods(t), unused_dependencies(t), swallowed_exceptions(t), placeholders(tokens, t),
-        long_parameter_lists(t), nested_ternaries(t), queries_in_loops(t), many_dependencies(t), many_dependencies(t, "Service", 7, "SL207"), whole_tables(t),
-        missing_actions(found, t), destructive_gets(found), irreversible_migrations(t), models_in_migrations(t), unconstrained_keys(t), single_implementations(t),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    found, bodies_, refs = routes(t), bodies(t), references(t)
+    p = policies
+    parts = {
+        "SL104": lambda: duplicate_bodies(bodies_), "SL111": lambda: drifted_bodies(bodies_),
+        "SL101": lambda: god_methods(units), "SL102": lambda: god_classes(units, t), "SL105": lambda: dead_private_methods(t), "SL106": lambda: unused_dependencies(t),
+        "SL107": lambda: swallowed_exceptions(t), "SL112": lambda: placeholders(tokens, t), "SL113": lambda: long_parameter_lists(t), "SL114": lambda: nested_ternaries(t),
+        "SL204": lambda: queries_in_loops(t), "SL206": lambda: many_dependencies(t), "SL207": lambda: many_dependencies(t, "Service", 7, "SL207"), "SL210": lambda: whole_tables(t),
+        "SL211": lambda: missing_actions(found, t), "SL213": lambda: destructive_gets(found), "SL215": lambda: irreversible_migrations(t), "SL216": lambda: models_in_migrations(t),
+        "SL217": lambda: unconstrained_keys(t), "SL303": lambda: single_implementations(t),
+    }
+    declared = {
+        "SL304": lambda: layer_violations(refs, list(p.layers)), "SL305": lambda: forbidden_capabilities(t, [(g, list(no)) for g, no in p.capabilities]),
+        "SL306": lambda: boundary_violations(refs, p.module, list(p.public), list(p.shared)),
+    }
+    parts |= {rule: declared[rule] for rule in p.declared()}
+    nothing = tokens.sparkSession.createDataFrame([], FOUND)
+    return reduce(DataFrame.unionByName, [make() for rule, make in parts.items() if rule not in without], nothing)

@@ -165,13 +165,15 @@ def write_baseline(findings: DataFrame, path: str, score: int, generated_at: str
 COVERAGE_FILES = ["coverage.xml", "clover.xml", "build/logs/clover.xml", "build/coverage.xml", "cobertura.xml"]
 
 
+def _there(spark: SparkSession, file: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def find_coverage(spark: SparkSession, root: str, asked: str | None = None, configured: str | None = None) -> DataFrame | None:
     """(path, ratio) from the asked report, the configured one, or the first usual one; its content tells
     its format. Nothing where there is none; an asked report that is not there raises."""
-    def there(file: str) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{file}")
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
+    there = lambda file: _there(spark, f"{root}/{file}")
     if asked and not there(asked):
         raise FileNotFoundError(asked)
     for file in filter(None, [asked, configured, *COVERAGE_FILES]):
@@ -192,6 +194,19 @@ def composer(spark: SparkSession, file: str) -> tuple[DataFrame, DataFrame]:
     return roots, packages
 
 
+# Packages that show that a project uses a framework.
+EVIDENCE = {"laravel": ["laravel/framework", "illuminate/support", "illuminate/database", "illuminate/contracts"]}
+
+
+def frameworks(spark: SparkSession, root: str) -> list[str]:
+    """The frameworks that a project's own package file asks for; a project without such a file has none."""
+    if not _there(spark, f"{root}/composer.json"):
+        return []
+    _, packages = composer(spark, f"{root}/composer.json")
+    asked = packages.where(F.col("package").isin([p for known in EVIDENCE.values() for p in known])).distinct().collect()  # a few names
+    return sorted(f for f, known in EVIDENCE.items() if any(r.package in known for r in asked))
+
+
 def checked_config(given: dict, known: dict[str, type | tuple]) -> dict:
     """The given settings; a wrong type or an unknown name raises, with the nearest known name."""
     for name, value in given.items():

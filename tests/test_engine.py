@@ -1,9 +1,12 @@
+import json
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.__main__ import options, run
 from brindle.engine import FOUND, OK, Engine, assert_clean, assert_score
+from brindle.operators.detectors import Policies
 from brindle.plans.php_queries import EXPECTED, FILES
 from brindle.sources import files, repository
 
@@ -55,3 +58,51 @@ def test_working_copy_against_a_revision(spark, project):
     now, base = (Engine(spark, t) for t in (files.source_tree(spark, f"file://{project}"), repository.tree_at(spark, project, "HEAD")))
     states = {(r.fingerprint, r.state) for r in now.against(base).where("state <> 'existing'").collect()}
     assert states == {("OrderController::unread", "new"), ("OrderController::never", "resolved")}
+
+
+def _tree(spark, sources):
+    return spark.createDataFrame([(p, f"<?php\n{s}\n", "code", 4) for p, s in sources.items()], "path string, source string, kind string, code_lines int")
+
+
+def test_rules_run_off_or_skipped(spark):
+    loop = "class A {\n function f($x) { foreach ($x as $y) { User::find($y); } try { g(); } catch (\\Throwable $e) { } }\n}"
+    engine = Engine(spark, _tree(spark, {"a.php": loop}), frameworks=[], disabled=["sl211"])
+    assert {r.rule for r in engine.findings().collect()} == {"SL107"}  # plain code has no models, so nothing queries in the loop
+    states = lambda e: {r.rule: r.state for r in e.plan().collect()}
+    plan = states(engine)
+    assert (plan["SL107"], plan["SL204"], plan["SL211"], plan["SL304"]) == ("run", "skipped", "off", "off")
+    assert states(Engine(spark, engine.files))["SL204"] == states(Engine(spark, engine.files, frameworks=["laravel"]))["SL204"] == "run"
+
+
+def test_declared_policies_are_findings_of_a_scan(spark):
+    sources = {
+        "src/Domain/Order.php": "namespace App\\Domain;\nuse App\\Http\\Page;\nclass Order { function f() { Http::get('x'); } }",
+        "src/Billing/Bill.php": "namespace App\\Billing;\nuse App\\Stock\\Inner\\Shelf;\nuse App\\Stock\\Api\\Shop;\nclass Bill { }",
+    }
+    policies = Policies(layers=(("App\\Domain\\*", "App\\Http\\*"),), module=r"^App\\(Billing|Stock)\\", public=("App\\Stock\\Api\\*",), capabilities=(("Order", ("http",)),))
+    found = Engine(spark, _tree(spark, sources), frameworks=[], policies=policies).findings()
+    assert {(r.rule, r.name, r.category, r.fingerprint) for r in found.where("rule LIKE 'SL3%'").collect()} == {
+        ("SL304", "Layer Violation", "architecture", "App\\Domain\\Order->App\\Http\\Page"),
+        ("SL305", "Forbidden Capability", "architecture", "Order::f:http"),
+        ("SL306", "Boundary Violation", "architecture", "App\\Billing\\Bill->App\\Stock\\Inner\\Shelf"),
+    }
+
+
+def test_frameworks_of_the_package_file(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    assert files.frameworks(spark, root) == []
+    for text, expected in (('{"require": {"php": "^8"}}', []), ('{"require-dev": {"illuminate/support": "*"}}', ["laravel"])):
+        (tmp_path / "composer.json").write_text(text)
+        assert files.frameworks(spark, root) == expected
+
+
+def test_commands(spark, project, tmp_path):
+    root, lines = f"file://{project}", []
+    ask = lambda *args: run(spark, options([args[0], root, "--framework", "none", *args[1:]]), lines.append)
+    accepted = str(tmp_path / "accepted")
+    assert ask("baseline", "--baseline", accepted) == OK
+    assert ask("scan", "--baseline", accepted, "--fail-on", "info", "--format", "json") == OK
+    assert [json.loads(x)["total"] for x in lines] == [0]
+    for wrong in (["diff", root, "--format", "sarif"], ["baseline", root]):
+        with pytest.raises(SystemExit):
+            options(wrong)
