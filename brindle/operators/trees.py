@@ -61,19 +61,22 @@ def with_parents(rows: DataFrame, key: str) -> DataFrame:
     return found.select(key, "pre", "last", "level", slot, "parent", *[c for c in rows.columns if c not in (key, "pre", "last", "level")])
 
 
-def ancestors(rows: DataFrame, key: str, top: Column | None = None, asks: Column | None = None) -> DataFrame:
+def ancestors(rows: DataFrame, key: str, top: Column | None = None, asks: Column | None = None, carried: list[str] | None = None) -> DataFrame:
     """(key, pre, ancestor, up): the ancestors of every node from level ``top`` down, the closest at 1; nothing above
-    that level is made, nor for nodes that do not ask.
+    that level is made, nor for nodes that do not ask. ``carried`` columns come along, the ancestor's as
+    ``ancestor_...``.
 
     An ancestor is the latest node begun at its level, so a node asks each level above it once.
     """
+    with_ = carried or []
     top = F.lit(1) if top is None else top
     levels = F.when(top < F.col("level"), F.sequence(top.cast("long"), F.col("level").cast("long") - 1))
-    asked = (rows if asks is None else rows.where(asks)).select(key, "pre", F.explode(levels).alias("_level"), F.col("level").alias("_of"), F.lit(1).alias("_asks"))
-    there = rows.select(key, "pre", F.col("level").alias("_level"), F.lit(None).cast("long").alias("_of"), F.lit(0).alias("_asks"))
+    asked = (rows if asks is None else rows.where(asks)).select(key, "pre", *with_, F.explode(levels).alias("_level"), F.col("level").alias("_of"), F.lit(1).alias("_asks"))
+    there = rows.select(key, "pre", *with_, F.col("level").alias("_level"), F.lit(None).cast("long").alias("_of"), F.lit(0).alias("_asks"))
     before = Window.partitionBy(key, "_level").orderBy("pre", "_asks").rowsBetween(Window.unboundedPreceding, 0)
-    found = there.unionByName(asked).withColumn("ancestor", F.last(F.when(F.col("_asks") == 0, F.col("pre")), ignorenulls=True).over(before))
-    return found.where("_asks = 1").select(key, "pre", "ancestor", (F.col("_of") - F.col("_level")).alias("up"))
+    found = there.unionByName(asked).withColumn("_up", F.last(F.when(F.col("_asks") == 0, F.struct("pre", *with_)), ignorenulls=True).over(before))
+    theirs = [F.col(f"_up.{c}").alias(f"ancestor_{c}") for c in with_]
+    return found.where("_asks = 1").select(key, "pre", F.col("_up.pre").alias("ancestor"), (F.col("_of") - F.col("_level")).alias("up"), *with_, *theirs)
 
 
 def nearest(rows: DataFrame, key: str, covers: Column, carried: Column, name: str) -> DataFrame:
@@ -87,29 +90,32 @@ def nearest(rows: DataFrame, key: str, covers: Column, carried: Column, name: st
     kind = edges.select(carried.alias("c")).schema["c"].dataType
     begin = edges.select(key, (3 * F.col("pre")).alias("_p"), F.lit(1).alias("_d"), carried.alias("_c"))
     end = edges.select(key, (3 * F.col("last") + 2).alias("_p"), F.lit(-1).alias("_d"), F.lit(None).cast(kind).alias("_c"))
-    points = rows.select(key, (3 * F.col("pre") + 1).alias("_p"), F.lit(0).alias("_d"), F.lit(None).cast(kind).alias("_c"))
+    fields = F.struct(*[F.col(c) for c in rows.columns if c != key])
+    points = rows.select(key, (3 * F.col("pre") + 1).alias("_p"), F.lit(0).alias("_d"), F.lit(None).cast(kind).alias("_c"), fields.alias("_row"))
     along = Window.partitionBy(key).orderBy("_p").rangeBetween(Window.unboundedPreceding, 0)
-    swept = begin.unionByName(end).unionByName(points).withColumn("_open", F.sum("_d").over(along))
+    none = F.lit(None).cast(points.schema["_row"].dataType)
+    swept = begin.unionByName(end).withColumn("_row", none).unionByName(points).withColumn("_open", F.sum("_d").over(along))
     at_depth = Window.partitionBy(key, "_open").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     found = swept.withColumn(name, F.last(F.when(F.col("_d") == 1, F.struct(F.col("_c"))), ignorenulls=True).over(at_depth)[F.lit("_c")])
-    mine = found.where("_d = 0").select(key, ((F.col("_p") - 1) / 3).cast("long").alias("pre"), F.when(F.col("_open") > 0, F.col(name)).alias(name))
-    return rows.join(mine, [key, "pre"])
+    return found.where("_d = 0").select(key, *[F.col(f"_row.{c}").alias(c) for c in rows.columns if c != key], F.when(F.col("_open") > 0, F.col(name)).alias(name))
 
 
 def with_parent_columns(rows: DataFrame, key: str) -> DataFrame:
-    """Nodes that have a parent, with its columns as ``of_...``."""
+    """Nodes that have a parent, with its columns as ``of_...``. Files of nodes hold hundreds of times the rows that
+    their size suggests, so neither side may go through the driver."""
     above = rows.select(key, F.col("pre").alias("parent"), *[F.col(c).alias(f"of_{c}") for c in rows.columns if c not in (key, "pre")])
-    return rows.join(above, [key, "parent"])
+    return rows.join(above.hint("merge"), [key, "parent"])
 
 
-def own(rows: DataFrame, key: str, scope: Column) -> DataFrame:
+def own(rows: DataFrame, key: str, scope: Column, carried: list[str] | None = None) -> DataFrame:
     """(key, pre, ancestor, up): as ``ancestors``, and each node as its own at 0, but not past a scope: no scope lies
     between the two, and what is found below another node is no scope itself."""
     marked = rows.withColumn("_scope", scope)
     inside = nearest(marked, key, F.col("of__scope"), F.col("of_level"), "_from")
     top = F.when(F.col("_scope"), F.col("level")).otherwise(F.coalesce("_from", F.lit(1)))
-    self_ = rows.select(key, "pre", F.col("pre").alias("ancestor"), F.lit(0).cast("long").alias("up"))
-    return self_.unionByName(ancestors(inside, key, top))
+    with_ = carried or []
+    self_ = rows.select(key, "pre", F.col("pre").alias("ancestor"), F.lit(0).cast("long").alias("up"), *with_, *[F.col(c).alias(f"ancestor_{c}") for c in with_])
+    return self_.unionByName(ancestors(inside, key, top, carried=carried))
 
 
 def subtree_sums(rows: DataFrame, key: str, measures: dict[str, Column]) -> DataFrame:
@@ -138,10 +144,10 @@ def deepest(rows: DataFrame, key: str, up: DataFrame, counts: Column) -> DataFra
     Depths are running sums over begins and ends; pairs meet in a partial maximum.
     """
     marked = subtree_depths(rows, key, counts)
-    low = up.join(marked.select(key, "pre", F.col("_depth").alias("_low"), "_counts"), [key, "pre"]).where("_counts")
+    low = up.join(marked.select(key, "pre", F.col("_depth").alias("_low"), "_counts").hint("merge"), [key, "pre"]).where("_counts")
     high = marked.select(key, F.col("pre").alias("ancestor"), (F.col("_depth") - F.when(F.col("_counts"), 1).otherwise(0)).alias("_high"))
     best = low.groupBy(key, "ancestor").agg(F.max(F.struct("_low", (-F.col("pre")).alias("_first"))).alias("_b"))
-    return best.join(high, [key, "ancestor"]).select(key, "ancestor", (F.col("_b._low") - F.col("_high")).alias("depth"), (-F.col("_b._first")).alias("node"))
+    return best.join(high.hint("merge"), [key, "ancestor"]).select(key, "ancestor", (F.col("_b._low") - F.col("_high")).alias("depth"), (-F.col("_b._first")).alias("node"))
 
 
 def subtree_depths(rows: DataFrame, key: str, counts: Column) -> DataFrame:

@@ -44,9 +44,8 @@ a AS (SELECT d.page_id, d.pre, d.tag, d.last, c.pre AS ancestor, c.tag AS ancest
 
 def element_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of all elements, the closest first, with both tags."""
-    nodes = page_nodes(spark, sf_dir)
-    tag = nodes.select("page_id", F.col("pre").alias("ancestor"), F.col("tag").alias("ancestor_tag"))
-    return trees.ancestors(nodes, "page_id").join(nodes.select("page_id", "pre", "tag"), ["page_id", "pre"]).join(tag, ["page_id", "ancestor"]).select("page_id", F.col("pre").alias("element"), "tag", "ancestor", "ancestor_tag", "up")
+    found = trees.ancestors(page_nodes(spark, sf_dir), "page_id", carried=["tag"])
+    return found.select("page_id", F.col("pre").alias("element"), "tag", "ancestor", "ancestor_tag", "up")
 
 
 ANCESTORS_SQL = NODES_SQL + "SELECT page_id, pre AS element, tag, ancestor, ancestor_tag, up FROM a"
@@ -101,7 +100,7 @@ def subtree_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = ~F.col("tag").isin("a", "b", "br", "p")
     itself = nodes.where(block).select("page_id", "pre", F.col("pre").alias("ancestor"), F.lit(0).cast("long").alias("up"))
     depths = trees.deepest(nodes, "page_id", itself.unionByName(trees.ancestors(nodes, "page_id", asks=block)), block).select("page_id", F.col("ancestor").alias("pre"), "depth", F.col("node").alias("deepest"))
-    kept = rows.where("last > pre").join(depths, ["page_id", "pre"], "left")
+    kept = rows.where("last > pre").join(depths.hint("merge"), ["page_id", "pre"], "left")
     return kept.select("page_id", F.col("pre").alias("element"), "tag", "elements", "links", "is_table", "table_rows", F.coalesce("depth", F.lit(0)).alias("depth"), "deepest")
 
 

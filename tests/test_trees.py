@@ -172,3 +172,12 @@ def test_guards_imply_later_ones(spark):
     found = chains.implied_guards(spark.createDataFrame(g, "f int, subject string, pos int, kind string, outcome string"), spark.createDataFrame(w, "f int, target string, pos int"), "f", IMPLIED)
     assert sorted((r.f, r.pos, r.earlier, r.earlier_kind) for r in found.collect()) == [(1, 31, 30, "truthy"), (3, 2, 1, "falsy"), (4, 3, 1, "empty")]
     assert [r.p for r in spark.range(1).select(chains.prefixes(F.lit("$a->b[1]->c")).alias("p")).collect()] == [["$a", "$a->b", "$a->b[1]", "$a->b[1]->c"]]
+
+
+@pytest.mark.parametrize("name", ["element_ancestors", "own_elements", "repeated_elements", "subtree_facts"])
+def test_no_table_of_nodes_goes_through_the_driver(spark, name):
+    """A file of nodes is far smaller than its rows, so Spark would take it for a table that can be broadcast."""
+    from brindle.plans.tree_queries import QUERIES
+    from tests.oracle import SF
+
+    assert "Broadcast" not in QUERIES[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
