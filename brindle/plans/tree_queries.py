@@ -54,9 +54,8 @@ ANCESTORS_SQL = NODES_SQL + "SELECT page_id, pre AS element, tag, ancestor, ance
 def own_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each scope holds of its own by tag: how many, and the first. A scope inside it is not looked into."""
     nodes = page_nodes(spark, sf_dir)
-    scopes = nodes.where(F.col("tag").isin(SCOPES) | F.col("parent").isNull()).select("page_id", F.col("pre").alias("ancestor"), F.col("tag").alias("scope_tag"))
-    held = trees.own(nodes, "page_id", F.col("tag").isin(SCOPES)).join(scopes, ["page_id", "ancestor"]).join(nodes.select("page_id", "pre", "tag"), ["page_id", "pre"])
-    return held.groupBy("page_id", F.col("ancestor").alias("scope"), "scope_tag", "tag").agg(F.count("*").alias("n"), F.min("pre").alias("first"))
+    held = trees.own(nodes, "page_id", F.col("tag").isin(SCOPES), ["tag", "parent"]).where(F.col("ancestor_tag").isin(SCOPES) | F.col("ancestor_parent").isNull())
+    return held.groupBy("page_id", F.col("ancestor").alias("scope"), F.col("ancestor_tag").alias("scope_tag"), "tag").agg(F.count("*").alias("n"), F.min("pre").alias("first"))
 
 
 OWN_SQL = NODES_SQL + """,
