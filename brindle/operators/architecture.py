@@ -71,12 +71,15 @@ def placements(asked: DataFrame, roles: DataFrame) -> DataFrame:
     """(id, words) and (role, strong, weak) arrays of words -> id, role, score: 3 for each word among a role's
     strong ones, 1 among its weak ones; pairs without any are left out.
 
-    Words meet words, so a question is never held against every role.
+    Words meet words, so a question is never held against every role, and questions of the same words are scored
+    once. An id that is asked twice asks with all its words.
     """
     strong = roles.select("role", F.explode(F.array_distinct("strong")).alias("word"), F.lit(3).alias("points"))
     weak = roles.select("role", F.explode(F.array_except("weak", "strong")).alias("word"), F.lit(1).alias("points"))
-    words = asked.select("id", F.explode(F.array_distinct("words")).alias("word"))
-    return words.join(strong.unionByName(weak), "word").groupBy("id", "role").agg(F.sum("points").alias("score"))
+    asks = asked.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("_asks"))
+    words = asks.select("_asks").distinct().select("_asks", F.explode("_asks").alias("word"))
+    scores = words.join(strong.unionByName(weak), "word").groupBy("_asks", "role").agg(F.sum("points").alias("score"))
+    return asks.join(scores, "_asks").select("id", "role", "score")
 
 
 def matches(key: str, pattern: str, of: Column | None = None) -> Column:
