@@ -38,26 +38,29 @@ def inlined_counts(own: DataFrame, calls: DataFrame) -> DataFrame:
     """(name, n) and (caller, callee) -> name, total: what a routine counts itself and by all it calls, each call
     with all that the callee counts, so multiplicities along paths multiply and paths add up.
 
-    A round settles the routines whose callees are settled and adds their totals, times the calls, to their callers;
+    A round settles the routines that wait for no callee and adds their totals, times the calls, to their callers;
     edges leave with their callee, so rounds are the depth of the graph and the work of all is that of its edges. Where
     no routine can be settled there is a cycle; what is on it or reaches it has a null total. Repeated calls count
     each, calls to unknown routines count nothing, routines that occur several times add up.
     """
     checkpoint_dir(own.sparkSession)
     known = own.where("name IS NOT NULL").groupBy("name").agg(F.sum("n").cast("long").alias("n"))
-    edges = calls.groupBy("caller", "callee").agg(F.count("*").alias("times")).join(known.select(F.col("name").alias("callee")), "callee", "left_semi").join(known.select(F.col("name").alias("caller")), "caller", "left_semi").checkpoint()
-    open_, done = known.checkpoint(), []
+    there = lambda name: known.select(F.col("name").alias(name)).hint("merge")
+    edges = calls.groupBy("caller", "callee").agg(F.count("*").alias("times")).join(there("callee"), "callee", "left_semi").join(there("caller"), "caller", "left_semi").checkpoint()
+    waits = edges.groupBy(F.col("caller").alias("name")).agg(F.count("*").alias("_waits"))
+    open_ = known.join(waits.hint("merge"), "name", "left").select("name", "n", F.coalesce("_waits", F.lit(0)).alias("_waits")).checkpoint()
+    done = []
     while True:
-        waits = edges.select(F.col("caller").alias("name")).distinct()
-        ready = open_.join(waits, "name", "left_anti").checkpoint()
+        ready = open_.where("_waits = 0").select("name", "n").checkpoint()
         if ready.isEmpty():
             return reduce(DataFrame.unionByName, [r.select("name", F.col("n").alias("total")) for r in done], open_.select("name", F.lit(None).cast("long").alias("total")))
         done.append(ready)
-        total = ready.select(F.col("name").alias("callee"), F.col("n").alias("_n"))
-        more = edges.join(total, "callee").groupBy(F.col("caller").alias("name")).agg(F.sum(F.col("times") * F.col("_n")).alias("_more"))
-        edges = edges.join(total, "callee", "left_anti").checkpoint()
-        rest = open_.join(ready.select("name"), "name", "left_anti").join(more, "name", "left")
-        open_ = rest.select("name", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n")).checkpoint()
+        total = ready.select(F.col("name").alias("callee"), F.col("n").alias("_n"), F.lit(True).alias("_met"))
+        met = edges.join(total.hint("merge"), "callee", "left").checkpoint()
+        more = met.where("_met").groupBy(F.col("caller").alias("name")).agg(F.sum(F.col("times") * F.col("_n")).alias("_more"), F.count("*").alias("_less"))
+        edges = met.where("_met IS NULL").select("caller", "callee", "times")
+        rest = open_.where("_waits > 0").join(more.hint("merge"), "name", "left")
+        open_ = rest.select("name", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n"), (F.col("_waits") - F.coalesce("_less", F.lit(0))).alias("_waits")).checkpoint()
 
 
 def replacements(removed: DataFrame, added: DataFrame, scope: list[str]) -> DataFrame:
