@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brindle.functions.text import glob_regex, stripped
+from brindle.session import dealt
 
 # Suffixes that name a layer.
 LAYERS = [
@@ -127,13 +128,18 @@ def nearest_enclosing(nodes: DataFrame, scopes: DataFrame, key: str, at: str, st
     """Each node with the innermost scope that begins before it: scopes nest, so the last to begin is it.
 
     A sweep over begins, ends and nodes of a key replaces the range join; the depth of what is open is a
-    running sum, and the scope is the last one begun at the node's depth.
+    running sum, and the scope is the last one begun at the node's depth. Nodes come along, so they are joined with
+    nothing.
     """
-    opened = scopes.select(key, F.col(start).alias("_p"), F.lit(1).alias("_d"), F.col(name).alias("_s"), F.lit(0).alias("_o"))
-    closed = scopes.select(key, F.col(end).alias("_p"), F.lit(-1).alias("_d"), F.lit(None).cast(scopes.schema[name].dataType).alias("_s"), F.lit(2).alias("_o"))
-    points = nodes.select(key, F.col(at).alias("_p"), F.lit(0).alias("_d"), F.lit(None).cast(scopes.schema[name].dataType).alias("_s"), F.lit(1).alias("_o"))
+    rest = [c for c in nodes.columns if c not in (key, at)]
+    kind = scopes.schema[name].dataType
+    points = nodes.select(key, F.col(at).alias("_p"), F.lit(0).alias("_d"), F.lit(None).cast(kind).alias("_s"), F.lit(1).alias("_o"), F.struct(F.lit(1), *rest).alias("_row"))
+    none = F.lit(None).cast(points.schema["_row"].dataType).alias("_row")
+    opened = scopes.select(key, F.col(start).alias("_p"), F.lit(1).alias("_d"), F.col(name).alias("_s"), F.lit(0).alias("_o"), none)
+    closed = scopes.select(key, F.col(end).alias("_p"), F.lit(-1).alias("_d"), F.lit(None).cast(kind).alias("_s"), F.lit(2).alias("_o"), none)
     order = Window.partitionBy(key).orderBy("_p", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    swept = opened.unionByName(closed).unionByName(points.distinct()).withColumn("_depth", F.sum("_d").over(order))
+    swept = dealt(opened.unionByName(closed).unionByName(points), key).withColumn("_depth", F.sum("_d").over(order))
     level = Window.partitionBy(key, "_depth").orderBy("_p", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    found = swept.withColumn(name, F.last(F.when(F.col("_d") == 1, F.col("_s")), ignorenulls=True).over(level))
-    return nodes.join(found.where("_o = 1 AND _depth > 0").select(key, F.col("_p").alias(at), name), [key, at], "left")
+    found = swept.withColumn("_in", F.last(F.when(F.col("_d") == 1, F.col("_s")), ignorenulls=True).over(level)).where("_o = 1")
+    inside = F.col(key).isNotNull() & F.col("_p").isNotNull() & (F.col("_depth") > 0)
+    return found.select(key, F.col("_p").alias(at), *[F.col(f"_row.{c}").alias(c) for c in rest], F.when(inside, F.col("_in")).alias(name))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from brindle.session import dealt
+
 
 def partition(current: DataFrame, previous: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows of both states with ``state``: new, existing (current rows) or resolved (previous rows).
@@ -21,7 +23,7 @@ def _beyond(rows: DataFrame, other: DataFrame, key: str, order: list[str]) -> Da
     """Rows with ``_beyond``: whether the other state has fewer of the identity than the row's ordinal."""
     count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
     both = count(rows, "_own").join(count(other, "_other"), key, "left")
-    known = rows.join(both, key, "left")
+    known = dealt(rows, key).join(both.hint("merge"), key, "left")
     torn = F.coalesce(F.col("_other") < F.col("_own"), F.lit(False))
     whole = known.where(~torn).withColumn("_beyond", F.col("_other").isNull())
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -47,6 +47,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many partitions as the session has set, at least four a core: a number that is asked for
+    is kept, where Spark would gather up to 64 MB of packed rows, often a gigabyte once sorted, in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once a context: they import it wherever they run."""
     context = spark.sparkContext
