@@ -16,7 +16,7 @@ from brindle.functions.text import matches_glob
 from brindle.operators.architecture import family_sizes
 from brindle.operators.graphs import crosses_boundary, vote
 from brindle.operators.structure import drift_pairs
-from brindle.session import checkpoint_dir
+from brindle.session import checkpoint_dir, dealt, written
 
 # Vocabularies that the detectors look names up in.
 BROAD_TYPES = ["Throwable", "Exception", "Error", "RuntimeException"]
@@ -60,12 +60,18 @@ def _after(k: int) -> Column:
 
 
 def context(tokens: DataFrame) -> DataFrame:
-    """Tokens without comments, with their neighbours, and the depth of parentheses and braces before them."""
+    """Tokens without comments, with their neighbours, the depth of parentheses and braces before them, and what has
+    come so far: tokens that act, tokens, and signs that end a statement or stand around a block. A file is sorted once for all."""
     t = tokens.where("kind <> 'comment'")
+    sofar = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     step = lambda opens, closes: F.when(F.col("kind") != "operator", 0).when(F.col("text").isin(opens), 1).when(F.col("text").isin(closes), -1).otherwise(0)
     t = t.withColumns({f"b{k}": _before(t, k) for k in (1, 2, 3)} | {f"a{k}": _after(k) for k in (1, 2, 3)})
+    acts = F.lower("text").isin("throw", "echo", "print") & (F.col("kind") == "name") | ((F.col("kind") == "name") & (F.col("a1") == "(") & ~F.lower("text").isin(NO_CALLS)) | ((F.col("kind") == "name") & F.col("b1").isin("->", "::") & (F.col("a1") == "="))
     return t.withColumns({
+        "acts": F.sum(acts.cast("int")).over(sofar),
+        "place": F.row_number().over(Window.partitionBy("path").orderBy("n")),
+        "stops": F.sum((F.col("text").isin(";", "{", "}") & (F.col("kind") == "operator")).cast("int")).over(sofar),
         "paren": F.coalesce(F.sum(step(["(", "[", "#["], [")", "]"])).over(before), F.lit(0)),
         "brace": F.coalesce(F.sum(step(["{"], ["}"])).over(before), F.lit(0)),
     })
@@ -85,12 +91,12 @@ def fact(make):
     """Facts that several detectors ask of the same tokens: within ``detect`` they are written once."""
 
     @wraps(make)
-    def get(t: DataFrame) -> DataFrame:
+    def get(t: DataFrame, *a, **b) -> DataFrame:
         made = getattr(t, "_facts", None)
-        if made is None:
-            return make(t)
+        if made is None or a or b:
+            return make(t, *a, **b)
         if make.__name__ not in made:
-            made[make.__name__] = make(t).checkpoint()
+            made[make.__name__] = written(make(t))
         return made[make.__name__]
 
     return get
@@ -109,29 +115,32 @@ def functions(t: DataFrame) -> DataFrame:
     return named.select("path", F.col("n").alias("from"), "line", "class_name", F.col("a1").alias("name"), visibility.alias("visibility"), seen("]").alias("attributed"), "paren", "brace")
 
 
-def _closed(t: DataFrame, heads: DataFrame, close: str, depth: str) -> DataFrame:
-    """Heads (path, from, ``depth``, ...) with ``end``: the first closing bracket at the head's own depth. Heads may
-    nest, since both sides meet by (path, depth)."""
+def _closed(t: DataFrame, heads: DataFrame, close: str, depth: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Heads (path, from, ``depth``, ...) with ``end``: the first closing bracket at the head's own depth, and columns
+    ``also`` of that bracket as ``end_...``. Heads may nest, since both sides meet by (path, depth)."""
     begins = heads.select("path", F.col("from").alias("n"), F.col(depth).alias("_level"), F.struct(*heads.columns).alias("_head"))
-    ends = t.where((F.col("text") == close) & (F.col("kind") == "operator")).select("path", "n", (F.col(depth) - 1).alias("_level"), F.lit(None).cast(begins.schema["_head"].dataType).alias("_head"))
+    ends = t.where((F.col("text") == close) & (F.col("kind") == "operator")).select("path", "n", (F.col(depth) - 1).alias("_level"), F.lit(None).cast(begins.schema["_head"].dataType).alias("_head"), *also)
     later = Window.partitionBy("path", "_level").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    found = begins.unionByName(ends).withColumn("end", F.min(F.when(F.col("_head").isNull(), F.col("n"))).over(later))
-    return found.where("_head IS NOT NULL AND end IS NOT NULL").select("_head.*", "end")
+    first = F.min(F.when(F.col("_head").isNull(), F.struct("n", *also))).over(later)
+    found = begins.unionByName(ends, allowMissingColumns=True).withColumn("_end", first)
+    return found.where("_head IS NOT NULL AND _end IS NOT NULL").select("_head.*", F.col("_end.n").alias("end"), *[F.col(f"_end.{c}").alias(f"end_{c}") for c in also])
 
 
-def _within(t: DataFrame, heads: DataFrame, close: str, depth: str) -> DataFrame:
-    """Tokens between a head and where its bracket closes, for heads whose bracket holds no other: each token looks
-    at the last head before it, so that nothing but a file is sorted."""
+def _within(t: DataFrame, rows: DataFrame, heads: DataFrame, close: str, depth: str) -> DataFrame:
+    """Those of ``rows`` that lie between a head and where its bracket closes, for heads whose bracket holds no other: each
+    looks at the last head before it, so that nothing but a file is sorted."""
     window = Window.partitionBy("path").orderBy("n")
     own = _closed(t, heads, close, depth).select("path", F.col("from").alias("n"), F.struct(F.col("from"), F.col(depth).alias("depth"), "end").alias("_h"))
-    rows = t.join(own, ["path", "n"], "left").withColumn("_head", F.last("_h", ignorenulls=True).over(window)).where("n > _head.from AND n < _head.end")
-    return rows.withColumn("from", F.col("_head.from")).withColumn("base", F.col("_head.depth")).drop("_head", "_h")
+    both = rows.unionByName(own, allowMissingColumns=True).withColumn("_head", F.last("_h", ignorenulls=True).over(window)).where("_h IS NULL AND n > _head.from AND n < _head.end")
+    return both.withColumn("from", F.col("_head.from")).withColumn("base", F.col("_head.depth")).drop("_head", "_h")
 
 
-def parameters(t: DataFrame, heads: DataFrame) -> DataFrame:
-    """(path, from, name, type, promoted, visibility): the parameters of functions; a parameter is what lies between
+@fact
+def parameters(t: DataFrame) -> DataFrame:
+    """(path, from, name, type, promoted, visibility): the parameters of all functions; a parameter is what lies between
     two commas of the list."""
-    rows = _within(t, heads, ")", "paren")
+    inside = t.where("paren > 0").select("path", "n", "kind", "text", "paren", "b1", "b2")
+    rows = _within(t, inside, functions(t).select("path", "from", "paren"), ")", "paren")
     comma = (F.col("text") == ",") & (F.col("kind") == "operator") & (F.col("paren") == F.col("base") + 1)
     rows = rows.withColumn("_p", F.sum(comma.cast("int")).over(Window.partitionBy("path", "from").orderBy("n")))
     word = lambda w: F.max(((F.lower("text") == w) & (F.col("kind") == "name")).cast("int")) == 1
@@ -223,7 +232,7 @@ def unused_dependencies(t: DataFrame) -> DataFrame:
     """Promoted constructor parameters of an object type that neither the class nor a trait of it reads: private ones,
     and protected ones of a class that no other extends. Of classes with an unknown trait nothing is said."""
     heads = functions(t).where("name = '__construct' AND class_name IS NOT NULL")
-    wanted = parameters(t, heads).where(F.col("type").rlike("^\\\\?[A-Z]")).join(heads.select("path", "from", "class_name", "line"), ["path", "from"])
+    wanted = parameters(t).where(F.col("type").rlike("^\\\\?[A-Z]")).join(heads.select("path", "from", "class_name", "line"), ["path", "from"])
     extended = class_facts(t).select(F.substring_index("parent", "\\", -1).alias("class_name")).where("class_name IS NOT NULL").distinct()
     open_ = wanted.where("visibility = 'protected'").join(extended, "class_name", "left_anti").unionByName(wanted.where("visibility = 'private'").select("class_name", *[c for c in wanted.columns if c != "class_name"]))
     uses, traits = trait_uses(t), class_facts(t).where("class_kind = 'trait'").select(F.col("class_name").alias("trait")).distinct()
@@ -236,15 +245,13 @@ def unused_dependencies(t: DataFrame) -> DataFrame:
 
 def swallowed_exceptions(t: DataFrame) -> DataFrame:
     """Catch blocks that neither throw, print, call nor record anything, whatever other blocks they hold."""
-    acts = F.lower("text").isin("throw", "echo", "print") & (F.col("kind") == "name") | ((F.col("kind") == "name") & (F.col("a1") == "(") & ~F.lower("text").isin(NO_CALLS)) | ((F.col("kind") == "name") & F.col("b1").isin("->", "::") & (F.col("a1") == "="))
+    rows = t.where("kind = 'operator' AND text IN ('{', '}')")
+    heads = t.where((F.lower("text") == "catch") & (F.col("a1") == "(") & (F.col("kind") == "name")).select("path", F.col("n").alias("from"), "line", "class_name", "unit", "brace", F.substring_index("a2", "\\", -1).alias("type"))
+    opened = rows.withColumns({"text": F.when(F.col("text") == "{", "begin").otherwise(F.col("text")), "brace": F.when(F.col("text") == "{", F.col("brace") + 1).otherwise(F.col("brace"))})
+    counts = ("acts", "place")
+    begin = _closed(opened, heads, "begin", "brace", counts).withColumnsRenamed({"end": "begin", "end_acts": "begin_acts", "end_place": "begin_place"})
     # what a block holds is the difference of running counts at its ends
-    sofar = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = t.withColumns({"_acts": F.sum(acts.cast("int")).over(sofar), "_k": F.row_number().over(Window.partitionBy("path").orderBy("n"))})
-    heads = rows.where((F.lower("text") == "catch") & (F.col("a1") == "(") & (F.col("kind") == "name")).select("path", F.col("n").alias("from"), "line", "class_name", "unit", "brace", F.substring_index("a2", "\\", -1).alias("type"))
-    begin = _closed(rows.withColumn("text", F.when((F.col("text") == "{") & (F.col("kind") == "operator"), "begin").otherwise(F.col("text"))).withColumn("brace", F.when(F.col("text") == "begin", F.col("brace") + 1).otherwise(F.col("brace"))), heads, "begin", "brace").withColumnRenamed("end", "begin")
-    both = _closed(rows, begin, "}", "brace")
-    at = lambda c: rows.select("path", F.col("n").alias(c), F.col("_acts").alias(f"{c}_acts"), F.col("_k").alias(f"{c}_k"))
-    held = both.join(at("begin"), ["path", "begin"]).join(at("end"), ["path", "end"]).where("end_acts = begin_acts").withColumn("size", F.col("end_k") - F.col("begin_k") - 1)
+    held = _closed(rows, begin, "}", "brace", counts).where("end_acts = begin_acts").withColumn("size", F.col("end_place") - F.col("begin_place") - 1)
     broad, empty = F.col("type").isin(BROAD_TYPES), F.col("size") == 0
     sure = F.when(empty, F.when(broad, 96).otherwise(92)).otherwise(F.when(broad, 84).otherwise(66))
     key = F.concat_ws(":", _owner(), "type")
@@ -294,10 +301,12 @@ def unwritten(text: Column) -> Column:
 def placeholders(tokens: DataFrame, t: DataFrame) -> DataFrame:
     """Comments that stand for code, and bodies that only throw that they are not written."""
     text = F.trim(F.regexp_replace("text", r"^(//+|#+|/\*+)|\*+/$", ""))
-    gaps = _finding(tokens.where((F.col("kind") == "comment") & elided(text)), "SL112", "high", 92, text, F.concat_ws(":", _owner(), F.lit("elided")))
+    # written first: in one filter with the words' tests, too long a method to be compiled, every token would be slow
+    remarks = written(tokens.where("kind = 'comment'").select("path", "text", "line", "class_name", "unit"))
+    gaps = _finding(remarks.where(elided(text)), "SL112", "high", 92, text, F.concat_ws(":", _owner(), F.lit("elided")))
     size = t.where("unit IS NOT NULL").groupBy("path", "class_name", "unit", "unit_line").agg(F.sum(F.when(F.col("text") == ";", 1).otherwise(0)).alias("statements"))
     message = F.regexp_replace("text", "^['\"]|['\"]$", "")
-    thrown = t.where((F.col("kind") == "string") & (F.col("b1") == "(") & (F.lower("b3") == "new") & unwritten(message)).select("path", "class_name", "unit", "unit_line", "line", "text")
+    thrown = written(t.where((F.col("kind") == "string") & (F.col("b1") == "(") & (F.lower("b3") == "new")).select("path", "class_name", "unit", "unit_line", "line", "text")).where(unwritten(message))
     same = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("path", "class_name", "unit", "unit_line")])
     only = thrown.alias("x").join(size.where("statements = 1").alias("y"), same).select("x.*")
     return gaps.unionByName(_finding(only, "SL112", "high", 90, F.col("text"), F.concat_ws(":", _owner(), F.lit("unwritten"))))
@@ -305,7 +314,7 @@ def placeholders(tokens: DataFrame, t: DataFrame) -> DataFrame:
 
 def long_parameter_lists(t: DataFrame, most: int = 7) -> DataFrame:
     heads = functions(t).where("name <> '__construct'")
-    counts = parameters(t, heads).groupBy("path", "from").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    counts = parameters(t).groupBy("path", "from").agg(F.count("*").alias("n")).where(F.col("n") > most)
     rows = counts.join(heads, ["path", "from"])
     return _finding(rows, "SL113", "medium", F.least(F.lit(95), 70 + 8 * (F.col("n") - most)), F.format_string("%s takes %d parameters", "name", "n"), _owner("name"))
 
@@ -316,11 +325,10 @@ def nested_ternaries(t: DataFrame) -> DataFrame:
     other expressions, are none; neither are chains of fallbacks."""
     value = F.col("b1").rlike(r"^[\w$'\"\)\]]|^\?->") & ~F.lower("b1").isin("return", "fn", "function", "static", "private", "protected", "public", "readonly")
     sign = F.col("kind") == "operator"
-    rows = t.withColumn("_s", F.sum(F.when(F.col("text").isin(";", "{", "}") & sign, 1).otherwise(0)).over(Window.partitionBy("path").orderBy("n")))
     opens, closes = sign & F.col("text").isin("(", "["), sign & F.col("text").isin(")", "]")
     asks = (F.col("text") == "?") & sign & value & (F.col("a1") != ":")
     parts = sign & F.col("text").isin(",", "=>", ";", "{", "}")
-    some = rows.where(opens | closes | asks | parts).withColumns({"_level": F.when(opens, F.col("paren") + 1).otherwise(F.col("paren")), "_asks": asks, "_part": (opens | parts).cast("int")})
+    some = t.where(opens | closes | asks | parts).withColumns({"_s": F.col("stops"), "_level": F.when(opens, F.col("paren") + 1).otherwise(F.col("paren")), "_asks": asks, "_part": (opens | parts).cast("int")})
     level = Window.partitionBy("path", "_level").orderBy("n")
     around = {
         "_seg": F.sum("_part").over(level.rowsBetween(Window.unboundedPreceding, 0)),
@@ -361,18 +369,20 @@ def whole_tables(t: DataFrame) -> DataFrame:
 def many_dependencies(t: DataFrame, suffix: str = "Controller", most: int = 4, rule: str = "SL206") -> DataFrame:
     """Constructors of classes of one kind that ask for too many objects."""
     heads = functions(t).where((F.col("name") == "__construct") & F.col("class_name").endswith(suffix))
-    counts = parameters(t, heads).where(F.col("type").rlike("^\\\\?[A-Z]")).groupBy("path", "from").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    counts = parameters(t).where(F.col("type").rlike("^\\\\?[A-Z]")).groupBy("path", "from").agg(F.count("*").alias("n")).where(F.col("n") > most)
     step, base, top = (4, 78, 92) if rule == "SL206" else (5, 68, 88)
     return _finding(counts.join(heads, ["path", "from"]), rule, "medium", F.least(F.lit(top), base + step * (F.col("n") - most)), F.format_string("%s depends on %d objects", "class_name", "n"), F.col("class_name"))
 
 
+@fact
 def routes(t: DataFrame) -> DataFrame:
     """Route registrations: verb, uri, and the controller and method of an array action."""
     text = lambda c: F.regexp_replace(c, "^.|.$", "")
     heads = calls(t).where("how = 'static' AND on = 'Route' AND name IN ('get', 'post', 'put', 'patch', 'delete', 'any')").select("path", F.col("n").alias("from"), "line", F.col("name").alias("verb"), text("a2").alias("uri"))
     window = Window.partitionBy("path").orderBy("n")
     own = heads.select("path", F.col("from").alias("n"), F.col("from").alias("_h"))
-    rows = t.join(own, ["path", "n"], "left").withColumn("from", F.last("_h", ignorenulls=True).over(window))
+    some = t.where("kind = 'string' AND b2 = 'class' AND b1 = ',' OR a1 = '::' AND a2 = 'class'").select("path", "n", "kind", "text", "b1", "b2", "a1", "a2")
+    rows = some.unionByName(own, allowMissingColumns=True).withColumn("from", F.last("_h", ignorenulls=True).over(window)).where("_h IS NULL")
     action = rows.where("kind = 'string' AND b2 = 'class' AND b1 = ','").groupBy("path", "from").agg(F.min(F.struct("n", text("text").alias("method"))).alias("m"))
     holder = rows.where("a1 = '::' AND a2 = 'class'").groupBy("path", "from").agg(F.min(F.struct("n", F.substring_index("text", "\\", -1).alias("c"))).alias("c"))
     return heads.join(action, ["path", "from"], "left").join(holder, ["path", "from"], "left").select("path", "line", "verb", "uri", F.col("c.c").alias("controller"), F.col("m.method").alias("method"))
@@ -400,6 +410,7 @@ def missing_actions(found: DataFrame, t: DataFrame) -> DataFrame:
     over = facts.where("parent IS NOT NULL").select("class_name", "parent").unionByName(trait_uses(t).select("class_name", F.col("trait").alias("parent"))).distinct()
     up = closure(over, "class_name", "parent").select("child", "ancestor")
     chain = facts.select(F.col("class_name").alias("child"), F.col("class_name").alias("ancestor")).unionByName(up).distinct()
+    chain = written(chain)
     own = functions(t).select(F.col("class_name").alias("ancestor"), F.lower("name").alias("key"))
     foreign = chain.join(facts.select(F.col("class_name").alias("ancestor")).distinct(), "ancestor", "left_anti")
     unclear = chain.join(shared.unionByName(own.where("key = '__call'").select("ancestor")).distinct(), "ancestor", "left_semi")
@@ -445,19 +456,24 @@ def single_implementations(t: DataFrame) -> DataFrame:
     faces = class_facts(t).where("class_kind = 'interface'").select("path", "line", F.col("class_name").alias("name"))
     small = functions(t).groupBy(F.col("class_name").alias("name")).agg(F.count("*").alias("methods"))
     heads = t.where(F.lower("text") == "implements").select("path", F.col("n").alias("from"), "brace")
-    listed = _within(t, heads.withColumn("paren", F.col("brace")), "}", "brace").where((F.col("brace") == F.col("base")) & (F.col("kind") == "name"))
+    names = t.where("kind = 'name'").select("path", "n", "text", "brace")
+    listed = _within(t, names, heads, "}", "brace").where(F.col("brace") == F.col("base"))
     done = listed.groupBy(F.substring_index("text", "\\", -1).alias("name")).agg(F.countDistinct("path", "from").alias("implementors"))
     named = t.where("kind = 'name' AND NOT lower(b1) = 'interface'").select(F.substring_index("text", "\\", -1).alias("name"), "path").distinct().groupBy("name").agg(F.count("*").alias("files"))
     rows = faces.join(done, "name").join(named, "name", "left").join(small, "name", "left").where("implementors = 1 AND coalesce(files, 0) <= 2 AND coalesce(methods, 0) <= 3")
     return _finding(rows, "SL303", "low", 63, F.concat("name", F.lit(" has one implementation")), F.col("name"))
 
 
+@fact
 def bodies(t: DataFrame, ignored: tuple[str, ...] = ("__construct", "__invoke", "up", "down", "definition"), least: int = 8) -> DataFrame:
     """(id, path, line, class_name, unit, statements, tokens, masked, hash, n_tokens): bodies of methods of
     enough statements. Variables, literals and classes of static calls are masked; their values are kept apart."""
     masks = F.when(F.col("kind") == "variable", "V").when(F.col("kind").isin("string", "heredoc", "number"), "L").when((F.col("kind") == "name") & (F.col("a1") == "::"), "C")
     value = F.when(masks == "V", F.concat(F.lit("var:"), "text")).when(masks == "L", F.concat(F.lit("lit:"), "text")).when(masks == "C", F.concat(F.lit("class:"), "text"))
     rows = t.where(F.col("unit").isNotNull() & F.col("class_name").isNotNull() & ~F.col("unit").isin(list(ignored)))
+    # most methods are too short: their tokens are not gathered
+    key = ["path", "class_name", "unit", "unit_line"]
+    rows = rows.join(rows.where("text = ';'").groupBy(*key).agg(F.count("*").alias("statements")).where(F.col("statements") >= least).select(*key), key, "left_semi")
     one = F.struct("n", F.coalesce(masks, "text").alias("token"), value.alias("value"))
     found = rows.groupBy("path", "class_name", "unit", "unit_line").agg(F.array_sort(F.collect_list(one)).alias("b"), F.sum(F.when(F.col("text") == ";", 1).otherwise(0)).alias("statements"))
     tokens = F.transform("b", lambda x: x["token"])
@@ -555,10 +571,10 @@ def detect(tokens: DataFrame, without: frozenset[str] = frozenset(), policies: P
     """The findings of all detectors of this module but those of the rules ``without``, which are not planned at all.
     What detectors share is computed once, in the shared folder."""
     checkpoint_dir(tokens.sparkSession)
-    tokens = tokens.checkpoint()
-    t = context(tokens).checkpoint()
+    tokens = written(tokens)
+    t = written(context(dealt(tokens, "path")))
     t._facts = {}
-    units = measured(tokens, t).checkpoint()
+    units = written(measured(tokens, t))
     found, bodies_, refs = routes(t), bodies(t), references(t)
     p = policies
     parts = {

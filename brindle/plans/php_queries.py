@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.operators import detectors
-from brindle.session import table
+from brindle.session import dealt, table
 from brindle.sources import php
 
 #: ``@`` stands for the part's key; parts of one remainder get the files of one kind.
@@ -85,6 +85,7 @@ def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, source): for every part the files of its kind, with its key in their names."""
     templates = spark.createDataFrame([(kind_of(path), path, source) for path, source in TEMPLATES.items()], "kind int, path string, source string")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), (F.col("p_partkey") % 3).cast("int").alias("kind"))
+    part = dealt(part, "key")  # a part stands for many tokens, and a file of parts is one task
     return part.join(F.broadcast(templates), "kind").select(*[F.replace(c, F.lit("@"), F.col("key")).alias(c) for c in ("path", "source")])
 
 

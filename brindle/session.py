@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,6 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder by column and read again: each later step reads the columns that it asks for.
+    Files are far smaller than their rows, so Spark would broadcast what is no small table: joins are told not to."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).hint("merge")
+
+
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by keys to as many partitions as the session has set, at least four a core: a number that is asked for
     is kept, where Spark would gather up to 64 MB of packed rows, often a gigabyte once sorted, in one task."""

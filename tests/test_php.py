@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from brindle.sources import php
 
 SOURCE = '''<p>html</p>
@@ -98,3 +100,27 @@ def test_duplicates_drift_and_layers(spark):
     crossing = detectors.boundary_violations(refs, r"^App\\Domain\\(\w+)\\", ["App\\Domain\\*\\Api\\*"], ["Shared"]).collect()
     assert [r.fingerprint for r in crossing] == ["App\\Domain\\Shop\\A->App\\Domain\\User\\Internal\\Key"]
     assert [(r.fingerprint) for r in detectors.forbidden_capabilities(t, [("B", ["http", "mail"])]).collect()] == ["B::send:http"]
+
+
+def test_files_of_parts_are_dealt_and_written_rows_are_not_broadcast(spark, tmp_path):
+    from brindle.plans import php_queries
+    from brindle.session import written
+
+    spark.range(50).selectExpr("id AS p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    files = php_queries.php_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # a task lexes what it is dealt
+    assert files.count() == 17 * 2 + 17 + 16 * 2
+    rows = written(files)
+    plan = rows.join(rows.groupBy("path").count(), "path")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_parameters_of_all_functions_are_found_at_once(spark):
+    from brindle.operators import detectors
+
+    source = "<?php class A { function __construct(private B $b, int $c = 1) {} function m(?X $x = [1, 2], ...$rest) { if ($y) { $z = fn ($q) => 1; } } }\n?>\n<?php\nfunction f($last)\n{}"
+    t = detectors.context(php.tokens(spark.createDataFrame([("a.php", source), ("b.php", "<?php f(1);")], "path string, source string")))
+    found = detectors.parameters(t).join(detectors.functions(t).select("path", "from", F.col("name").alias("of"), "line"), ["path", "from"]).collect()
+    assert sorted((r.of, r.name, r.type, r.promoted, r.line) for r in found) == [
+        ("__construct", "b", "B", True, 1), ("__construct", "c", "int", False, 1), ("f", "last", None, False, 4), ("m", "rest", None, False, 1), ("m", "x", "X", False, 1),
+    ]
