@@ -19,12 +19,15 @@ no rows. Other columns are ignored. A document longer than a block joins the blo
 
 from __future__ import annotations
 
+import codecs
 import gc
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +57,16 @@ MAGIC = b"RANS0001"
 CHUNKS, LONGEST_KEPT, TOGETHER = 500_000, 64, 4096
 #: Texts that are encoded together, unless their bytes end the batch before.
 ENCODED_ROWS = 8192
+#: Pieces of a generation that a worker remembers, like chunks.
+PIECES = 250_000
+# Letters that have been letters in every version of Unicode an engine may know, and signs that never
+# join letters (the apostrophe does).
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u021f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_PLAIN = re.compile(rf"[{_LETTERS}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+|\n")
+# Bytes as a byte-level vocabulary writes them: those that print as themselves, the others as letters from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = sorted({*range(256)} - _PRINTED)
+_WRITTEN = "".join(chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256))
 # White space by Unicode, and the separators that only some engines count.
 _SPACES = "\t\n\x0b\x0c\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _HEAD = struct.Struct("<8sQIIIIII")  # magic, ids, lanes, checkpoints, words, documents, crc of words, crc of ids
@@ -181,7 +194,9 @@ class Encoder:
     The library splits a text by a pattern and merges each match on its own. Where no two white spaces are
     adjacent, a space always begins a match, so a text can be cut at its spaces, and chunks that are not
     remembered are encoded together, each behind a space: the tokens that begin with a space part them
-    again. Texts with adjacent white spaces, or with the string of an added token, which the library takes
+    again. A chunk of plain letters, digits, signs and line breaks is cut into the pattern's matches here, and the
+    library's model merges each, remembered as well: most new chunks are known words with another sign behind them, and
+    the library's own cutting, which keeps track of places, takes twice as long as its merges. Texts with adjacent white spaces, or with the string of an added token, which the library takes
     out before it splits a text, are encoded by it as a whole.
     """
 
@@ -196,8 +211,14 @@ class Encoder:
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]  # as the vocabulary writes it
         self.spaced = np.zeros(self.size, dtype=bool)
         self.spaced[[k for t, k in self.tokenizer.get_vocab().items() if t[0] == space and k not in added]] = True
+        setup = json.loads(self.tokenizer.to_str())
+        cutter = setup["pre_tokenizer"] or {}
+        self.cuts = setup["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
+        self.model = self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the library gives them for the whole text."""
@@ -226,12 +247,10 @@ class Encoder:
         index = (np.cumsum(used) - 1)[index]
         index[firsts] = len(ids) + np.arange(len(firsts))
         ids += [x.tobytes() for x in self._library(heads)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[index]
-        ends = np.cumsum(each)
-        at = np.repeat(starts[index] - (ends - each), each) + np.arange(int(ends[-1]))
-        return np.frombuffer(b"".join(ids), dtype="<u4")[at], np.diff(ends[offsets[1:] - 1], prepend=0)
+        found = pa.array(ids, pa.large_binary()).take(pa.array(index))
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(index) + 1) // 4
+        flat = found.buffers()[2]
+        return np.frombuffer(flat, "<u4", int(ends[-1])) if ends[-1] else np.empty(0, "<u4"), np.diff(ends[offsets])
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks, each behind a space."""
@@ -241,8 +260,9 @@ class Encoder:
         missing = [x for x in chunks if x not in young]
         young.update((x, old[x]) for x in missing if x in old)
         new = [x for x in missing if x not in old]
-        for at in range(0, len(new), TOGETHER):
-            part = new[at : at + TOGETHER]
+        whole = self._by_piece(new) if self.cuts else new
+        for at in range(0, len(whole), TOGETHER):
+            part = whole[at : at + TOGETHER]
             ids = self._library(["".join([f" {x}" for x in part])])[0]
             raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
             young.update((x, raw[i:j]) for x, i, j in zip(part, cuts, [*cuts[1:], len(raw)], strict=True))
@@ -252,6 +272,36 @@ class Encoder:
                 young.pop(x)
         return out
 
+    def _by_piece(self, chunks: list[str]) -> list[str]:
+        """Remember the ids of chunks that are plain, each behind a space; the others are returned."""
+        if len(self.pieces) > PIECES:
+            self.pieces, self.old_pieces = {}, self.pieces
+        young, known, old, merge, cut, spell = self.young, self.pieces, self.old_pieces, self.model.tokenize, _PLAIN.findall, codecs.charmap_decode
+
+        def ids_of(piece: str) -> bytes:
+            return array("I", [t.id for t in merge(spell(piece.encode(), "strict", _WRITTEN)[0])]).tobytes()
+
+        rest = []
+        for x in chunks:
+            parts = cut(x)
+            if len(x) > LONGEST_KEPT or not parts or parts[0] == "\n" or len("".join(parts)) != len(x):
+                rest.append(x)
+            elif len(parts) == 1:
+                young[x] = ids_of(f" {x}")
+            else:
+                first = parts[0]  # a chunk itself
+                ids = young.get(first)
+                if ids is None:
+                    ids = young[first] = self.old.get(first) or ids_of(f" {first}")
+                row = [ids]
+                for p in parts[1:]:
+                    ids = known.get(p)
+                    if ids is None:
+                        ids = known[p] = old.get(p) or ids_of(p)
+                    row.append(ids)
+                young[x] = b"".join(row)
+        return rest
+
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

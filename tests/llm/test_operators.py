@@ -631,3 +631,14 @@ def test_token_files_in_the_order_of_their_names(spark, tmp_path):
             ids += row["doc_ids"]
     assert ids == sorted(ids) == list(range(300))
     assert upto == token_output.read_tokens(spark, str(tmp_path / "t")).agg(F.sum("n_tokens")).first()[0]
+
+
+def test_plain_chunks_are_merged_piece_by_piece_and_equal_whole_texts():
+    coder = token_output.Encoder(token_output.VOCABULARY)
+    asked, library = [], coder._library
+    coder._library = lambda texts: asked.extend(texts) or library(texts)
+    texts = ["a known word", "a known, known. word\nknown (12) öl слово", "it don't x́ 中文 a‍b", "", "b \n c", " a ", "x " + "ab," * 40]
+    want = [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert coder.encode(texts) == want and coder.encode(texts) == want
+    assert not any(w in t for t in asked for w in ("known", "word", "слово"))  # known chunks go to the model, not through the library's cutting
+    assert any("don't" in t for t in asked) and "ab," * 40 not in coder.young
