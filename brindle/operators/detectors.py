@@ -491,14 +491,16 @@ def duplicate_bodies(found: DataFrame, least: int = 8) -> DataFrame:
     return _finding(found.join(groups, "hash"), "SL104", "medium", confidence, F.concat(F.lit("has the structure of "), (F.col("n") - 1).cast("string"), F.lit(" other bodies, first "), "first"), _owner())
 
 
-def drifted_bodies(found: DataFrame, budget: int = 28, ratio: float = 0.08, most: int = 5000) -> DataFrame:
-    """Bodies that differ from another by few tokens; each pair is reported at its shorter body."""
-    pairs, cut = drift_pairs(found.select("id", "tokens", "hash"), budget, ratio, most)
+def drifted_bodies(found: DataFrame, budget: int = 28, ratio: float = 0.08) -> DataFrame:
+    """Bodies that differ from another by few tokens; each pair is reported at its shorter body. All that may differ by so
+    few are compared, however many; pairs are written once, without their tokens, and asked for families and findings."""
+    pairs = written(drift_pairs(found.select("id", "tokens", "hash"), budget, ratio, None)[0])
     sizes = family_sizes(pairs, "id_a", "id_b")
-    place = lambda x: found.select(F.col("id").alias(f"id_{x}"), F.col("path").alias(f"path_{x}"))
-    rows = pairs.join(found.withColumnRenamed("id", "id_a"), "id_a").join(place("b"), "id_b").join(sizes.withColumnRenamed("member", "id_a"), "id_a").join(F.broadcast(cut), F.lit(True), "left")
+    here = found.select("id", "path", "line", "class_name", "unit", "n_tokens").withColumnRenamed("id", "id_a")
+    place = found.select(F.col("id").alias("id_b"), F.col("path").alias("path_b"))
+    rows = pairs.join(here, "id_a").join(place, "id_b").join(sizes.withColumnRenamed("member", "id_a"), "id_a")
     _, confidence = vote([F.col("ratio") <= 0.02, F.col("family") >= 3, F.col("path") != F.col("path_b")], 0, 60, 8, 88)
-    said = F.format_string("differs from %s by %d of %d tokens%s", "id_b", "distance", "n_tokens", F.when(F.coalesce("truncated", F.lit(False)), " (not all bodies were compared)").otherwise(""))
+    said = F.format_string("differs from %s by %d of %d tokens", "id_b", "distance", "n_tokens")
     return _finding(rows, "SL111", "high", confidence, said, F.concat_ws("~", _owner(), "id_b"))
 
 

@@ -124,3 +124,14 @@ def test_parameters_of_all_functions_are_found_at_once(spark):
     assert sorted((r.of, r.name, r.type, r.promoted, r.line) for r in found) == [
         ("__construct", "b", "B", True, 1), ("__construct", "c", "int", False, 1), ("f", "last", None, False, 4), ("m", "rest", None, False, 1), ("m", "x", "X", False, 1),
     ]
+
+
+def test_every_pair_of_drifted_bodies_is_found(spark):
+    from brindle.operators import detectors
+
+    n = 110  # more pairs than the 5,000 that were compared once
+    rows = [(f"b{k:03}", f"f{k}.php", 1, "A", f"m{k:03}", ["a"] * 40 + [f"w{k}"], f"h{k:03}", 41) for k in range(n)]
+    found = spark.createDataFrame(rows, "id string, path string, line int, class_name string, unit string, tokens array<string>, hash string, n_tokens int")
+    pairs = detectors.drifted_bodies(found).collect()
+    assert {r.fingerprint for r in pairs} == {f"A::m{a:03}~b{b:03}" for a in range(n) for b in range(a + 1, n)} and len(pairs) == n * (n - 1) // 2
+    assert {(r.message.split(" by ")[1], r.confidence) for r in pairs} == {("1 of 41 tokens", 76)}
