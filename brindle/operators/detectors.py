@@ -1,7 +1,7 @@
 """Detectors over the tokens of PHP sources (see ``brindle.sources.php.tokens``), as DataFrame plans.
 
-A file's tokens are one window; neighbours, parentheses and braces are lags and running sums over it, and
-what belongs together is joined by file. Every detector gives findings: rule, severity, confidence, path,
+Tokens carry their neighbours and what is open around them, which the lexer leaves with them, so what lies within a
+file is a filter or an aggregate; only what files know of each other is joined. Every detector gives findings: rule, severity, confidence, path,
 line, message and fingerprint. Tokens carry no types, so names decide where a type would.
 """
 
@@ -16,7 +16,8 @@ from brindle.functions.text import matches_glob
 from brindle.operators.architecture import family_sizes
 from brindle.operators.graphs import crosses_boundary, vote
 from brindle.operators.structure import drift_pairs
-from brindle.session import checkpoint_dir, dealt, written
+from brindle.session import checkpoint_dir, written
+from brindle.sources.php import LONG, NAMES, NO_CALLS, sorts
 
 # Vocabularies that the detectors look names up in.
 BROAD_TYPES = ["Throwable", "Exception", "Error", "RuntimeException"]
@@ -48,33 +49,16 @@ DEMANDS, PLACED = ["add", "insert", "put", "write", "place"], ["logic", "code",
 HELD, GOING = [*PLACED, "method", "function", "body"], PLACED
 PENDING = ["todo", "fixme", "tbd"]
 LONGEST_REMARK = 8
-NO_CALLS = ["if", "elseif", "while", "for", "foreach", "switch", "match", "catch", "array", "list", "isset", "unset", "empty", "function", "fn", "return", "echo", "print", "and", "or", "declare", "use"]
 
 
-def _before(t: DataFrame, k: int) -> Column:
-    return F.coalesce(F.lag("text", k).over(Window.partitionBy("path").orderBy("n")), F.lit(""))
-
+def context(tokens: DataFrame) -> DataFrame:
+    """Tokens without comments; the lexer has left their neighbours and what is open around them with each."""
+    return tokens.where(~F.col("sort").isin(sorts("comment")))
 
-def _after(k: int) -> Column:
-    return F.coalesce(F.lead("text", k).over(Window.partitionBy("path").orderBy("n")), F.lit(""))
 
-
-def context(tokens: DataFrame) -> DataFrame:
-    """Tokens without comments, with their neighbours, the depth of parentheses and braces before them, and what has
-    come so far: tokens that act, tokens, and signs that end a statement or stand around a block. A file is sorted once for all."""
-    t = tokens.where("kind <> 'comment'")
-    sofar = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    step = lambda opens, closes: F.when(F.col("kind") != "operator", 0).when(F.col("text").isin(opens), 1).when(F.col("text").isin(closes), -1).otherwise(0)
-    t = t.withColumns({f"b{k}": _before(t, k) for k in (1, 2, 3)} | {f"a{k}": _after(k) for k in (1, 2, 3)})
-    acts = F.lower("text").isin("throw", "echo", "print") & (F.col("kind") == "name") | ((F.col("kind") == "name") & (F.col("a1") == "(") & ~F.lower("text").isin(NO_CALLS)) | ((F.col("kind") == "name") & F.col("b1").isin("->", "::") & (F.col("a1") == "="))
-    return t.withColumns({
-        "acts": F.sum(acts.cast("int")).over(sofar),
-        "place": F.row_number().over(Window.partitionBy("path").orderBy("n")),
-        "stops": F.sum((F.col("text").isin(";", "{", "}") & (F.col("kind") == "operator")).cast("int")).over(sofar),
-        "paren": F.coalesce(F.sum(step(["(", "[", "#["], [")", "]"])).over(before), F.lit(0)),
-        "brace": F.coalesce(F.sum(step(["{"], ["}"])).over(before), F.lit(0)),
-    })
+def _of(t: DataFrame, *names: str) -> DataFrame:
+    """Tokens of some sorts."""
+    return t.where(F.col("sort").isin(sorts(*names)))
 
 
 def _finding(rows: DataFrame, rule: str, severity, confidence, message: Column, fingerprint: Column, line: str = "line") -> DataFrame:
@@ -107,46 +91,23 @@ def fact(make):
 
 @fact
 def functions(t: DataFrame) -> DataFrame:
-    """Named functions and methods: where they begin, their visibility, and the depths outside them."""
+    """Named functions and methods: where they begin, and their visibility."""
     words = [F.lower(f"b{k}") for k in (1, 2, 3)]
     seen = lambda w: reduce(lambda a, b: a | b, [x == w for x in words])
     visibility = F.when(seen("private"), "private").when(seen("protected"), "protected").otherwise("public")
-    named = t.where((F.lower("text") == "function") & F.col("a1").rlike(r"^\w+$") & (F.col("a2") == "(") & ~F.col("b1").isin("->", "::", "use"))
-    return named.select("path", F.col("n").alias("from"), "line", "class_name", F.col("a1").alias("name"), visibility.alias("visibility"), seen("]").alias("attributed"), "paren", "brace")
-
-
-def _closed(t: DataFrame, heads: DataFrame, close: str, depth: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """Heads (path, from, ``depth``, ...) with ``end``: the first closing bracket at the head's own depth, and columns
-    ``also`` of that bracket as ``end_...``. Heads may nest, since both sides meet by (path, depth)."""
-    begins = heads.select("path", F.col("from").alias("n"), F.col(depth).alias("_level"), F.struct(*heads.columns).alias("_head"))
-    ends = t.where((F.col("text") == close) & (F.col("kind") == "operator")).select("path", "n", (F.col(depth) - 1).alias("_level"), F.lit(None).cast(begins.schema["_head"].dataType).alias("_head"), *also)
-    later = Window.partitionBy("path", "_level").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    first = F.min(F.when(F.col("_head").isNull(), F.struct("n", *also))).over(later)
-    found = begins.unionByName(ends, allowMissingColumns=True).withColumn("_end", first)
-    return found.where("_head IS NOT NULL AND _end IS NOT NULL").select("_head.*", F.col("_end.n").alias("end"), *[F.col(f"_end.{c}").alias(f"end_{c}") for c in also])
-
-
-def _within(t: DataFrame, rows: DataFrame, heads: DataFrame, close: str, depth: str) -> DataFrame:
-    """Those of ``rows`` that lie between a head and where its bracket closes, for heads whose bracket holds no other: each
-    looks at the last head before it, so that nothing but a file is sorted."""
-    window = Window.partitionBy("path").orderBy("n")
-    own = _closed(t, heads, close, depth).select("path", F.col("from").alias("n"), F.struct(F.col("from"), F.col(depth).alias("depth"), "end").alias("_h"))
-    both = rows.unionByName(own, allowMissingColumns=True).withColumn("_head", F.last("_h", ignorenulls=True).over(window)).where("_h IS NULL AND n > _head.from AND n < _head.end")
-    return both.withColumn("from", F.col("_head.from")).withColumn("base", F.col("_head.depth")).drop("_head", "_h")
+    named = _of(t, "word").where((F.lower("text") == "function") & F.col("a1").rlike(r"^\w+$") & (F.col("a2") == "(") & ~F.col("b1").isin("->", "::", "use"))
+    return named.select("path", F.col("n").alias("from"), "line", "class_name", F.col("a1").alias("name"), visibility.alias("visibility"), seen("]").alias("attributed"))
 
 
 @fact
 def parameters(t: DataFrame) -> DataFrame:
     """(path, from, name, type, promoted, visibility): the parameters of all functions; a parameter is what lies between
     two commas of the list."""
-    inside = t.where("paren > 0").select("path", "n", "kind", "text", "paren", "b1", "b2")
-    rows = _within(t, inside, functions(t).select("path", "from", "paren"), ")", "paren")
-    comma = (F.col("text") == ",") & (F.col("kind") == "operator") & (F.col("paren") == F.col("base") + 1)
-    rows = rows.withColumn("_p", F.sum(comma.cast("int")).over(Window.partitionBy("path", "from").orderBy("n")))
-    word = lambda w: F.max(((F.lower("text") == w) & (F.col("kind") == "name")).cast("int")) == 1
+    variable = F.col("sort").isin(sorts("variable"))
+    rows = _of(t, "variable", "word").where("params_of IS NOT NULL").select("path", F.col("params_of").alias("from"), "arg", "arg_depth", "text", "b1", "b2", variable.alias("variable"))
+    word = lambda w: F.max((F.lower("text") == w).cast("int")).over(Window.partitionBy("path", "from", "arg")) == 1
     shown = F.when(word("private"), "private").when(word("protected"), "protected").when(word("public") | word("readonly"), "public")
-    marks = rows.groupBy("path", "from", "_p").agg(shown.alias("visibility"))
-    named = rows.where((F.col("kind") == "variable") & (F.col("paren") == F.col("base") + 1) & ~F.col("b1").isin("=", ".")).join(marks, ["path", "from", "_p"])
+    named = rows.withColumn("visibility", shown).where(F.col("variable") & (F.col("arg_depth") == 0) & ~F.col("b1").isin("=", "."))
     kind = F.when(F.col("b1").isin("...", "&"), F.col("b2")).otherwise(F.col("b1"))
     return named.select("path", "from", F.substring("text", 2, 200).alias("name"), F.when(kind.rlike(r"^\\?[A-Za-z_]"), kind).alias("type"), F.col("visibility").isNotNull().alias("promoted"), "visibility")
 
@@ -155,7 +116,7 @@ def parameters(t: DataFrame) -> DataFrame:
 def calls(t: DataFrame) -> DataFrame:
     """Calls of functions, methods and static methods: the name, how it is called, and on what."""
     how = F.when(F.col("b1").isin("->", "?->"), "method").when(F.col("b1") == "::", "static").when(F.lower("b1") == "new", "new").otherwise("function")
-    some = t.where((F.col("kind") == "name") & (F.col("a1") == "(") & (F.lower("b1") != "function") & ~((how == "function") & F.lower("text").isin(NO_CALLS)))
+    some = _of(t, "word", "call").where((F.col("a1") == "(") & (F.lower("b1") != "function") & ~((how == "function") & F.lower("text").isin(*sorted(NO_CALLS))))
     return some.select("path", "n", "line", "class_name", "unit", "unit_line", "loop", "b1", "b3", "a1", "a2", "a3", F.col("text").alias("name"), how.alias("how"), F.when(how != "function", F.col("b2")).alias("on"))
 
 
@@ -163,18 +124,14 @@ def calls(t: DataFrame) -> DataFrame:
 def class_facts(t: DataFrame) -> DataFrame:
     """Class-like declarations with their kind, parent and interfaces' number."""
     kind = F.lower("text")
-    heads = t.where(kind.isin("class", "interface", "trait", "enum") & (F.col("kind") == "name") & F.col("a1").rlike(r"^\w+$") & ~F.col("b1").isin("::", "->", "new"))
+    heads = _of(t, "word").where(kind.isin("class", "interface", "trait", "enum") & F.col("a1").rlike(r"^\w+$") & ~F.col("b1").isin("::", "->", "new"))
     return heads.select("path", F.col("line"), kind.alias("class_kind"), F.col("a1").alias("class_name"), F.when(F.lower("a2") == "extends", F.col("a3")).alias("parent"))
 
 
 @fact
 def trait_uses(t: DataFrame) -> DataFrame:
     """(path, class_name, trait): the traits that classes use, by short name."""
-    here = Window.partitionBy("path", "class_name").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    own = t.where("class_name IS NOT NULL AND unit IS NULL")
-    mark = F.when((F.lower("text") == "use") & (F.col("kind") == "name"), True).when(F.col("text").isin(";", "{", "}"), False)
-    rows = own.withColumn("_u", F.last(mark, ignorenulls=True).over(here)).where((F.col("kind") == "name") & F.col("_u") & (F.lower("text") != "use"))
-    return rows.select("path", "class_name", F.substring_index("text", "\\", -1).alias("trait")).distinct()
+    return _of(t, *NAMES).where("used").select("path", "class_name", F.substring_index("text", "\\", -1).alias("trait")).distinct()
 
 
 # --- detectors --------------------------------------------------------------------------------------
@@ -219,9 +176,9 @@ def dead_private_methods(t: DataFrame) -> DataFrame:
     """Private methods that their class neither calls nor names in a string; magic and attributed ones, and
     classes that call by variable names, are left alone."""
     heads = functions(t).where("visibility = 'private' AND class_name IS NOT NULL AND NOT attributed AND name NOT LIKE '\\\\_\\\\_%'")
-    dynamic = t.where((F.col("b1").isin("->", "::") & (F.col("kind") == "variable") & (F.col("a1") == "(")) | F.lower("text").isin("compact", "extract", "__call", "__callstatic")).select("path", "class_name")
-    called = t.where(F.col("b1").isin("->", "?->", "::") & (F.col("kind") == "name")).select("path", "class_name", F.lower("text").alias("key"))
-    named = t.where("kind = 'string'").select("path", "class_name", F.lower(F.regexp_replace("text", "^.|.$", "")).alias("key"))
+    dynamic = _of(t, "variable", "word").where((F.col("b1").isin("->", "::") & F.col("sort").isin(sorts("variable")) & (F.col("a1") == "(")) | F.lower("text").isin("compact", "extract", "__call", "__callstatic")).select("path", "class_name")
+    called = _of(t, "word", "call", "member").where(F.col("b1").isin("->", "?->", "::")).select("path", "class_name", F.lower("text").alias("key"))
+    named = _of(t, "string").select("path", "class_name", F.lower(F.regexp_replace("text", "^.|.$", "")).alias("key"))
     rows = heads.withColumn("key", F.lower("name")).join(dynamic.distinct(), ["path", "class_name"], "left_anti")
     for use in (called, named):
         rows = rows.join(use.distinct(), ["path", "class_name", "key"], "left_anti")
@@ -237,7 +194,7 @@ def unused_dependencies(t: DataFrame) -> DataFrame:
     open_ = wanted.where("visibility = 'protected'").join(extended, "class_name", "left_anti").unionByName(wanted.where("visibility = 'private'").select("class_name", *[c for c in wanted.columns if c != "class_name"]))
     uses, traits = trait_uses(t), class_facts(t).where("class_kind = 'trait'").select(F.col("class_name").alias("trait")).distinct()
     unknown = uses.join(traits, "trait", "left_anti").select("path", "class_name").distinct()
-    reads = t.where(F.col("b1").isin("->", "?->") & (F.col("b2") == "$this") & (F.col("kind") == "name")).select("path", "class_name", F.col("text").alias("name")).distinct()
+    reads = _of(t, "word", "call", "member").where(F.col("b1").isin("->", "?->") & (F.col("b2") == "$this")).select("path", "class_name", F.col("text").alias("name")).distinct()
     lent = uses.join(reads.select(F.col("class_name").alias("trait"), "name"), "trait").select("path", "class_name", "name")
     rows = open_.join(unknown, ["path", "class_name"], "left_anti").join(reads.unionByName(lent).distinct(), ["path", "class_name", "name"], "left_anti")
     return _finding(rows, "SL106", "medium", 88, F.format_string("%s never reads its dependency $%s", "class_name", "name"), _owner("name"))
@@ -245,13 +202,8 @@ def unused_dependencies(t: DataFrame) -> DataFrame:
 
 def swallowed_exceptions(t: DataFrame) -> DataFrame:
     """Catch blocks that neither throw, print, call nor record anything, whatever other blocks they hold."""
-    rows = t.where("kind = 'operator' AND text IN ('{', '}')")
-    heads = t.where((F.lower("text") == "catch") & (F.col("a1") == "(") & (F.col("kind") == "name")).select("path", F.col("n").alias("from"), "line", "class_name", "unit", "brace", F.substring_index("a2", "\\", -1).alias("type"))
-    opened = rows.withColumns({"text": F.when(F.col("text") == "{", "begin").otherwise(F.col("text")), "brace": F.when(F.col("text") == "{", F.col("brace") + 1).otherwise(F.col("brace"))})
-    counts = ("acts", "place")
-    begin = _closed(opened, heads, "begin", "brace", counts).withColumnsRenamed({"end": "begin", "end_acts": "begin_acts", "end_place": "begin_place"})
-    # what a block holds is the difference of running counts at its ends
-    held = _closed(rows, begin, "}", "brace", counts).where("end_acts = begin_acts").withColumn("size", F.col("end_place") - F.col("begin_place") - 1)
+    type_ = F.substring_index("a2", "\\", -1).alias("type")
+    held = _of(t, "word").where("held_acts = 0").select("path", F.col("n").alias("from"), "line", "class_name", "unit", type_, F.col("held").alias("size"))
     broad, empty = F.col("type").isin(BROAD_TYPES), F.col("size") == 0
     sure = F.when(empty, F.when(broad, 96).otherwise(92)).otherwise(F.when(broad, 84).otherwise(66))
     key = F.concat_ws(":", _owner(), "type")
@@ -302,13 +254,10 @@ def placeholders(tokens: DataFrame, t: DataFrame) -> DataFrame:
     """Comments that stand for code, and bodies that only throw that they are not written."""
     text = F.trim(F.regexp_replace("text", r"^(//+|#+|/\*+)|\*+/$", ""))
     # written first: in one filter with the words' tests, too long a method to be compiled, every token would be slow
-    remarks = written(tokens.where("kind = 'comment'").select("path", "text", "line", "class_name", "unit"))
+    remarks = written(_of(tokens, "comment").select("path", "text", "line", "class_name", "unit"))
     gaps = _finding(remarks.where(elided(text)), "SL112", "high", 92, text, F.concat_ws(":", _owner(), F.lit("elided")))
-    size = t.where("unit IS NOT NULL").groupBy("path", "class_name", "unit", "unit_line").agg(F.sum(F.when(F.col("text") == ";", 1).otherwise(0)).alias("statements"))
     message = F.regexp_replace("text", "^['\"]|['\"]$", "")
-    thrown = written(t.where((F.col("kind") == "string") & (F.col("b1") == "(") & (F.lower("b3") == "new")).select("path", "class_name", "unit", "unit_line", "line", "text")).where(unwritten(message))
-    same = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("path", "class_name", "unit", "unit_line")])
-    only = thrown.alias("x").join(size.where("statements = 1").alias("y"), same).select("x.*")
+    only = written(_of(t, "string").where((F.col("b1") == "(") & (F.lower("b3") == "new") & (F.col("statements") == 1)).select("path", "class_name", "unit", "line", "text")).where(unwritten(message))
     return gaps.unionByName(_finding(only, "SL112", "high", 90, F.col("text"), F.concat_ws(":", _owner(), F.lit("unwritten"))))
 
 
@@ -323,25 +272,13 @@ def nested_ternaries(t: DataFrame) -> DataFrame:
     """Ternaries whose condition or branch is itself one: a second mark in the same part of the same brackets, or
     brackets that hold a ternary and stand for a whole branch or condition. Ternaries side by side, in arguments or in
     other expressions, are none; neither are chains of fallbacks."""
-    value = F.col("b1").rlike(r"^[\w$'\"\)\]]|^\?->") & ~F.lower("b1").isin("return", "fn", "function", "static", "private", "protected", "public", "readonly")
-    sign = F.col("kind") == "operator"
-    opens, closes = sign & F.col("text").isin("(", "["), sign & F.col("text").isin(")", "]")
-    asks = (F.col("text") == "?") & sign & value & (F.col("a1") != ":")
-    parts = sign & F.col("text").isin(",", "=>", ";", "{", "}")
-    some = t.where(opens | closes | asks | parts).withColumns({"_s": F.col("stops"), "_level": F.when(opens, F.col("paren") + 1).otherwise(F.col("paren")), "_asks": asks, "_part": (opens | parts).cast("int")})
-    level = Window.partitionBy("path", "_level").orderBy("n")
-    around = {
-        "_seg": F.sum("_part").over(level.rowsBetween(Window.unboundedPreceding, 0)),
-        "_open": F.last(F.when(opens, F.struct(F.col("text").alias("t"), F.col("b1").alias("b"))), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, 0)),
-        "_next": F.first(F.when(closes, F.col("a1")), ignorenulls=True).over(level.rowsBetween(0, Window.unboundedFollowing)),
-    }
-    marks = some.withColumns(around).where("_asks")
-    branch = F.col("_open.b").isin("?", ":") & F.col("_next").isin(":", ")", ";", ",", "]")
-    condition = (F.col("_next") == "?") & (F.col("_open.b").isin("=", "(", "[", ",", "=>", "?", ":", "{", ";") | F.lower("_open.b").isin("return", "echo", "print"))
-    wrapped = (F.col("paren") > 0) & (F.col("_open.t") == "(") & (branch | condition)
-    each = marks.groupBy("path", "class_name", "unit", "_s", "_level", "_seg").agg((F.count("*") - 1).alias("_same"), F.sum(wrapped.cast("int")).alias("_wrapped"), F.min("line").alias("line"))
-    found = each.groupBy("path", "class_name", "unit", "_s").agg((F.sum(F.col("_same") + F.col("_wrapped")) + 1).alias("n"), F.min("line").alias("line")).where("n >= 2")
-    found = found.withColumn("_k", F.row_number().over(Window.partitionBy("path", "class_name", "unit").orderBy("line", "_s")))
+    marks = _of(t, "mark").where("part IS NOT NULL")
+    branch = F.col("opened_after").isin("?", ":") & F.col("closed_before").isin(":", ")", ";", ",", "]")
+    condition = (F.col("closed_before") == "?") & (F.col("opened_after").isin("=", "(", "[", ",", "=>", "?", ":", "{", ";") | F.lower("opened_after").isin("return", "echo", "print"))
+    wrapped = (F.col("paren") > 0) & (F.col("opened") == "(") & (branch | condition)
+    each = marks.groupBy("path", "class_name", "unit", "stops", "paren", "part").agg((F.count("*") - 1).alias("_same"), F.sum(wrapped.cast("int")).alias("_wrapped"), F.min("line").alias("line"))
+    found = each.groupBy("path", "class_name", "unit", "stops").agg((F.sum(F.col("_same") + F.col("_wrapped")) + 1).alias("n"), F.min("line").alias("line")).where("n >= 2")
+    found = found.withColumn("_k", F.row_number().over(Window.partitionBy("path", "class_name", "unit").orderBy("line", "stops")))
     return _finding(found, "SL114", F.when(F.col("n") >= 3, "medium").otherwise("low"), F.when(F.col("n") >= 3, 95).otherwise(90), F.format_string("%d ternaries in one expression", "n"), F.concat_ws("#", _owner(), "_k"))
 
 
@@ -381,10 +318,12 @@ def routes(t: DataFrame) -> DataFrame:
     heads = calls(t).where("how = 'static' AND on = 'Route' AND name IN ('get', 'post', 'put', 'patch', 'delete', 'any')").select("path", F.col("n").alias("from"), "line", F.col("name").alias("verb"), text("a2").alias("uri"))
     window = Window.partitionBy("path").orderBy("n")
     own = heads.select("path", F.col("from").alias("n"), F.col("from").alias("_h"))
-    some = t.where("kind = 'string' AND b2 = 'class' AND b1 = ',' OR a1 = '::' AND a2 = 'class'").select("path", "n", "kind", "text", "b1", "b2", "a1", "a2")
+    string = F.col("sort").isin(sorts("string")) & (F.col("b2") == "class") & (F.col("b1") == ",")
+    holds = (F.col("a1") == "::") & (F.col("a2") == "class")
+    some = t.where(~F.col("sort").isin(sorts("call", "unit", "sign")) & (string | holds)).select("path", "n", "text", string.alias("string"), holds.alias("holds"))
     rows = some.unionByName(own, allowMissingColumns=True).withColumn("from", F.last("_h", ignorenulls=True).over(window)).where("_h IS NULL")
-    action = rows.where("kind = 'string' AND b2 = 'class' AND b1 = ','").groupBy("path", "from").agg(F.min(F.struct("n", text("text").alias("method"))).alias("m"))
-    holder = rows.where("a1 = '::' AND a2 = 'class'").groupBy("path", "from").agg(F.min(F.struct("n", F.substring_index("text", "\\", -1).alias("c"))).alias("c"))
+    action = rows.where("string").groupBy("path", "from").agg(F.min(F.struct("n", text("text").alias("method"))).alias("m"))
+    holder = rows.where("holds").groupBy("path", "from").agg(F.min(F.struct("n", F.substring_index("text", "\\", -1).alias("c"))).alias("c"))
     return heads.join(action, ["path", "from"], "left").join(holder, ["path", "from"], "left").select("path", "line", "verb", "uri", F.col("c.c").alias("controller"), F.col("m.method").alias("method"))
 
 
@@ -428,25 +367,23 @@ def models_in_migrations(t: DataFrame) -> DataFrame:
     return _finding(first, "SL216", "medium", 88, F.concat(F.lit("uses the model "), "model"), F.col("model"))
 
 
-def irreversible_migrations(t: DataFrame) -> DataFrame:
+def irreversible_migrations(units: DataFrame, t: DataFrame) -> DataFrame:
     """Migrations whose ``up`` changes the schema while ``down`` is missing or does nothing."""
-    rows = t.where("path LIKE '%database/migrations/%' AND unit IN ('up', 'down')")
-    sides = rows.groupBy("path").agg(
-        F.max(((F.col("unit") == "up") & (F.col("text") == "Schema")).cast("int")).alias("changes"),
-        F.max((F.col("unit") == "down").cast("int")).alias("has_down"),
-        F.max(((F.col("unit") == "down") & (F.col("text") == ";")).cast("int")).alias("undoes"),
-        F.min(F.when(F.col("unit") == "up", F.col("unit_line"))).alias("line"),
+    here = F.col("path").like("%database/migrations/%")
+    sides = units.where(here & F.col("unit").isin("up", "down")).select("path", "unit", "unit_line", "statements", F.lit(0).alias("schema"))
+    schema = _of(t, "word").where(here & (F.col("unit") == "up") & (F.col("text") == "Schema")).select("path", "unit", "unit_line", F.lit(0).alias("statements"), F.lit(1).alias("schema"))
+    found = sides.unionByName(schema).groupBy("path").agg(
+        F.max("schema").alias("changes"), F.max((F.col("unit") == "down").cast("int")).alias("has_down"),
+        F.max(((F.col("unit") == "down") & (F.col("statements") > 0)).cast("int")).alias("undoes"), F.min(F.when(F.col("unit") == "up", F.col("unit_line"))).alias("line"),
     )
-    return _finding(sides.where("changes = 1 AND (has_down = 0 OR undoes = 0)"), "SL215", "medium", 90, F.when(F.col("has_down") == 0, "down() is missing").otherwise("down() is empty"), F.lit("down"))
+    return _finding(found.where("changes = 1 AND (has_down = 0 OR undoes = 0)"), "SL215", "medium", 90, F.when(F.col("has_down") == 0, "down() is missing").otherwise("down() is empty"), F.lit("down"))
 
 
 def unconstrained_keys(t: DataFrame) -> DataFrame:
     """Foreign key columns of migrations whose statement does not constrain them."""
-    rows = t.where("path LIKE '%database/migrations/%'").withColumn("_s", F.sum(F.when(F.col("text") == ";", 1).otherwise(0)).over(Window.partitionBy("path").orderBy("n")))
-    each = rows.groupBy("path", "_s").agg(
-        F.max(F.col("text").isin("foreignId", "foreignIdFor").cast("int")).alias("key"), F.max(F.col("text").isin("constrained", "references").cast("int")).alias("bound"),
-        F.min(F.when(F.col("text").isin("foreignId", "foreignIdFor"), F.struct("line", "a2"))).alias("at"),
-    ).where("key = 1 AND bound = 0")
+    rows = _of(t, "word").where("path LIKE '%database/migrations/%' AND text IN ('foreignId', 'foreignIdFor', 'constrained', 'references')")
+    key = F.col("text").isin("foreignId", "foreignIdFor")
+    each = rows.groupBy("path", "semis").agg(F.max((~key).cast("int")).alias("bound"), F.min(F.when(key, F.struct("line", "a2"))).alias("at")).where("at IS NOT NULL AND bound = 0")
     column = F.regexp_replace("at.a2", "^['\"]|['\"]$", "")
     return _finding(each.withColumn("line", F.col("at.line")), "SL217", "low", 78, F.concat(F.lit("foreign key without a constraint: "), column), column)
 
@@ -455,29 +392,26 @@ def single_implementations(t: DataFrame) -> DataFrame:
     """Interfaces that exactly one class implements and no more than one other file names."""
     faces = class_facts(t).where("class_kind = 'interface'").select("path", "line", F.col("class_name").alias("name"))
     small = functions(t).groupBy(F.col("class_name").alias("name")).agg(F.count("*").alias("methods"))
-    heads = t.where(F.lower("text") == "implements").select("path", F.col("n").alias("from"), "brace")
-    names = t.where("kind = 'name'").select("path", "n", "text", "brace")
-    listed = _within(t, names, heads, "}", "brace").where(F.col("brace") == F.col("base"))
-    done = listed.groupBy(F.substring_index("text", "\\", -1).alias("name")).agg(F.countDistinct("path", "from").alias("implementors"))
-    named = t.where("kind = 'name' AND NOT lower(b1) = 'interface'").select(F.substring_index("text", "\\", -1).alias("name"), "path").distinct().groupBy("name").agg(F.count("*").alias("files"))
+    short = F.substring_index("text", "\\", -1).alias("name")
+    done = _of(t, *NAMES).where("heir IS NOT NULL").groupBy(short).agg(F.countDistinct("path", "heir").alias("implementors"))
+    named = _of(t, *NAMES).where("fresh").groupBy(short).agg(F.count("*").alias("files"))
     rows = faces.join(done, "name").join(named, "name", "left").join(small, "name", "left").where("implementors = 1 AND coalesce(files, 0) <= 2 AND coalesce(methods, 0) <= 3")
     return _finding(rows, "SL303", "low", 63, F.concat("name", F.lit(" has one implementation")), F.col("name"))
 
 
 @fact
-def bodies(t: DataFrame, ignored: tuple[str, ...] = ("__construct", "__invoke", "up", "down", "definition"), least: int = 8) -> DataFrame:
+def bodies(t: DataFrame, ignored: tuple[str, ...] = ("__construct", "__invoke", "up", "down", "definition"), least: int = LONG) -> DataFrame:
     """(id, path, line, class_name, unit, statements, tokens, masked, hash, n_tokens): bodies of methods of
     enough statements. Variables, literals and classes of static calls are masked; their values are kept apart."""
-    masks = F.when(F.col("kind") == "variable", "V").when(F.col("kind").isin("string", "heredoc", "number"), "L").when((F.col("kind") == "name") & (F.col("a1") == "::"), "C")
+    is_ = lambda *names: F.col("sort").isin(sorts(*names))
+    masks = F.when(is_("variable"), "V").when(is_("string", "heredoc", "number"), "L").when(is_(*NAMES) & (F.col("a1") == "::"), "C")
     value = F.when(masks == "V", F.concat(F.lit("var:"), "text")).when(masks == "L", F.concat(F.lit("lit:"), "text")).when(masks == "C", F.concat(F.lit("class:"), "text"))
-    rows = t.where(F.col("unit").isNotNull() & F.col("class_name").isNotNull() & ~F.col("unit").isin(list(ignored)))
     # most methods are too short: their tokens are not gathered
-    key = ["path", "class_name", "unit", "unit_line"]
-    rows = rows.join(rows.where("text = ';'").groupBy(*key).agg(F.count("*").alias("statements")).where(F.col("statements") >= least).select(*key), key, "left_semi")
+    rows = t.where(F.col("unit").isNotNull() & F.col("class_name").isNotNull() & ~F.col("unit").isin(list(ignored)) & (F.col("statements") >= least))
     one = F.struct("n", F.coalesce(masks, "text").alias("token"), value.alias("value"))
-    found = rows.groupBy("path", "class_name", "unit", "unit_line").agg(F.array_sort(F.collect_list(one)).alias("b"), F.sum(F.when(F.col("text") == ";", 1).otherwise(0)).alias("statements"))
+    found = rows.groupBy("path", "class_name", "unit", "unit_line", "statements").agg(F.array_sort(F.collect_list(one)).alias("b"))
     tokens = F.transform("b", lambda x: x["token"])
-    return found.where(F.col("statements") >= least).select(
+    return found.select(
         F.concat_ws(":", "path", "class_name", "unit", "unit_line").alias("id"), "path", F.col("unit_line").alias("line"), "class_name", "unit", "statements", tokens.alias("tokens"),
         F.filter(F.transform("b", lambda x: x["value"]), lambda v: v.isNotNull()).alias("masked"), F.sha2(F.concat_ws("\x1f", tokens), 256).alias("hash"), F.size("b").alias("n_tokens"),
     )
@@ -506,9 +440,9 @@ def drifted_bodies(found: DataFrame, budget: int = 28, ratio: float = 0.08) -> D
 
 def references(t: DataFrame) -> DataFrame:
     """(path, source, target, line): qualified names that a file imports or writes out, by its first class."""
-    space = t.where((F.lower("text") == "namespace") & (F.col("kind") == "name")).groupBy("path").agg(F.first("a1").alias("space"))
+    space = _of(t, "word").where(F.lower("text") == "namespace").groupBy("path").agg(F.first("a1").alias("space"))
     own = class_facts(t).groupBy("path").agg(F.min(F.struct("line", "class_name")).alias("c")).join(space, "path", "left").select("path", F.concat_ws("\\", "space", "c.class_name").alias("source"))
-    named = t.where((F.col("kind") == "name") & F.col("text").contains("\\") & (F.lower("b1") != "namespace")).select("path", "line", F.regexp_replace("text", r"^\\", "").alias("target"))
+    named = _of(t, *NAMES).where(F.col("text").contains("\\") & (F.lower("b1") != "namespace")).select("path", "line", F.regexp_replace("text", r"^\\", "").alias("target"))
     return named.join(own, "path").groupBy("path", "source", "target").agg(F.min("line").alias("line")).where("source <> target")
 
 
@@ -573,8 +507,8 @@ def detect(tokens: DataFrame, without: frozenset[str] = frozenset(), policies: P
     """The findings of all detectors of this module but those of the rules ``without``, which are not planned at all.
     What detectors share is computed once, in the shared folder."""
     checkpoint_dir(tokens.sparkSession)
-    tokens = written(tokens)
-    t = written(context(dealt(tokens, "path")))
+    tokens = written(tokens.where("asked").drop("asked", "kind", "nest", "brace"))
+    t = context(tokens)
     t._facts = {}
     units = written(measured(tokens, t))
     found, bodies_, refs = routes(t), bodies(t), references(t)
@@ -584,7 +518,7 @@ def detect(tokens: DataFrame, without: frozenset[str] = frozenset(), policies: P
         "SL101": lambda: god_methods(units), "SL102": lambda: god_classes(units, t), "SL105": lambda: dead_private_methods(t), "SL106": lambda: unused_dependencies(t),
         "SL107": lambda: swallowed_exceptions(t), "SL112": lambda: placeholders(tokens, t), "SL113": lambda: long_parameter_lists(t), "SL114": lambda: nested_ternaries(t),
         "SL204": lambda: queries_in_loops(t), "SL206": lambda: many_dependencies(t), "SL207": lambda: many_dependencies(t, "Service", 7, "SL207"), "SL210": lambda: whole_tables(t),
-        "SL211": lambda: missing_actions(found, t), "SL213": lambda: destructive_gets(found), "SL215": lambda: irreversible_migrations(t), "SL216": lambda: models_in_migrations(t),
+        "SL211": lambda: missing_actions(found, t), "SL213": lambda: destructive_gets(found), "SL215": lambda: irreversible_migrations(units, t), "SL216": lambda: models_in_migrations(t),
         "SL217": lambda: unconstrained_keys(t), "SL303": lambda: single_implementations(t),
     }
     declared = {

@@ -90,7 +90,7 @@ def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def php_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.detect(php.tokens(php_files(spark, sf_dir))).select("rule", "severity", "confidence", "path", "line", "fingerprint")
+    return detectors.detect(php.tokens(php_files(spark, sf_dir), whole=False)).select("rule", "severity", "confidence", "path", "line", "fingerprint")
 
 
 _C, _M, _R = "app/Http/Controllers/Order@Controller.php", "database/migrations/2024_01_01_orders@.php", "routes/web@.php"

@@ -135,3 +135,39 @@ def test_every_pair_of_drifted_bodies_is_found(spark):
     pairs = detectors.drifted_bodies(found).collect()
     assert {r.fingerprint for r in pairs} == {f"A::m{a:03}~b{b:03}" for a in range(n) for b in range(a + 1, n)} and len(pairs) == n * (n - 1) // 2
     assert {(r.message.split(" by ")[1], r.confidence) for r in pairs} == {("1 of 41 tokens", 76)}
+
+
+def test_what_lies_within_a_file_is_neither_shuffled_nor_sorted(spark):
+    from brindle.operators import detectors
+
+    files = spark.createDataFrame([("a.php", SOURCE), ("b.php", GUARDED), ("c.php", None)], "path string, source string")
+    t = detectors.context(php.tokens(files))
+    for rows in (t, php.units(php.tokens(files)), detectors.functions(t), detectors.calls(t)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not any(step in plan for step in ("Exchange", "Window", "Sort"))
+
+
+def test_tokens_that_are_asked_for_give_all_facts(spark):
+    from brindle.operators import detectors
+
+    long = "class L { use T, \\N\\U { a as b; } function m($a, ?B $b = [1]) { " + "$x = $a ? ($b ? 1 : 2) : K::f('s', [$this, 'g']); " * 9 + "} }"
+    files = spark.createDataFrame([("a.php", SOURCE), ("b.php", GUARDED), ("c.php", f"<?php namespace A\\B; use C\\D; {long} class M implements I, \\J {{ }}")], "path string, source string")
+    whole, some = detectors.context(php.tokens(files)), detectors.context(php.tokens(files, whole=False))
+    assert 0 < some.count() < whole.count()
+    facts = (detectors.functions, detectors.parameters, detectors.calls, detectors.class_facts, detectors.trait_uses, detectors.bodies, detectors.references, php.units, detectors.nested_ternaries)
+    for make in facts:
+        assert sorted(map(str, make(some).collect())) == sorted(map(str, make(whole).collect())) != []
+    assert {r.trait for r in detectors.trait_uses(some).collect()} == {"T", "U"}
+    assert [r.n_tokens for r in detectors.bodies(some).collect()] == [1 + 9 * 25 + 1]
+
+
+def test_files_of_a_batch_do_not_touch():
+    files = [("a", "<?php class A { function f() { if ("), ("b", "<?php // c\n$x = '"), ("c", None), ("d", "<?php } ) ; g();"), ("e", "<?php catch (E $e) {"), ("f", "<?php } 'a\\")]
+    rows, left = php._tokens_of(files)
+    got = [tuple(r.values()) for r in rows.select(["path", "kind", "text", "class_name", "unit", "b1", "a1", "paren", "brace", "stops", "held"]).to_pylist()]
+    assert left == [0, 4]
+    alone = [(p, k, t, c, u) for p, source in files for k, t, _, c, u, *_ in php.lex(source or "")[0]]
+    assert [g[:5] for g in got] == alone
+    assert [g[1:] for g in got if g[0] == "d"][0] == ("operator", "}", None, None, "", ")", 0, 0, 1, None)
+    assert [g[1:3] for g in got if g[0] in "bf"] == [("comment", "// c"), ("variable", "$x"), ("operator", "="), ("string", "'"), ("operator", "}"), ("operator", "'"), ("name", "a"), ("operator", "\\")]
+    assert all(g[-1] is None for g in got)
